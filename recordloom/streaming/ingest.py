@@ -10,9 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from recordloom.operators.ordering import first_by
 from recordloom.sources.tables import explode_parsed_tables
 
-PARSED_TABLES = T.StructType.fromDDL(
-    "doc string, table_number string, caption string, headers array<string>, "
-    "rows array<array<string>>, page int")
+PARSED_TABLES = (T.StructType().add("doc", "string").add("table_number", "string")
+                 .add("caption", "string").add("headers", T.ArrayType(T.StringType()))
+                 .add("rows", T.ArrayType(T.ArrayType(T.StringType()))).add("page", "int"))
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
