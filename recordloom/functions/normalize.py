@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,10 +115,11 @@ def slugify(c: Column, sep: str = "_", empty: str = "col", limit: int | None = N
 
 def map_header(name: Column, unit: Column, lib: AttributeLibrary) -> Column:
     """Clean header to struct<attr, mapped>. Leaf of ``group / leaf`` first; longest pattern wins."""
-    patterns = F.array(*[
-        F.struct(F.lit(len(p)).alias("len"), F.lit(-i).alias("ord"), F.lit(a).alias("attr"),
-                 F.lit(p).alias("pattern"))
-        for i, (a, p) in enumerate(lib.patterns)])
+    table = json.dumps([{"len": len(p), "ord": -i, "attr": a, "pattern": p}
+                        for i, (a, p) in enumerate(lib.patterns)])
+    # one literal that the optimizer folds into an array
+    patterns = F.from_json(F.lit(table),
+                           "array<struct<len:int,ord:int,attr:string,pattern:string>>")
 
     def longest(text):
         return F.array_max(F.filter(patterns, lambda p: F.contains(text, p["pattern"])))["attr"]
