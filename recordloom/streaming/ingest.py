@@ -12,7 +12,7 @@ from recordloom.sources.tables import explode_parsed_tables
 
 PARSED_TABLES = (T.StructType().add("doc", "string").add("table_number", "string")
                  .add("caption", "string").add("headers", T.ArrayType(T.StringType()))
-                 .add("rows", T.ArrayType(T.ArrayType(T.StringType()))).add("page", "int"))
+                 .add("rows", T.ArrayType(T.ArrayType(T.StringType()))).add("page", "integer"))
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
