@@ -45,7 +45,7 @@ def _n3(spark, sf):
                 num=N.parse_value(F.col("raw"))["num"])
 
 
-@query("n4_label_keys", f"""SELECT p_partkey, replace(p_name, ' ', '') || 'hzsm5' || {_Z} AS k,
+@query("n4_label_keys", f"""SELECT p_partkey, replace(p_name, ' ', '') || '–hzsm5' || {_Z} AS k,
  p_name || '-H-ZSM-5 (' || {_Z} || ')' AS light FROM part""")
 def _n4(spark, sf):
     return pick(spark, sf, f"SELECT p_partkey, p_name || '–H-ZSM-5[a] (' || {_Z} || ')' AS raw FROM part",
@@ -104,8 +104,8 @@ def _n9(spark, sf):
 _WORDS = "SELECT doc_id, text FROM documents"
 
 
-@query("n10_decode_inverted", r"""SELECT doc_id, md5(substring(array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), x -> x <> ''), ' '), 1, 1500)) AS m,
- length(array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), x -> x <> ''), ' ')) AS n FROM documents""")
+@query("n10_decode_inverted", r"""SELECT doc_id, md5(substring(array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''), ' '), 1, 1500)) AS m,
+ length(array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''), ' ')) AS n FROM documents""")
 def _n10(spark, sf):
     d = sql(spark, sf, _WORDS)
     words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")

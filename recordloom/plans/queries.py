@@ -1,7 +1,7 @@
 """All registered queries."""
 
-from recordloom.plans import (normalize_queries, source_queries, stats_queries,  # noqa: F401
-                              table_queries)
+from recordloom.plans import (linkage_queries, normalize_queries, source_queries,  # noqa: F401
+                              stats_queries, table_queries)
 from recordloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

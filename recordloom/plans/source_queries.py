@@ -151,10 +151,10 @@ def _s13(spark, sf):
     return SF.stale_inputs(files, meta, "2", 2.0, art).select("p_partkey")
 
 
-@query("s14_docs_without_tables", """SELECT doi, paper_type FROM v_papers WHERE doi NOT IN (SELECT source_doi FROM v_units WHERE metric > 99)""")
+@query("s14_docs_without_tables", """SELECT doi, paper_type FROM v_papers WHERE doi NOT IN (SELECT source_doi FROM v_units WHERE metric > 95 AND temperature_c > 445)""")
 def _s14(spark, sf):
     return ST.docs_without_tables(view(spark, sf, "v_papers"), view(spark, sf, "v_units")
-                                  .filter("metric > 99")).select("doi", "paper_type")
+                                  .filter("metric > 95 and temperature_c > 445")).select("doi", "paper_type")
 
 
 @query("s15_diagnose_docs", """SELECT doc_id AS doc, doc_id % 4 AS n_tables, length(text) AS md_len, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 ELSE 0 END AS pipe_rows, doc_id % 9 = 0 AS failed FROM documents""")
@@ -172,9 +172,9 @@ def _s15(spark, sf):
         F.col("pipe_rows").cast("long").alias("pipe_rows"), "failed")
 
 
-@query("i1_pending_work", """SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)""")
+@query("i1_pending_work", """SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)""")
 def _i1(spark, sf):
-    done = sql(spark, sf, "SELECT l_partkey AS p_partkey, CASE WHEN l_quantity <= 25 THEN 'failed' END AS error FROM lineitem")
+    done = sql(spark, sf, "SELECT l_partkey AS p_partkey, CASE WHEN l_quantity <= 48 THEN 'failed' END AS error FROM lineitem")
     return pending(view(spark, sf, "part"), done, ["p_partkey"]).select("p_partkey")
 
 
