@@ -61,10 +61,10 @@ def page_chunks(page: Column, limit: int = 1800) -> Column:
 
 def score_patterns(c: Column, patterns=tuple(V.HIGH_VALUE_PATTERNS)) -> Column:
     """How many different patterns occur."""
-    total = F.lit(0)
-    for p in patterns:
-        total = total + c.rlike("(?iU)" + p).cast("int")
-    return total
+    def hits(text):
+        return sum((text.rlike("(?iU)" + p).cast("int") for p in patterns), F.lit(0))
+    # bound once: dozens of inlined matches would not fit one generated method
+    return let(c, hits)
 
 
 def detect_section(c: Column) -> Column:

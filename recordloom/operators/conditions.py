@@ -109,9 +109,12 @@ def document_conditions(placed: DataFrame, block_size: int = 256) -> DataFrame:
         text, F.length(before), F.length(before) + F.length("body") + 1)}
     hits.update({f: fn(F.concat("body", after)) for f, fn in _NATIVE.items()})
     values = b.select("doc", *[v.alias(f) for f, v in hits.items()])
-    long = values.select("doc", F.inline(F.concat(*[
-        F.transform(f, lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value")))
-        for f in hits])))
+
+    def tagged(field):
+        return F.transform(field, lambda v: F.struct(F.lit(field).alias("field"),
+                                                     v.alias("value")))
+
+    long = values.select("doc", F.inline(F.concat(*[tagged(f) for f in hits])))
     distinct = long.distinct()
     return distinct.groupBy("doc").agg(*[
         F.collect_list(F.when(F.col("field") == f, F.col("value"))).alias(f"g_{f}")

@@ -30,7 +30,8 @@ def score_batches(df: DataFrame, reply: Callable[[pd.DataFrame], pd.Series], cac
     body = F.from_json(first_json(F.col("reply")), "relevance string, reason string")
     value = quiet_double(body["relevance"])
     asked = (todo.mapInPandas(run, schema)
-             .withColumn("relevance", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
+             .withColumn("relevance", F.when(value.isNotNull(), F.least(
+                 F.greatest(value, F.lit(0.0)), F.lit(1.0))))
              .withColumn("relevance_reason", F.when(value.isNotNull(), F.substring(
                  F.coalesce(body["reason"], F.lit("")), 1, 200))).drop("reply"))
     known = df.join(cache.select(key, "relevance", "relevance_reason"), key)

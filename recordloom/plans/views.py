@@ -116,9 +116,9 @@ SELECT 'c' || CAST(o_custkey % 150 AS STRING) AS doc, CAST(o_orderkey AS INT) AS
                   || CAST(1 + o_orderkey % 70 AS STRING) || '.'
          WHEN 5 THEN 'The reactor was loaded with ' || CAST(1 + o_custkey % 3 AS STRING) || ' g of catalyst at '
                   || CAST(600 + o_custkey % 50 AS STRING) || ' K.'
-         WHEN 6 THEN '(' || CAST(1 + o_orderkey % 90 AS STRING) || ') Adams, B. C.; Clark, D. et al. First long title here. J. Catal. 2018, 1. '
-                  || '(' || CAST(2 + o_orderkey % 90 AS STRING) || ') Baker, E. F.; Davis, G. et al. Second long title here. J. Catal. 2019, 2. '
-                  || '(' || CAST(3 + o_orderkey % 90 AS STRING) || ') Evans, H. I.; Ghosh, J. Third long title here. J. Catal. 2020, 3. '
+         WHEN 6 THEN '(' || CAST(1 + o_orderkey % 90 AS STRING) || ') Adams, B. C.; Clark, D. et al. First long title here. J. Catal. 2018, 1.' || chr(10)
+                  || '(' || CAST(2 + o_orderkey % 90 AS STRING) || ') Baker, E. F.; Davis, G. et al. Second long title here. J. Catal. 2019, 2.' || chr(10)
+                  || '(' || CAST(3 + o_orderkey % 90 AS STRING) || ') Evans, H. I.; Ghosh, J. Third long title here. J. Catal. 2020, 3.' || chr(10)
                   || '(' || CAST(4 + o_orderkey % 90 AS STRING) || ') Irwin, K. L.; Jones, M. Fourth long title here. J. Catal. 2021, 4.'
          WHEN 7 THEN 'Results and discussion The yield was ' || CAST(o_orderkey % 90 AS STRING) || ' % at '
                   || CAST(320 + o_custkey % 5 * 10 AS STRING) || ' °C and the selectivity was observed.'
@@ -187,6 +187,8 @@ def with_views(text: str) -> str:
         return text
     head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views)
     body = text.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"
