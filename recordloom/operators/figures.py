@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.functions import vocabulary as V
 from recordloom.functions.base import any_contains, first_rule, let
@@ -70,6 +71,8 @@ def triage_figures(typed: DataFrame, pool: DataFrame) -> DataFrame:
 
     Without a caption match the properties of the whole document count, flagged as ``pool``.
     """
+    # the pool is read four times below; it is small beside the cells it comes from
+    pool = cut(pool)
     act = typed.filter(F.col("type").isin(V.ACTIVITY_TYPES))
     hits = match_labels_in_captions(pool, act)
     props = pool.select("doc", "rec_key", F.explode("props").alias("prop"))
@@ -244,28 +247,31 @@ def fit_axis(values: list[float], pixels: list[float], span: float):
     return fit
 
 
+@F.pandas_udf(T.StructType([T.StructField("slope", T.DoubleType()),
+                            T.StructField("offset", T.DoubleType()),
+                            T.StructField("ticks_used", T.IntegerType())]))
+def _fit(pixels: pd.Series, values: pd.Series, span: pd.Series) -> pd.DataFrame:
+    fits = [fit_axis(list(v), list(p), float(s)) or (None, None, 0)
+            for p, v, s in zip(pixels, values, span)]
+    out = pd.DataFrame(fits, columns=["slope", "offset", "ticks_used"])
+    return out.astype({"slope": "Float64", "offset": "Float64"})
+
+
 def fit_ticks(ticks: DataFrame) -> DataFrame:
     """One fit per (image, panel, axis). ticks: those keys and ``px, value, span``.
 
-    The first tick per rounded pixel is taken before grouping: neighbours within 6 px are dropped
-    anyway, so a group holds at most one tick per pixel of the axis, whatever came in.
+    A pixel read twice is reduced to one tick before the ticks of an axis meet, so an axis holds at
+    most one tick per pixel. Axes are fitted in Arrow batches of many axes at a time.
     """
     keys = ["image", "panel", "axis"]
     lean = ticks.groupBy(*keys, "px").agg(F.min("value").alias("value"),
                                           F.max("span").alias("span"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = fit_axis(pdf["value"].tolist(), pdf["px"].tolist(), float(pdf["span"].max()))
-        head = pdf.iloc[0]
-        a, b, n = fit if fit else (None, None, 0)
-        return pd.DataFrame([(head["image"], head["panel"], head["axis"], a, b, n)], columns=[
-            "image", "panel", "axis", "slope", "offset", "ticks_used"]).astype(
-            {"slope": "Float64", "offset": "Float64"})
-
-    types = dict(lean.dtypes)
-    return lean.groupBy(*keys).applyInPandas(
-        solve, ", ".join(f"{k} {types[k]}" for k in keys)
-        + ", slope double, offset double, ticks_used int")
+    axes = lean.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("px").cast("double").alias("px"),
+                                             F.col("value").cast("double").alias("value"))))
+        .alias("t"), F.max("span").cast("double").alias("span"))
+    return axes.select(*keys, _fit(F.col("t.px"), F.col("t.value"), F.col("span")).alias("f")) \
+        .select(*keys, "f.*")
 
 
 def panel_confidence(panels: DataFrame) -> DataFrame:

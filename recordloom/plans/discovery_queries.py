@@ -115,7 +115,7 @@ def _d6(spark, sf):
     return D.rank_candidates(_merged(spark, sf), YEAR).select("doi", "fallback_score")
 
 
-@query("d6_rank_by_relevance", """SELECT doi, CASE WHEN CAST(substring(doi, 7) AS INT) % 4 = 0 THEN NULL ELSE CAST(substring(doi, 7) AS INT) / 1000.0 END AS relevance
+@query("d6_rank_by_relevance", """SELECT doi, CASE WHEN CAST(substring(doi, 7) AS INT) % 4 = 0 THEN NULL ELSE round(CAST(substring(doi, 7) AS INT) % 100 / 100.0, 4) END AS relevance
 FROM (SELECT DISTINCT doi FROM v_candidates) q""")
 def _d6b(spark, sf):
     return D.rank_candidates(_scored(spark, sf)).select("doi", "relevance")
@@ -123,22 +123,22 @@ def _d6b(spark, sf):
 
 def _scored(spark, sf):
     n = F.substring("doi", 7, 9).cast("int")
-    return _merged(spark, sf).withColumn("relevance", F.when(n % 4 != 0, n / F.lit(1000.0))) \
+    return _merged(spark, sf).withColumn("relevance", F.when(n % 4 != 0, n % 100 / F.lit(100.0))) \
         .withColumn("relevance_reason", F.when(n % 4 != 0, F.lit("fits")))
 
 
 @query("d7_shortlist", f"""WITH m AS (SELECT doi, CAST(substring(doi, 7) AS INT) AS n, {_FIRST('title', "title <> ''")}, {_FIRST('venue', 'venue IS NOT NULL')}, {_FIRST('abstract', 'abstract IS NOT NULL')},
  {_FIRST('oa_url', 'oa_url IS NOT NULL')}, {_FIRST('year', 'year IS NOT NULL')}, max(citation_count) AS c, bool_or(is_open_access) AS oa FROM v_candidates GROUP BY doi)
-SELECT doi, '## [' || CASE WHEN n % 4 = 0 THEN '—' ELSE printf('%.2f', n / 1000.0) END || '] ' || coalesce(title, '(untitled)') || CASE WHEN oa OR oa_url IS NOT NULL THEN ' 🔓' ELSE '' END || chr(10)
+SELECT doi, '## [' || CASE WHEN n % 4 = 0 THEN '—' ELSE printf('%.2f', n % 100 / 100.0) END || '] ' || coalesce(title, '(untitled)') || CASE WHEN oa OR oa_url IS NOT NULL THEN ' 🔓' ELSE '' END || chr(10)
  || '`' || doi || '` · https://doi.org/' || doi || '  ·  ' || concat_ws(' · ', venue, CAST(year AS STRING), CASE WHEN c > 0 THEN CAST(c AS STRING) || ' cit' END)
  || CASE WHEN n % 4 <> 0 THEN chr(10) || '> fits' ELSE '' END || CASE WHEN abstract IS NOT NULL THEN chr(10) || chr(10) || abstract ELSE '' END AS block
-FROM m WHERE n % 4 = 0 OR n / 1000.0 >= 0.4""")
+FROM m WHERE n % 4 = 0 OR n % 100 / 100.0 >= 0.4""")
 def _d7(spark, sf):
     return D.shortlist(_scored(spark, sf), 0.4).select("doi", "block")
 
 
 @query("d7_shortlist_header", """WITH m AS (SELECT DISTINCT CAST(substring(doi, 7) AS INT) AS n FROM v_candidates)
-SELECT '# Discovery shortlist — q' || chr(10) || chr(10) || '*' || CAST(count(*) AS STRING) || ' papers (relevance ≥ 0.40), sorted by relevance.*' AS header FROM m WHERE n % 4 = 0 OR n / 1000.0 >= 0.4""")
+SELECT '# Discovery shortlist — q' || chr(10) || chr(10) || '*' || CAST(count(*) AS STRING) || ' papers (relevance ≥ 0.40), sorted by relevance.*' AS header FROM m WHERE n % 4 = 0 OR n % 100 / 100.0 >= 0.4""")
 def _d7b(spark, sf):
     return D.shortlist_header(D.shortlist(_scored(spark, sf), 0.4), "q", 0.4)
 

@@ -195,7 +195,11 @@ w AS (SELECT image, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ug, CAST([]
  UNION ALL SELECT w.image, r.k, CASE WHEN list_contains(w.ug, r.gold) OR list_contains(w.up, r.pred) THEN w.ug ELSE list_append(w.ug, CAST(r.gold AS BIGINT)) END,
   CASE WHEN list_contains(w.ug, r.gold) OR list_contains(w.up, r.pred) THEN w.up ELSE list_append(w.up, CAST(r.pred AS BIGINT)) END,
   CASE WHEN list_contains(w.ug, r.gold) OR list_contains(w.up, r.pred) THEN NULL ELSE CAST(r.gold AS BIGINT) END, CAST(r.pred AS BIGINT), CAST(r.overlap AS DOUBLE), CAST(r.mae AS DOUBLE) FROM w JOIN r ON r.image = w.image AND r.k = w.k + 1)
-SELECT image, gold, pred, round(overlap, 4) AS overlap, round(mae, 4) AS mae FROM w WHERE gold IS NOT NULL""")
+, won AS (SELECT image, gold, pred, overlap, mae FROM w WHERE gold IS NOT NULL),
+ig AS (SELECT image, gold, row_number() OVER (PARTITION BY image ORDER BY gold) AS k FROM (SELECT DISTINCT image, gold FROM g) q WHERE NOT EXISTS (SELECT 1 FROM won WHERE won.image = q.image AND won.gold = q.gold)),
+ip AS (SELECT image, pred, row_number() OVER (PARTITION BY image ORDER BY pred) AS k FROM (SELECT DISTINCT image, pred FROM p) q WHERE NOT EXISTS (SELECT 1 FROM won WHERE won.image = q.image AND won.pred = q.pred))
+SELECT image, gold, pred, round(overlap, 4) AS overlap, round(mae, 4) AS mae FROM won
+UNION ALL SELECT ig.image, ig.gold, ip.pred, 0.0, NULL FROM ig JOIN ip ON ip.image = ig.image AND ip.k = ig.k""")
 def _f9b(spark, sf):
     return G.match_series(*_two_readings(spark, sf))
 
@@ -250,12 +254,16 @@ def _f11(spark, sf):
                     F.get("series", F.lit(0))["name"].alias("name"), "n_points")
 
 
-_SER = "SELECT user_id AS image, event_id AS x, CAST(floor(value) AS BIGINT) AS y FROM events"
+_SER = """SELECT image, k * 4 + event_id % 3 AS x, y FROM (SELECT user_id AS image, event_id, CAST(floor(value) AS BIGINT) AS y,
+ row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) q"""
 
 
 @query("w6_densify", f"""WITH s AS ({_SER}), n AS (SELECT *, lead(x) OVER (PARTITION BY image ORDER BY x) AS x2, lead(y) OVER (PARTITION BY image ORDER BY x) AS y2 FROM s),
 d AS (SELECT image, x, y, x2, y2, unnest(generate_series(x, coalesce(x2 - 1, x))) AS xi FROM n)
 SELECT image, xi AS x, CASE WHEN xi = x THEN y ELSE CAST(trunc(y + (xi - x) * (CAST(y2 - y AS DOUBLE) / (x2 - x))) AS BIGINT) END AS y FROM d""")
 def _w6(spark, sf):
-    s = sql(spark, sf, _SER)
-    return G.densify_series(with_position(s, ["image"], ["x"]), ["image"])
+    e = view(spark, sf, "events").select(F.col("user_id").alias("image"), "event_id",
+                                         F.floor("value").alias("y"))
+    s = with_position(e, ["image"], ["event_id"])
+    s = s.withColumn("x", (F.col("pos") + 1) * 4 + F.col("event_id") % 3)
+    return G.densify_series(s, ["image"])

@@ -139,7 +139,7 @@ SELECT '10.5/c' || CAST(l_partkey % 900 AS STRING) AS doi, l_orderkey AS seen, l
        CASE WHEN l_orderkey % 5 < 3 THEN NULL ELSE 'Abstract ' || CAST(l_orderkey AS STRING) END AS abstract,
        CASE WHEN l_orderkey % 7 < 5 THEN NULL ELSE 'http://x/' || CAST(l_orderkey AS STRING) END AS oa_url,
        CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE CAST(1990 + l_suppkey % 30 AS INT) END AS year,
-       CAST(l_quantity AS INT) AS citation_count, CAST(l_quantity / 10 AS INT) AS influential_citation_count,
+       CAST(l_quantity AS INT) AS citation_count, CAST(floor(l_quantity / 10) AS INT) AS influential_citation_count,
        l_linestatus = 'O' AS is_open_access, l_returnflag AS tag,
        l_partkey AS p, l_suppkey AS s, l_extendedprice AS e
 FROM lineitem"""
