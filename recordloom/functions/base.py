@@ -31,6 +31,11 @@ def quiet_double(c: Column) -> Column:
     return F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
 
 
+def quiet_int(c: Column) -> Column:
+    """Whole number of digits only, else NULL. The pattern goes first: a failing cast is slow."""
+    return F.when(c.rlike(r"^-?\d{1,9}$"), c.cast("int"))
+
+
 def lits(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

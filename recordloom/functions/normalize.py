@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import vocabulary as V
 from recordloom.functions.attributes import AttributeLibrary
 from recordloom.functions.base import (any_contains, first_rule, let, lits, nonblank,
-                                       quiet_double, squeeze, strip, strip_chars)
+                                       quiet_double, quiet_int, squeeze, strip, strip_chars)
 
 _EDGE = " :_^."
 _SLASH_UNIT = r"(?U)\s*/\s*([^/]+?)\s*$"
@@ -236,7 +236,7 @@ def loose_float(c: Column) -> Column:
 
 
 def safe_int(c: Column) -> Column:
-    return c.try_cast("int")
+    return quiet_int(c.cast("string"))
 
 
 def first_non_null(*cs: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordloom.functions import vocabulary as V
-from recordloom.functions.base import (any_contains, first_rule, let, lits, nonblank, strip)
+from recordloom.functions.base import (any_contains, first_rule, let, lits, nonblank, quiet_int, strip)
 from recordloom.functions.normalize import clean_doi, normalize_text
 
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9\[])"
@@ -22,30 +24,30 @@ def split_paragraphs(page: Column) -> Column:
 
 def _pack(pieces: Column, limit: int, glue: str) -> Column:
     """Greedy packing: a piece opens a new chunk when both lengths together pass the limit."""
-    start = F.struct(F.array().cast("array<string>").alias("done"),
-                     F.lit("").alias("open"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"),
+                     F.lit(0).alias("size"))
 
     def step(acc, piece):
-        full = (F.length(acc["open"]) + F.length(piece) > limit) & (F.length(acc["open"]) > 0)
-        joined = F.when(F.length(acc["open"]) > 0,
-                        F.concat(acc["open"], F.lit(glue), piece)).otherwise(piece)
-        if glue == " ":
-            joined = F.when(F.length(acc["open"]) > 0, strip(joined)).otherwise(joined)
+        n = F.length(piece)
+        full = (acc["size"] + n > limit) & (acc["size"] > 0)
+        fresh = full | (acc["size"] == 0)
         return F.struct(
             F.when(full, F.array_append(acc["done"], strip(acc["open"])))
              .otherwise(acc["done"]).alias("done"),
-            F.when(full, piece).otherwise(joined).alias("open"))
+            F.when(fresh, piece).otherwise(F.concat(acc["open"], F.lit(glue), piece))
+             .alias("open"),
+            F.when(fresh, n).otherwise(acc["size"] + len(glue) + n).alias("size"))
 
     def close(acc):
-        return F.when(F.length(strip(acc["open"])) > 0,
-                      F.array_append(acc["done"], strip(acc["open"]))).otherwise(acc["done"])
+        return let(strip(acc["open"]), lambda last: F.when(
+            F.length(last) > 0, F.array_append(acc["done"], last)).otherwise(acc["done"]))
 
     return F.aggregate(pieces, start, step, close)
 
 
 def pack_sentences(text: Column, limit: int = 1800) -> Column:
     """Text over the limit to sentence groups; shorter text stays whole."""
-    return F.when(F.length(text) > limit, _pack(F.split(text, SENTENCE_GAP), limit, " ")) \
+    return F.when(F.length(text) > limit, _pack(F.split(strip(text), SENTENCE_GAP), limit, " ")) \
             .otherwise(F.array(text))
 
 
@@ -60,11 +62,21 @@ def page_chunks(page: Column, limit: int = 1800) -> Column:
 
 
 def score_patterns(c: Column, patterns=tuple(V.HIGH_VALUE_PATTERNS)) -> Column:
-    """How many different patterns occur."""
-    def hits(text):
-        return sum((text.rlike("(?iU)" + p).cast("int") for p in patterns), F.lit(0))
+    """How many different patterns occur.
+
+    A pattern that is a plain word is first looked for as a substring, which is far cheaper than
+    the word-boundary match and fails for most words.
+    """
+    def hit(both, p):
+        match = both["text"].rlike("(?iU)" + p)
+        word = re.fullmatch(r"\\b([A-Za-z0-9 -]+)\\b", p)
+        return match if word is None else both["low"].contains(word.group(1).lower()) & match
+
+    def hits(both):
+        return sum((hit(both, p).cast("int") for p in patterns), F.lit(0))
+
     # bound once: dozens of inlined matches would not fit one generated method
-    return let(c, hits)
+    return let(F.struct(c.alias("text"), F.lower(c).alias("low")), hits)
 
 
 def detect_section(c: Column) -> Column:
@@ -73,7 +85,10 @@ def detect_section(c: Column) -> Column:
     inline = F.regexp_extract(
         F.substring(c, 1, 300),
         rf"(?imU)(?:^|[.\n]\s{{0,4}})(?:\d[\d.]*\.?\s+)?({V.SECTION_WORDS})\b", 1)
-    return F.lower(strip(F.coalesce(nonblank(at_start), nonblank(inline))))
+    # most chunks hold no section word near their start; a substring test settles that
+    near = F.lower(F.substring(F.ltrim(c), 1, 300))
+    return F.when(any_contains(near, V.SECTION_STEMS),
+                  F.lower(strip(F.coalesce(nonblank(at_start), nonblank(inline)))))
 
 
 def numbered_heading(c: Column) -> Column:
@@ -212,16 +227,16 @@ def expand_citations(c: Column, with_ref_words: bool = True) -> Column:
     parts = F.flatten(F.transform(lists, lambda m: F.split(m, r"(?U)[,\s]+")))
 
     def numbers(p):
-        lo = F.regexp_extract(p, r"^(\d+)[-–](\d+)", 1).try_cast("int")
-        hi = F.regexp_extract(p, r"^(\d+)[-–](\d+)", 2).try_cast("int")
+        lo = quiet_int(F.regexp_extract(p, r"^(\d+)[-–](\d+)", 1))
+        hi = quiet_int(F.regexp_extract(p, r"^(\d+)[-–](\d+)", 2))
         return F.when(lo <= hi, F.sequence(lo, hi)) \
-                .when(p.rlike(r"^\d+$"), F.array(p.try_cast("int"))) \
+                .when(p.rlike(r"^\d+$"), F.array(quiet_int(p))) \
                 .otherwise(F.array().cast("array<int>"))
 
     out = F.flatten(F.transform(parts, numbers))
     if with_ref_words:
         words = F.regexp_extract_all(c, F.lit(r"(?U)[Rr]ef\.?\s*(\d{1,3})"), F.lit(1))
-        out = F.concat(out, F.transform(words, lambda w: w.try_cast("int")))
+        out = F.concat(out, F.transform(words, quiet_int))
     return F.array_sort(F.array_distinct(out))
 
 
@@ -230,8 +245,8 @@ def citation_list(c: Column) -> Column:
     parts = F.split(F.regexp_replace(c, r"[\[\]\(\)]", " "), r"(?U)[,;\s]+")
 
     def numbers(p):
-        lo = F.regexp_extract(p, r"^(\d{1,3})[-–](\d{1,3})$", 1).try_cast("int")
-        hi = F.regexp_extract(p, r"^(\d{1,3})[-–](\d{1,3})$", 2).try_cast("int")
+        lo = quiet_int(F.regexp_extract(p, r"^(\d{1,3})[-–](\d{1,3})$", 1))
+        hi = quiet_int(F.regexp_extract(p, r"^(\d{1,3})[-–](\d{1,3})$", 2))
         return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda n: n.cast("string"))) \
                 .when(p.rlike(r"^\d{1,3}$"), F.array(p)) \
                 .otherwise(F.array().cast("array<string>"))

@@ -79,6 +79,10 @@ SECTION_WORDS = (
     r"results?(?:\s+and\s+discussion)?|discussion|conclusions?|acknowledgem\w*|references?|"
     r"supporting\s+information|appendix"
 )
+# every section name holds one of these
+SECTION_STEMS = ["abstract", "introduction", "experimental", "material", "method", "synthesis",
+                 "preparation", "result", "discussion", "conclusion", "acknowledgem", "reference",
+                 "information", "appendix"]
 DROPPED_SECTIONS = ["introduction", "acknowledgements", "acknowledgments", "references",
                     "supporting information", "appendix"]
 KEPT_SECTIONS = ["abstract", "experimental", "experimental section", "materials and methods",

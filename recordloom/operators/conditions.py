@@ -9,6 +9,7 @@ from recordloom.functions.base import let, quiet_double
 from recordloom.functions.temperature import (extract_temperatures,
                                               section_temperature_and_pressure)
 from recordloom.operators.ordering import with_neighbours, with_position
+from recordloom.session import cut
 
 _NUM = r"(\d+\.?\d*)"
 _GROUPED = r"(\d[\d,]*\.?\d*)"
@@ -127,7 +128,8 @@ def fill_conditions(units: DataFrame, chunks: DataFrame, reach: int = 2) -> Data
     units: ``unit_id, doc, chunk_id`` and the condition fields; chunks: ``doc, chunk_id, page,
     chunk_no, text``. Several candidates leave the field NULL and add a note.
     """
-    placed = with_position(chunks, ["doc"], ["page", "chunk_no"], block_on="page", block_size=64)
+    placed = cut(with_position(chunks, ["doc"], ["page", "chunk_no"], block_on="page",
+                               block_size=64))
     everywhere = document_conditions(placed)
     near = with_neighbours(placed, ["doc"], "pos", "text", reach, reach, "local_text")
     near = near.join(units.select("doc", "chunk_id").distinct(), ["doc", "chunk_id"], "left_semi")

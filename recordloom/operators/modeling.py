@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators.ordering import dense_index
 from recordloom.operators.stats import pivot_mean_count
+from recordloom.session import cut
 
 
 def gap_candidates(df: DataFrame, dims: list[str], at_most: int = 0) -> DataFrame:
@@ -35,22 +36,20 @@ def gap_candidates(df: DataFrame, dims: list[str], at_most: int = 0) -> DataFram
             .withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") <= at_most))
 
 
-def pareto_front(df: DataFrame, x: str, y: str, ranges: int = 256) -> DataFrame:
+def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows no other row beats in both x and y (larger is better; equal rows stay).
 
-    The best y per x is found first. Values of x are cut into ranges by a sketch; a row survives
-    if its y beats the best y of all higher ranges and of the higher x in its own range. No sort
-    runs over all rows in one task.
+    The best y per x is found first and laid out in ranges of x. A value survives if its y beats
+    the best y of all higher ranges (one row per range) and of the higher x in its own range. No
+    sort runs over all rows in one task.
     """
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     best = rows.groupBy(x).agg(F.max(y).alias("_y"))
-    cuts = best.agg(F.percentile_approx(
-        F.col(x).cast("double"), [i / ranges for i in range(1, ranges)], 10000).alias("_cuts"))
-    k = F.lit(1)
-    b = best.withColumn("_k", k).join(cuts.withColumn("_k", k), "_k").withColumn(
-        "_r", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_k", "_cuts")
-    tops = b.groupBy("_r").agg(F.max("_y").alias("_t"))         # at most ``ranges`` rows
-    above = Window.partitionBy(k).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    # written out, so that the range of a value is the same in every later step
+    b = cut(best.repartitionByRange(x).withColumn("_r", F.spark_partition_id()))
+    tops = b.groupBy("_r").agg(F.max("_y").alias("_t"))
+    above = Window.partitionBy(F.lit(1)).orderBy(F.desc("_r")).rowsBetween(
+        Window.unboundedPreceding, -1)
     tops = tops.select("_r", F.max("_t").over(above).alias("_above"))
     own = Window.partitionBy("_r").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
     front = (b.withColumn("_own", F.max("_y").over(own)).join(tops, "_r")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as TX
 from recordloom.functions import vocabulary as V
+from recordloom.functions.base import quiet_int
 from recordloom.operators.ordering import (carry_forward, first_by, with_neighbours,
                                            with_position)
+from recordloom.session import cut
 
 
 def chunk_pages(pages: DataFrame, limit: int = 1800, threshold: int = 3,
@@ -56,7 +58,10 @@ def select_by_section(chunks: DataFrame, keys: list[str], order: list[str],
     A paper left with too little goes back to its high-value set. The counts per paper are an
     aggregate joined back, so a long paper stays spread over tasks.
     """
-    c = carry_forward_section(chunks, keys, order, block_on, block_size)
+    # scores and headings are worked out once; everything below reads them back
+    marked = cut(chunks.withColumn("_s", TX.detect_section(F.col("text"))))
+    c = carry_forward(marked, keys, order, "_s", "section_norm", default="preamble",
+                      block_on=block_on, block_size=block_size).drop("_s")
     inside = (~F.col("section_norm").isin(V.DROPPED_SECTIONS)
               & (F.col("section_norm").isin(V.KEPT_SECTIONS) | F.col("is_high_value")))
     c = c.withColumn("_keep", inside)
@@ -174,9 +179,9 @@ def merge_lookups(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def expand_page_range(c: Column) -> Column:
     """'31-34,40' to page numbers."""
     def pages(p):
-        lo = F.regexp_extract(p, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 1).try_cast("int")
-        hi = F.regexp_extract(p, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 2).try_cast("int")
-        one = F.trim(p).try_cast("int")
+        lo = quiet_int(F.regexp_extract(p, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 1))
+        hi = quiet_int(F.regexp_extract(p, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 2))
+        one = quiet_int(F.trim(p))
         return F.when(lo <= hi, F.sequence(lo, hi)).when(one.isNotNull(), F.array(one)) \
                 .otherwise(F.array().cast("array<int>"))
     return F.flatten(F.transform(F.split(c, ","), pages))

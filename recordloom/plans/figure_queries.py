@@ -9,6 +9,7 @@ from recordloom.operators.ordering import with_position
 from recordloom.plans.registry import query
 from recordloom.plans.table_queries import _cells_sql, attributes
 from recordloom.plans.views import sql, view
+from recordloom.session import cut
 
 
 def typed(spark, sf):
@@ -62,12 +63,12 @@ def _f4(spark, sf):
                                      "reachable", "reach_scope")
 
 
-def _triage(spark, sf):
-    return G.triage_figures(typed(spark, sf), G.property_pool(attributes(spark, sf)))
+def _triage(spark, sf, pool=None):
+    return G.triage_figures(typed(spark, sf), pool or G.property_pool(attributes(spark, sf)))
 
 
-def _routed(spark, sf):
-    t = _triage(spark, sf)
+def _routed(spark, sf, pool=None):
+    t = _triage(spark, sf, pool)
     series = sql(spark, sf, """SELECT 'fig' || CAST(l_partkey AS STRING) AS figure, CAST(l_quantity AS INT) AS n_points FROM lineitem WHERE l_partkey % 3 <> 0""")
     census = sql(spark, sf, "SELECT 'fig' || CAST(p_partkey AS STRING) AS figure FROM part WHERE p_partkey % 10 = 0")
     return G.route_figures(t, G.real_traces(series), census)
@@ -88,8 +89,8 @@ SELECT 'tier' AS section, tier AS name, count(*) AS n FROM rt GROUP BY tier UNIO
 UNION ALL SELECT 'coverage', 'docs_without_pool', (SELECT count(DISTINCT doc) FROM t WHERE doc NOT IN (SELECT doc FROM pool))
 UNION ALL SELECT 'coverage', 'capped_figures', (SELECT count(*) FROM rt WHERE n_pool = 0)"""))
 def _f6(spark, sf):
-    return G.triage_coverage(_routed(spark, sf), typed(spark, sf),
-                             G.property_pool(attributes(spark, sf)))
+    pool = cut(G.property_pool(attributes(spark, sf)))
+    return G.triage_coverage(cut(_routed(spark, sf, pool)), typed(spark, sf), pool)
 
 
 _IMG = """SELECT event_id AS figure, CASE WHEN event_id % 3 = 0 THEN 'chart' ELSE event_type END AS figure_kind, event_id % 2 = 0 AS is_performance, event_id % 5 = 0 AS has_disconnected_scatter,

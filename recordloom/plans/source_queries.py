@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,18 +11,13 @@ from recordloom.plans.views import read, sql, view
 from recordloom.sources import files as SF
 from recordloom.sources import tables as ST
 from recordloom.sources import units as SU
+from recordloom.session import shared_folder
 from recordloom.sources.pending import fresh_within, pending
 from recordloom.streaming import ingest as I
 
 _SLUG = "replace(source_doi, '/', '_')"
 
 
-def scratch(spark) -> str:
-    """A new folder in the cluster's shared space; machine-local only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="recordloom-")
-
-
 @query("s1_read_units", f"""SELECT unit_id, CASE WHEN substring(unit_id, 1, 1) = '1' THEN 'own/' || metal WHEN p.doi IS NOT NULL THEN p.doi
  ELSE source_doi END AS source_doi FROM v_units LEFT JOIN (SELECT doi FROM v_papers WHERE topic = 'topic_a') p ON p.doi = source_doi""")
 def _s1(spark, sf):
@@ -189,7 +181,7 @@ def _i2(spark, sf):
 @query("i3_ingest_stream", """SELECT 'p' || CAST(p_partkey % 49 AS STRING) || '::docling::tbl' || CAST(p_partkey AS STRING) || '::r001' AS row_id,
  'p' || CAST(p_partkey % 49 AS STRING) AS source_doi, '["' || p_name || '"]' AS row_json FROM part""")
 def _i3(spark, sf):
-    base = scratch(spark)
+    base = shared_folder(spark)
     t = sql(spark, sf, """SELECT 'p' || CAST(p_partkey % 49 AS STRING) AS doc, CAST(p_partkey AS STRING) AS table_number, 'cap' AS caption, array('h') AS headers,
         array(array(p_name)) AS rows, 1 AS page FROM part""")
     t.repartition("doc").write.json(f"{base}/in")
@@ -200,7 +192,7 @@ def _i3(spark, sf):
 
 @query("i4_candidate_stream", """SELECT DISTINCT user_id FROM events""")
 def _i4(spark, sf):
-    base = scratch(spark)
+    base = shared_folder(spark)
     schema = read(spark, sf, "events").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .parquet(sf).select(F.col("user_id"), "ts"))
@@ -213,7 +205,7 @@ def _i4(spark, sf):
 
 @query("i4_merge_stream", """SELECT user_id, max(value) AS best, count(*) AS n FROM events GROUP BY user_id""")
 def _i4b(spark, sf):
-    base = scratch(spark)
+    base = shared_folder(spark)
     schema = read(spark, sf, "events").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .parquet(sf).select("user_id", F.col("value").alias("best"),

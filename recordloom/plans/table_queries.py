@@ -11,6 +11,7 @@ from recordloom.operators import stats as A
 from recordloom.operators import tables as K
 from recordloom.plans.registry import query
 from recordloom.plans.views import sql, view
+from recordloom.session import cut
 
 LIB = AttributeLibrary()
 FEATURES = ["temperature_c", "pressure", "conversion_pct", "selectivity_pct", "bet_surface_area",
@@ -238,8 +239,8 @@ UNION ALL SELECT 'records', (SELECT count(*) FROM recs)
 UNION ALL SELECT 'records_merged', (SELECT count(*) FROM (SELECT d, rec_key FROM keyed GROUP BY d, rec_key HAVING count(DISTINCT label) > 1) q)
 UNION ALL SELECT 'type:' || CASE t WHEN 0 THEN 'textural' WHEN 1 THEN 'performance' WHEN 2 THEN 'acidity' ELSE 'other' END, count(*) FROM tab WHERE t <> 3 GROUP BY t"""))
 def _r3(spark, sf):
-    c = cells(spark, sf)
-    a = R.record_attributes(c)
+    c = cut(cells(spark, sf))
+    a = cut(R.record_attributes(c))
     return R.build_stats(_profile(spark, sf), c, a, R.assemble_records(a))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,18 +24,20 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = configured or tempfile.mkdtemp(prefix="recordloom-ckpt-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared checkpoint space; a temporary one only where no space
+    is named (tests on one machine)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return (f"{shared.rstrip('/')}/recordloom-{uuid.uuid4().hex}" if shared
+            else tempfile.mkdtemp(prefix="recordloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, so that a lost executor costs no re-run."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame that is read several times, and read it back.
+
+    The plan behind it is not run again, a lost executor costs no re-run, and later steps read
+    only the columns they use.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
