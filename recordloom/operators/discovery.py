@@ -77,22 +77,29 @@ def recommendations(seeds: DataFrame, edges: DataFrame, first_seeds: int = 5,
 
 
 def merge_candidates(df: DataFrame, order: list[str]) -> DataFrame:
-    """One candidate per id: tags united in order, first text that is there, largest counts."""
+    """One candidate per id: tags united in order, first text that is there, largest counts.
+
+    All parts combine before the shuffle; of the tags one row per (id, tag) is left by then, so an
+    id that is seen very often costs no more than any other.
+    """
     o = F.struct(*order)
 
     def first_text(c):
         return F.min_by(nonblank(F.col(c)), F.when(F.length(c) > 0, o)).alias(c)
 
-    tags = F.array_distinct(F.flatten(F.transform(
-        F.array_sort(F.collect_set(F.struct(o.alias("o"), F.col("source").alias("s")))),
-        lambda p: p["s"])))
-    return df.filter(F.length("doi") > 0).groupBy("doi").agg(
+    seen = df.filter(F.length("doi") > 0)
+    merged = seen.groupBy("doi").agg(
         first_text("title"), first_text("venue"), first_text("abstract"), first_text("oa_url"),
         F.min_by("year", F.when(F.col("year").isNotNull(), o)).alias("year"),
         F.min_by("authors", F.when(F.size("authors") > 0, o)).alias("authors"),
         F.max("citation_count").alias("citation_count"),
         F.max("influential_citation_count").alias("influential_citation_count"),
-        F.bool_or("is_open_access").alias("is_open_access"), tags.alias("source"))
+        F.bool_or("is_open_access").alias("is_open_access"))
+    tags = (seen.select("doi", o.alias("_o"), F.posexplode("source").alias("_p", "_t"))
+            .groupBy("doi", "_t").agg(F.min(F.struct("_o", "_p")).alias("_o"))
+            .groupBy("doi").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))),
+                                            lambda s: s["_t"]).alias("source")))
+    return merged.join(tags, "doi", "left")
 
 
 def ordered_tags(df: DataFrame, key: str, tag: str, order: list[str]) -> DataFrame:

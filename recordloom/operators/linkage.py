@@ -79,27 +79,30 @@ def _norm(c: Column) -> Column:
 
 def _spans_of(cap: Column, n: Column) -> Column:
     """Every piece of n words that begins after an edge or '(' and ends before an edge or ,.;:)."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(cap), F.lit(1))), lambda i: (i == 1)
-                      | F.substring(cap, i - 1, F.lit(1)).isin(" ", "("))
-
-    def ends(i):
-        rest = F.substring(cap, i, F.length(cap))
-        piece = F.array_join(F.slice(F.split(rest, " "), F.lit(1), n), " ")
-        enough = F.size(F.split(rest, " ")) >= n
-
-        def cuts(p):
-            last = F.substring_index(p, " ", -1)
-            head = F.length(p) - F.length(last)
-            stops = F.filter(F.sequence(F.lit(1), F.greatest(F.length(last), F.lit(1))),
-                             lambda k: F.substring(last, k, F.lit(1)).isin(
-                                 ",", ".", ";", ":", ")"))
-            return F.array_append(F.transform(stops, lambda k: F.substring(
-                p, F.lit(1), head + k - 1)), p)
-
-        return F.when(enough, let(piece, cuts)).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.filter(F.flatten(F.transform(starts, ends)),
-                                     lambda s: F.length(s) > 0))
+    def marks(word, chars):
+        return F.filter(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))),
+                        lambda k: F.substring(word, k, F.lit(1)).isin(*chars))
+
+    def from_brackets(piece):
+        opens = marks(F.substring_index(piece, " ", 1), ["("])
+        return F.array_append(F.transform(opens, lambda k: F.substring(
+            piece, k + 1, F.length(piece))), piece)
+
+    def to_stops(piece):
+        last = F.substring_index(piece, " ", -1)
+        head = F.length(piece) - F.length(last)
+        return F.array_append(F.transform(
+            marks(last, [",", ".", ";", ":", ")"]),
+            lambda k: F.substring(piece, F.lit(1), head + k - 1)), piece)
+
+    def pieces(words):
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1),
+                           lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, F.flatten(F.transform(runs, lambda r: F.flatten(
+            F.transform(from_brackets(r), to_stops)))))
+
+    found = F.coalesce(let(F.split(cap, " "), pieces), F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(found, lambda s: F.length(s) > 0))
 
 
 def match_labels_in_captions(labels: DataFrame, figures: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.session import cut
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in the given order.
@@ -60,6 +62,20 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], block_on: st
             .drop("_blk", "_in_blk", "_before"))
 
 
+def ordered_position(df: DataFrame, keys: list[str], order: list[str],
+                     name: str = "pos") -> DataFrame:
+    """As ``with_position`` for any order columns, text included.
+
+    Rows are laid out by (keys, order) over all tasks and written out; a row's position is its
+    place in its own range plus the sizes of the key's earlier ranges.
+    """
+    laid = cut(df.repartitionByRange(*keys, *order).withColumn("_r", F.spark_partition_id()))
+    before = _block_totals(laid, keys, "_r", F.count(F.lit(1)), fan=1024)
+    w = Window.partitionBy(*keys, "_r").orderBy(*order)
+    return (laid.withColumn("_in_r", F.row_number().over(w) - 1).join(before, [*keys, "_r"])
+            .withColumn(name, F.col("_before") + F.col("_in_r")).drop("_r", "_in_r", "_before"))
+
+
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, into: str,
                   default: str | None = None, block_on: str | None = None,
                   block_size: int = 4096, fan: int = 1024) -> DataFrame:

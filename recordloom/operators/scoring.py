@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from recordloom.functions.base import quiet_double
 from recordloom.functions.text import first_json
+from recordloom.session import cut
 
 
 def score_batches(df: DataFrame, reply: Callable[[pd.DataFrame], pd.Series], cache: DataFrame,
@@ -29,7 +30,8 @@ def score_batches(df: DataFrame, reply: Callable[[pd.DataFrame], pd.Series], cac
 
     body = F.from_json(first_json(F.col("reply")), "relevance string, reason string")
     value = quiet_double(body["relevance"])
-    asked = (todo.mapInPandas(run, schema)
+    # written once: both results read it, and the caller's model is asked only once
+    asked = cut(todo.mapInPandas(run, schema)
              .withColumn("relevance", F.when(value.isNotNull(), F.least(
                  F.greatest(value, F.lit(0.0)), F.lit(1.0))))
              .withColumn("relevance_reason", F.when(value.isNotNull(), F.substring(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.normalize import id_to_slug
+from recordloom.operators.ordering import ordered_position
 
 
 def explode_tables(tables: DataFrame) -> DataFrame:
@@ -32,9 +33,8 @@ def number_supplements(tables: DataFrame) -> DataFrame:
     Input: ``doc, file, is_supplement, table_idx, caption``.
     """
     files = tables.filter("is_supplement").select("doc", "file").distinct()
-    # one row per supplement file of a document: a short list however many tables it holds
-    files = files.withColumn("_k", F.row_number().over(
-        Window.partitionBy("doc").orderBy("file")))
+    files = ordered_position(files, ["doc"], ["file"]).withColumn("_k", F.col("pos") + 1).drop(
+        "pos")
     j = tables.join(files, ["doc", "file"], "left")
     prefix = F.when(F.col("_k") == 1, "S").otherwise(
         F.concat(F.lit("S"), F.col("_k").cast("string"), F.lit("-")))
