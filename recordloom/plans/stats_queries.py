@@ -274,9 +274,9 @@ def _m1(spark, sf):
     return M.gap_candidates(view(spark, sf, "part"), ["p_name", "p_type", "p_brand"], 1)
 
 
-@query("m2_pareto_front", """SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity FROM lineitem a WHERE NOT EXISTS (
- SELECT 1 FROM lineitem b WHERE b.l_extendedprice >= a.l_extendedprice AND b.l_quantity >= a.l_quantity
-   AND (b.l_extendedprice > a.l_extendedprice OR b.l_quantity > a.l_quantity))""")
+@query("m2_pareto_front", """WITH b AS (SELECT l_extendedprice AS x, max(l_quantity) AS y FROM lineitem GROUP BY 1),
+f AS (SELECT x, y, max(y) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM b)
+SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity FROM lineitem JOIN f ON l_extendedprice = f.x AND l_quantity = f.y WHERE above IS NULL OR f.y > above""")
 def _m2(spark, sf):
     return M.pareto_front(view(spark, sf, "lineitem"), "l_extendedprice", "l_quantity").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
