@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm.base import table
+from recordloom.llm.packing import pack_documents
 from recordloom.llm.substring_dedup import substring_dedup
-from recordloom.session import tune
+from recordloom.llm.token_store import read_documents, write_tokens
+from recordloom.session import shared_folder, tune
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +34,15 @@ def query(name: str, oracle: str | None = None):
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end=0)
+
+
+@query("op5_token_codes")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens"
+    write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER, end=2)
+    return read_documents(spark, path)
