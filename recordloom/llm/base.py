@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id where ids are compared: it is the largest.
 NULL_ID = 2**63 - 1
 #: Bytes of text that one step of a task works on at a time; longer single texts go alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
