@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm.base import table
+from recordloom.llm.decontaminate import contamination
 from recordloom.llm.packing import pack_documents
 from recordloom.llm.substring_dedup import substring_dedup
 from recordloom.llm.token_store import read_documents, write_tokens
@@ -46,3 +47,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens"
     write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER, end=2)
     return read_documents(spark, path)
+
+
+@query("op8_benchmark_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
