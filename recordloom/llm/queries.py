@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm.base import table
 from recordloom.llm.decontaminate import contamination
+from recordloom.llm.jaccard_join import jaccard_components
 from recordloom.llm.packing import pack_documents
 from recordloom.llm.substring_dedup import substring_dedup
 from recordloom.llm.token_store import read_documents, write_tokens
@@ -52,3 +53,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_benchmark_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=85, size=4)
