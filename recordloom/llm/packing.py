@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in sliced(batches, "text"):
-            ids, border = coder.encode(batch.column("text").to_pylist(), end)
+            ids, border = coder.encode(batch.column("text"), end)
             data = memoryview(ids.astype("<u4").tobytes())
             size = np.diff(border)
             count = -(-size // capacity)

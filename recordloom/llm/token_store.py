@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: s
 
         waiting = 0
         for batch in sliced(batches, "text"):
-            ids, border = coder.encode(batch.column("text").to_pylist(), end)
+            ids, border = coder.encode(batch.column("text"), end)
             for name, a, b in zip(batch.column("_id").to_pylist(), border[:-1].tolist(), border[1:].tolist()):
                 names.append(name)
                 sizes.append(b - a)
