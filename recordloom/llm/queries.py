@@ -13,6 +13,7 @@ from recordloom.llm.jaccard_join import jaccard_components
 from recordloom.llm.packing import pack_documents
 from recordloom.llm.substring_dedup import substring_dedup
 from recordloom.llm.token_store import read_documents, write_tokens
+from recordloom.llm.url_filter import judge_urls
 from recordloom.session import shared_folder, tune
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,3 +59,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=85, size=4)
+
+
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
+             ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
