@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from recordloom.llm.base import table
 from recordloom.llm.decontaminate import contamination
 from recordloom.llm.jaccard_join import jaccard_components
+from recordloom.llm.line_rules import rate_lines
 from recordloom.llm.packing import pack_documents
 from recordloom.llm.substring_dedup import substring_dedup
 from recordloom.llm.token_store import read_documents, write_tokens
@@ -68,3 +69,8 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 @query("op7_url_filter")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op2_line_frequency")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_lines(table(spark, sf_dir, "documents"), max_documents=50, max_removed=0.5)
