@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from recordloom.llm.base import table
 from recordloom.llm.decontaminate import contamination
 from recordloom.llm.jaccard_join import jaccard_components
+from recordloom.llm.license_scan import scan_licenses
 from recordloom.llm.line_rules import rate_lines
 from recordloom.llm.packing import pack_documents
 from recordloom.llm.substring_dedup import substring_dedup
@@ -74,3 +75,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_line_frequency")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_lines(table(spark, sf_dir, "documents"), max_documents=50, max_removed=0.5)
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
