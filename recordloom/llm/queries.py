@@ -13,6 +13,7 @@ from recordloom.llm.jaccard_join import jaccard_components
 from recordloom.llm.license_scan import scan_licenses
 from recordloom.llm.line_rules import rate_lines
 from recordloom.llm.packing import pack_documents
+from recordloom.llm.pii import pii_digest
 from recordloom.llm.substring_dedup import substring_dedup
 from recordloom.llm.token_store import read_documents, write_tokens
 from recordloom.llm.url_filter import judge_urls
@@ -80,3 +81,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_license_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
