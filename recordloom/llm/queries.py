@@ -14,6 +14,7 @@ from recordloom.llm.license_scan import scan_licenses
 from recordloom.llm.line_rules import rate_lines
 from recordloom.llm.packing import pack_documents
 from recordloom.llm.pii import pii_digest
+from recordloom.llm.quality import rate_quality
 from recordloom.llm.substring_dedup import substring_dedup
 from recordloom.llm.token_store import read_documents, write_tokens
 from recordloom.llm.url_filter import judge_urls
@@ -86,3 +87,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
