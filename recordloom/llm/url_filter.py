@@ -50,9 +50,10 @@ def _substrings(url: Column, order: int, shortest: int) -> Column:
 
     def at(text: Column) -> Column:
         ends = F.sequence(F.lit(order if shortest == 1 else order + 1), F.length(text))
-        return F.flatten(F.transform(ends, lambda e: F.array(*[text.substr(e - n + 1, F.lit(n)) for n in range(shortest, order + 2)])))
+        return F.flatten(F.transform(ends, lambda e: F.array(*[
+            F.when(e >= n, text.substr(e - n + 1, F.lit(n))) for n in range(shortest, order + 2)])))
 
-    return F.filter(let(padded, at), lambda g: F.length(g) >= shortest)
+    return F.filter(let(padded, at), lambda g: g.isNotNull())
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
