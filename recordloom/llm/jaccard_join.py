@@ -8,10 +8,11 @@ those of its n - T + 1 rarest shingles; what they meet is probed by binary searc
 * Sets that are equal are one node, whatever the number of their documents.
 * Frequent shingles are counted per task and summed; those over a share of all documents are few, by
   arithmetic, and come last in everybody's order. Any common order is exact; this one keeps lists short.
-* Lists that stay long (the nodes agree in almost all they have) are not paired: first all their
-  nodes are compared with one of them; then only nodes of different components are.
-* A parity sketch of 512 bits bounds the difference of two sets from below and drops pairs, safely,
-  before their sets are fetched.
+* Lists that stay long (the nodes agree in almost all they have) are not paired: in a few rounds all
+  their nodes are compared with one of them, another one in each list; then only what is still
+  outside the largest component of its list is compared with the other components there.
+* A parity sketch of two to four bits per shingle bounds the difference of two sets from below and
+  drops pairs, safely, before their sets are fetched.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from recordloom.llm.components import connected
 from recordloom.session import cut
 
 #: Share of all documents from which a shingle counts as frequent; at most (mean set size / share) do.
-FREQUENT = 5e-4
+FREQUENT = 1e-4
 #: Nodes in an inverted list that are paired with one another; longer lists go the other way.
-LONG_LIST = 200
+LONG_LIST = 64
+#: Rounds in which the nodes of each long list are compared with one of them, before the rest is.
+HEADS = 3
 #: Ids that are broadcast at most to pick texts; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Shingles of a task that are counted together.
 _COUNTED = 3_000_000
-_SKETCH = 8
+_SKETCH = 8          # numbers of 64 bits in the sketch of a set of up to 256; doubled for every doubling
 
 
 def _shingles(column: pa.Array, size: int):
@@ -104,13 +107,15 @@ def _profiles(size: int, percent: int, hot, extra: int = 0):
         place = np.arange(len(value)) - border[row]
         keep = place < np.minimum(n, n - _needed(n, percent) + 1)[row]
         first = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(n)))))
-        # parity of the shingles in each of 512 places, as eight numbers
-        mixed = mix(value + U64(5))
-        cells = np.bincount(row * 512 + (mixed & U64(511)).astype(np.int64), minlength=len(n) * 512) & 1
-        bits = np.packbits(cells.astype(np.uint8).reshape(len(n), 512), axis=1).view(np.int64)
+        # parity of the shingles in each place of the sketch
+        wide = _SKETCH << np.ceil(np.log2(np.maximum(n, 256) / 256)).astype(np.int64)
+        begin = np.concatenate(([0], np.cumsum(wide)))
+        place = (mix(value + U64(5)) & (wide[row] * 64 - 1).astype(U64)).astype(np.int64)
+        cells = np.bincount(begin[row] * 64 + place, minlength=begin[-1] * 64) & 1
+        bits = np.packbits(cells.astype(np.uint8)).view(np.int64)
         return pa.record_batch({
             "_id": batch.column("_id"), "k": batch.column("k"), "n": pa.array(n), "node": pa.array(name),
-            "sketch": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * _SKETCH), pa.array(bits.reshape(-1))),
+            "sketch": pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(bits)),
             "short": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value[order][keep].view(np.int64)))})
     return in_slices(run, "text")
 
@@ -142,6 +147,15 @@ def _probe(percent: int):
     return run
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """Places in which two sketches differ; a sketch of twice the size is folded first."""
+    def fold(a: Column, b: Column) -> Column:
+        half = F.size(b)
+        return F.when(F.size(a) > half, F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+
+    return F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+
+
 def _overlap(x: Column, y: Column, percent: int) -> Column:
     """Shingles that sets of these sizes must share."""
     return F.ceil(F.lit(percent) * (x + y) / F.lit(100.0 + percent) - F.lit(1e-9))
@@ -188,7 +202,7 @@ class JaccardJoin:
         """Pairs whose sketches do not rule them out."""
         a = nodes.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
         b = nodes.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
-        apart = sum((F.bit_count(F.col("sx")[i].bitwiseXOR(F.col("sy")[i])) for i in range(_SKETCH)), F.lit(0))
+        apart = _apart(F.col("sx"), F.col("sy"))
         most = F.col("nx") + F.col("ny") - 2 * _overlap(F.col("nx"), F.col("ny"), self.percent)
         return pairs.join(a, "x").join(b, "y").where(apart <= most).select("x", "y")
 
@@ -204,35 +218,51 @@ class JaccardJoin:
                 .join(sets.select(F.col("node").alias("y"), F.col("set").alias("set_y")), "y")
                 .mapInArrow(_probe(self.percent), "x long, y long").distinct())
 
+    def _heads(self, members: DataFrame, salt: int) -> DataFrame:
+        """One node per long list, another one in every list and for every salt."""
+        return members.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "place", *[c for c in ("part",) if c in members.columns]),
+                                                       F.xxhash64("shingle", "node", F.lit(salt))).alias("h")).select("shingle", "h.*")
+
+    def _across(self, left: DataFrame, right: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs of different components that meet in a list and are not ruled out."""
+        sketches = nodes.select("node", "sketch")
+
+        def side(rows: DataFrame, name: str) -> DataFrame:
+            return rows.join(sketches, "node").select("shingle", F.col("node").alias(name), F.col("n").alias(f"n{name}"),
+                                                      F.col("place").alias(f"p{name}"), F.col("part").alias(f"c{name}"),
+                                                      F.col("sketch").alias(f"s{name}"))
+
+        a, b = side(left, "x"), side(right, "y")
+        needed = _overlap(F.col("nx"), F.col("ny"), self.percent)
+        bound = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+        return (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("cx") != F.col("cy"))
+                       & (F.col("nx") * 100 >= F.col("ny") * self.percent) & (F.col("ny") * 100 >= F.col("nx") * self.percent)
+                       & (bound >= needed) & (_apart(F.col("sx"), F.col("sy")) <= F.col("nx") + F.col("ny") - 2 * needed))
+                .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+
     def links(self, profiles: DataFrame, nodes: DataFrame) -> DataFrame:
         """Links between nodes; in long lists as many as join the same components."""
         lists = self.lists(profiles)
-        long = cut(lists.groupBy("shingle").agg(F.count("*").alias("m"), F.min("node").alias("head"))
-                   .where(F.col("m") > LONG_LIST).select("shingle", "head"))
+        long = cut(lists.groupBy("shingle").count().where(F.col("count") > LONG_LIST).select("shingle"))
         short = self._met(*2 * [lists.join(long, "shingle", "left_anti")], True)
+        found = cut(self.verified(self.sketched(short, nodes), nodes))
         if long.isEmpty():
-            return cut(self.verified(self.sketched(short, nodes), nodes))
-        members = cut(lists.join(long, "shingle"))
-        star = self._met(members, members.where("node = head"), False)
-        found = cut(self.verified(self.sketched(short.union(star).distinct(), nodes), nodes))
-        # in each long list, what is outside its largest component is compared with other components
-        roots = connected(found, "x", "y")
-        named = cut(members.join(roots.withColumnRenamed("root", "part"), "node", "left")
-                    .withColumn("part", F.coalesce("part", "node")))
+            return found
+        members = cut(lists.join(long, "shingle", "left_semi"))
+        for salt in range(HEADS):
+            named = self._named(members, found)
+            found = cut(found.union(self.verified(self._across(named, self._heads(named, salt), nodes), nodes)))
+        # what is outside the largest component of its list is compared with all other components there
+        named = self._named(members, found)
         sizes = named.groupBy("shingle", "part").count()
         main = sizes.groupBy("shingle").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"))
-        mixed = named.join(main.where("parts > 1").drop("parts"), "shingle").join(nodes.select("node", "sketch"), "node")
-        a = mixed.where("part <> main").select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"),
-                                               F.col("part").alias("cx"), F.col("sketch").alias("sx"))
-        b = mixed.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"),
-                         F.col("part").alias("cy"), F.col("sketch").alias("sy"))
-        apart = sum((F.bit_count(F.col("sx")[i].bitwiseXOR(F.col("sy")[i])) for i in range(_SKETCH)), F.lit(0))
-        needed = _overlap(F.col("nx"), F.col("ny"), self.percent)
-        bound = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-        rest = (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("cx") != F.col("cy"))
-                       & (bound >= needed) & (apart <= F.col("nx") + F.col("ny") - 2 * needed))
-                .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        return cut(found.union(self.verified(rest, nodes)))
+        mixed = cut(named.join(main.where("parts > 1").drop("parts"), "shingle"))
+        return cut(found.union(self.verified(self._across(mixed.where("part <> main"), mixed, nodes), nodes)))
+
+    def _named(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        """Members with their component so far."""
+        roots = connected(found, "x", "y").withColumnRenamed("root", "part")
+        return cut(members.join(roots, "node", "left").withColumn("part", F.coalesce("part", "node")))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, size: int = 4, id_col: str = "doc_id",
@@ -262,3 +292,29 @@ def jaccard_components(docs: DataFrame, percent: int = 85, size: int = 4, id_col
                     F.when(F.col("least") != NULL_ID, F.col("least")).cast(kind).alias("component_id"), "copies")
             .unionByName(profiles.where("n = 0").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
                                                         F.col("_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))))
+
+
+def keep_one_per_group(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """`docs` without the documents whose component holds a smaller id; columns unchanged.
+
+    Of rows with one id and equal texts one stays. An id that rows with different texts share goes
+    only if all of them would. Null ids are the largest: such a row goes if it links to a row with an id.
+    Null and blank texts stay. Empty table: empty result.
+    """
+    groups = cut(jaccard_components(docs.select(id_col, text_col), percent, size, id_col, text_col)
+                 .groupBy(id_key(id_col).alias("k")).agg(F.count("*").alias("rows"), F.min((id_key(id_col) != id_key("component_id"))).alias("goes")))
+    lost = cut(groups.where("goes").select("k"))
+    again = cut(groups.where("rows > 1 and not goes").select("k"))
+
+    def bounded(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), id_key(id_col).alias("k"))
+    if not lost.isEmpty():
+        kept = kept.join(bounded(lost), "k", "left_anti")
+    if not again.isEmpty():
+        twice = (kept.join(bounded(again), "k", "left_semi").withColumn("text", F.col(f"doc.`{text_col}`"))
+                 .dropDuplicates(["k", "text"]).drop("text"))
+        kept = kept.join(bounded(again), "k", "left_anti").unionByName(twice)
+    return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
