@@ -20,6 +20,7 @@ from recordloom.llm.bytewords import U64, Words, buffer_of, mix, words_of
 _ENCODERS: dict[str, Encoder] = {}
 #: Pieces that are encoded in one call.
 _CALL = 8192
+_NEAR = 1 << 20
 _PIECES = np.ones(256, bool)
 _PIECES[0x20] = False
 _BLANK_BYTES = np.zeros(256, bool)
@@ -33,7 +34,7 @@ _WIDE_LAST[[w[-1] for w in _WIDE_BLANKS]] = True
 class Encoder:
     """One tokenizer file in one worker; at most about `limit` pieces are kept, some 40 bytes each."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 2_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,6 +47,8 @@ class Encoder:
         self._restart()
 
     def _restart(self) -> None:
+        self.near_code = np.zeros(_NEAR, U64)     # the last piece met in each place of a small table
+        self.near_slot = np.full(_NEAR, -1, np.int64)
         self.code = np.zeros(0, U64)              # ascending
         self.slot = np.zeros(0, np.int64)         # of each code in `start`
         self.start = np.zeros(1, np.int64)
@@ -66,6 +69,15 @@ class Encoder:
 
     def _slots(self, words: Words, code: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """The slot of every piece; pieces that are not known yet are encoded."""
+        near = (code & U64(_NEAR - 1)).astype(np.int64)
+        slots = self.near_slot[near]
+        far = np.flatnonzero((self.near_code[near] != code) | (slots < 0))
+        if len(far):
+            slots[far] = self._far_slots(words, code[far], begin[far], words.end[far])
+            self.near_code[near[far]], self.near_slot[near[far]] = code[far], slots[far]
+        return slots
+
+    def _far_slots(self, words: Words, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         fresh, at, back = np.unique(code, return_index=True, return_inverse=True)
         every = fresh
         if len(self.code):
@@ -75,7 +87,7 @@ class Encoder:
                 return self.slot[place][back]
             fresh, at = fresh[new], at[new]
         data = words.data.tobytes()
-        borders = list(zip(begin[at].tolist(), words.end[at].tolist()))
+        borders = list(zip(begin[at].tolist(), end[at].tolist()))
         for a in range(0, len(borders), _CALL):
             ids, size = self._encoded([data[x:y] for x, y in borders[a:a + _CALL]])
             self.ids = np.concatenate((self.ids, ids))
