@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # batches for Python hold whole texts; fewer rows keep a worker small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
+_OWN_FOLDERS: set[str] = set()
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings above and return the session."""
@@ -25,11 +28,25 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint space; a temporary one only where no space
-    is named (tests on one machine)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return (f"{shared.rstrip('/')}/recordloom-{uuid.uuid4().hex}" if shared
-            else tempfile.mkdtemp(prefix="recordloom-"))
+    """A new folder in the space that spark.checkpoint.dir names; all executors must see it.
+
+    Where the setting is missing, a session on one machine uses its warehouse folder; any other
+    session raises, as a machine-local folder would lose rows. What a session wrote goes when it ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    own = f"{base.rstrip('/')}/recordloom-{spark.sparkContext.applicationId}"
+    if own not in _OWN_FOLDERS:
+        _OWN_FOLDERS.add(own)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
