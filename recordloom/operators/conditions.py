@@ -76,20 +76,19 @@ CONDITION_FIELDS = {"temperature_c": ("T(°C)", 0), "pressure_mpa": ("P(MPa)", 2
                     "catalyst_loading_g": ("catalyst_loading(g)", 3)}
 _NATIVE = {"pressure_mpa": extract_pressures, "whsv": extract_whsv, "ghsv": extract_ghsv,
            "catalyst_loading_g": extract_loading}
-_RUN_ON = 400      # longest match that may cross into the next block, in characters
 
 
-def document_conditions(placed: DataFrame, block_size: int = 256) -> DataFrame:
+def document_conditions(placed: DataFrame, block_size: int = 256, run_on: int = 8) -> DataFrame:
     """Distinct values found anywhere in a document: (doc, g_<field> arrays).
 
     The document text is never put together. Blocks of chunks are read with a strip of the block
-    before (look-back of treatment steps) and of the block after (matches that run on); a match
-    counts in the block where it begins.
+    before (look-back of treatment steps) and the first `run_on` whole chunks of the block after
+    (matches that run on); a match counts in the block where it begins.
     """
     own = placed.withColumn("_blk", F.floor(F.col("pos") / block_size)).groupBy("doc", "_blk").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))),
-                                 lambda s: s["text"]), " ").alias("body"))
-    head = F.regexp_replace(F.left("body", F.lit(_RUN_ON)), r"\S+$", "")
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])
+        .alias("texts")).select("doc", "_blk", F.array_join("texts", " ").alias("body"),
+                                F.array_join(F.slice("texts", 1, run_on), " ").alias("head"))
     strips = own.select("doc", F.inline(F.array(
         F.struct(F.col("_blk"), F.col("body"), F.lit(None).cast("string").alias("before"),
                  F.lit(None).cast("string").alias("after")),
@@ -98,8 +97,7 @@ def document_conditions(placed: DataFrame, block_size: int = 256) -> DataFrame:
                  F.lit(None).cast("string").alias("after")),
         F.struct((F.col("_blk") - 1).alias("_blk"), F.lit(None).cast("string").alias("body"),
                  F.lit(None).cast("string").alias("before"),
-                 F.when(F.length("body") > _RUN_ON, head).otherwise(F.col("body"))
-                 .alias("after")))))
+                 F.col("head").alias("after")))))
     b = strips.groupBy("doc", "_blk").agg(F.max("body").alias("body"),
                                           F.max("before").alias("before"),
                                           F.max("after").alias("after")).filter("body is not null")

@@ -303,7 +303,10 @@ def pair_errors(gold: DataFrame, pred: DataFrame) -> DataFrame:
         F.max(F.struct("ord", "y"))["y"].alias("py"))
     size = g.groupBy("image", "gold").agg(F.count(F.lit(1)).alias("n_gold"))
     common = g.join(p, ["image", "x"]).groupBy("image", "gold", "pred").agg(
-        F.count(F.lit(1)).alias("common"), F.avg(F.abs(F.col("gy") - F.col("py"))).alias("mae"))
+        F.count(F.lit(1)).alias("common"),
+        # summed as decimals: the order of rows must not show in the last digit
+        (F.sum(F.abs(F.col("gy") - F.col("py")).cast("decimal(18,6)")).cast("double")
+         / F.count(F.lit(1))).alias("mae"))
     return common.join(size, ["image", "gold"]).select(
         "image", "gold", "pred", (F.col("common") / F.col("n_gold")).alias("overlap"), "mae")
 
@@ -349,11 +352,8 @@ def parity_summary(pairs: DataFrame, min_overlap: float = 0.95, max_mae: float =
     pairs = pairs.filter("mae is not null")
     facts = pairs.agg(F.count(F.lit(1)).alias("lines_paired"), F.count_if(
         (F.col("overlap") >= min_overlap) & (F.col("mae") <= max_mae)).alias("lines_tight"))
-    k = F.lit(1)
-    return (facts.withColumn("_k", k)
-            .join(exact_median(pairs, [], "overlap", "median_overlap").withColumn("_k", k), "_k")
-            .join(exact_median(pairs, [], "mae", "median_mae").withColumn("_k", k), "_k")
-            .drop("_k"))
+    medians = {f"median_{c}": exact_median(pairs, [], c).first()["median"] for c in ("overlap", "mae")}
+    return facts.withColumns({n: F.lit(v).cast("double") for n, v in medians.items()})
 
 
 def structure_kind(label: Column) -> Column:

@@ -5,37 +5,82 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct values of one group that may be ranked in one task; a wider bracket is narrowed again.
+RANKED = 50_000
+_CUTS = 32
+
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median",
-                 slack: float = 0.01) -> DataFrame:
-    """Median per key (mean of the two middle values for even counts).
+                 ranked: int = RANKED) -> DataFrame:
+    """Median per key (mean of the two middle values for even counts); without keys one row.
 
-    An approximate sketch brackets the middle; only rows inside the bracket, counted by value,
-    are ranked. The sketch error (1/10000 of the ranks) is far inside the slack.
+    Values are counted first. While a group has more than `ranked` distinct values, cut points from
+    a sketch part it, the parts are added up, and only those that hold a middle rank stay: each pass
+    leaves about one in 32. What is left is ranked.
     """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("_n"))
     if not keys:
-        return exact_median(df.withColumn("_all", F.lit(1)), ["_all"], value, name,
-                            slack).drop("_all")
-    rows = df.filter(F.col(value).isNotNull())
-    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, [0.5 - slack, 0.5 + slack], 10000).alias("_b"),
-        F.count(F.lit(1)).alias("_total"))
-    bounds = bounds.select(*keys, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"),
-                           "_total")
-    joined = counted.join(bounds, keys)
-    below = joined.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col(value) < F.col("_lo"), F.col("_n"))), F.lit(0))
-        .alias("_below"))
-    inside = joined.filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
-    inside = inside.join(below, keys)
+        return _overall(counted, value, name, ranked)
+    total = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_d"))
+    left = counted.join(total, keys).withColumn("_below", F.lit(0).cast("long"))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    while (left.agg(F.max("_d").alias("d")).first()["d"] or 0) > ranked:
+        cuts = left.groupBy(*keys).agg(F.percentile_approx(
+            value, [i / _CUTS for i in range(1, _CUTS)], 10000).alias("_cuts"))
+        placed = left.join(cuts, keys).withColumn(
+            "_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        parts = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"), F.count(F.lit(1)).alias("_c"),
+                                                   F.first("_below").alias("_b"), F.first("_total").alias("_total"))
+        w = Window.partitionBy(*keys).orderBy("_part")            # at most 32 rows per key
+        held = (parts.withColumn("_end", F.col("_b") + F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                .filter((F.col("_end") >= low) & (F.col("_end") - F.col("_s") < high)))
+        kept = held.groupBy(*keys).agg(F.collect_set("_part").alias("_parts"),
+                                       F.min(F.col("_end") - F.col("_s")).alias("_below"), F.sum("_c").alias("_d"))
+        fewer = placed.drop("_below", "_d").join(kept, keys).filter(F.array_contains("_parts", F.col("_part")))
+        before, left = left, fewer.drop("_part", "_parts")
+        if left.agg(F.sum("_n").alias("n")).first()["n"] == before.agg(F.sum("_n").alias("n")).first()["n"]:
+            break                                                 # a sketch that parts nothing: few values
     w = Window.partitionBy(*keys).orderBy(value)
-    ranked = inside.withColumn("_last", F.col("_below") + F.sum("_n").over(
+    last = left.withColumn("_last", F.col("_below") + F.sum("_n").over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.col("_last") - F.col("_n") + 1
-    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
     hit_low = (first <= low) & (F.col("_last") >= low)
     hit_high = (first <= high) & (F.col("_last") >= high)
-    return ranked.groupBy(*keys).agg(
+    return last.groupBy(*keys).agg(
         ((F.max(F.when(hit_low, F.col(value))) + F.max(F.when(hit_high, F.col(value)))) / 2)
         .alias(name))
+
+
+def _overall(counted: DataFrame, value: str, name: str, ranked: int) -> DataFrame:
+    """The same for all rows: the bracket is two numbers, so it goes into the next filter."""
+    total = counted.agg(F.sum("_n").alias("n")).first()["n"]
+    spark = counted.sparkSession
+    if not total:
+        return spark.createDataFrame([(None,)], f"{name} double")
+    ranks = ((total + 1) // 2, total // 2 + 1)
+    below, left = 0, counted
+    while left.count() > ranked:
+        cuts = left.agg(F.percentile_approx(value, [i / _CUTS for i in range(1, _CUTS)], 10000)
+                        .alias("c")).first()["c"]
+        part = sum((F.when(F.col(value) > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+        sums = dict(left.groupBy(part.alias("p")).agg(F.sum("_n").alias("s")).collect())   # at most 32 rows
+        end, kept, start = below, [], None
+        for p in sorted(sums):
+            end += sums[p]
+            if end >= ranks[0] and end - sums[p] < ranks[1]:
+                kept.append(p)
+                start = end - sums[p] if start is None else start
+        if len(kept) == len(sums):
+            break
+        below, left = start, left.filter(part.isin(kept))
+    rows = left.orderBy(value).collect()                          # at most `ranked` values
+    found = []
+    for rank in ranks:
+        end = below
+        for row in rows:
+            end += row["_n"]
+            if end >= rank:
+                found.append(float(row[value]))
+                break
+    return spark.createDataFrame([(sum(found) / 2,)], f"{name} double")

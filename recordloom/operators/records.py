@@ -163,14 +163,10 @@ def overflow_keys(units: DataFrame, extra: str, order: list[str], min_count: int
     shown = first.groupBy("key").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]), "|")
         .alias("examples"))
-    total = units.agg(F.count(F.lit(1)).alias("total"))
-    # one row against one row per key: the total rides along on a constant key
-    joined = counts.join(shown, "key").withColumn("_one", F.lit(1)).join(
-        total.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(
-        "key", "n", (F.col("n") / F.col("total")).alias("share"), "examples",
-        (F.col("n") >= F.greatest(F.lit(min_count),
-                                  F.floor(F.col("total") * promote_share))).alias("promote"))
+    total = units.count()
+    return counts.join(shown, "key").select(
+        "key", "n", (F.col("n") / F.lit(total)).alias("share"), "examples",
+        (F.col("n") >= max(min_count, int(total * promote_share))).alias("promote"))
 
 
 def assign_tier(paper_type: Column, primary_doi: Column) -> Column:

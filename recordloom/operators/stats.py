@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +12,10 @@ from recordloom.operators.ordering import first_by
 from recordloom.operators.quantiles import exact_median
 
 
+#: Feature pairs that one aggregate computes.
+PAIRS_PER_PASS = 60
+
+
 def _stack(one: DataFrame, names: list[str], key: str, value: str) -> DataFrame:
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias(key), F.col(n).alias(value)) for n in names])))
@@ -56,60 +60,27 @@ def pairwise_corr(df: DataFrame, features: list[str], min_overlap: int = 15,
                   min_abs: float = 0.30, min_values: int = 10) -> DataFrame:
     """Correlated feature pairs, strongest first.
 
-    Each Arrow batch is turned into one matrix of co-moments per feature pair, which is summed
-    across tasks: no row is paired with another one, and the shuffle holds pairs, not records.
-    Values are shifted by the column means first, to keep the sums exact enough.
+    Every pair is a few native aggregates over the same scan, added up per task before the shuffle;
+    pairs are dealt into passes, so that one aggregate stays small.
     """
     names = list(features)
-    centre = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names]).withColumn(
-        "_k", F.lit(1))
-    shifted = (df.select(*[F.col(c).cast("double") for c in names]).withColumn("_k", F.lit(1))
-               .join(centre.select("_k", *[F.col(c).alias(f"_m_{c}") for c in names]), "_k")
-               .select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names]))
-
-    def moments(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = pdf[names].to_numpy(dtype=float)
-            mask = ~np.isnan(x)
-            x0 = np.where(mask, x, 0.0)
-            m = mask.astype(float)
-            n, sx, sxx, sxy = m.T @ m, x0.T @ m, (x0 ** 2).T @ m, x0.T @ x0
-            rows = []
-            for i, a in enumerate(names):
-                both = mask & mask[:, [i]]
-                col = x[:, [i]]
-                low_a = np.where(both, col, np.inf).min(axis=0)
-                high_a = np.where(both, col, -np.inf).max(axis=0)
-                low_b = np.where(both, x, np.inf).min(axis=0)
-                high_b = np.where(both, x, -np.inf).max(axis=0)
-                for j in range(i + 1, len(names)):
-                    if n[i, j] > 0:
-                        rows.append((a, names[j], int(n[i, j]), sx[i, j], sx[j, i], sxx[i, j],
-                                     sxx[j, i], sxy[i, j], low_a[j], high_a[j], low_b[j],
-                                     high_b[j]))
-            yield pd.DataFrame(rows, columns=["a", "b", "n", "sa", "sb", "saa", "sbb", "sab",
-                                              "la", "ha", "lb", "hb"])
-
-    parts = shifted.mapInPandas(
-        moments, "a string, b string, n long, sa double, sb double, saa double, sbb double, "
-                 "sab double, la double, ha double, lb double, hb double")
-    pairs = parts.groupBy("a", "b").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")],
-        *[F.min(c).alias(c) for c in ("la", "lb")], *[F.max(c).alias(c) for c in ("ha", "hb")])
-    counts = _stack(df.agg(*[F.count(c).alias(c) for c in names]), names, "name", "cnt").filter(
-        F.col("cnt") >= min_values)
-    n = F.col("n")
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    va = F.col("saa") - F.col("sa") * F.col("sa") / n
-    vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
-    r = F.when((F.col("la") < F.col("ha")) & (F.col("lb") < F.col("hb")),
-               F.try_divide(cov, F.sqrt(va * vb)))
-    return (pairs.filter(n >= min_overlap)
-            .join(counts.select(F.col("name").alias("a")), "a", "left_semi")
-            .join(counts.select(F.col("name").alias("b")), "b", "left_semi")
-            .select("a", "b", "n", r.alias("r")).filter(F.abs("r") >= min_abs)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    counts = df.agg(*[F.count(c).alias(c) for c in names]).first()      # one row
+    enough = {c for c in names if counts[c] >= min_values}
+    shown = [(a, b) for a, b in pairs if a in enough and b in enough]
+    parts = []
+    for at in range(0, len(shown), PAIRS_PER_PASS):
+        some = shown[at:at + PAIRS_PER_PASS]
+        one = df.agg(*[c for i, (a, b) in enumerate(some) for c in (
+            F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}"),
+            guarded_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}"))])
+        parts.append(one.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"))
+            for i, (a, b) in enumerate(some)]))))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "a string, b string, n long, r double")
+    return (reduce(DataFrame.unionByName, parts)
+            .filter((F.col("n") >= min_overlap) & (F.abs("r") >= min_abs))
             .orderBy(F.desc(F.abs("r")), "a", "b"))
 
 
@@ -221,9 +192,8 @@ def top_groups_by_max(df: DataFrame, group: str, value: str, k: int = 15) -> Dat
 def shares(df: DataFrame, group: str) -> DataFrame:
     """Count and share of the whole per value."""
     counts = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_t")).withColumn("_k", F.lit(1))
-    return (counts.withColumn("_k", F.lit(1)).join(total, "_k")
-            .select(group, "n", (F.col("n") / F.col("_t")).alias("share")))
+    total = df.filter(F.col(group).isNotNull()).count()
+    return counts.select(group, "n", (F.col("n") / F.lit(total)).alias("share"))
 
 
 def crosstab(df: DataFrame, a: str, b: str, values: list[str]) -> DataFrame:

@@ -175,7 +175,7 @@ _LINES = """SELECT user_id AS image, CASE event_type WHEN 'view' THEN 0 WHEN 'si
 @query("f9_pair_errors", f"""WITH l AS ({_LINES}), g AS (SELECT image, line AS gold, x, arg_max(y, ord) AS gy FROM l GROUP BY image, line, x),
 p AS (SELECT image, (line + 1) % 5 AS pred, x, arg_max(y + 0.25, ord) AS py FROM l WHERE ord % 7 <> 0 GROUP BY image, (line + 1) % 5, x),
 n AS (SELECT image, gold, count(*) AS c FROM g GROUP BY image, gold)
-SELECT g.image, g.gold, p.pred, round(count(*) * 1.0 / max(n.c), 4) AS overlap, round(avg(abs(gy - py)), 4) AS mae FROM g JOIN p ON p.image = g.image AND p.x = g.x JOIN n ON n.image = g.image AND n.gold = g.gold GROUP BY g.image, g.gold, p.pred""")
+SELECT g.image, g.gold, p.pred, round(count(*) * 1.0 / max(n.c), 4) AS overlap, round(CAST(sum(CAST(abs(gy - py) AS DECIMAL(18,6))) AS DOUBLE) / count(*), 4) AS mae FROM g JOIN p ON p.image = g.image AND p.x = g.x JOIN n ON n.image = g.image AND n.gold = g.gold GROUP BY g.image, g.gold, p.pred""")
 def _f9(spark, sf):
     return G.pair_errors(*_two_readings(spark, sf))
 
@@ -187,10 +187,10 @@ def _two_readings(spark, sf):
     return gold, pred
 
 
-@query("f9_match_series", f"""WITH RECURSIVE l AS ({_LINES}), g AS (SELECT image, line AS gold, x, arg_max(y, ord) AS gy FROM l GROUP BY image, line, x),
+_MATCHED = f"""WITH RECURSIVE l AS ({_LINES}), g AS (SELECT image, line AS gold, x, arg_max(y, ord) AS gy FROM l GROUP BY image, line, x),
 p AS (SELECT image, (line + 1) % 5 AS pred, x, arg_max(y + 0.25, ord) AS py FROM l WHERE ord % 7 <> 0 GROUP BY image, (line + 1) % 5, x),
 n AS (SELECT image, gold, count(*) AS c FROM g GROUP BY image, gold),
-e AS (SELECT g.image, g.gold, p.pred, count(*) * 1.0 / max(n.c) AS overlap, avg(abs(gy - py)) AS mae FROM g JOIN p ON p.image = g.image AND p.x = g.x JOIN n ON n.image = g.image AND n.gold = g.gold GROUP BY g.image, g.gold, p.pred),
+e AS (SELECT g.image, g.gold, p.pred, count(*) * 1.0 / max(n.c) AS overlap, CAST(sum(CAST(abs(gy - py) AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS mae FROM g JOIN p ON p.image = g.image AND p.x = g.x JOIN n ON n.image = g.image AND n.gold = g.gold GROUP BY g.image, g.gold, p.pred),
 r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY mae, gold, pred) AS k FROM e),
 w AS (SELECT image, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ug, CAST([] AS BIGINT[]) AS up, CAST(NULL AS BIGINT) AS gold, CAST(NULL AS BIGINT) AS pred, CAST(NULL AS DOUBLE) AS overlap, CAST(NULL AS DOUBLE) AS mae FROM (SELECT DISTINCT image FROM e) z
  UNION ALL SELECT w.image, r.k, CASE WHEN list_contains(w.ug, r.gold) OR list_contains(w.up, r.pred) THEN w.ug ELSE list_append(w.ug, CAST(r.gold AS BIGINT)) END,
@@ -199,13 +199,17 @@ w AS (SELECT image, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ug, CAST([]
 , won AS (SELECT image, gold, pred, overlap, mae FROM w WHERE gold IS NOT NULL),
 ig AS (SELECT image, gold, row_number() OVER (PARTITION BY image ORDER BY gold) AS k FROM (SELECT DISTINCT image, gold FROM g) q WHERE NOT EXISTS (SELECT 1 FROM won WHERE won.image = q.image AND won.gold = q.gold)),
 ip AS (SELECT image, pred, row_number() OVER (PARTITION BY image ORDER BY pred) AS k FROM (SELECT DISTINCT image, pred FROM p) q WHERE NOT EXISTS (SELECT 1 FROM won WHERE won.image = q.image AND won.pred = q.pred))
-SELECT image, gold, pred, round(overlap, 4) AS overlap, round(mae, 4) AS mae FROM won
+"""
+
+
+@query("f9_match_series", _MATCHED + """SELECT image, gold, pred, round(overlap, 4) AS overlap, round(mae, 4) AS mae FROM won
 UNION ALL SELECT ig.image, ig.gold, ip.pred, 0.0, NULL FROM ig JOIN ip ON ip.image = ig.image AND ip.k = ig.k""")
 def _f9b(spark, sf):
     return G.match_series(*_two_readings(spark, sf))
 
 
-@query("f9_parity_summary")
+@query("f9_parity_summary", _MATCHED + """SELECT count(*) AS lines_paired, count(*) FILTER (WHERE overlap >= 0.5 AND mae <= 30.0) AS lines_tight,
+ round(median(overlap), 4) AS median_overlap, round(median(mae), 4) AS median_mae FROM won WHERE mae IS NOT NULL""")
 def _f9c(spark, sf):
     return G.parity_summary(G.match_series(*_two_readings(spark, sf)), 0.5, 30.0)
 

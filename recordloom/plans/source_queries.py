@@ -134,6 +134,20 @@ def _s12(spark, sf):
     return SF.list_inputs(f, ["root0", "root1", "root2"]).select("slug", "supplement", "p_partkey")
 
 
+# slugs that hold the marks themselves, roots of which one begins like another, and files in an SI folder
+_NAMED = """SELECT p_partkey, 'root' || CAST(p_partkey % 3 * 5 + 1 AS STRING) AS root, '10.9_' || CASE p_partkey % 4 WHEN 0 THEN 'silica' WHEN 1 THEN 'physics' WHEN 2 THEN 'support' ELSE 'plain' END
+ || CAST(p_partkey % 100 AS STRING) AS slug, CASE p_partkey % 5 WHEN 0 THEN '_SI.pdf' WHEN 1 THEN '_si_001.docx' WHEN 2 THEN '.v2.pdf' ELSE '.pdf' END AS tail, p_partkey % 5 = 1 AS folder FROM part"""
+
+
+@query("s12_named_inputs", f"""WITH f AS ({_NAMED}), g AS (SELECT *, p_partkey % 5 < 2 AS supplement, CASE root WHEN 'root1' THEN 0 WHEN 'root6' THEN 1 ELSE 2 END AS rk FROM f)
+SELECT slug, supplement, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY slug, supplement ORDER BY CASE WHEN tail = '.pdf' THEN 0 ELSE 1 END, rk,
+ root || '/v' || CAST(p_partkey AS STRING)) AS rn FROM g) q WHERE supplement OR rn = 1""")
+def _s12b(spark, sf):
+    f = sql(spark, sf, f"SELECT *, root || '/v' || CAST(p_partkey AS STRING) || CASE WHEN folder THEN '/SI/' ELSE '/' END || slug || tail AS path FROM ({_NAMED}) x")
+    slugs = f.select("slug").distinct()
+    return SF.list_inputs(f.drop("slug", "root", "tail", "folder"), ["root1", "root6", "root11"], slugs=slugs).select("slug", "supplement", "p_partkey")
+
+
 @query("s13_stale_inputs", """SELECT p_partkey FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR (p_partkey % 3 = 0 AND p_partkey % 17 = 0)""")
 def _s13(spark, sf):
     files = sql(spark, sf, "SELECT p_partkey, 's' || CAST(p_partkey AS STRING) AS stem, p_name AS name, p_size AS mtime, p_partkey AS size FROM part")
@@ -173,9 +187,8 @@ def _i1(spark, sf):
 @query("i2_fresh_within", """SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""")
 def _i2(spark, sf):
     e = view(spark, sf, "events")
-    now = e.agg(F.max(F.col("ts").cast("timestamp")).alias("now")).withColumn("_k", F.lit(1))
-    j = e.withColumn("_k", F.lit(1)).join(now, "_k")
-    return fresh_within(j, "ts", F.col("now"), 24.0).select("event_id")
+    now = e.agg(F.max(F.col("ts").cast("timestamp")).cast("string").alias("now")).first()["now"]
+    return fresh_within(e, "ts", F.lit(now), 24.0).select("event_id")
 
 
 @query("i3_ingest_stream", """SELECT 'p' || CAST(p_partkey % 49 AS STRING) || '::docling::tbl' || CAST(p_partkey AS STRING) || '::r001' AS row_id,

@@ -129,14 +129,14 @@ def _m3(spark, sf):
     return M.family_heatmap(view(spark, sf, "part"), "p_name", "p_type", "p_size")
 
 
-_CELLS = "c AS (SELECT l_returnflag || CAST(l_partkey % 40 AS STRING) AS rw, l_suppkey AS cl, count(*) AS n FROM lineitem WHERE l_quantity < 3 GROUP BY 1, 2)"
+_CELLS = "c AS (SELECT l_returnflag || CAST(l_partkey % 40 AS STRING) AS rw, l_suppkey AS cl, count(*) AS n FROM lineitem GROUP BY 1, 2)"
 
 
 @query("a12_support_filter", f"""WITH {_CELLS},
-r AS (SELECT rw FROM c GROUP BY rw HAVING sum(n) >= 20), k AS (SELECT cl FROM c GROUP BY cl HAVING sum(n) >= 20)
+r AS (SELECT rw FROM c GROUP BY rw HAVING sum(n) >= 500), k AS (SELECT cl FROM c GROUP BY cl HAVING sum(n) >= 500)
 SELECT c.* FROM c WHERE rw IN (SELECT rw FROM r) AND cl IN (SELECT cl FROM k)""")
 def _a12(spark, sf):
-    return A.support_filter(sql(spark, sf, f"WITH {_CELLS} SELECT * FROM c"), "rw", "cl", 20)
+    return A.support_filter(sql(spark, sf, f"WITH {_CELLS} SELECT * FROM c"), "rw", "cl", 500)
 
 
 @query("a12_support_filter_sequential", """WITH a AS (SELECT * FROM part WHERE p_size IN (SELECT p_size FROM part GROUP BY p_size HAVING count(*) >= 15)),

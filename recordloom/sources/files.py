@@ -37,26 +37,43 @@ def read_latest(spark: SparkSession, glob_dir: str, schema) -> DataFrame:
     return stamped.join(newest, "snapshot", "left_semi").drop("snapshot")
 
 
-def is_supplement(name: Column) -> Column:
-    low = F.lower(name)
-    hit = F.lit(False)
+def is_supplement(rest: Column, folder: Column) -> Column:
+    """A supplement by what follows the slug in its name: `_SI`, or any mark inside an `SI` folder.
+
+    Outside such a folder a marked file is a supplement too, never a main file.
+    """
+    low, hit = F.lower(rest), F.lit(False)
     for m in SUPPLEMENT_MARKS:
         hit = hit | low.contains(m)
-    return hit
+    return hit | (folder == "SI")
+
 
+def list_inputs(files: DataFrame, roots: list[str], path: str = "path",
+                slugs: DataFrame | None = None) -> DataFrame:
+    """Main file per document and all supplements, with slug and kind.
 
-def list_inputs(files: DataFrame, roots: list[str], path: str = "path") -> DataFrame:
-    """Main file per document (first root wins) and all supplements, with slug and kind."""
+    `slugs` has the known slugs of the documents (column ``slug``); a name belongs to the longest one
+    it begins with. Without it the slug is the name up to its first supplement mark. The main file is
+    the one named by the slug alone, in the first root that has it, else another unmarked one.
+    """
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     stem = F.regexp_replace(name, r"\.[^.]+$", "")
-    rank = first_rule([(F.col(path).contains(r), i) for i, r in enumerate(roots)], len(roots))
-    tagged = files.select(
-        "*", name.alias("name"), rank.alias("root_rank"), is_supplement(name).alias("supplement"),
-        F.when(is_supplement(name), F.regexp_replace(stem, r"(?i)[_-](si|supp\w*|esi)\b.*$", ""))
-        .otherwise(stem).alias("slug"))
-    main = first_by(tagged.filter("not supplement"), ["slug"],
-                    [F.col("root_rank"), F.col(path)])
-    return main.unionByName(tagged.filter("supplement"))
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    rank = first_rule([(F.concat(F.lit("/"), F.col(path)).contains(f"/{r.strip('/')}/"), i)
+                       for i, r in enumerate(roots)], len(roots))
+    named = files.withColumns({"name": name, "_stem": stem, "root_rank": rank})
+    if slugs is None:
+        named = named.withColumn("slug", F.regexp_replace("_stem", r"(?i)[_-](si|supp\w*|esi)\b.*$", ""))
+    else:
+        # a slug is looked for among the beginnings of a stem, by an equi join
+        starts = named.select("_stem").distinct().select("_stem", F.explode(F.transform(
+            F.sequence(F.lit(1), F.length("_stem")), lambda n: F.left(F.col("_stem"), n))).alias("slug"))
+        known = starts.join(slugs.select("slug").distinct(), "slug").groupBy("_stem").agg(F.max_by("slug", F.length("slug")).alias("slug"))
+        named = named.join(known, "_stem")
+    rest = F.col("_stem").substr(F.length("slug") + 1, F.length("_stem"))
+    tagged = named.withColumn("supplement", is_supplement(rest, folder)).withColumn("_other", F.length(rest) > 0).drop("_stem")
+    main = first_by(tagged.filter("not supplement"), ["slug"], [F.col("_other"), F.col("root_rank"), F.col(path)])
+    return main.unionByName(tagged.filter("supplement")).drop("_other")
 
 
 def stale_inputs(files: DataFrame, meta: DataFrame, parser_version: str, scale: float,

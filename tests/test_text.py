@@ -13,30 +13,31 @@ from recordloom.operators import linkage as J
 from recordloom.operators import text as T
 
 
-def test_temperature_forms():
-    for t in ("450 °C", "450 ◦C", "450 ℃", "450 (cid:4)C", "4508C"):
-        assert set(TP.temperatures(t)) == {450.0}, t
-    assert {400.0, 450.0} <= set(TP.temperatures("400-450 °C"))
-    assert TP.temperatures("673 K") == [399.9]
-    assert TP.temperatures("90 °C and 900 °C") == []
+def test_temperature_forms(column):
+    same = ["450 °C", "450 ◦C", "450 ℃", "450 (cid:4)C", "4508C"]
+    assert all(set(v) == {450.0} for v in column(TP.extract_temperatures, same))
+    span, kelvin, outside = column(TP.extract_temperatures, ["400-450 °C", "673 K", "90 °C and 900 °C"])
+    assert {400.0, 450.0} <= set(span) and kelvin == [399.9] and outside == []
 
 
-def test_treatment_step_governs():
-    assert TP.temperatures("calcined at 550 °C") == []
-    assert TP.temperatures("over the calcined catalyst at 450 °C") == [450.0]
-    assert TP.temperatures("calcined in static air, heated to 550 °C") == []
-    assert TP.temperatures("calcined at 550 °C, then tested at 450 °C") == [450.0]
+def test_treatment_step_governs(column):
+    texts = {"calcined at 550 °C": [], "over the calcined catalyst at 450 °C": [450.0],
+             "calcined in static air, heated to 550 °C": [],
+             "calcined at 550 °C, then tested at 450 °C": [450.0]}
+    assert column(TP.extract_temperatures, list(texts)) == list(texts.values())
 
 
-def test_temperature_udf_equals_plain_python(spark):
+def test_temperatures_by_place_add_up(spark):
     rng = random.Random(3)
     bits = ["calcined at", "tested at", "450 °C", "300 and 600 °C", "(2 h, air)", "; ", ". ", "673 K",
             "the as-calcined catalyst", "then", "dried overnight", "5508C"]
     texts = [" ".join(rng.choice(bits) for _ in range(12)) for _ in range(200)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r["i"]: r["v"] for r in df.select("i", TP.extract_temperatures(F.col("t")).alias("v"))
-           .collect()}
-    assert got == {i: TP.temperatures(t) for i, t in enumerate(texts)}
+    whole = TP.extract_temperatures(F.col("t"))
+    halves = F.concat(TP.extract_temperatures(F.col("t"), end=F.lit(40)),
+                      TP.extract_temperatures(F.col("t"), begin=F.lit(40)))
+    for r in df.select(whole.alias("v"), halves.alias("h")).collect():
+        assert sorted(r["v"]) == sorted(r["h"])
 
 
 def test_rates(column):
@@ -53,7 +54,7 @@ def test_resolve_value(spark):
     assert got == [(450.0, None), (None, "multiple T: 400.0, 450.0"), (7.0, None)]
 
 
-def test_document_conditions_cross_block_borders(spark):
+def test_document_conditions_cross_block_borders(spark, column):
     """Small blocks give the same values as one text of the whole document."""
     rng = random.Random(5)
     bits = ["was calcined at", "550 °C", "and tested", "at 420 °C", "WHSV of", "2 h-1", "10", "bar",
@@ -63,7 +64,7 @@ def test_document_conditions_cross_block_borders(spark):
     got = {r["doc"]: r for r in C.document_conditions(df, block_size=130).collect()}
     for d in ("d0", "d1", "d2"):
         whole = " ".join(t for doc, _, t in chunks if doc == d)
-        assert sorted(got[d]["g_temperature_c"]) == sorted(set(TP.temperatures(whole)))
+        assert sorted(got[d]["g_temperature_c"]) == sorted(set(column(TP.extract_temperatures, [whole])[0]))
         bars = {round(float(x) * 0.1, 4) for x in re.findall(r"(\d+\.?\d*)\s*bar\b", whole)}
         assert set(got[d]["g_pressure_mpa"]) == bars
 
