@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.base import let
 from recordloom.session import cut
 
 # Labels and phrases of the base.
@@ -58,7 +59,7 @@ def _base(flat: Column, phrase: str) -> Column:
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, looked_up: int = 12,
-                  least_share: float = 0.6, rare_share: float = 0.2, id_col: str = "doc_id",
+                  least_share: float = 0.6, rare_share: float = 0.05, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """Per row of `docs`: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -82,19 +83,28 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     weight = {w: float(_log(total, counts.get(w, 0))) for w in vocabulary}
     rare = [w for w in order if counts.get(w, 0) <= rare_share * total]
-    hopeful = F.col("flat").rlike("(?i) (?:" + "|".join(rare) + ") ") if rare else F.lit(False)
+    rare_words = F.array(*[F.lit(w) for w in rare]).cast("array<string>")
+    hopeful = F.size(F.array_intersect(F.split(F.lower(F.col("flat")), " "), rare_words)) > 0
 
     rows = docs.select(F.col(id_col).alias("_id"), flat.alias("flat"))
-    low = F.translate(F.col("flat"), _UPPER, _LOWER)
-    words = F.split(F.trim(low), " ")
-    top = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in order]), words), 1, looked_up)
-    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
-                      lambda x: F.array_contains(top, x["word"]))
-    phrases = F.filter(F.array(*[F.when(low.contains(f" {phrase} "), F.lit(i)) for i, (_, _, phrase) in enumerate(templates)]),
-                       lambda x: x.isNotNull())
+    ordered = F.array(*[F.lit(w) for w in order])
+
+    def look(low: Column) -> Column:
+        def picked(pair: Column) -> Column:
+            return F.filter(F.transform(pair["words"], lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
+                            lambda x: F.array_contains(pair["top"], x["word"]))
+
+        def with_top(words: Column) -> Column:
+            return let(F.struct(words.alias("words"), F.slice(F.array_intersect(ordered, words), 1, looked_up).alias("top")), picked)
+
+        phrases = F.filter(F.array(*[F.when(low.contains(f" {phrase} "), F.lit(i)) for i, (_, _, phrase) in enumerate(templates)]),
+                           lambda x: x.isNotNull())
+        return F.struct(phrases.alias("phrases"), F.when(F.size(phrases) > 0, let(F.split(F.trim(low), " "), with_top)).alias("places"))
+
     scanned = cut(rows.select(F.monotonically_increasing_id().alias("row"), "_id", (_blanks(F.col("flat")) - 1).alias("n_words"),
                               F.array(*[_base(F.col("flat"), phrase) for _, phrase in BASE]).alias("base"),
-                              F.when(hopeful, places).alias("places"), F.when(hopeful, phrases).alias("phrases")))
+                              F.when(hopeful, let(F.translate("flat", _UPPER, _LOWER), look)).alias("seen"))
+                  .select("row", "_id", "n_words", "base", "seen.*"))
     index = docs.sparkSession.createDataFrame(
         [(w, t, at, weight[w]) for t, (_, text, _) in enumerate(templates) for at, w in enumerate(text.split())],
         "word string, template int, place int, weight double")
