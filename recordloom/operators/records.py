@@ -69,11 +69,12 @@ def records_to_wide(attributes: DataFrame, features: list[str],
     table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else None
     name = F.col("attr") if table is None else F.coalesce(
         F.try_element_at(table, F.col("attr")), F.col("attr"))
-    label = attributes.groupBy("doc", "rec_key").agg(F.max("best_label")["label"].alias("label"))
-    wide = (attributes.filter(F.col("value_num").isNotNull()).withColumn("feature", name)
-            .groupBy("doc", "rec_key").pivot("feature", features)
-            .agg(F.min_by("value_num", "ord")))
-    return label.join(wide, ["doc", "rec_key"], "left")
+    there = attributes.withColumn("_feature", F.when(F.col("value_num").isNotNull(), name))
+    # label and features in one aggregate: the records behind it are read once
+    return there.groupBy("doc", "rec_key").agg(
+        F.max("best_label")["label"].alias("label"),
+        *[F.min_by(F.when(F.col("_feature") == f, F.col("value_num")),
+                   F.when(F.col("_feature") == f, F.col("ord"))).alias(f) for f in features])
 
 
 def build_stats(profile: DataFrame, cells: DataFrame, attributes: DataFrame,

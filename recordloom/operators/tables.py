@@ -14,6 +14,7 @@ from recordloom.functions.base import (any_contains, first_rule, let, nonblank,
                                        quiet_double, strip)
 from recordloom.functions.normalize import (clean_header, clean_label, is_na, is_usable_label,
                                             loose_float, map_header, parse_value)
+from recordloom.session import cut
 
 
 def group_tables(rows: DataFrame) -> DataFrame:
@@ -94,11 +95,10 @@ def key_column_by_content(rows: DataFrame) -> DataFrame:
 
 def find_key_columns(grouped: DataFrame, lib: AttributeLibrary) -> DataFrame:
     """Rows with ``key_col``: by header, else by content, else NULL."""
-    named = grouped.withColumn("key_col", key_column_by_header(F.col("headers"), lib))
-    todo = named.filter("key_col is null")
-    found = key_column_by_content(todo.filter(~is_headerless(F.col("headers"))))
-    return named.filter("key_col is not null").unionByName(
-        todo.drop("key_col").join(found, "table_key", "left"))
+    named = grouped.withColumn("_named", key_column_by_header(F.col("headers"), lib))
+    found = key_column_by_content(named.filter(F.col("_named").isNull() & ~is_headerless(F.col("headers"))))
+    return named.join(found, "table_key", "left").withColumn(
+        "key_col", F.coalesce("_named", "key_col")).drop("_named")
 
 
 def table_profile(keyed: DataFrame, lib: AttributeLibrary) -> DataFrame:
@@ -129,7 +129,8 @@ def melt_tables(rows: DataFrame, lib: AttributeLibrary | None = None) -> DataFra
     A label with no usable cell still yields one row, with ``attr`` NULL.
     """
     lib = lib or AttributeLibrary()
-    keyed = find_key_columns(group_tables(rows), lib)
+    # written once: the profile and the cells both come from it
+    keyed = cut(find_key_columns(group_tables(rows), lib))
     profile = table_profile(keyed, lib).filter("not headerless and key_col is not null").select(
         "table_key", "table_ord", "table_type", "ref_col", "header_map", "transposed")
     j = keyed.join(profile, "table_key").filter(F.col("key_col") < F.size("cells"))

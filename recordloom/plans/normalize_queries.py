@@ -198,3 +198,16 @@ def _k5g(spark, sf):
     d = sql(spark, sf, """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'space-time yield ' || p_name WHEN 1 THEN 'bas/las' WHEN 2 THEN 'product distribution (%) / CH4' ELSE 'P [MPa]' END AS raw FROM part""")
     from recordloom.operators.tables import read_header
     return d.select("p_partkey", read_header(F.col("raw"), LIB)["attr"].alias("attr"))
+
+
+_PRODUCTS = {"Ethylbenzene (%)": "ethylbenzene_pct", "Trimethylbenzene [%]": "trimethylbenzene_pct", "o-Xylene": "oxylene_pct",
+             "m-xylene (wt%)": "mxylene_pct", "p-Xylene selectivity (%)": "pxylene_selectivity_pct", "C9+ (%)": "c9plus_aromatics_pct",
+             "CO₂ conversion (%)": "co2_conversion_pct", "Toluene selectivity (%)": "toluene_pct"}
+_PICK = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{{{i}}}'" for i in range(8)) + " END"
+
+
+@query("k5_golden_products", f"SELECT p_partkey, {_PICK.format(*_PRODUCTS.values())} AS attr FROM part")
+def _k5p(spark, sf):
+    from recordloom.operators.tables import read_header
+    d = sql(spark, sf, f"SELECT p_partkey, {_PICK.format(*_PRODUCTS)} AS raw FROM part")
+    return d.select("p_partkey", read_header(F.col("raw"), LIB)["attr"].alias("attr"))
