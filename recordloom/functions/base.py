@@ -32,8 +32,13 @@ def quiet_double(c: Column) -> Column:
 
 
 def quiet_int(c: Column) -> Column:
-    """Whole number of digits only, else NULL. The pattern goes first: a failing cast is slow."""
-    return F.when(c.rlike(r"^-?\d{1,9}$"), c.cast("int"))
+    """Whole number of digits only, as a bigint, else NULL. The pattern goes first: a failing cast is slow."""
+    return F.when(c.rlike(r"^-?\d{1,19}$"), c.try_cast("bigint"))
+
+
+def capped(c: Column, characters: int | None) -> Column:
+    """The first so many characters; the whole text without a limit."""
+    return c if characters is None else F.substring(c, 1, characters)
 
 
 def lits(values) -> Column:

@@ -202,7 +202,7 @@ def _positions(index: Column) -> Column:
     return pairs
 
 
-def decode_inverted(index: Column, limit: int | None = 1500) -> Column:
+def decode_inverted(index: Column, limit: int | None = None) -> Column:
     """map<word, positions> to text: pairs sorted by position, then cut."""
     text = F.array_join(F.transform(F.array_sort(_positions(index)), lambda p: p["word"]), " ")
     return text if limit is None else F.substring(text, 1, limit)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordloom.functions import vocabulary as V
-from recordloom.functions.base import (any_contains, first_rule, let, lits, nonblank, quiet_int, strip)
+from recordloom.functions.base import (any_contains, capped, first_rule, let, lits, nonblank, quiet_int, strip)
 from recordloom.functions.normalize import clean_doi, normalize_text
 
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9\[])"
@@ -149,16 +149,16 @@ def _last_per_number(pairs: Column) -> Column:
 def parse_reference_chunk(c: Column) -> Column:
     """array<struct<num, text>>: bracketed form; with fewer than 3, dotted form; then the fallback."""
     bracket = F.filter(
-        F.transform(_numbered_pairs(c, r"(?U)\((\d{1,3})\)\s*([A-Z][^\n]{10,250})"),
+        F.transform(_numbered_pairs(c, r"(?U)\((\d{1,3})\)\s*([A-Z][^\n]{10,})"),
                     lambda p: F.struct(p["num"].alias("num"), strip(p["text"]).alias("text"))),
         lambda p: p["text"].rlike(r"(?U);|et al\.|19\d{2}|20\d{2}"))
     opener = r"(?<!\d)\b\d{1,3}\.\s+(?=[A-Z])"
     dotted = F.transform(
         _numbered_pairs(c, rf"(?Us)(?<!\d)\b(\d{{1,3}})\.\s+(?=[A-Z])(.*?)(?={opener}|\z)"),
-        lambda p: F.struct(p["num"].alias("num"), F.substring(
-            strip(F.substring_index(p["text"], "\n", 1)), 1, 300).alias("text")))
+        lambda p: F.struct(p["num"].alias("num"),
+                           strip(F.substring_index(p["text"], "\n", 1)).alias("text")))
     fallback = F.transform(
-        _numbered_pairs(c, r"(?U)\b(\d{1,3})\.\s+([A-Z][^.]{5,100}\.)"),
+        _numbered_pairs(c, r"(?U)\b(\d{1,3})\.\s+([A-Z][^.]{5,}\.)"),
         lambda p: F.struct(p["num"].alias("num"), strip(p["text"]).alias("text")))
 
     def extend(pairs, more):
@@ -171,8 +171,8 @@ def parse_reference_chunk(c: Column) -> Column:
 _REF_LINE = r"(?U)^[^\S\n]*[-•]?[^\S\n]*[\(\[]?(\d{1,3})[\)\]]?[^\S\n]*[.)]?[^\S\n]+([^\n]*)"
 
 
-def parse_reference_section(md: Column) -> Column:
-    """array<struct<num, text>> of the list below the References heading; text cut at 200 characters."""
+def parse_reference_section(md: Column, longest: int | None = None) -> Column:
+    """array<struct<num, text>> of the list below the References heading; cut only if a limit is given."""
     heading = (r"(?is)^(?:.*?\n)?(?:#[^\n]*(?:REFERENCES|Bibliography)[^\n]*"
                r"|[^\n]*■ REFERENCES[^\n]*)(?:\n|$)")
     tail = F.regexp_replace(md, heading, "\n")
@@ -184,8 +184,8 @@ def parse_reference_section(md: Column) -> Column:
             F.size(F.split(p, "\n")), F.lit(1))), strip), lambda x: F.length(x) > 0)
         first = F.regexp_extract(p, _REF_LINE, 2)
         return F.struct(F.regexp_extract(p, _REF_LINE, 1).alias("num"),
-                        F.substring(strip(F.array_join(F.concat(F.array(first), rest), " ")),
-                                    1, 200).alias("text"))
+                        capped(strip(F.array_join(F.concat(F.array(first), rest), " ")),
+                               longest).alias("text"))
 
     entries = F.transform(F.filter(pieces, lambda p: p.rlike(_REF_LINE)), entry)
     kept = let(F.filter(entries, lambda e: F.length(e["text"]) > 0), _last_per_number)
@@ -221,60 +221,70 @@ def formula_tokens(c: Column, stop=tuple(V.NOT_FORMULAE)) -> Column:
     return F.array_sort(F.array_except(found, lits(stop)))
 
 
-def expand_citations(c: Column, with_ref_words: bool = True) -> Column:
-    """Sorted distinct numbers of '[12,15-18]' and 'ref N' marks."""
-    lists = F.regexp_extract_all(c, F.lit(r"(?U)\[(\d{1,3}(?:[,\s\-–]+\d{1,3})*)\]"), F.lit(1))
+def expand_citations(c: Column, with_ref_words: bool = True, digits: int = 9,
+                     widest: int = 100_000) -> Column:
+    """Sorted distinct numbers of '[12,15-18]' and 'ref N' marks.
+
+    A mark over more than ``widest`` numbers is a slip and stands for its two ends.
+    """
+    lists = F.regexp_extract_all(c, F.lit(
+        rf"(?U)\[(\d{{1,{digits}}}(?:[,\s\-–]+\d{{1,{digits}}})*)\]"), F.lit(1))
     parts = F.flatten(F.transform(lists, lambda m: F.split(m, r"(?U)[,\s]+")))
 
     def numbers(p):
         lo = quiet_int(F.regexp_extract(p, r"^(\d+)[-–](\d+)", 1))
         hi = quiet_int(F.regexp_extract(p, r"^(\d+)[-–](\d+)", 2))
-        return F.when(lo <= hi, F.sequence(lo, hi)) \
+        return F.when((lo <= hi) & (hi - lo <= widest), F.sequence(lo, hi)) \
+                .when(lo <= hi, F.array(lo, hi)) \
                 .when(p.rlike(r"^\d+$"), F.array(quiet_int(p))) \
-                .otherwise(F.array().cast("array<int>"))
+                .otherwise(F.array().cast("array<bigint>"))
 
     out = F.flatten(F.transform(parts, numbers))
     if with_ref_words:
-        words = F.regexp_extract_all(c, F.lit(r"(?U)[Rr]ef\.?\s*(\d{1,3})"), F.lit(1))
+        words = F.regexp_extract_all(c, F.lit(
+            rf"(?U)[Rr]ef\.?\s*(\d{{1,{digits}}})"), F.lit(1))
         out = F.concat(out, F.transform(words, quiet_int))
     return F.array_sort(F.array_distinct(out))
 
 
-def citation_list(c: Column) -> Column:
-    """Numbers of one reference mark in reading order; '12-15' is spelled out."""
+def citation_list(c: Column, digits: int = 9, widest: int = 100_000) -> Column:
+    """Numbers of one reference mark in reading order; '12-15' is spelled out, unless wider than that."""
     parts = F.split(F.regexp_replace(c, r"[\[\]\(\)]", " "), r"(?U)[,;\s]+")
 
     def numbers(p):
-        lo = quiet_int(F.regexp_extract(p, r"^(\d{1,3})[-–](\d{1,3})$", 1))
-        hi = quiet_int(F.regexp_extract(p, r"^(\d{1,3})[-–](\d{1,3})$", 2))
-        return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda n: n.cast("string"))) \
-                .when(p.rlike(r"^\d{1,3}$"), F.array(p)) \
+        span = rf"^(\d{{1,{digits}}})[-–](\d{{1,{digits}}})$"
+        lo, hi = (quiet_int(F.regexp_extract(p, span, n)) for n in (1, 2))
+        inner = F.when(hi - lo <= widest, F.sequence(lo, hi)).otherwise(F.array(lo, hi))
+        return F.when(lo <= hi, F.transform(inner, lambda n: n.cast("string"))) \
+                .when(p.rlike(rf"^\d{{1,{digits}}}$"), F.array(p)) \
                 .otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(parts, numbers))
 
 
-def reference_number(c: Column) -> Column:
+def reference_number(c: Column, digits: int = 9) -> Column:
     """Number of 'Ref. [59]', '(12)', 'ref 7', '59': first form that fits."""
+    n = rf"\d{{1,{digits}}}"
     s = strip(c)
     return F.coalesce(*[nonblank(F.regexp_extract(s, p, 1)) for p in (
-        r"\[(\d{1,3})\]", r"\((\d{1,3})\)", r"(?iU)ref\.?\s*(\d{1,3})", r"^(\d{1,3})$")])
+        rf"\[({n})\]", rf"\(({n})\)", rf"(?iU)ref\.?\s*({n})", rf"^({n})$")])
 
 
-def citation_title(c: Column) -> Column:
-    """Title part of a citation by four known shapes, else its first 150 characters."""
+def citation_title(c: Column, longest: int | None = None) -> Column:
+    """Title part of a citation by four known shapes, else the whole; cut only if a limit is given."""
+    upto = "{15,}" if longest is None else f"{{15,{longest}}}"
     shapes = [
-        r"(?U)\(\d{4}\)\.\s+([A-Z][^.]{15,150})",
-        r"(?U)et al\.?\s+([A-Z][^.]{15,150})",
-        r"(?U)\(\d{4}\)\s+([A-Z][^.]{15,150})",
-        r"(?U)(?:;\s*[A-Z][a-z]+,\s+[A-Z]\.(?:\s+[A-Z]\.)*\s+)([A-Z][^.]{15,150}\.)",
+        r"(?U)\(\d{4}\)\.\s+([A-Z][^.]" + upto + ")",
+        r"(?U)et al\.?\s+([A-Z][^.]" + upto + ")",
+        r"(?U)\(\d{4}\)\s+([A-Z][^.]" + upto + ")",
+        r"(?U)(?:;\s*[A-Z][a-z]+,\s+[A-Z]\.(?:\s+[A-Z]\.)*\s+)([A-Z][^.]" + upto + r"\.)",
     ]
     found = [nonblank(strip(F.regexp_extract(c, s, 1))) for s in shapes]
-    return F.coalesce(*found, strip(F.substring(c, 1, 150)))
+    return F.coalesce(*found, strip(capped(c, longest)))
 
 
 def doi_in_text(c: Column) -> Column:
-    raw = F.regexp_extract(c, r"(?iU)\b(10\.\d{4,9}/[^\s,;\]\)\"'<>]{4,80})", 1)
+    raw = F.regexp_extract(c, r"(?iU)\b(10\.\d{4,9}/[^\s,;\]\)\"'<>]{4,})", 1)
     return nonblank(clean_doi(raw))
 
 

@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import vocabulary as V
-from recordloom.functions.base import any_contains, first_rule, nonblank
+from recordloom.functions.base import any_contains, capped, first_rule, nonblank
 from recordloom.functions.normalize import decode_inverted, sanitize_doi, strip_tags
 from recordloom.operators.linkage import lookup_tier
 from recordloom.operators.ordering import first_by, top_per_key
 from recordloom.session import cut
 
 
-def flatten_openalex(works: DataFrame, tag: str) -> DataFrame:
+def _first(c: str, count: int | None) -> Column:
+    return F.col(c) if count is None else F.slice(c, 1, count)
+
+
+def flatten_openalex(works: DataFrame, tag: str, max_authors: int | None = None) -> DataFrame:
     """Works of the first API shape to candidates; rows without an id are dropped."""
     w = works.select(
         sanitize_doi(F.replace(F.coalesce("doi", F.lit("")), F.lit("https://doi.org/"), F.lit("")))
         .alias("doi"),
         F.coalesce("title", F.lit("")).alias("title"), F.col("publication_year").alias("year"),
         F.col("primary_location.source.display_name").alias("venue"),
-        F.transform(F.slice("authorships", 1, 5), lambda a: F.coalesce(
+        F.transform(_first("authorships", max_authors), lambda a: F.coalesce(
             a["author"]["display_name"], F.lit(""))).alias("authors"),
         decode_inverted(F.col("abstract_inverted_index")).alias("abstract"),
         F.coalesce("cited_by_count", F.lit(0)).alias("citation_count"),
@@ -30,13 +34,13 @@ def flatten_openalex(works: DataFrame, tag: str) -> DataFrame:
     return w.filter(F.length("doi") > 0)
 
 
-def flatten_s2(papers: DataFrame, tag: str) -> DataFrame:
+def flatten_s2(papers: DataFrame, tag: str, max_authors: int | None = None) -> DataFrame:
     """Papers of the second API shape to candidates."""
     p = papers.select(
         sanitize_doi(F.col("externalIds.DOI")).alias("doi"),
         F.coalesce("title", F.lit("")).alias("title"), "year",
         nonblank(F.col("journal.name")).alias("venue"),
-        F.transform(F.slice("authors", 1, 5), lambda a: F.coalesce(a["name"], F.lit("")))
+        F.transform(_first("authors", max_authors), lambda a: F.coalesce(a["name"], F.lit("")))
         .alias("authors"), "abstract",
         F.coalesce("citationCount", F.lit(0)).alias("citation_count"),
         F.coalesce("influentialCitationCount", F.lit(0)).alias("influential_citation_count"),
@@ -157,7 +161,7 @@ def rank_candidates(df: DataFrame, as_of_year: int | None = None, tie: str = "do
     return df.withColumn("fallback_score", s).orderBy(F.desc("fallback_score"), tie)
 
 
-def shortlist(df: DataFrame, min_relevance: float) -> DataFrame:
+def shortlist(df: DataFrame, min_relevance: float, abstract_chars: int | None = None) -> DataFrame:
     """Unscored or good enough candidates with their text block."""
     kept = df.filter(F.col("relevance").isNull() | (F.col("relevance") >= min_relevance))
     open_access = F.coalesce("is_open_access", F.lit(False)) | (F.length(F.coalesce(
@@ -175,8 +179,9 @@ def shortlist(df: DataFrame, min_relevance: float) -> DataFrame:
     reason = F.when(F.length(F.coalesce("relevance_reason", F.lit(""))) > 0,
                     F.concat(F.lit("> "), "relevance_reason"))
     abstract = F.when(F.length(F.coalesce("abstract", F.lit(""))) > 0, F.concat(
-        F.lit("\n"), F.substring(clean, 1, 400),
-        F.when(F.length("abstract") > 400, "…").otherwise("")))
+        F.lit("\n"), capped(clean, abstract_chars),
+        F.lit("") if abstract_chars is None else
+        F.when(F.length("abstract") > abstract_chars, "…").otherwise("")))
     return kept.withColumn("block", F.concat_ws("\n", head, ids, reason, abstract))
 
 

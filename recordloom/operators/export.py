@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.functions.base import capped
 from recordloom.functions.normalize import short_name
 from recordloom.operators.ordering import first_by
 
@@ -25,7 +26,7 @@ def paper_claims(units: DataFrame, excluded=("unresolved_question",),
          .filter(~F.col("claim_type").isin(list(excluded)))
          .filter(F.col("evidence_type").isNull()
                  | ~F.col("evidence_type").isin(list(characterisation))))
-    key = F.substring(F.regexp_replace(F.lower(F.trim("claim_object")), r"(?U)\s+", " "), 1, 80)
+    key = F.regexp_replace(F.lower(F.trim("claim_object")), r"(?U)\s+", " ")
     order = [F.col(x) for x in ("claim_object", "claim_subject", "claim_predicate")]
     return first_by(c.withColumn("_k", key), ["source_doi", "claim_type", "_k"], order).select(
         "source_doi", "claim_type", "claim_subject", "claim_predicate", "claim_object")
@@ -161,9 +162,9 @@ def write_feature_matrix(wide: DataFrame, path: str, keys: list[str], features:
         "overwrite").option("header", True).csv(path)
 
 
-def provenance_log(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+def provenance_log(results: DataFrame, title_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Outcome log of all items, and the queue of those without an open copy."""
-    log = results.select("doi", F.substring("title", 1, 120).alias("title"), "success", "source",
+    log = results.select("doi", capped(F.col("title"), title_chars).alias("title"), "success", "source",
                          "error")
     return log, results.filter(~F.col("success") & (F.col("source") == "skip:not_oa"))
 

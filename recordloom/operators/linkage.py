@@ -32,8 +32,10 @@ def fill_primary(units: DataFrame, resolved: DataFrame, min_score: float = 0.7)
 
     resolved: ``source_doi, ref_num, doi, score``.
     """
-    r = resolved.filter("doi is not null").select("source_doi", "ref_num",
-                                                  F.col("doi").alias("_doi"), "score")
+    # the best resolution of a number, so that a repeated one doubles no unit
+    r = (resolved.filter("doi is not null").groupBy("source_doi", "ref_num")
+         .agg(F.max(F.struct("score", "doi")).alias("_b"))
+         .select("source_doi", "ref_num", F.col("_b.doi").alias("_doi"), F.col("_b.score").alias("score")))
     j = (units.withColumn("ref_num", reference_number(F.col("source_reference")))
          .join(r, ["source_doi", "ref_num"], "left"))
     open_ = F.col("primary_doi").isNull() & F.col("_doi").isNotNull()
@@ -220,24 +222,27 @@ def resolve_citation_list(units: DataFrame, resolved: DataFrame, lookup: DataFra
     """Units with a primary id and a citation text from their list of reference numbers.
 
     The first number with an id wins and ends the search; the citation text is the first one found
-    up to there (resolved text, else the reference list), cut at 200 characters.
+    up to there (resolved text, else the reference list).
     """
     nums = units.select(unit_id, "source_doi", F.posexplode(citation_list(
         F.col("source_reference"))).alias("pos", "ref_num"))
     good = F.lit(True) if min_score is None else (F.col("score") >= min_score)
     r = resolved.select("source_doi", "ref_num", F.when(good, F.col("doi")).alias("_doi"),
-                        F.col("citation_text").alias("_text"))
-    k = lookup.select("source_doi", "ref_num", F.col("citation_text").alias("_listed"))
-    j = (nums.join(r, ["source_doi", "ref_num"], "left")
-         .join(k, ["source_doi", "ref_num"], "left")
-         .withColumn("_cit", F.coalesce(nonblank(F.col("_text")), nonblank(F.col("_listed")))))
+                        F.col("citation_text").alias("_text"), F.lit(None).cast("string").alias("_listed"))
+    k = lookup.select("source_doi", "ref_num", F.lit(None).cast("string").alias("_doi"),
+                      F.lit(None).cast("string").alias("_text"), F.col("citation_text").alias("_listed"))
+    # one row per document and number, so that a repeated one doubles nothing, and one join
+    known = r.unionByName(k).groupBy("source_doi", "ref_num").agg(
+        *[F.min(nonblank(F.col(c))).alias(c) for c in ("_doi", "_text", "_listed")])
+    j = nums.join(known, ["source_doi", "ref_num"], "left").withColumn(
+        "_cit", F.coalesce("_text", "_listed"))
     best = j.groupBy(unit_id).agg(
         F.min(F.when(F.col("_doi").isNotNull(), F.struct("pos", "_doi"))).alias("_d"),
         F.min(F.when(F.col("_cit").isNotNull(), F.struct("pos", "_cit"))).alias("_c"))
     reached = F.col("_d").isNull() | (F.col("_c.pos") <= F.col("_d.pos")) \
         | F.col("primary_doi").isNotNull()
     return (units.join(best, unit_id, "left")
-            .withColumn("source_citation_text", F.when(reached, F.substring("_c._cit", 1, 200)))
+            .withColumn("source_citation_text", F.when(reached, F.col("_c._cit")))
             .withColumn("primary_doi", F.coalesce("primary_doi", "_d._doi"))
             .drop("_d", "_c"))
 
@@ -262,12 +267,16 @@ def resolve_refs(refs: DataFrame, links: DataFrame, prior: DataFrame, external:
     year, first_author`` (the best hit of a caller's search).
     """
     keys = ["source_doi", "ref_num"]
-    j = (refs.join(links.select(*keys, F.col("doi").alias("_link")), keys, "left")
-         .join(prior.select(*keys, F.col("doi").alias("_prior"), F.col("source").alias("_psrc"),
-                            F.col("score").alias("_pscore"), F.lit(True).alias("_seen")),
-               keys, "left")
-         .join(external.select(*keys, clean_doi(F.col("doi")).alias("_ext"), "title", "year",
-                               "first_author"), keys, "left"))
+    # one row per number on each right side
+    linked = links.groupBy(*keys).agg(F.min("doi").alias("_link"))
+    earlier = (prior.groupBy(*keys).agg(F.max(F.struct("score", "doi", "source")).alias("_b"))
+               .select(*keys, F.col("_b.doi").alias("_prior"), F.col("_b.source").alias("_psrc"),
+                       F.col("_b.score").alias("_pscore"), F.lit(True).alias("_seen")))
+    looked_up = (external.withColumn("_ext", clean_doi(F.col("doi"))).groupBy(*keys)
+                 .agg(F.min(F.struct("_ext", "title", "year", "first_author")).alias("_b"))
+                 .select(*keys, "_b.*"))
+    j = (refs.join(linked, keys, "left").join(earlier, keys, "left")
+         .join(looked_up, keys, "left"))
     hit = score_match(F.col("citation_text"), F.col("year"), F.col("first_author"))
 
     def tier(doi, source, title, score):

@@ -34,8 +34,9 @@ def score_batches(df: DataFrame, reply: Callable[[pd.DataFrame], pd.Series], cac
     asked = cut(todo.mapInPandas(run, schema)
              .withColumn("relevance", F.when(value.isNotNull(), F.least(
                  F.greatest(value, F.lit(0.0)), F.lit(1.0))))
-             .withColumn("relevance_reason", F.when(value.isNotNull(), F.substring(
-                 F.coalesce(body["reason"], F.lit("")), 1, 200))).drop("reply"))
+             .withColumn("relevance_reason", F.when(
+                 value.isNotNull(), F.coalesce(body["reason"], F.lit(""))))
+             .drop("reply"))
     known = df.join(cache.select(key, "relevance", "relevance_reason"), key)
     fresh = asked.filter("relevance is not null").select(key, "relevance", "relevance_reason")
     return known.unionByName(asked), fresh

@@ -237,7 +237,7 @@ def points_from_ragged(rows: DataFrame, x_patterns: list[str], y_pattern: str,
     fits_y = F.filter(pairs, lambda p: p["headers"].rlike("(?i)" + y_pattern))
     x = loose_float(F.get(fits_x, F.lit(0))["cells"])
     out = rows.select(
-        "doc", F.substring(F.get("cells", F.lit(0)), 1, 20).alias("label"),
+        "doc", F.get("cells", F.lit(0)).alias("label"),
         F.when(x > kelvin_above, x - 273.15).otherwise(x).alias("x"),
         loose_float(F.get(fits_y, F.lit(0))["cells"]).alias("y"))
     return out.filter((F.col("x") > x_range[0]) & (F.col("x") < x_range[1])

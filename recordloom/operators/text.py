@@ -183,5 +183,5 @@ def expand_page_range(c: Column) -> Column:
         hi = quiet_int(F.regexp_extract(p, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 2))
         one = quiet_int(F.trim(p))
         return F.when(lo <= hi, F.sequence(lo, hi)).when(one.isNotNull(), F.array(one)) \
-                .otherwise(F.array().cast("array<int>"))
+                .otherwise(F.array().cast("array<bigint>"))
     return F.flatten(F.transform(F.split(c, ","), pages))

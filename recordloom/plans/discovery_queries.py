@@ -13,7 +13,7 @@ YEAR = 2026
 
 
 @query("d1_flatten_openalex", """SELECT o_orderkey, '10.1/w' || CAST(o_orderkey AS STRING) AS doi, o_orderpriority AS title, CAST(1990 + o_custkey % 30 AS INT) AS year, 'V' || o_orderstatus AS venue,
- 'A1,A2,A3,A4,A5' AS authors, 'hello big world' AS abstract, CAST(o_custkey AS INT) AS citation_count, o_orderkey % 2 = 0 AS is_open_access, 'openalex:x' AS source FROM orders WHERE o_orderkey % 9 <> 0""")
+ 'A1,A2,A3,A4,A5,A6' AS authors, 'hello big world' AS abstract, CAST(o_custkey AS INT) AS citation_count, o_orderkey % 2 = 0 AS is_open_access, 'openalex:x' AS source FROM orders WHERE o_orderkey % 9 <> 0""")
 def _d1(spark, sf):
     w = sql(spark, sf, """SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'https://doi.org/10.1/W' || CAST(o_orderkey AS STRING) END AS doi, o_orderpriority AS title,
         CAST(1990 + o_custkey % 30 AS INT) AS publication_year, named_struct('source', named_struct('display_name', 'V' || o_orderstatus)) AS primary_location,

@@ -230,7 +230,7 @@ def _x1(spark, sf):
 
 
 @query("x2_paper_claims", """SELECT source_doi, claim_type, claim_subject, claim_object FROM (SELECT *, row_number() OVER (PARTITION BY source_doi, claim_type,
- substring(regexp_replace(lower(trim(claim_object)), '\\s+', ' ', 'g'), 1, 80) ORDER BY claim_object, claim_subject, claim_predicate) AS rn FROM v_claims
+ regexp_replace(lower(trim(claim_object)), '\\s+', ' ', 'g') ORDER BY claim_object, claim_subject, claim_predicate) AS rn FROM v_claims
  WHERE claim_type IS NOT NULL AND claim_type <> 'unresolved_question' AND (evidence_type IS NULL OR evidence_type <> 'DFT')) q WHERE rn = 1""")
 def _x2(spark, sf):
     return X.paper_claims(view(spark, sf, _CL)).select("source_doi", "claim_type",
@@ -268,7 +268,7 @@ def note_lines(spark, sf):
                         [("Catalyst", "catalyst_system", None), ("Conv%", "metric", 1)])
 
 
-@query("x6_provenance_log", """SELECT doi, substring(coalesce(title, ''), 1, 120) AS title, oa_url IS NOT NULL AS success, CASE WHEN oa_url IS NOT NULL THEN 'openalex' ELSE 'skip:not_oa' END AS source,
+@query("x6_provenance_log", """SELECT doi, coalesce(title, '') AS title, oa_url IS NOT NULL AS success, CASE WHEN oa_url IS NOT NULL THEN 'openalex' ELSE 'skip:not_oa' END AS source,
  CASE WHEN oa_url IS NULL THEN 'queue' ELSE 'log' END AS sink, p, s, e FROM v_candidates""")
 def _x6(spark, sf):
     c = view(spark, sf, "v_candidates")
