@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recordloom.functions import vocabulary as V
 from recordloom.functions.base import any_contains, first_rule, let
@@ -214,64 +212,68 @@ def calibrate_points(points: DataFrame, ticks: DataFrame, dropped: DataFrame | N
             .select(*points.columns, "x", "y", "status"))
 
 
-def fit_axis(values: list[float], pixels: list[float], span: float):
-    """(slope, offset, used) of one axis or None, by least squares with trust checks.
+# fixed values: when a tick fit is trusted
+TICK_GAP_PX, LEAST_SPAN, LARGEST_RATIO, LARGEST_FIT = 6, 0.18, 1.6, 1e6
 
-    Ticks closer than 6 px to an earlier one are dropped. With four or more ticks and no good fit,
-    the first fit that leaves out one tick is taken.
+
+def _line(ticks: Column, span: Column) -> Column:
+    """struct<slope, offset, ticks_used> of the least-squares line, NULL where it is not trusted.
+
+    Values must differ and rise or fall throughout, ticks must reach over enough of the axis, and
+    the steps between them be about equal.
     """
-    kept: list[tuple[float, float]] = []
-    for p, v in sorted(zip(pixels, values)):
-        if all(abs(p - q) > 6 for q, _ in kept):
-            kept.append((p, v))
-
-    def solve(ticks):
-        n = len(ticks)
-        if n < 2 or len({v for _, v in ticks}) < 2 or ticks[-1][0] - ticks[0][0] < 0.18 * span:
-            return None
-        slopes = [(v2 - v1) / (p2 - p1) for (p1, v1), (p2, v2) in zip(ticks, ticks[1:])]
-        if not (min(slopes) > 0 or max(slopes) < 0):
-            return None
-        sizes = [abs(s) for s in slopes]
-        if n >= 3 and max(sizes) / max(min(sizes), 1e-12) > 1.6:
-            return None
-        mp, mv = sum(p for p, _ in ticks) / n, sum(v for _, v in ticks) / n
-        a = (sum((p - mp) * (v - mv) for p, v in ticks) / sum((p - mp) ** 2 for p, _ in ticks))
-        b = mv - a * mp
-        return None if abs(a) * span > 1e6 or abs(b) > 1e6 else (a, b, n)
-
-    fit = solve(kept)
-    if fit is None and len(kept) >= 4:
-        tries = (solve(kept[:i] + kept[i + 1:]) for i in range(len(kept)))
-        fit = next((f for f in tries if f is not None), None)
-    return fit
-
-
-@F.pandas_udf(T.StructType([T.StructField("slope", T.DoubleType()),
-                            T.StructField("offset", T.DoubleType()),
-                            T.StructField("ticks_used", T.IntegerType())]))
-def _fit(pixels: pd.Series, values: pd.Series, span: pd.Series) -> pd.DataFrame:
-    fits = [fit_axis(list(v), list(p), float(s)) or (None, None, 0)
-            for p, v, s in zip(pixels, values, span)]
-    out = pd.DataFrame(fits, columns=["slope", "offset", "ticks_used"])
-    return out.astype({"slope": "Float64", "offset": "Float64"})
+    def fit(t):
+        n = F.size(t)
+        total = lambda f: F.aggregate(t, F.lit(0.0), lambda acc, x: acc + f(x))
+        steps = F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: i < n), lambda i: (
+            F.get(t, i)["value"] - F.get(t, i - 1)["value"]) / (F.get(t, i)["px"] - F.get(t, i - 1)["px"]))
+
+        def judged(m):
+            slope = (total(lambda x: (x["px"] - m["p"]) * (x["value"] - m["v"]))
+                     / total(lambda x: (x["px"] - m["p"]) * (x["px"] - m["p"])))
+            sizes = F.transform(m["steps"], F.abs)
+            one_way = (F.array_min(m["steps"]) > 0) | (F.array_max(m["steps"]) < 0)
+            even = (n < 3) | (F.array_max(sizes) <= LARGEST_RATIO * F.greatest(F.array_min(sizes), F.lit(1e-12)))
+            wide = F.element_at(t, -1)["px"] - F.get(t, F.lit(0))["px"] >= LEAST_SPAN * span
+            return F.when(one_way & even & wide, let(slope, lambda a: let(m["v"] - a * m["p"], lambda b: F.when(
+                (F.abs(a) * span <= LARGEST_FIT) & (F.abs(b) <= LARGEST_FIT),
+                F.struct(a.alias("slope"), b.alias("offset"), n.alias("ticks_used"))))))
+
+        means = F.struct((total(lambda x: x["px"]) / n).alias("p"), (total(lambda x: x["value"]) / n).alias("v"),
+                         steps.alias("steps"))
+        return F.when(n >= 2, let(means, judged))
+
+    return let(ticks, fit)
 
 
 def fit_ticks(ticks: DataFrame) -> DataFrame:
-    """One fit per (image, panel, axis). ticks: those keys and ``px, value, span``.
+    """One fit per (image, panel, axis). ticks: those keys and ``px, value, span``, and optionally
+    ``fallback``: the positions come from label centres alone, and three of them are needed.
 
-    A pixel read twice is reduced to one tick before the ticks of an axis meet, so an axis holds at
-    most one tick per pixel. Axes are fitted in Arrow batches of many axes at a time.
+    A pixel read twice is reduced to one tick, and a tick near an earlier one is dropped. Where four
+    or more ticks give no trusted line, the first one that leaves out a single tick is taken.
     """
     keys = ["image", "panel", "axis"]
-    lean = ticks.groupBy(*keys, "px").agg(F.min("value").alias("value"),
-                                          F.max("span").alias("span"))
+    fallback = F.col("fallback") if "fallback" in ticks.columns else F.lit(False)
+    lean = ticks.groupBy(*keys, "px").agg(F.min("value").alias("value"), F.max("span").alias("span"),
+                                          F.bool_or(fallback).alias("fallback"))
     axes = lean.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col("px").cast("double").alias("px"),
                                              F.col("value").cast("double").alias("value"))))
-        .alias("t"), F.max("span").cast("double").alias("span"))
-    return axes.select(*keys, _fit(F.col("t.px"), F.col("t.value"), F.col("span")).alias("f")) \
-        .select(*keys, "f.*")
+        .alias("t"), F.max("span").cast("double").alias("span"), F.bool_or("fallback").alias("fallback"))
+    apart = F.aggregate("t", F.slice("t", 1, 0), lambda kept, x: F.when(
+        (F.size(kept) > 0) & (x["px"] - F.element_at(kept, -1)["px"] <= TICK_GAP_PX), kept)
+        .otherwise(F.array_append(kept, x)))
+    span = F.col("span")
+
+    def best(kept):
+        without = F.transform(kept, lambda _, i: _line(F.filter(kept, lambda x, j: j != i), span))
+        rescued = F.when(F.size(kept) >= 4, F.get(F.filter(without, lambda f: f.isNotNull()), F.lit(0)))
+        enough = F.size(kept) >= F.when(F.col("fallback"), 3).otherwise(2)
+        return F.when(enough, F.coalesce(_line(kept, span), rescued))
+
+    return axes.select(*keys, let(apart, best).alias("f")).select(
+        *keys, "f.slope", "f.offset", F.coalesce("f.ticks_used", F.lit(0)).alias("ticks_used"))
 
 
 def panel_confidence(panels: DataFrame) -> DataFrame:

@@ -147,11 +147,20 @@ def _f8(spark, sf):
     return G.calibrate_points(p, ticks, dropped).select("event_id", "x", "y", "status")
 
 
-@query("f8b_fit_ticks")
+_TICKS = """SELECT o_custkey AS image, CAST(o_orderkey % 2 AS INT) AS panel, 'x' AS axis, CAST(o_orderkey % 40 * 25 AS DOUBLE) AS px,
+ CAST(o_orderkey % 40 * 5 + CASE WHEN o_orderkey % 17 = 0 THEN 300 ELSE 0 END AS DOUBLE) AS value, CAST(1000 AS DOUBLE) AS span, o_custkey % 3 = 0 AS fallback FROM orders"""
+
+
+@query("f8b_fit_ticks", f"""WITH t AS (SELECT image, panel, axis, px, min(value) AS v, bool_or(fallback) AS fb FROM ({_TICKS}) x GROUP BY image, panel, axis, px),
+s AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY image, panel) AS n FROM t WINDOW w AS (PARTITION BY image, panel ORDER BY px)),
+c AS (SELECT s.*, d FROM s, (SELECT unnest(range(0, 41)) AS d) q WHERE d = 0 OR (n >= 4 AND d <= n AND i <> d)),
+g AS (SELECT *, (v - lag(v) OVER w) / (px - lag(px) OVER w) AS st FROM c WINDOW w AS (PARTITION BY image, panel, d ORDER BY px)),
+f AS (SELECT image, panel, d, count(*) AS k, max(px) - min(px) AS reach, min(st) AS lo, max(st) AS hi, max(abs(st)) AS big, min(abs(st)) AS small, regr_slope(v, px) AS a, regr_intercept(v, px) AS b, any_value(fb) AS fb, any_value(n) AS n FROM g GROUP BY image, panel, d),
+o AS (SELECT * FROM f WHERE k >= 2 AND n >= CASE WHEN fb THEN 3 ELSE 2 END AND reach >= 180 AND (lo > 0 OR hi < 0) AND (k < 3 OR big <= 1.6 * greatest(small, 1e-12)) AND abs(a) * 1000 <= 1e6 AND abs(b) <= 1e6),
+r AS (SELECT *, row_number() OVER (PARTITION BY image, panel ORDER BY d) AS rn FROM o)
+SELECT z.image, z.panel, 'x' AS axis, round(r.a, 4) AS slope, round(r.b, 4) + 0.0 AS offset, CAST(coalesce(r.k, 0) AS INT) AS ticks_used FROM (SELECT DISTINCT image, panel FROM t) z LEFT JOIN r ON r.image = z.image AND r.panel = z.panel AND rn = 1""")
 def _f8b(spark, sf):
-    t = sql(spark, sf, """SELECT o_custkey AS image, CAST(o_orderkey % 2 AS INT) AS panel, 'x' AS axis, CAST(o_orderkey % 40 * 25 AS DOUBLE) AS px,
-        CAST(o_orderkey % 40 * 5 + CASE WHEN o_orderkey % 17 = 0 THEN 300 ELSE 0 END AS DOUBLE) AS value, 1000.0D AS span FROM orders""")
-    return G.fit_ticks(t)
+    return G.fit_ticks(sql(spark, sf, _TICKS))
 
 
 @query("f8c_panel_confidence", """SELECT event_id AS panel, CASE WHEN event_id % 4 = 0 OR event_id % 5 = 0 OR event_id % 6 = 0 THEN 'low' WHEN event_id % 7 = 0 OR event_id % 4 < 3 OR event_id % 5 < 3 THEN 'medium' ELSE 'high' END AS confidence FROM events""")

@@ -100,12 +100,18 @@ def test_densify(spark):
     assert got == [(x, int(x / 2)) for x in range(11)]
 
 
-def test_fit_ticks():
-    a, b, n = G.fit_axis([0, 10, 20, 30], [100, 200, 300, 400], 400)
-    assert (round(a, 6), round(b, 6), n) == (0.1, -10.0, 4)
-    assert G.fit_axis([0, 40, 20, 30], [100, 200, 300, 400], 400)[2] == 3      # one bad label left out
-    assert G.fit_axis([0, 10], [100, 120], 400) is None                        # too narrow
-    assert G.fit_axis([5, 5], [100, 300], 400) is None
+def test_fit_ticks(spark):
+    cases = [([0, 10, 20, 30], [100, 200, 300, 400], False), ([0, 40, 20, 30], [100, 200, 300, 400], False),
+             ([0, 10], [100, 120], False), ([5, 5], [100, 300], False), ([0, 10], [100, 300], False),
+             ([0, 10], [100, 300], True), ([0, 10, 20], [100, 200, 300], True), ([0, 1, 10, 20], [100, 104, 200, 300], False)]
+    rows = [(i, 0, "x", float(p), float(v), 400.0, fb) for i, (vs, ps, fb) in enumerate(cases) for v, p in zip(vs, ps)]
+    df = spark.createDataFrame(rows, "image int, panel int, axis string, px double, value double, span double, fallback boolean")
+    got = {r.image: (r.slope, r.offset, r.ticks_used) for r in G.fit_ticks(df).collect()}
+    assert abs(got[0][0] - 0.1) < 1e-9 and abs(got[0][1] + 10) < 1e-9 and got[0][2] == 4
+    assert got[1][2] == 3                                   # one bad label left out
+    assert got[2][0] is None and got[3][0] is None          # too narrow; one value
+    assert got[4][2] == 2 and got[5][0] is None             # two ticks do, unless they come from the fallback
+    assert got[6][2] == 3 and got[7][2] == 3                # a tick near an earlier one is dropped
 
 
 def test_greedy_series_match(spark):
