@@ -14,7 +14,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     # batches for Python hold whole texts; fewer rows keep a worker small
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 _OWN_FOLDERS: set[str] = set()
