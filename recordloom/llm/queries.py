@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from recordloom.llm import oracles
 from recordloom.llm.base import table
 from recordloom.llm.decontaminate import contamination
 from recordloom.llm.jaccard_join import jaccard_components
-from recordloom.llm.license_scan import scan_licenses
+from recordloom.llm.license_scan import BASE, TEMPLATES, scan_licenses
 from recordloom.llm.line_rules import rate_lines
 from recordloom.llm.packing import pack_documents
 from recordloom.llm.pii import pii_digest
@@ -38,7 +39,7 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", oracles.OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -55,12 +56,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
-@query("op8_benchmark_decontamination")
+@query("op8_benchmark_decontamination", oracles.OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                         window=10).drop("longest")
 
 
-@query("op9_jaccard_join")
+@query("op9_jaccard_join", oracles.OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), percent=85, size=4)
 
@@ -69,17 +71,17 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
              ("com/fr/", "allow"), ("com/de/", "block")]
 
 
-@query("op7_url_filter")
+@query("op7_url_filter", oracles.url_sql(URL_RULES))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-@query("op2_line_frequency")
+@query("op2_line_frequency", oracles.OP2)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_lines(table(spark, sf_dir, "documents"), max_documents=50, max_removed=0.5)
 
 
-@query("op6_license_scan")
+@query("op6_license_scan", oracles.licence_sql(TEMPLATES, BASE))
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
