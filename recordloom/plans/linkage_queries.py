@@ -13,6 +13,7 @@ from recordloom.operators import scoring as U
 from recordloom.operators import text as T
 from recordloom.plans.registry import query
 from recordloom.plans.views import sql, view
+from recordloom.session import shared_folder
 
 
 def units(spark, sf):
@@ -268,6 +269,22 @@ def note_lines(spark, sf):
                         [("Catalyst", "catalyst_system", None), ("Conv%", "metric", 1)])
 
 
+@query("x5_write_records", "SELECT unit_id, source_doi, metric, temperature_c FROM v_units")
+def _x5(spark, sf):
+    u = view(spark, sf, "v_units").select("unit_id", "source_doi", "metric", "temperature_c")
+    path = X.write_records(u, shared_folder(spark), "units", "2024-01-31")
+    return spark.read.schema(u.schema).json(path)
+
+
+@query("x5_write_feature_matrix", """SELECT l_orderkey, l_linenumber, CAST(l_tax AS DOUBLE) AS tax, CAST(l_quantity AS DOUBLE) AS quantity, 'l_orderkey,l_linenumber,tax,quantity' AS header FROM lineitem""")
+def _x5b(spark, sf):
+    wide = sql(spark, sf, "SELECT CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_tax AS DOUBLE) AS tax, l_linenumber, l_orderkey FROM lineitem")
+    path = f"{shared_folder(spark)}/matrix"
+    X.write_feature_matrix(wide, path, ["l_orderkey", "l_linenumber"], ["tax", "missing", "quantity"])
+    back = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return back.withColumn("header", F.lit(",".join(back.columns)))
+
+
 @query("x6_provenance_log", """SELECT doi, coalesce(title, '') AS title, oa_url IS NOT NULL AS success, CASE WHEN oa_url IS NOT NULL THEN 'openalex' ELSE 'skip:not_oa' END AS source,
  CASE WHEN oa_url IS NULL THEN 'queue' ELSE 'log' END AS sink, p, s, e FROM v_candidates""")
 def _x6(spark, sf):

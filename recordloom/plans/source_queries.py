@@ -27,6 +27,14 @@ def _s1(spark, sf):
     return SU.name_source(u, reg).select("unit_id", "source_doi")
 
 
+@query("s1_read_json_units", "SELECT unit_id, source_doi, metric, metal FROM v_units")
+def _s1b(spark, sf):
+    folder = f"{shared_folder(spark)}/units"
+    u = view(spark, sf, "v_units").select("unit_id", F.col("source_doi").alias("source_review_doi"), "metric", "metal")
+    u.write.json(folder)
+    return SU.read_units(spark, folder, u.schema, ".json").select("unit_id", "source_doi", "metric", "metal")
+
+
 @query("s2_union_by_precedence", """WITH f AS (SELECT * FROM v_units WHERE metal = 'A' AND source_doi LIKE '%5'), w AS (SELECT * FROM v_units WHERE metal = 'N'), v AS (SELECT * FROM v_units WHERE metal = 'R')
 SELECT unit_id, 'filtered' AS tool FROM f UNION ALL SELECT unit_id, 'raw' FROM w WHERE source_doi NOT IN (SELECT source_doi FROM f) UNION ALL SELECT unit_id, 'v2' FROM v""")
 def _s2(spark, sf):
