@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,13 +15,26 @@ from pyspark.sql import functions as F
 #: Stands for a null id where ids are compared: it is the largest.
 NULL_ID = 2**63 - 1
 #: Bytes of text that one step of a task works on at a time; longer single texts go alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What workers hold beyond a task, as functions that let it go.
+HELD: list[Callable[[], None]] = []
+
+
+def free_memory() -> None:
+    """Give back what earlier tasks of another operator left in this worker."""
+    for release in HELD:
+        release()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):   # the C library of Linux keeps freed pages otherwise
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_key(name: str) -> Column:
     """The id as a long that is never null."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
@@ -42,6 +57,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
 def in_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str):
     """A function for mapInArrow that applies `fn` to bounded slices of its batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for part in sliced(batches, column):
             out = fn(part)
             if out is not None and out.num_rows:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.base import NULL_ID, id_key, in_slices, sliced
+from recordloom.llm.base import NULL_ID, free_memory, id_key, in_slices, sliced
 from recordloom.llm.bytewords import U64, blank_words, mix, windows, words_of
 from recordloom.llm.components import connected
 from recordloom.session import cut
@@ -32,11 +32,11 @@ FREQUENT = 1e-4
 #: Nodes in an inverted list that are paired with one another; longer lists go the other way.
 LONG_LIST = 64
 #: Rounds in which the nodes of each long list are compared with one of them, before the rest is.
-HEADS = 3
+HEADS = 2
 #: Ids that are broadcast at most to pick texts; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Shingles of a task that are counted together.
-_COUNTED = 3_000_000
+_COUNTED = 2_000_000
 _SKETCH = 8          # numbers of 64 bits in the sketch of a set of up to 256; doubled for every doubling
 
 
@@ -77,11 +77,12 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _frequent(size: int):
     def run(batches):
+        free_memory()
         held, count = [], 0
 
         def counted():
             value, times = np.unique(np.concatenate(held), return_counts=True)
-            keep = times >= 3
+            keep = times >= 2
             return pa.record_batch({"shingle": pa.array(value[keep].view(np.int64)), "times": pa.array(times[keep])})
 
         for batch in sliced(batches, "text"):
@@ -132,6 +133,7 @@ def _whole_sets(size: int):
 def _probe(percent: int):
     """Keep the pairs whose sets share enough: the smaller set is looked up in the larger one."""
     def run(batches):
+        free_memory()
         for batch in batches:
             keep = []
             left, right = batch.column("set_x"), batch.column("set_y")

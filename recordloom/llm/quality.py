@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.base import sliced
+from recordloom.llm.base import free_memory, sliced
 from recordloom.llm.bytewords import U64, alnum_words, buffer_of, words_of
 from recordloom.session import cut
 
@@ -120,6 +120,7 @@ class QualityClassifier:
         texts = docs.select(F.col(self.id_col).cast("long").alias("k"), F.col(self.text_col).cast("string").alias("text")).join(F.broadcast(picked), "k")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            free_memory()
             for batch in sliced(batches, "text"):
                 row, cell, shape = _features(batch.column("text"))
                 border = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -149,6 +150,7 @@ class QualityClassifier:
                              F.coalesce(F.col(self.path_col).cast("string"), F.lit("")).alias("path"), F.lit(0.0).alias("evidence"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            free_memory()
             for batch in sliced(batches, "text"):
                 score = np.round(_scores(model.value, batch.column("text")), 9)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], schema=batch.schema)

@@ -15,6 +15,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
+from recordloom.llm.base import HELD
 from recordloom.llm.bytewords import U64, Words, buffer_of, mix, words_of
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -34,14 +35,12 @@ _WIDE_LAST[[w[-1] for w in _WIDE_BLANKS]] = True
 class Encoder:
     """One tokenizer file in one worker; at most about `limit` pieces are kept, some 40 bytes each."""
 
-    def __init__(self, path: str, limit: int = 2_500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True   # in a text their strings are ordinary
-        self.split = Tokenizer.from_file(path)
-        special = [(i, t.content) for i, t in self.split.get_added_tokens_decoder().items() if t.special]
+        self.tokenizer = Tokenizer.from_file(path)
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark, self.sign = special[0] if special else (None, None)   # parts pieces in one call
         self.limit = limit
         self._restart()
@@ -54,17 +53,23 @@ class Encoder:
         self.start = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def plain(self, texts: list[str]) -> list:
+        """Encodings in which the strings of special tokens are ordinary text."""
+        self.tokenizer.encode_special_tokens = True
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, length of each)."""
         if self.sign is not None:
             joined = self.sign.encode().join(pieces)
             if joined.count(self.sign.encode()) == len(pieces) - 1:
-                ids = np.array(self.split.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.uint32)
+                self.tokenizer.encode_special_tokens = False
+                ids = np.array(self.tokenizer.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.uint32)
                 marks = np.flatnonzero(ids == self.mark)
                 if len(marks) == len(pieces) - 1:
                     size = np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
                     return np.delete(ids, marks), size
-        found = [e.ids for e in self.plain.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
+        found = [e.ids for e in self.plain([p.decode() for p in pieces])]
         return np.array([i for one in found for i in one], np.uint32), np.array([len(one) for one in found], np.int64)
 
     def _slots(self, words: Words, code: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -121,7 +126,7 @@ class Encoder:
         else:
             ids, border = np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         for row in np.flatnonzero(whole)[::-1].tolist():          # from the back, so that borders before stay
-            more = np.array(self.plain.encode(data[offsets[row]:offsets[row + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+            more = np.array(self.plain([data[offsets[row]:offsets[row + 1]].tobytes().decode()])[0].ids, np.uint32)
             ids = np.concatenate((ids[:border[row]], more, ids[border[row]:]))
             border[row + 1:] += len(more)
         ids = np.insert(ids, border[1:], np.uint32(end))
@@ -145,8 +150,11 @@ def _unsafe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+HELD.append(_ENCODERS.clear)
+
+
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, shared by the tasks of one Python worker."""
+    """The encoder of a file, shared by the tasks of one Python worker until another operator runs there."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
