@@ -112,9 +112,23 @@ def words_of(column: pa.Array, inside: np.ndarray, lower: bool = False) -> Words
     return Words(data, start, end, code, np.searchsorted(start, offsets).astype(np.int64))
 
 
+#: Bytes whose terms are held at once; a longer text is worked on in several rounds.
+_ROUND = 1 << 21
+
+
 def _codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    if not len(start):
-        return np.zeros(0, dtype=U64)
+    """Fingerprints of words: sums over table entries by byte and place, mixed with the length."""
+    code = np.zeros(len(start), dtype=U64)
+    total = np.concatenate(([0], np.cumsum(end - start)))
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + _ROUND, "right")) - 1)
+        code[at:to] = _some_codes(data, start[at:to], end[at:to])
+        at = to
+    return code
+
+
+def _some_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     size = end - start
     lifted = np.concatenate(([0], np.cumsum(size)))
     place = np.arange(lifted[-1], dtype=np.int64)
