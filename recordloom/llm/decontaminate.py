@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.base import sliced
-from recordloom.llm.bytewords import U64, Words, alnum_words, mix, words_of
+from recordloom.llm.base import free_memory, sliced
+from recordloom.llm.bytewords import U64, Words, alnum_words, buffer_of, mix, words_of
+from recordloom.session import cut
 
 #: Words of items in one automaton; each takes about 1 kB in a task.
 PART_WORDS = 200_000
@@ -160,7 +161,7 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_words: int) -> list[list[tuple[int, list[int]]]]:
+def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_words: int) -> Iterator[list[tuple[int, list[int]]]]:
     """Items as fingerprints, in parts of bounded size, read one after another."""
     def run(batches):
         for batch in sliced(batches, "text"):
@@ -197,7 +198,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                        item_id: str = "item_id", item_text: str = "text",
                        part_words: int = PART_WORDS) -> DataFrame:
     """Add to every row of `docs`: _words, _spans (covered word ranges [from, to), flat), _items (ids
-    of the items that have a window there) and _longest (longest item sequence in the text).
+    of the items that have a window there), _longest (longest item sequence in the text) and _cleaned
+    (the text without the bytes from the first to the last word of each span; null without a span).
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null text: no words. Items with
     null id or without words have no windows; several rows with one item id are one item. Empty
@@ -208,47 +210,65 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     packed = docs.select(F.struct(*rest or [F.lit(None).alias("_none")]).alias("row"),
                          F.col(f"`{text_col}`").cast("string").alias("text"),
                          F.lit(0).cast("long").alias("_words"), F.array().cast("array<long>").alias("_spans"),
-                         F.array().cast("array<long>").alias("_items"), F.lit(0).cast("long").alias("_longest"))
+                         F.array().cast("array<long>").alias("_items"), F.lit(0).cast("long").alias("_longest"),
+                         F.lit(None).cast("string").alias("_cleaned"))
     schema = packed.schema
     sc = docs.sparkSession.sparkContext
 
-    def passes(machine_of, count_only: bool):
+    def one_pass(machine_of):
         def run(batches):
-            if not count_only:
-                machine, single, pairs, shortest = machine_of.value
+            free_memory()
+            machine, single, pairs, shortest = machine_of.value
             for batch in sliced(batches, "text"):
                 words = words_of(batch.column("text"), alnum_words(), lower=True)
-                out = {"row": batch.column("row"), "text": batch.column("text"), "_words": pa.array(words.counts)}
-                if count_only:
-                    out |= {c: batch.column(c) for c in ("_spans", "_items", "_longest")}
-                else:
-                    cover, found, longest = _marks(words, machine, single, pairs, shortest)
-                    row, a, b = _spans(cover, words.first)
-                    own = np.stack((a, b), axis=1).tolist()
-                    spans, items = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
-                    for r, span in zip(row.tolist(), own):
-                        spans[r] = spans[r] + span
-                    for r, more in found.items():
-                        items[r] = items[r] + sorted(more)
-                    before = batch.column("_longest").to_numpy(zero_copy_only=False)
-                    out |= {"_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.int64())),
-                            "_longest": pa.array(np.maximum(before, longest))}
+                cover, found, longest = _marks(words, machine, single, pairs, shortest)
+                row, a, b = _spans(cover, words.first)
+                spans, items, cleaned = (batch.column(c).to_pylist() for c in ("_spans", "_items", "_cleaned"))
+                for r, span in zip(row.tolist(), np.stack((a, b), axis=1).tolist()):
+                    spans[r] = spans[r] + span
+                for r, more in found.items():
+                    items[r] = items[r] + sorted(more)
+                raw, border = buffer_of(batch.column("text"))
+                for r in np.unique(row).tolist():
+                    cleaned[r] = _without(raw, border[r], border[r + 1], words, int(words.first[r]), spans[r])
+                before = batch.column("_longest").to_numpy(zero_copy_only=False)
+                out = {"row": batch.column("row"), "text": batch.column("text"), "_words": pa.array(words.counts),
+                       "_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.int64())),
+                       "_longest": pa.array(np.maximum(before, longest)), "_cleaned": pa.array(cleaned, pa.string())}
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
         return run
 
-    marked, any_part = packed, False
-    for items in _parts(benchmark, item_id, item_text, part_words):
-        any_part = True
+    marked, passed = packed, 0
+    for items in _or_none(_parts(benchmark, item_id, item_text, part_words)):     # one part at a time
         codes = [np.array(words, U64) for _, words in items]
-        single = np.unique(np.concatenate(codes))
-        pairs = np.unique(np.concatenate([_pair(c[:-1], c[1:]) for c in codes]))
-        shortest = min(min(window, len(words)) for _, words in items)
-        marked = marked.mapInArrow(passes(sc.broadcast((Automaton(items, window), single, pairs, shortest)), False), schema)
-    if not any_part:
-        marked = marked.mapInArrow(passes(None, True), schema)
+        single = np.unique(np.concatenate([np.zeros(0, U64), *codes]))
+        pairs = np.unique(np.concatenate([np.zeros(0, U64), *(_pair(c[:-1], c[1:]) for c in codes)]))
+        shortest = min((min(window, len(words)) for _, words in items), default=window)
+        # a worker per pass would be alive at once; passes after the first read what is written
+        marked = (cut(marked) if passed else marked).mapInArrow(
+            one_pass(sc.broadcast((Automaton(items, window), single, pairs, shortest))), schema)
+        passed += 1
     return marked
 
 
+def _or_none(parts: Iterator[list]) -> Iterator[list]:
+    """The parts, or one without items."""
+    empty = True
+    for part in parts:
+        empty = False
+        yield part
+    if empty:
+        yield []
+
+
+def _without(raw: np.ndarray, begin: int, end: int, words: Words, first: int, spans: list[int]) -> str:
+    """A text without the bytes of its covered spans."""
+    keep = np.ones(end - begin, bool)
+    for a, b in zip(spans[::2], spans[1::2]):
+        keep[int(words.start[first + a]) - begin:int(words.end[first + b - 1]) - begin] = False
+    return raw[begin:end][keep].tobytes().decode()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id",
                   text_col: str = "text", **names) -> DataFrame:
     """Digest per row of `docs`: id, n_words, n_hit, n_items, items_sha256, contaminated, longest.
@@ -294,36 +314,13 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
         over = over | (hit > F.col("_words") * max_coverage)
     if max_words is not None:
         over = over | (hit > max_words)
-    clean, touched = marked.where(F.size("_spans") == 0), marked.where((F.size("_spans") > 0) & ~over)
-
-    def run(batches):
-        for batch in sliced(batches, "text"):
-            words = words_of(batch.column("text"), alnum_words())
-            texts = []
-            for i, (text, spans) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())):
-                raw, base = text.encode(), int(words.first[i])
-                gap = np.ones(len(raw), bool)
-                begin = _offset(batch.column("text"), i)
-                for a, b in zip(spans[::2], spans[1::2]):
-                    gap[int(words.start[base + a]) - begin:int(words.end[base + b - 1]) - begin] = False
-                texts.append(np.frombuffer(raw, np.uint8)[gap].tobytes().decode())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "cleaned"])
-
-    row_type = marked.schema["row"].dataType.simpleString()
-    cleaned = touched.select("row", "text", "_spans").mapInArrow(run, f"row {row_type}, cleaned string")
+    left = F.coalesce("_cleaned", "text")
 
     def column(name):
         if name == text_col:
-            return F.col("cleaned").cast(kinds[name]).alias(name)
+            return left.cast(kinds[name]).alias(name)
         if name == "n_chars":
-            return F.length("cleaned").cast(kinds[name]).alias(name)
+            return F.when(F.col("_cleaned").isNotNull(), F.length(left)).otherwise(F.col("row.n_chars")).cast(kinds[name]).alias(name)
         return F.col(f"row.`{name}`").alias(name)
 
-    same = [F.col("text").cast(kinds[c]).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]
-    return clean.select(*same).unionByName(cleaned.select(*[column(c) for c in columns]))
-
-
-def _offset(column: pa.Array, i: int) -> int:
-    from recordloom.llm.bytewords import buffer_of
-
-    return int(buffer_of(column)[1][i])
+    return marked.where((F.size("_spans") == 0) | ~over).select(*[column(c) for c in columns])
