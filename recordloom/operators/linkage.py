@@ -63,11 +63,12 @@ def match_links_to_refs(links: DataFrame, words: DataFrame, band: float = 64.0)
     spans = spans.filter("hi >= lo").withColumn("_band", F.explode(F.sequence(
         F.floor(F.col("lo") / band), F.floor(F.col("hi") / band))))
     w = words.withColumn("_band", F.floor(F.col("top") / band))
-    hit = (spans.join(w.select("doc", "page", "_band", "text", "x0", F.col("top").alias("wt"),
-                               F.col("bottom").alias("wb")), ["doc", "page", "_band"])
-           .filter("wt >= lo and wb <= hi"))
+    # words of one height are one row: their first word and how many they are is all that matters
+    lines = w.groupBy("doc", "page", "_band", F.col("top").alias("wt"), F.col("bottom").alias("wb")).agg(
+        F.min(F.struct("x0", "text")).alias("w"), F.count(F.lit(1)).alias("c"))
+    hit = spans.join(lines, ["doc", "page", "_band"]).filter("wt >= lo and wb <= hi")
     first = hit.groupBy("doc", "page", "link_id").agg(
-        F.min(F.struct("wt", "x0", "text"))["text"].alias("word"), F.count(F.lit(1)).alias("n"))
+        F.min(F.struct("wt", "w"))["w"]["text"].alias("word"), F.sum("c").alias("n"))
     text = F.when(F.col("n") > 1, F.concat("word", F.lit(" "))).otherwise(F.col("word"))
     num = nonblank(F.regexp_extract(text, r"(?U)^\s*[\[\(]?(\d{1,3})[\]\)\.\s]", 1))
     found = first.withColumn("ref_num", num).filter("ref_num is not null")

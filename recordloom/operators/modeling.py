@@ -15,10 +15,16 @@ from recordloom.operators.stats import pivot_mean_count
 from recordloom.session import cut
 
 
-def gap_candidates(df: DataFrame, dims: list[str], at_most: int = 0) -> DataFrame:
+#: Most combinations that are built, category values that are encoded, and rows that are fitted on.
+MOST_COMBINATIONS, MOST_CATEGORIES, FIT_ROWS = 1_000_000_000, 100_000, 1_000_000
+
+
+def gap_candidates(df: DataFrame, dims: list[str], at_most: int = 0,
+                   most: int = MOST_COMBINATIONS) -> DataFrame:
     """Combinations of the seen values of ``dims`` that occur at most ``at_most`` times.
 
-    The number line 0 .. n1*n2*…-1 is decoded into one value per dimension by equi joins, so the
+    The result is a product of the dimensions by definition. Its size is known before it is built;
+    beyond ``most`` this raises, so that a dimension can be narrowed to the slice of interest. The number line 0 .. n1*n2*…-1 is decoded into one value per dimension by equi joins, so the
     combinations are made evenly on all tasks and no side is crossed with another.
     """
     indexed = {d: dense_index(df.filter(F.col(d).isNotNull()), d, "_i") for d in dims}
@@ -26,6 +32,8 @@ def gap_candidates(df: DataFrame, dims: list[str], at_most: int = 0) -> DataFram
     total = 1
     for s in sizes:
         total *= s
+    if total > most:
+        raise ValueError(f"{total} combinations of {dims}; at most {most}")
     grid, stride = df.sparkSession.range(total), 1
     for (d, values), size in zip(indexed.items(), sizes):
         grid = grid.withColumn("_i", F.floor(F.col("id") / stride) % size).join(
@@ -63,8 +71,15 @@ def family_heatmap(df: DataFrame, row: str, col: str, metric: str) -> DataFrame:
 
 
 def feature_matrix_ml(df: DataFrame, categorical: list[str], numeric: list[str],
-                      label: str) -> tuple[DataFrame, PipelineModel]:
-    """(rows with ``features``, fitted encoder): one-hot categories and numbers, NULLs as 0."""
+                      label: str, most: int = MOST_CATEGORIES) -> tuple[DataFrame, PipelineModel]:
+    """(rows with ``features``, fitted encoder): one-hot categories and numbers, NULLs as 0.
+
+    The encoder holds every category on the driver; more than ``most`` of a column raise.
+    """
+    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    wide = [c for c in categorical if counts[c] > most]
+    if wide:
+        raise ValueError(f"more than {most} categories in {wide}")
     steps = [StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep",
                            stringOrderType="alphabetAsc") for c in categorical]
     steps.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in categorical],
@@ -77,8 +92,14 @@ def feature_matrix_ml(df: DataFrame, categorical: list[str], numeric: list[str],
 
 
 def fit_forest(features: DataFrame, label: str, kind: str = "forest", folds: int = 0,
-               trees: int = 20, depth: int = 5, seed: int = 7):
-    """Fitted tree regressor; with ``folds`` also its cross-validated error."""
+               trees: int = 20, depth: int = 5, seed: int = 7, fit_rows: int = FIT_ROWS):
+    """Fitted tree regressor; with ``folds`` also its cross-validated error.
+
+    Of more than ``fit_rows`` labelled rows about so many, drawn at random, are fitted on.
+    """
+    rows = features.count()
+    if rows > fit_rows:
+        features = features.sample(fit_rows / rows, seed)
     if kind == "forest":
         est = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
                                     maxDepth=depth, seed=seed)
