@@ -136,7 +136,7 @@ def with_next(df: DataFrame, keys: list[str], pos: str, values: dict[str, str],
     return spread.filter(F.col("_blk") == F.col("_home")).drop("_blk", "_home")
 
 
-def dense_index(df: DataFrame, value: str, name: str = "idx", buckets: int = 256) -> DataFrame:
+def dense_index(df: DataFrame, value: str, name: str = "idx", buckets: int = 4096) -> DataFrame:
     """Number distinct values 0..n-1 without a global window.
 
     Values are numbered inside hash buckets; the bucket sizes (at most ``buckets`` numbers) give
