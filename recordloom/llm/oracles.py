@@ -117,3 +117,44 @@ sc AS (SELECT r, max(share) AS share FROM m GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(xs.n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
  coalesce(xs.labels, '') AS base_labels, coalesce(al.labels, '') AS labels, CASE WHEN xs.r IS NOT NULL THEN 1.0 ELSE least(1.0, coalesce(share, 0.0)) END AS score
 FROM d LEFT JOIN xs ON xs.r = d.r LEFT JOIN al ON al.r = d.r LEFT JOIN sc ON sc.r = d.r"""
+
+
+def _pii_sql() -> str:
+    """Personal data with its bootstrapped contexts: 3 rounds, threshold 0.75, 3 known tokens a pattern."""
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+                r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]", r"[A-Za-z]*[0-9][A-Za-z0-9]*(?:[-./:_][A-Za-z0-9]+)*"]
+    found = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_split_to_array(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS f FROM t" for k, p in enumerate(patterns))
+    rounds = "".join(fr"""
+w{i} AS (SELECT b.pattern, k.kind, sum(b.times * k.score) / (any_value(a.times) + 1) AS score FROM bt b JOIN k{i - 1} k ON k.token = b.token JOIN al a ON a.pattern = b.pattern
+      GROUP BY b.pattern, k.kind HAVING count(*) >= 3 AND sum(b.times * k.score) / (any_value(a.times) + 1) >= 0.75),
+k{i} AS (SELECT * FROM k0 UNION ALL SELECT token, kind, score FROM (SELECT s.token, w.kind, w.score, row_number() OVER (PARTITION BY s.token ORDER BY w.score DESC, w.kind) AS rn
+      FROM (SELECT DISTINCT pattern, token FROM se WHERE kind = 4) s JOIN w{i} w ON w.pattern = s.pattern WHERE s.token NOT IN (SELECT token FROM k0)) q WHERE rn = 1),""" for i in range(1, 4))
+    kinds = ["email", "ip", "card", "phone"]
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END || ':' || start || ':' || stop"
+    return fr"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({found}),
+y AS (SELECT r, kind, i, length(p[i]) AS gap, length(f[i]) AS size, f[i] AS s, p[i] AS before, p[i + 1] AS after FROM (SELECT r, kind, p, f, unnest(range(1, len(f) + 1)) AS i FROM x) q),
+z AS (SELECT *, regexp_replace(s, '[^0-9]', '', 'g') AS digits, sum(gap) OVER w + coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM y WINDOW w AS (PARTITION BY r, kind ORDER BY i)),
+v AS (SELECT *, regexp_extract_all(right(before, 48), '[^\x20\x09-\x0D]+') AS bs FROM z WHERE CASE kind WHEN 0 THEN true
+      WHEN 1 THEN len(list_filter(string_split(s, '.'), lambda q: coalesce(try_cast(q AS HUGEINT) <= 255, false))) = 4
+      WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda d, j: CASE WHEN j % 2 = 1 THEN CAST(d AS INT)
+           WHEN 2 * CAST(d AS INT) > 9 THEN 2 * CAST(d AS INT) - 9 ELSE 2 * CAST(d AS INT) END)) % 10 = 0
+      WHEN 3 THEN length(digits) BETWEEN 10 AND 15 ELSE length(digits) >= 5 END),
+a AS (SELECT r, kind, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, lower(s) AS token, regexp_replace(regexp_replace(s, '^[0-9]+$', 'd'), '[A-Za-z0-9]{{2,}}', 'x', 'g') || length(s) AS shape,
+      lower(array_to_string(list_slice(bs, greatest(len(bs) - 1, 1), len(bs)), ' ')) AS lft, lower(regexp_extract(left(after, 48), '[^\x20\x09-\x0D]+')) AS rgt FROM v),
+c AS (SELECT * FROM a WHERE kind < 4 OR NOT EXISTS (SELECT 1 FROM a b WHERE b.r = a.r AND b.kind < 4 AND b.start < a.stop AND a.start < b.stop)),
+pt AS (SELECT kind, token, 'before|' || string_split(lft, ' ')[-1] || '|' || shape AS pattern FROM c WHERE lft <> ''
+      UNION ALL SELECT kind, token, 'before2|' || lft || '|' || shape FROM c WHERE contains(lft, ' ') UNION ALL SELECT kind, token, 'after|' || rgt || '|' || shape FROM c WHERE rgt <> ''),
+se AS (SELECT pattern, token, kind, count(*) AS times FROM pt GROUP BY pattern, token, kind),
+bt AS (SELECT pattern, token, sum(times) AS times FROM se GROUP BY pattern, token), al AS (SELECT pattern, sum(times) AS times FROM se GROUP BY pattern),
+k0 AS (SELECT DISTINCT token, kind, CAST(1.0 AS DOUBLE) AS score FROM se WHERE kind < 4),{rounds}
+e AS (SELECT r, kind, start, stop, true AS base FROM c WHERE kind < 4
+      UNION ALL SELECT c.r, k.kind, start, stop, false FROM c JOIN (SELECT token, min(kind) AS kind FROM k3 GROUP BY token) k ON k.token = c.token WHERE c.kind = 4),
+g AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE base AND kind = {i}) AS n_{k}" for i, k in enumerate(kinds))},
+      string_agg({name}, ',' ORDER BY start, kind, stop) FILTER (WHERE base) AS own, string_agg({name}, ',' ORDER BY start, kind, stop) AS spans, count(*) FILTER (WHERE NOT base) AS n_found FROM e GROUP BY r)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in kinds)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans,
+ CAST(coalesce(n_found, 0) AS BIGINT) AS n_found FROM t LEFT JOIN g ON g.r = t.r"""
+
+
+OP10 = _pii_sql()

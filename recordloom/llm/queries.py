@@ -86,7 +86,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-@query("op10_pii")
+@query("op10_pii", oracles.OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
