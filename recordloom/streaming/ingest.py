@@ -67,6 +67,12 @@ def merge_stream(stream: DataFrame, target: str, checkpoint: str, merge,
             .trigger(availableNow=True).foreachBatch(write).start())
 
 
+def compact_merged(spark: SparkSession, target: str, into: str, merge) -> None:
+    """The folders that ``merge_stream`` added, merged into one table of their own; the caller may then
+    read that one and drop the folders that went into it."""
+    merge(spark.read.parquet(target).drop("batch_id")).write.mode("overwrite").parquet(into)
+
+
 def fresh_stream(stream: DataFrame, key: str, at: str, hours: int = 24) -> DataFrame:
     """Cache entries once per time to live: a repeat inside it is dropped."""
     return candidate_stream(stream, key, at, f"{hours} hours")
