@@ -34,6 +34,8 @@ _PATTERNS = [
 ]
 #: Characters before and after a match in which its context words are looked for.
 CONTEXT = 48
+#: Texts whose spans are broadcast at most when they are redacted; beyond, texts are joined by a shuffle.
+BROADCAST_TEXTS = 100_000
 
 
 def _luhn(digits: Column) -> Column:
@@ -201,6 +203,8 @@ def redact_pii(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     order = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     apart = (spans.withColumn("start", F.greatest("start", F.coalesce(F.max("end").over(order), F.lit(0).cast("long"))))
              .where("start < end").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts")))
+    apart = cut(apart)
+    apart = F.broadcast(apart) if apart.count() <= BROADCAST_TEXTS else apart     # texts are shuffled only for many
     source = F.col(f"doc.`{text_col}`").cast("string")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
