@@ -255,9 +255,11 @@ perf AS (SELECT DISTINCT source_doi, catalyst_system, metric FROM v_claims WHERE
 SELECT doi, 3 AS part, '| Catalyst | Conv% |' || chr(10) || '|---|---|' AS line FROM p WHERE doi IN (SELECT source_doi FROM perf)
 UNION ALL SELECT source_doi, 4, '| ' || coalesce(catalyst_system, '') || ' | ' || CAST(CAST(round(metric) AS INT) AS STRING) || '.0 |' FROM perf
 UNION ALL SELECT doi, 4, '_No quantitative performance data extracted._' FROM p WHERE doi NOT IN (SELECT source_doi FROM perf)
+UNION ALL SELECT doi, 2, chr(10) || '## Catalytic Results' || chr(10) FROM p
+UNION ALL SELECT doi, 5, chr(10) || '## Characterization' || chr(10) FROM p
 UNION ALL SELECT doi, 9, chr(10) || '## Notes' || chr(10) FROM p""")
 def _x4(spark, sf):
-    return note_lines(spark, sf).filter("part in (3, 4, 9)").select("doi", "part", "line")
+    return note_lines(spark, sf).filter("part in (2, 3, 4, 5, 9)").select("doi", "part", "line")
 
 
 def note_lines(spark, sf):
