@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.base import let, quiet_double
+from recordloom.functions.base import any_contains, let, quiet_double
 from recordloom.functions.temperature import (extract_temperatures,
                                               section_temperature_and_pressure)
 from recordloom.operators.ordering import with_neighbours, with_position
@@ -21,6 +21,12 @@ def _all(c: Column, pattern: str) -> Column:
                        lambda v: quiet_double(F.replace(v, F.lit(","), F.lit(""))))
 
 
+def _if_named(c: Column, words: list[str], found: Column) -> Column:
+    """The matches, where one of the upper-case words stands; a substring test settles most text."""
+    named = let(F.upper(c), lambda up: any_contains(up, [*words, "\u212a"]))   # the sign that is no K but matches k
+    return F.when(named, found).otherwise(F.array().cast("array<double>"))
+
+
 def extract_pressures(c: Column) -> Column:
     """array<double> in MPa."""
     scaled = [
@@ -29,19 +35,19 @@ def extract_pressures(c: Column) -> Column:
         F.transform(_all(c, rf"(?iU){_NUM}\s*atm\b"), lambda v: F.round(v * 0.101325, 4)),
         F.transform(_all(c, rf"(?iU){_NUM}\s*kPa\b"), lambda v: F.round(v / 1000, 4)),
     ]
-    return F.concat(*scaled)
+    return _if_named(c, ["MPA", "BAR", "ATM", "KPA"], F.concat(*scaled))
 
 
 def extract_whsv(c: Column) -> Column:
     strict = rf"(?iU)WHSV\s*(?:[=:]|of)?\s*{_NUM}\s*(?:h[-−]1|h\^[-−]?1|/h|·h[-−]1)"
-    return F.array_distinct(F.concat(_all(c, strict),
-                                     _all(c, rf"(?iU)WHSV\s*(?:[=:]|of)\s*{_NUM}")))
+    return _if_named(c, ["WHSV"], F.array_distinct(F.concat(
+        _all(c, strict), _all(c, rf"(?iU)WHSV\s*(?:[=:]|of)\s*{_NUM}"))))
 
 
 def extract_ghsv(c: Column) -> Column:
     strict = rf"(?iU)GHSV\s*(?:[=:]|of)?\s*{_GROUPED}\s*(?:mL|ml|cm3|h[-−]1|/h)"
-    return F.array_distinct(F.concat(_all(c, strict),
-                                     _all(c, rf"(?iU)GHSV\s*(?:[=:]|of)\s*{_GROUPED}")))
+    return _if_named(c, ["GHSV"], F.array_distinct(F.concat(
+        _all(c, strict), _all(c, rf"(?iU)GHSV\s*(?:[=:]|of)\s*{_GROUPED}"))))
 
 
 def extract_loading(c: Column) -> Column:
@@ -106,7 +112,7 @@ def document_conditions(placed: DataFrame, block_size: int = 256, run_on: int =
     text = F.concat(before, "body", after)
     hits = {"temperature_c": extract_temperatures(
         text, F.length(before), F.length(before) + F.length("body") + 1)}
-    hits.update({f: fn(F.concat("body", after)) for f, fn in _NATIVE.items()})
+    hits.update({f: let(F.concat("body", after), fn) for f, fn in _NATIVE.items()})
     values = b.select("doc", *[v.alias(f) for f, v in hits.items()])
 
     def tagged(field):
