@@ -6,11 +6,14 @@ places that agree on where the template would begin are added up. A template cou
 weight agrees and its mandatory phrase stands in the text.
 
 Only DataFrame functions. The templates are a parameter of fixed size, so the index and the counts of
-its words are small whatever the corpus is; files without a rare licence word leave at once.
+its words are small whatever the corpus is; files without a mandatory phrase leave at once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +62,7 @@ def _base(flat: Column, phrase: str) -> Column:
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, looked_up: int = 12,
-                  least_share: float = 0.6, rare_share: float = 0.05, id_col: str = "doc_id",
+                  least_share: float = 0.6, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """Per row of `docs`: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -69,8 +72,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
     `looked_up` rarest licence words of the text, and its phrase is there. score is 1 with a base
     phrase, else the best share of a template that counts, else 0.
 
-    A file without a licence word that at most `rare_share` of all documents have is not looked up.
-    Null text: no words. Rows are scanned one by one, so null ids and repeated rows are kept as they
+    Every file in which a mandatory phrase stands is looked up, however common its words are. Null text: no words. Rows are scanned one by one, so null ids and repeated rows are kept as they
     are. Empty table: empty result. Other columns are ignored.
     """
     vocabulary = sorted({w for _, words, _ in templates for w in words.split()})
@@ -82,9 +84,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
         F.explode(F.array_intersect(F.split(F.lower(flat), " "), known)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     weight = {w: float(_log(total, counts.get(w, 0))) for w in vocabulary}
-    rare = [w for w in order if counts.get(w, 0) <= rare_share * total]
-    rare_words = F.array(*[F.lit(w) for w in rare]).cast("array<string>")
-    hopeful = F.size(F.array_intersect(F.split(F.lower(F.col("flat")), " "), rare_words)) > 0
+    # holds for all files with a phrase: lower() changes A-Z as translate does
+    hopeful = let(F.lower(F.col("flat")), lambda low: reduce(or_, [low.contains(f" {p} ") for p in dict.fromkeys(p for _, _, p in templates)], F.lit(False)))
 
     rows = docs.select(F.col(id_col).alias("_id"), flat.alias("flat"))
     ordered = F.array(*[F.lit(w) for w in order])

@@ -76,6 +76,15 @@ def test_licence_templates(spark):
     assert got[104].n_words == 0 and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_licence_templates_in_many_or_few_rows(spark):
+    notice = {0: "Released under the MIT License.", 1: "Licensed under the Apache License, Version 2.0."}
+    rows = [(i, f"{sentence(random.Random(i), 2000, 30)} {notice.get(i % 3, '')}") for i in range(60)]
+    for table in (rows, rows[:3]):
+        got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+        assert {i: got[i].labels for i in got} == {i: ["mit", "apache-2.0", ""][i % 3] for i, _ in table}
+        assert {got[i].score for i in got} == {0.0, 1.0}
+
+
 def brute_contamination(text, windows):
     words, hit, items = ALNUM.findall(text.translate(LOWER)), set(), set()
     for width in {len(w) for w in windows}:
