@@ -1,9 +1,9 @@
 """Licence scan with a positional index of rare licence words.
 
-How many documents have each licence word is counted over all documents. A file is looked up by its
-highest-IDF licence words only: each occurrence meets the places the word has in the templates, and
-places that agree on where the template would begin are added up. A template counts if enough of its
-weight agrees and its mandatory phrase stands in the text.
+How many documents have each licence word is counted over all documents. The highest-IDF words of each
+template are looked up in a file: every occurrence proposes the place where the template would begin,
+and all words of the template are compared there. A template counts if enough of its weight agrees and
+its mandatory phrase stands in the text.
 
 Only DataFrame functions. The templates are a parameter of fixed size, so the index and the counts of
 its words are small whatever the corpus is; files without a mandatory phrase leave at once.
@@ -61,75 +61,91 @@ def _base(flat: Column, phrase: str) -> Column:
         (_blanks(flat) - 1 - (_blanks(F.element_at(parts, -1)) - 1) - len(phrase.split())).alias("last")))
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, looked_up: int = 12,
-                  least_share: float = 0.6, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, least_share: float = 0.6,
+                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. n_base counts the places of the
     base's phrases, first_word and last_word are their least and largest start (null without one).
-    A template adds its label if `least_share` of its IDF weight agrees on one begin, by the
-    `looked_up` rarest licence words of the text, and its phrase is there. score is 1 with a base
-    phrase, else the best share of a template that counts, else 0.
-
-    Every file in which a mandatory phrase stands is looked up, however common its words are. Null text: no words. Rows are scanned one by one, so null ids and repeated rows are kept as they
-    are. Empty table: empty result. Other columns are ignored.
+    A template adds its label if words with at least `least_share` of its IDF weight stand in their places
+    from one begin on, and its mandatory phrase is in the text. score is 1 with a base phrase, else the
+    best share of a template that counts, else 0.
+
+    Begins are proposed by the rarest words of each template, as many as every begin that counts must
+    hold one of, and verified by all its words; so none is missed. Every file in which a mandatory
+    phrase stands is looked up. Null text: no words. Rows are scanned one by one, so null ids and
+    repeated rows are kept as they are. Empty table: empty result. Other columns are ignored.
     """
     vocabulary = sorted({w for _, words, _ in templates for w in words.split()})
     known = F.array(*[F.lit(w) for w in vocabulary])
     flat = spaced(F.col(text_col))
-    # the rarest words first; at most as many rows as the templates have words
+    # at most as many rows as the templates have words
     total = docs.count()
     counts = {r["word"]: r["n"] for r in docs.select(
         F.explode(F.array_intersect(F.split(F.lower(flat), " "), known)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     weight = {w: float(_log(total, counts.get(w, 0))) for w in vocabulary}
     # holds for all files with a phrase: lower() changes A-Z as translate does
     hopeful = let(F.lower(F.col("flat")), lambda low: reduce(or_, [low.contains(f" {p} ") for p in dict.fromkeys(p for _, _, p in templates)], F.lit(False)))
 
     rows = docs.select(F.col(id_col).alias("_id"), flat.alias("flat"))
-    ordered = F.array(*[F.lit(w) for w in order])
+    texts = [text.split() for _, text, _ in templates]
+    whole = [sum(weight[w] for w in words) for words in texts]
+    index = [(t, at, texts[t][at]) for t in range(len(texts)) for at in _proposing([weight[w] for w in texts[t]], least_share)]
 
-    def look(low: Column) -> Column:
-        def picked(pair: Column) -> Column:
-            return F.filter(F.transform(pair["words"], lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
-                            lambda x: F.array_contains(pair["top"], x["word"]))
+    def fixed(rows: list[list[Column]], kind: str) -> Column:
+        return F.array(*[F.struct(*row) for row in rows]).cast(f"array<struct<{kind}>>")
 
-        def with_top(words: Column) -> Column:
-            return let(F.struct(words.alias("words"), F.slice(F.array_intersect(ordered, words), 1, looked_up).alias("top")), picked)
+    anchors = fixed([[F.lit(x) for x in row] for row in index], "template:int,place:int,word:string")
+    contents = F.array(*[fixed([[F.lit(at), F.lit(w), F.lit(weight[w])] for at, w in enumerate(words)],
+                               "place:int,word:string,weight:double") for words in texts])
+    labels = F.array(*[F.lit(label) for label, _, _ in templates])
+    totals = F.array(*[F.lit(w or 1.0) for w in whole])
 
+    def look(low: Column) -> Column:
         phrases = F.filter(F.array(*[F.when(low.contains(f" {phrase} "), F.lit(i)) for i, (_, _, phrase) in enumerate(templates)]),
                            lambda x: x.isNotNull())
-        return F.struct(phrases.alias("phrases"), F.when(F.size(phrases) > 0, let(F.split(F.trim(low), " "), with_top)).alias("places"))
+        return F.when(F.size(phrases) > 0, let(F.struct(phrases.alias("phrases"), F.split(F.trim(low), " ").alias("words")), verified))
+
+    def verified(pair: Column) -> Column:
+        words = pair["words"]
 
-    scanned = cut(rows.select(F.monotonically_increasing_id().alias("row"), "_id", (_blanks(F.col("flat")) - 1).alias("n_words"),
+        def proposed(x: Column) -> Column:
+            places = F.filter(F.transform(words, lambda w, i: F.when(w == x["word"], i)), lambda i: i.isNotNull())
+            return F.transform(places, lambda i: F.struct(x["template"].alias("template"), (i - x["place"]).alias("begin")))
+
+        def agreed(x: Column) -> Column:
+            weight = F.aggregate(F.get(contents, x["template"]), F.lit(0.0), lambda a, y: a + F.when(
+                F.get(words, x["begin"] + y["place"]) == y["word"], y["weight"]).otherwise(0.0))
+            return F.struct(F.get(labels, x["template"]).alias("label"), F.round(weight / F.get(totals, x["template"]), 6).alias("share"))
+
+        begins = F.flatten(F.transform(F.filter(anchors, lambda x: F.array_contains(pair["phrases"], x["template"])), proposed))
+        return F.filter(F.transform(begins, agreed), lambda x: x["share"] >= least_share)
+
+    scanned = cut(rows.select("_id", (_blanks(F.col("flat")) - 1).alias("n_words"),
                               F.array(*[_base(F.col("flat"), phrase) for _, phrase in BASE]).alias("base"),
-                              F.when(hopeful, let(F.translate("flat", _UPPER, _LOWER), look)).alias("seen"))
-                  .select("row", "_id", "n_words", "base", "seen.*"))
-    index = docs.sparkSession.createDataFrame(
-        [(w, t, at, weight[w]) for t, (_, text, _) in enumerate(templates) for at, w in enumerate(text.split())],
-        "word string, template int, place int, weight double")
-    whole = F.create_map(*[x for t, (_, text, _) in enumerate(templates) for x in
-                           (F.lit(t), F.lit(sum(weight[w] for w in text.split()) or 1.0))])
-    labels = F.array(*[F.lit(label) for label, _, _ in templates])
-    begins = (scanned.where(F.size("phrases") > 0).select("row", "phrases", F.explode("places").alias("x"))
-              .select("row", "phrases", "x.*").join(F.broadcast(index), "word")
-              .where(F.array_contains("phrases", F.col("template")))
-              .groupBy("row", "template", (F.col("at") - F.col("place")).alias("begin"))
-              .agg(F.sum("weight").alias("weight")))
-    found = (begins.withColumn("share", F.round(F.col("weight") / F.element_at(whole, F.col("template")), 6))
-             .where(F.col("share") >= least_share)
-             .groupBy("row").agg(F.collect_set(F.get(labels, F.col("template"))).alias("more"), F.max("share").alias("share")))
+                              F.when(hopeful, let(F.translate("flat", _UPPER, _LOWER), look)).alias("found")))
+    more, share = F.array_distinct(F.transform("found", lambda x: x["label"])), F.array_max(F.transform("found", lambda x: x["share"]))
     none = F.array().cast("array<string>")
     held = F.filter(F.array(*[F.when(F.col("base")[i].isNotNull(), F.lit(label)) for i, (label, _) in enumerate(BASE)]), lambda x: x.isNotNull())
-    return (scanned.join(found, "row", "left").select(
+    return scanned.select(
         F.col("_id").alias(id_col), "n_words",
         F.aggregate("base", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["n"], F.lit(0).cast("long"))).alias("n_base"),
         F.array_min(F.transform("base", lambda x: x["first"])).alias("first_word"),
         F.array_max(F.transform("base", lambda x: x["last"])).alias("last_word"),
         F.array_join(F.array_sort(held), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(held, F.coalesce("more", none))), ",").alias("labels"),
-        F.when(F.size(held) > 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce("share", F.lit(0.0)))).alias("score")))
+        F.array_join(F.array_sort(F.array_union(held, F.coalesce(more, none))), ",").alias("labels"),
+        F.when(F.size(held) > 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0)))).alias("score"))
+
+
+def _proposing(weights: list[float], least_share: float) -> list[int]:
+    """The heaviest places of a template that together weigh more than may be missing."""
+    places, left = [], (1 - least_share + 1e-6) * sum(weights)      # shares are rounded to 6 digits
+    for at in sorted(range(len(weights)), key=lambda i: (-weights[i], i)):
+        if left < 0:
+            break
+        places.append(at)
+        left -= weights[at]
+    return places
 
 
 def _log(total: int, count: int) -> float:

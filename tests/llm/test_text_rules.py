@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -6,7 +7,7 @@ from collections import Counter
 import pytest
 
 from recordloom.llm.decontaminate import contamination, covered_words, mark_contamination, remove_contamination
-from recordloom.llm.license_scan import BASE, scan_licenses
+from recordloom.llm.license_scan import BASE, TEMPLATES, scan_licenses
 from recordloom.llm.line_rules import rate_lines, remove_common_lines
 from pyspark.sql import functions as F
 
@@ -85,6 +86,41 @@ def test_licence_templates_in_many_or_few_rows(spark):
         assert {got[i].score for i in got} == {0.0, 1.0}
 
 
+def brute_templates(texts, least_share):
+    """(labels, best share) per text, every begin of every template compared word by word."""
+    found = [ALNUM.findall(t.translate(LOWER)) for t in texts]
+    seen = Counter(w for words in found for w in set(words))
+    weight = {w: math.log((len(texts) + 1) / (seen[w] + 1)) + 1e-3 for _, t, _ in TEMPLATES for w in t.split()}
+    out = []
+    for words in found:
+        shares = []
+        for label, text, phrase in TEMPLATES:
+            parts, whole = text.split(), sum(weight[w] for w in text.split())
+            if f" {phrase} " in f" {' '.join(words)} ":
+                shares += [(label, round(sum(weight[w] for i, w in enumerate(parts) if 0 <= b + i < len(words) and words[b + i] == w) / whole, 6))
+                           for b in range(-len(parts), len(words))]
+        out.append(({label for label, share in shares if share >= least_share}, max((x for _, x in shares if x >= least_share), default=0.0)))
+    return out
+
+
+@pytest.mark.parametrize("least_share", [0.6, 0.3, 1.0])
+def test_licence_templates_equal_brute_force(spark, least_share):
+    rng, texts = random.Random(8), [" ".join(t for _, t, _ in TEMPLATES), " ".join(TEMPLATES[i][1] for i in (2, 7, 10))]
+    texts += [" ".join(TEMPLATES[i][1] for i in (2, 9, 1)), "of " * 300 + TEMPLATES[9][1]]
+    for _ in range(80):
+        words = [w for _ in range(rng.randrange(1, 5)) for w in [*rng.choice(TEMPLATES)[1].split(), *sentence(rng, 99, 2).split()]]
+        texts.append(" ".join(rng.choice(words) if rng.random() < 0.08 else w for w in words if rng.random() > 0.02))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(table, least_share=least_share).collect()}
+    if least_share == 0.6:
+        assert set(got[0].labels.split(",")) == {label for label, _, _ in TEMPLATES} | {"cc-by", "gpl"}
+        assert got[1].labels == "bsd,isc,mit" and got[2].labels == "apache-2.0,bsd,mit"
+    for i, (labels, share) in enumerate(brute_templates(texts, least_share)):
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert got[i].labels == ",".join(sorted(labels | base))
+        assert abs(got[i].score - (1.0 if base else min(1.0, share))) < 2e-6
+
+
 def brute_contamination(text, windows):
     words, hit, items = ALNUM.findall(text.translate(LOWER)), set(), set()
     for width in {len(w) for w in windows}:
