@@ -1,8 +1,8 @@
 """Personal data: patterns with checks, and identifiers found by bootstrapped contexts.
 
 The base finds e-mail addresses, IP addresses, payment cards and phone numbers. They are the seeds:
-the words around an entity and its shape are lexical patterns. Candidates are other tokens that look
-like identifiers. Patterns and tokens form a graph that is scored in rounds: a pattern by the share
+the words around an entity and its coarse class are lexical patterns. Candidates are other tokens
+that look like identifiers: parts with digits, numbers in groups, and spelled-out addresses. Patterns and tokens form a graph that is scored in rounds: a pattern by the share
 of its occurrences that are known entities, a token by its best pattern, and tokens over the
 threshold are known in the next round. Candidates with a known token are new spans.
 
@@ -22,7 +22,9 @@ from recordloom.session import cut
 # The kinds in their order.
 KINDS = ["email", "ip", "card", "phone"]
 _CANDIDATE = len(KINDS)
-# The base's patterns. A run of the first class is tried once, from its first character or from the end
+_AT = r"(?:\x20?@\x20?|\x20?[\[({<]\x20?(?:@|[Aa][Tt])\x20?[\])}>]\x20?)"
+_DOT = r"(?:\.|\x20?[\[({<]\x20?(?:\.|[Dd][Oo][Tt])\x20?[\])}>]\x20?|\x20[Dd][Oo][Tt]\x20)"
+# The base's patterns, and from _CANDIDATE on those of candidates. A run of the first class is tried once, from its first character or from the end
 # of the match before; possessive repeats give the same matches, as no later part could use a shorter one.
 _PATTERNS = [
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -31,7 +33,12 @@ _PATTERNS = [
     r"\+[0-9][\x20().0-9-]+[0-9]",
     # tokens with a digit: letters and digits, in parts joined by one sign
     r"(?:\G|(?<![A-Za-z0-9]))[A-Za-z]*+[0-9][A-Za-z0-9]*+(?:[-./:_][A-Za-z0-9]++)*+",
+    # digits in groups, joined by a blank, a sign or brackets
+    r"(?<![A-Za-z0-9])\+?\(?[0-9]++(?:\)?(?:\x20-\x20|[\x20./-])?\(?[0-9]++)++",
+    # addresses with another sign or word for @ and for the dot; a plain " at " needs a dot
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+|\x20[Aa][Tt]\x20[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++)",
 ]
+_SPELLED = len(_PATTERNS) - 1
 #: Characters before and after a match in which its context words are looked for.
 CONTEXT = 48
 #: Texts whose spans are broadcast at most when they are redacted; beyond, texts are joined by a shuffle.
@@ -58,18 +65,22 @@ def _valid(kind: int, match: Column) -> Column:
         return F.when(F.length(digits).between(14, 19), let(digits, _luhn)).otherwise(False)
     if kind == 3:
         return F.length(digits).between(10, 15)
-    return F.length(digits) >= 5
+    return F.lit(True) if kind == _SPELLED else F.length(digits) >= 4       # with fewer, no seed is of its class
 
 
 def _possible(kind: int, text: Column) -> Column:
     """A quick look that rules most texts out."""
     return [text.contains("@"), text.rlike(r"[0-9]\.[0-9]"), text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
-            text.contains("+"), text.rlike("[0-9]")][kind]
+            text.contains("+"), text.rlike("[0-9]"), text.rlike(r"[0-9][\x20()./-]{1,5}[0-9]"),
+            text.contains("@") | text.rlike(r"[\x20\[({<][Aa][Tt][\x20\])}>]")][kind]
 
 
-def _shape(match: Column) -> Column:
-    """Digits only or parts, and the length."""
-    return F.concat(F.regexp_replace(F.regexp_replace(match, "^[0-9]+$", "d"), "[A-Za-z0-9]{2,}", "x"), F.length(match).cast("string"))
+def _class(kind: int, match: Column) -> Column:
+    """An address, or the range of the number of digits; seeds of a kind and candidates for it share it."""
+    if kind in (0, _SPELLED):
+        return F.lit("address")
+    n = F.length(F.regexp_replace(match, "[^0-9]", ""))
+    return F.when(n < 10, "4").when(n < 14, "10").when(n < 20, "14").otherwise("20")
 
 
 def _matches(kind: int, text: Column) -> Column:
@@ -83,19 +94,19 @@ def _matches(kind: int, text: Column) -> Column:
             before = F.regexp_extract_all(F.right(F.get(pieces, i), F.lit(CONTEXT)), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
             after = F.regexp_extract(F.left(F.get(pieces, i + 1), F.lit(CONTEXT)), r"[^\x20\x09-\x0D]+", 0)
             return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("size"),
-                            _valid(kind, m).alias("ok"), F.xxhash64(F.lower(m)).alias("token"), _shape(m).alias("shape"),
+                            _valid(kind, m).alias("ok"), F.xxhash64(F.lower(m)).alias("token"), _class(kind, m).alias("class"),
                             F.lower(F.array_join(F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2), " ")).alias("left"),
                             F.lower(after).alias("right"))
 
         return F.transform(found, one)
 
     pair = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    none = F.array().cast("array<struct<kind:int,i:int,gap:int,size:int,ok:boolean,token:bigint,shape:string,left:string,right:string>>")
+    none = F.array().cast("array<struct<kind:int,i:int,gap:int,size:int,ok:boolean,token:bigint,class:string,left:string,right:string>>")
     return F.when(_possible(kind, text), let(pair, build)).otherwise(none)
 
 
 def _spans(scanned: DataFrame) -> DataFrame:
-    """Rows (row, kind, start, end, token, shape, left, right) of valid matches and candidates."""
+    """Rows (row, kind, start, end, token, class, left, right) of valid matches and candidates."""
     order = Window.partitionBy("row", "kind").orderBy("i")
     begin = F.sum("gap").over(order) + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (scanned.select("row", F.explode("found").alias("x")).select("row", "x.*")
@@ -104,25 +115,27 @@ def _spans(scanned: DataFrame) -> DataFrame:
 
 
 def _free(spans: DataFrame) -> DataFrame:
-    """Without candidates that overlap a span of the base."""
+    """Without candidates that overlap a span of the base; one candidate for each place, of kind _CANDIDATE."""
     order = Window.partitionBy("row").orderBy("start", "kind")
     base = F.col("kind") < _CANDIDATE
     reach = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     next_start = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     return (spans.withColumn("reach", F.coalesce(reach, F.lit(-1))).withColumn("following", F.coalesce(next_start, F.lit(2**62)))
-            .where(base | ((F.col("reach") <= F.col("start")) & (F.col("following") >= F.col("end")))).drop("reach", "following"))
+            .where(base | ((F.col("reach") <= F.col("start")) & (F.col("following") >= F.col("end"))))
+            .withColumn("same", F.row_number().over(Window.partitionBy("row", "start", "end").orderBy("kind")))
+            .where(base | (F.col("same") == 1)).withColumn("kind", F.least("kind", F.lit(_CANDIDATE))).drop("reach", "following", "same"))
 
 
 def bootstrap(spans: DataFrame, rounds: int = 3, threshold: float = 0.75, support: int = 3) -> DataFrame:
     """(token, kind, score) of tokens that contexts show to be entities of a kind.
 
-    `spans` has kind (below 4: a seed of that kind; 4: a candidate), token, shape, left, right. A
+    `spans` has kind (below 4: a seed of that kind; 4: a candidate), token, class, left, right. A
     pattern needs `support` distinct known tokens. Its score is known weight / (occurrences + 1).
     """
     last = F.element_at(F.split("left", " "), -1)
-    patterns = F.array(F.when(F.col("left") != "", F.concat_ws("\x01", F.lit("before"), last, "shape")),
-                       F.when(F.col("left").contains(" "), F.concat_ws("\x01", F.lit("before2"), "left", "shape")),
-                       F.when(F.col("right") != "", F.concat_ws("\x01", F.lit("after"), "right", "shape")))
+    patterns = F.array(F.when(F.col("left") != "", F.concat_ws("\x01", F.lit("before"), last, "class")),
+                       F.when(F.col("left").contains(" "), F.concat_ws("\x01", F.lit("before2"), "left", "class")),
+                       F.when(F.col("right") != "", F.concat_ws("\x01", F.lit("after"), "right", "class")))
     seen = cut(spans.select("kind", "token", F.explode(patterns).alias("pattern")).where("pattern is not null")
                .groupBy(F.xxhash64("pattern").alias("pattern"), "token", "kind").agg(F.count("*").alias("times")))
     # a pattern without a candidate finds nothing, one without a known token never starts
@@ -148,7 +161,7 @@ def find_pii(docs: DataFrame, key: Column, text_col: str = "text", rounds: int =
 
     `key` names rows; rows that share it must have the same text. Positions are code points, the end
     exclusive. Spans of the base may overlap one another, as their kinds are matched apart; new
-    spans overlap none of them.
+    spans overlap none of them, and none of them lies inside another.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     scanned = cut(docs.select(key.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_keep"),
@@ -158,6 +171,9 @@ def find_pii(docs: DataFrame, key: Column, text_col: str = "text", rounds: int =
     base = spans.where(F.col("kind") < _CANDIDATE).select("row", "kind", "start", "end", F.lit(True).alias("base"))
     new = (spans.where(F.col("kind") == _CANDIDATE).join(known.groupBy("token").agg(F.min("as_kind").alias("as_kind")), "token")
            .select("row", F.col("as_kind").alias("kind"), "start", "end", F.lit(False).alias("base")))
+    # of a number and its groups the longest stays
+    longer = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    new = new.withColumn("reach", F.max("end").over(longer)).where("reach is null or end > reach").drop("reach")
     return scanned.select("row", "_keep"), cut(base.unionByName(new))
 
 
@@ -196,7 +212,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """
     kinds = dict(docs.dtypes)
     text = F.col(f"`{text_col}`").cast("string")
-    maybe = F.coalesce(text.contains("@") | text.rlike("[0-9]"), F.lit(False))
+    maybe = F.coalesce(text.rlike("[0-9]") | _possible(_SPELLED, text), F.lit(False))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.sha2(text, 256).alias("row"), maybe.alias("maybe"))
     texts = docs.where(maybe).select(text.alias("text"), F.sha2(text, 256).alias("key")).dropDuplicates(["key"])
     _, spans = find_pii(texts, F.col("key"), "text", **options)

@@ -132,6 +132,29 @@ def test_contexts_discover_identifiers(spark):
     assert "<card>" in clean[0] and len(clean) == len(rows)
 
 
+def test_contexts_discover_other_spellings(spark):
+    rng, rows = random.Random(6), []
+    for i in range(30):
+        digits = luhn_number(rng)
+        known = [f"write to a{i}@host{i}.org for help", f"please call +49 30 {rng.randrange(10**6, 10**7)} today", f"server {i + 10}.{i + 20}.200.{100 + i} is down",
+                 f"card number {' '.join(digits[j:j + 4] for j in range(0, 16, 4))} expires soon"]
+        rows += [(len(rows) + j, f"{sentence(rng)} {t}") for j, t in enumerate(known)]
+    unseen = {1000: ("write to ", "email", "jane.doe (at) mail dot example dot com", " for help"), 1001: ("write to ", "email", "jane@localhost", " for help"),
+              1002: ("please call ", "phone", "555-010-2345", " today"), 1003: ("please call ", "phone", "(555) 010 23456", " today"),
+              1004: ("server ", "ip", "110-120-130-140", " is down"), 1005: ("server ", "ip", "10.20.300.9999", " is down"),
+              1006: ("card number ", "card", "4111 1111 1111 1112", " expires soon"), 1007: ("write to ", "email", "joe at example.com", " for help")}
+    rows += [(i, before + token + after) for i, (before, _, token, after) in unseen.items()]
+    rows += [(2000, "part 555-010-2345-6 shipped"), (2001, "look at this dot and (5) 12345678901"), (2002, "order 4111 1111 1111 1113 shipped")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_digest(docs).collect()}
+    clean = {r.doc_id: r.text for r in redact_pii(docs).collect()}
+    for i, (before, kind, token, after) in unseen.items():
+        assert got[i].spans == f"{kind}:{len(before)}:{len(before + token)}" and got[i].n_found == 1, (i, got[i])
+        assert clean[i] == f"{before}<{kind}>{after}"
+    assert [got[i].spans for i in (2000, 2001, 2002)] == ["", "", ""] and len(clean) == len(rows)
+    assert all(got[i].n_found == 0 for i in range(120))
+
+
 def test_redaction_keeps_rows(corpus, nothing):
     same = redact_pii(corpus)
     assert same.columns == corpus.columns and same.count() == corpus.count() and redact_pii(nothing).collect() == []
