@@ -158,3 +158,33 @@ SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k i
 
 
 OP10 = _pii_sql()
+
+
+_VECTOR = "list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11 = f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_VECTOR.format(scale=256)} AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
+def kmeans_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of exact integer clustering, one after the other."""
+    near = """SELECT v.vec_id, v.q, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i]))) AS d
+      FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY d, c.c) = 1"""
+    parts = [f"v AS MATERIALIZED (SELECT vec_id, {_VECTOR.format(scale=1024)} AS q FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, q FROM v QUALIFY c < {k})"]
+    for r in range(rounds):
+        parts += [f"a{r} AS MATERIALIZED ({near.format(r=r)})",
+                  f"m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM "
+                  f"(SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r}) y GROUP BY c, i) z GROUP BY c)",
+                  f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.q, o.q) AS q FROM c{r} o LEFT JOIN m{r} m ON m.c = o.c)"]
+    parts.append(f"f AS MATERIALIZED ({near.format(r=rounds)})")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT f.vec_id, CAST(f.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY f.c) AS BIGINT) AS cluster_inertia,
+ CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(o.q, ',')) AS centroid_sha256 FROM f JOIN c{rounds} o ON o.c = f.c"""

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordloom.llm import oracles
 from recordloom.llm.base import table
 from recordloom.llm.decontaminate import contamination
+from recordloom.llm.hilbert_negatives import mine_negatives
 from recordloom.llm.jaccard_join import jaccard_components
 from recordloom.llm.license_scan import BASE, TEMPLATES, scan_licenses
 from recordloom.llm.line_rules import rate_lines
@@ -17,6 +19,7 @@ from recordloom.llm.packing import pack_documents
 from recordloom.llm.pii import pii_digest
 from recordloom.llm.quality import rate_quality
 from recordloom.llm.substring_dedup import substring_dedup
+from recordloom.llm.subvector_kmeans import cluster_vectors
 from recordloom.llm.token_store import read_documents, write_tokens
 from recordloom.llm.url_filter import judge_urls
 from recordloom.session import shared_folder, tune
@@ -94,3 +97,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_quality_classifier")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_hard_negatives", oracles.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(vectors.withColumn("label", label))
+
+
+@query("op13_subvector_clustering", oracles.kmeans_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
