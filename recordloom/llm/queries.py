@@ -17,6 +17,7 @@ from recordloom.llm.license_scan import BASE, TEMPLATES, scan_licenses
 from recordloom.llm.line_rules import rate_lines
 from recordloom.llm.packing import pack_documents
 from recordloom.llm.pii import pii_digest
+from recordloom.llm.pitman_yor import score_texts
 from recordloom.llm.quality import rate_quality
 from recordloom.llm.substring_dedup import substring_dedup
 from recordloom.llm.subvector_kmeans import cluster_vectors
@@ -109,3 +110,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_subvector_clustering", oracles.kmeans_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_pitman_yor")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return score_texts(table(spark, sf_dir, "documents"), held_out)
