@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,4 +58,24 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/cut"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what `cut` wrote for these frames; nothing may read them, or frames made of them, any more."""
+    for df in frames:
+        if path := getattr(df, "_cut_path", None):
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nobody holds any more; its own timer is half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
