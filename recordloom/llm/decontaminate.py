@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.base import free_memory, sliced
+from recordloom.llm.base import NULL_ID, free_memory, id_key, sliced
 from recordloom.llm.bytewords import U64, Words, alnum_words, buffer_of, mix, words_of
 from recordloom.session import cut
 
@@ -170,12 +170,11 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, part_words: int)
                                    "codes": pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)),
                                                                      pa.array(words.code.view(np.int64)))})
 
-    items = (benchmark.where(F.col(item_col).isNotNull())
-             .select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
+    items = (benchmark.select(id_key(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
              .mapInArrow(run, "item long, n long, codes array<long>").where("n > 0"))
     total = items.agg(F.sum("n").alias("n")).first()["n"] or 0
     count = max(1, -(-total // part_words))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(count)))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item", "codes"), F.lit(count)))
     for part in range(count):
         rows = dealt.where(F.col("part") == part).collect() if count > 1 else items.collect()
         if rows:
@@ -201,9 +200,9 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     of the items that have a window there), _longest (longest item sequence in the text) and _cleaned
     (the text without the bytes from the first to the last word of each span; null without a span).
 
-    Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null text: no words. Items with
-    null id or without words have no windows; several rows with one item id are one item. Empty
-    benchmark: nothing is marked. The other columns of `docs` come back in the struct `row` and the text
+    Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null text: no words. Items
+    without words have no windows; several rows with one item id are one item. Windows of items with null
+    id are covered like all others, and their id is not listed. Empty benchmark: nothing is marked. The other columns of `docs` come back in the struct `row` and the text
     in `text`, so their names can't clash with the new ones.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
@@ -227,7 +226,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 for r, span in zip(row.tolist(), np.stack((a, b), axis=1).tolist()):
                     spans[r] = spans[r] + span
                 for r, more in found.items():
-                    items[r] = items[r] + sorted(more)
+                    items[r] = items[r] + sorted(more - {NULL_ID})
                 raw, border = buffer_of(batch.column("text"))
                 for r in np.unique(row).tolist():
                     cleaned[r] = _without(raw, border[r], border[r + 1], words, int(words.first[r]), spans[r])

@@ -42,7 +42,7 @@ v AS (SELECT doc_id, n, p, array_to_string(list_slice(ws, p, p + n - 1), ' ') AS
       (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM b) z) q),
 m AS (SELECT v.doc_id, v.p, v.n, b.item_id FROM v JOIN b ON b.n = v.n AND b.k = v.k),
 c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM m) y GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) y GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m WHERE item_id IS NOT NULL) y GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
  sha256(coalesce(t.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
 
@@ -92,7 +92,7 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= (SELECT cut FRO
 
 
 def licence_sql(templates: list[tuple[str, str, str]], base: list[tuple[str, str]]) -> str:
-    """The licence scan with these templates and base phrases, 12 words looked up, 0.6 and 0.05 as shares."""
+    """The licence scan with these templates and base phrases; 0.6 of a whole template must agree."""
     rows = ", ".join(f"({i}, '{label}', '{words}', '{phrase}')" for i, (label, words, phrase) in enumerate(templates))
     phrases = ", ".join(f"('{label}', '{phrase}')" for label, phrase in base)
     return fr"""WITH tp AS (SELECT * FROM (VALUES {rows}) v(t, label, words, phrase)),
@@ -101,12 +101,10 @@ d AS (SELECT row_number() OVER () AS r, doc_id, {_words(_LOW, _GAP)} AS ws FROM
 n AS (SELECT count(*) AS n FROM d),
 o AS (SELECT r, p, ws[p] AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM d) q),
 df AS (SELECT v.word, count(DISTINCT r) AS c FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN o ON o.word = v.word GROUP BY v.word),
-wt AS (SELECT word, c, ln((n + 1.0) / (c + 1.0)) + 1e-3 AS weight, row_number() OVER (ORDER BY c, word) AS k FROM df, n),
-h AS (SELECT DISTINCT r FROM o JOIN wt ON wt.word = o.word, n WHERE c <= 0.05 * n),
-top AS (SELECT r, word FROM (SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM (SELECT DISTINCT o.r, o.word, k FROM o JOIN wt ON wt.word = o.word JOIN h ON h.r = o.r) q) z WHERE i <= 12),
-ph AS (SELECT d.r, t FROM d JOIN h ON h.r = d.r JOIN tp ON contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || phrase || ' ')),
+wt AS (SELECT word, c, ln((n + 1.0) / (c + 1.0)) + 1e-3 AS weight FROM df, n),
+ph AS (SELECT d.r, t FROM d JOIN tp ON contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || phrase || ' ')),
 whole AS (SELECT t, sum(weight) AS w FROM tw JOIN wt ON wt.word = tw.word GROUP BY t),
-b AS (SELECT o.r, tw.t, o.p - place AS head, sum(weight) AS w FROM o JOIN top ON top.r = o.r AND top.word = o.word JOIN tw ON tw.word = o.word JOIN ph ON ph.r = o.r AND ph.t = tw.t
+b AS (SELECT o.r, tw.t, o.p - place AS head, sum(weight) AS w FROM o JOIN tw ON tw.word = o.word JOIN ph ON ph.r = o.r AND ph.t = tw.t
       JOIN wt ON wt.word = o.word GROUP BY o.r, tw.t, o.p - place),
 m AS (SELECT r, label, round(b.w / whole.w, 6) AS share FROM b JOIN whole ON whole.t = b.t JOIN tp ON tp.t = b.t WHERE round(b.w / whole.w, 6) >= 0.6),
 ba AS (SELECT * FROM (VALUES {phrases}) v(label, phrase)),
@@ -120,10 +118,24 @@ FROM d LEFT JOIN xs ON xs.r = d.r LEFT JOIN al ON al.r = d.r LEFT JOIN sc ON sc.
 
 
 def _pii_sql() -> str:
-    """Personal data with its bootstrapped contexts: 3 rounds, threshold 0.75, 3 known tokens a pattern."""
+    """Personal data with its bootstrapped contexts: 3 rounds, threshold 0.75, 3 known tokens a pattern.
+
+    Candidates are parts with digits (4), digits in groups (5) and spelled-out addresses (6). For the last two the
+    character before is matched too, as the first of two groups, where the library looks behind.
+    """
+    at = r"(?:\x20?@\x20?|\x20?[\[({<]\x20?(?:@|[Aa][Tt])\x20?[\])}>]\x20?)"
+    dot = r"(?:\.|\x20?[\[({<]\x20?(?:\.|[Dd][Oo][Tt])\x20?[\])}>]\x20?|\x20[Dd][Oo][Tt]\x20)"
+    part = "[A-Za-z0-9-]+"
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
-                r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]", r"[A-Za-z]*[0-9][A-Za-z0-9]*(?:[-./:_][A-Za-z0-9]+)*"]
-    found = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_split_to_array(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS f FROM t" for k, p in enumerate(patterns))
+                r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]", r"[A-Za-z]*[0-9][A-Za-z0-9]*(?:[-./:_][A-Za-z0-9]+)*",
+                r"(^|[^A-Za-z0-9])(\+?\(?[0-9]+(?:(?:\)(?:\x20-\x20|[\x20./-])?\(?|(?:\x20-\x20|[\x20./-])\(?|\()[0-9]+)+)",
+                rf"(^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:{at}{part}(?:{dot}{part})*|\x20[Aa][Tt]\x20{part}(?:{dot}{part})+))"]
+
+    def matched(kind: int, p: str) -> str:
+        found = f"regexp_extract_all(t, '{p}', 2) AS f, regexp_extract_all(t, '{p}', 1) AS b" if kind > 4 else f"regexp_extract_all(t, '{p}') AS f, [] AS b"
+        return f"SELECT r, {kind} AS kind, regexp_split_to_array(t, '{p}') AS p, {found} FROM t"
+
+    found = " UNION ALL ".join(matched(k, p) for k, p in enumerate(patterns))
     rounds = "".join(fr"""
 w{i} AS (SELECT b.pattern, k.kind, sum(b.times * k.score) / (any_value(a.times) + 1) AS score FROM bt b JOIN k{i - 1} k ON k.token = b.token JOIN al a ON a.pattern = b.pattern
       GROUP BY b.pattern, k.kind HAVING count(*) >= 3 AND sum(b.times * k.score) / (any_value(a.times) + 1) >= 0.75),
@@ -133,24 +145,29 @@ k{i} AS (SELECT * FROM k0 UNION ALL SELECT token, kind, score FROM (SELECT s.tok
     name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END || ':' || start || ':' || stop"
     return fr"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 x AS ({found}),
-y AS (SELECT r, kind, i, length(p[i]) AS gap, length(f[i]) AS size, f[i] AS s, p[i] AS before, p[i + 1] AS after FROM (SELECT r, kind, p, f, unnest(range(1, len(f) + 1)) AS i FROM x) q),
+y AS (SELECT r, kind, i, length(p[i] || coalesce(b[i], '')) AS gap, length(f[i]) AS size, f[i] AS s, p[i] || coalesce(b[i], '') AS before, p[i + 1] || coalesce(b[i + 1], '') AS after
+      FROM (SELECT r, kind, p, f, b, unnest(range(1, len(f) + 1)) AS i FROM x) q),
 z AS (SELECT *, regexp_replace(s, '[^0-9]', '', 'g') AS digits, sum(gap) OVER w + coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM y WINDOW w AS (PARTITION BY r, kind ORDER BY i)),
 v AS (SELECT *, regexp_extract_all(right(before, 48), '[^\x20\x09-\x0D]+') AS bs FROM z WHERE CASE kind WHEN 0 THEN true
       WHEN 1 THEN len(list_filter(string_split(s, '.'), lambda q: coalesce(try_cast(q AS HUGEINT) <= 255, false))) = 4
       WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda d, j: CASE WHEN j % 2 = 1 THEN CAST(d AS INT)
            WHEN 2 * CAST(d AS INT) > 9 THEN 2 * CAST(d AS INT) - 9 ELSE 2 * CAST(d AS INT) END)) % 10 = 0
-      WHEN 3 THEN length(digits) BETWEEN 10 AND 15 ELSE length(digits) >= 5 END),
-a AS (SELECT r, kind, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, lower(s) AS token, regexp_replace(regexp_replace(s, '^[0-9]+$', 'd'), '[A-Za-z0-9]{{2,}}', 'x', 'g') || length(s) AS shape,
+      WHEN 3 THEN length(digits) BETWEEN 10 AND 15 WHEN 6 THEN true ELSE length(digits) >= 4 END),
+a AS (SELECT r, kind, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, lower(s) AS token,
+      CASE WHEN kind IN (0, 6) THEN 'address' WHEN length(digits) < 10 THEN '4' WHEN length(digits) < 14 THEN '10' WHEN length(digits) < 20 THEN '14' ELSE '20' END AS shape,
       lower(array_to_string(list_slice(bs, greatest(len(bs) - 1, 1), len(bs)), ' ')) AS lft, lower(regexp_extract(left(after, 48), '[^\x20\x09-\x0D]+')) AS rgt FROM v),
-c AS (SELECT * FROM a WHERE kind < 4 OR NOT EXISTS (SELECT 1 FROM a b WHERE b.r = a.r AND b.kind < 4 AND b.start < a.stop AND a.start < b.stop)),
+c AS (SELECT r, kind, start, stop, token, shape, lft, rgt FROM a WHERE kind < 4 UNION ALL
+      SELECT r, 4, start, stop, token, shape, lft, rgt FROM (SELECT *, row_number() OVER (PARTITION BY r, start, stop ORDER BY kind) AS same FROM a WHERE kind >= 4
+      AND NOT EXISTS (SELECT 1 FROM a b WHERE b.r = a.r AND b.kind < 4 AND b.start < a.stop AND a.start < b.stop)) q WHERE same = 1),
 pt AS (SELECT kind, token, 'before|' || string_split(lft, ' ')[-1] || '|' || shape AS pattern FROM c WHERE lft <> ''
       UNION ALL SELECT kind, token, 'before2|' || lft || '|' || shape FROM c WHERE contains(lft, ' ') UNION ALL SELECT kind, token, 'after|' || rgt || '|' || shape FROM c WHERE rgt <> ''),
 se AS (SELECT pattern, token, kind, count(*) AS times FROM pt GROUP BY pattern, token, kind),
 bt AS (SELECT pattern, token, sum(times) AS times FROM se GROUP BY pattern, token), al AS (SELECT pattern, sum(times) AS times FROM se GROUP BY pattern),
 k0 AS (SELECT DISTINCT token, kind, CAST(1.0 AS DOUBLE) AS score FROM se WHERE kind < 4),{rounds}
-e AS (SELECT r, kind, start, stop, true AS base FROM c WHERE kind < 4
-      UNION ALL SELECT c.r, k.kind, start, stop, false FROM c JOIN (SELECT token, min(kind) AS kind FROM k3 GROUP BY token) k ON k.token = c.token WHERE c.kind = 4),
+nw AS (SELECT c.r, k.kind, start, stop, max(stop) OVER (PARTITION BY c.r ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+      FROM c JOIN (SELECT token, min(kind) AS kind FROM k3 GROUP BY token) k ON k.token = c.token WHERE c.kind = 4),
+e AS (SELECT r, kind, start, stop, true AS base FROM c WHERE kind < 4 UNION ALL SELECT r, kind, start, stop, false FROM nw WHERE reach IS NULL OR stop > reach),
 g AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE base AND kind = {i}) AS n_{k}" for i, k in enumerate(kinds))},
       string_agg({name}, ',' ORDER BY start, kind, stop) FILTER (WHERE base) AS own, string_agg({name}, ',' ORDER BY start, kind, stop) AS spans, count(*) FILTER (WHERE NOT base) AS n_found FROM e GROUP BY r)
 SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in kinds)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans,

@@ -137,12 +137,13 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str, text_col: str,
+           special_strings: bool = True) -> DataFrame:
     """One row per piece of each document: id, k, piece, start, length, ids_crc32."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, special_strings)
         for batch in sliced(batches, "text"):
             ids, border = coder.encode(batch.column("text"), end)
             data = memoryview(ids.astype("<u4").tobytes())
@@ -164,15 +165,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", special_strings: bool = True) -> DataFrame:
     """Pack the token ids of all documents, each followed by id `end`, into sequences.
 
+    Strings of special tokens in a text become those tokens, as in a plain call of the tokenizers
+    library; with `special_strings=False` they are ordinary text.
+
     Documents longer than `capacity` are cut into pieces of `capacity` ids, the first of which may
     be shorter. Returns one row per piece: id, piece, start, length, ids_crc32, sequence_id, offset;
     offsets in a sequence have no gaps. Null or empty text: one piece, the end id. A null id or a
     repeated row is packed like any other row. Empty table: empty result. Other columns are ignored.
     """
-    cutted = cut(pieces(docs, tokenizer, capacity, end, id_col, text_col))
+    cutted = cut(pieces(docs, tokenizer, capacity, end, id_col, text_col, special_strings))
     counts = {r["length"]: r["count"] for r in cutted.groupBy("length").count().collect()}  # at most `capacity` rows
     places = plan(counts, capacity)
     keys = (places[:, 0] << 44) + places[:, 1]

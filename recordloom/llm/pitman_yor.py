@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.base import free_memory, sliced
 from recordloom.llm.bytewords import U64, blank_words, mix, words_of
-from recordloom.session import cut, shared_folder
+from recordloom.session import cut, delete, drop_old_shuffles, shared_folder
 
 #: Bytes of text in a chunk; a longer text is a chunk alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Keys, with repeats over chunks, in a part of a round trip.
-PART_KEYS = 2_000_000
+PART_KEYS = 1_000_000
 #: Customers of a dish up to which its tables are drawn exactly (a power of two).
 EXACT = 256
 #: Numbers that a step of the sampler holds.
@@ -310,22 +310,26 @@ class _Model:
     def bucketed(self, df: DataFrame) -> DataFrame:
         """Write rows by chunk, so that joins on it need no exchange of them."""
         name = f"chunks_{uuid.uuid4().hex}"
-        (df.write.bucketBy(self.buckets, "chunk").option("path", f"{shared_folder(self.spark)}/{name}").format("parquet").saveAsTable(name))
-        self.tables.append(name)
+        path = f"{shared_folder(self.spark)}/{name}"
+        df.write.bucketBy(self.buckets, "chunk").option("path", path).format("parquet").saveAsTable(name)
+        self.tables.append((name, path))
         return self.spark.table(name)
 
     def drop(self) -> None:
-        for name in self.tables:
+        for name, path in self.tables:
             self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, path)
 
     def trip(self, sent: DataFrame, root: Root | None = None, sweep: int = 0) -> tuple[DataFrame, dict[str, int]]:
         """(rows (chunk, back) with the parts of every chunk, totals over all keys)."""
-        rows = cut(sent.groupBy("part").applyInArrow(_summed(root, sweep),
-                                                     "chunk long, part long, own binary, sums array<binary>, kinds long, total long, ones long, twos long, customers long, seats long"))
         names = ["kinds", "total", "ones", "twos", "customers", "seats"]
-        totals = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
-        back = rows.groupBy("chunk").agg(F.collect_list(F.struct("part", "own", "sums")).alias("back"))
-        return self.bucketed(back), totals
+        rows = sent.groupBy("part").applyInArrow(_summed(root, sweep), "chunk long, part long, own binary, sums array<binary>, "
+                                                 + ", ".join(f"{c} long" for c in names))
+        back = self.bucketed(rows.groupBy("chunk").agg(F.collect_list(F.struct("part", "own", "sums")).alias("back"),
+                                                       *[F.sum(c).alias(c) for c in names]))
+        totals = back.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
+        drop_old_shuffles(self.spark)
+        return back.select("chunk", "back"), totals
 
     def words(self) -> tuple[DataFrame, dict[str, int]]:
         parts = self.word_parts
@@ -437,7 +441,7 @@ def _scores(parts: tuple[int, int], roots: list[Root], burn: int, known: int, to
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, sweeps: int = 3, burn: int = 1, strength: float = 1.0,
+def score_texts(docs: DataFrame, held_out: Column, sweeps: int = 2, burn: int = 1, strength: float = 1.0,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

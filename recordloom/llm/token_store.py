@@ -96,16 +96,19 @@ class Code:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id",
-                 text_col: str = "text") -> None:
+                 text_col: str = "text", special_strings: bool = True) -> None:
     """Write the ids of all documents, each followed by id `end`, in ascending order of document ids.
 
+    Strings of special tokens in a text become those tokens, as in a plain call of the tokenizers
+    library; with `special_strings=False` they are ordinary text.
+
     Null or empty text: the end id alone. A null id comes last; rows with one id are in the order
     of a hash of their texts. An empty table gives a store without segments. Other columns are ignored.
     """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, coder = TaskContext.get().partitionId(), encoder(tokenizer)
+        shard, coder = TaskContext.get().partitionId(), encoder(tokenizer, special_strings)
         names, sizes, held, number, before = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:

@@ -5,7 +5,7 @@ before it in its blank-separated piece, nor across a blank that follows a visibl
 ids of a text are those of its pieces, each with the blank before it, and pieces repeat: they are
 encoded by the tokenizers library when first met. Pieces are found in whole batches by fingerprint.
 A text in which white space comes before a blank, or that ends in a blank, could be split elsewhere;
-it is encoded as a whole.
+it is encoded as a whole, and so is a text that holds the string of a special token.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from recordloom.llm.base import HELD
 from recordloom.llm.bytewords import U64, Words, buffer_of, mix, words_of
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 #: Pieces that are encoded in one call.
 _CALL = 8192
 _NEAR = 1 << 20
@@ -33,14 +33,21 @@ _WIDE_LAST[[w[-1] for w in _WIDE_BLANKS]] = True
 
 
 class Encoder:
-    """One tokenizer file in one worker; at most about `limit` pieces are kept, some 40 bytes each."""
+    """One tokenizer file in one worker; at most about `limit` pieces are kept, some 40 bytes each.
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    A string of a special token in a text becomes that token, as the library does by default; with
+    `special_strings=False` it is ordinary text.
+    """
+
+    def __init__(self, path: str, limit: int = 1_000_000, special_strings: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        special = [(i, t.content) for i, t in added if t.special]
+        self.special_strings = special_strings
+        self.signs = [t.content.encode() for _, t in added] if special_strings else []
         self.mark, self.sign = special[0] if special else (None, None)   # parts pieces in one call
         self.limit = limit
         self._restart()
@@ -54,8 +61,8 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def plain(self, texts: list[str]) -> list:
-        """Encodings in which the strings of special tokens are ordinary text."""
-        self.tokenizer.encode_special_tokens = True
+        """Encodings of whole texts by the library."""
+        self.tokenizer.encode_special_tokens = not self.special_strings
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +115,7 @@ class Encoder:
             self._restart()
         data, offsets = buffer_of(column)
         whole = _unsafe(data, offsets)
+        whole[_holding(data, offsets, self.signs)] = True
         words = words_of(column, _PIECES)
         owner = np.repeat(np.arange(len(offsets) - 1), words.counts)
         opening = words.start == offsets[:-1][owner]
@@ -150,11 +158,22 @@ def _unsafe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _holding(data: np.ndarray, offsets: np.ndarray, signs: list[bytes]) -> list[int]:
+    """Texts in which one of the strings begins."""
+    raw, rows = data.tobytes() if signs else b"", []
+    for sign in signs:
+        at = raw.find(sign)
+        while at >= 0:
+            rows.append(int(np.searchsorted(offsets, at, "right")) - 1)
+            at = raw.find(sign, at + 1)
+    return rows
+
+
 HELD.append(_ENCODERS.clear)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_strings: bool = True) -> Encoder:
     """The encoder of a file, shared by the tasks of one Python worker until another operator runs there."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, special_strings) not in _ENCODERS:
+        _ENCODERS[path, special_strings] = Encoder(path, special_strings=special_strings)
+    return _ENCODERS[path, special_strings]

@@ -126,7 +126,7 @@ def brute_contamination(text, windows):
     for width in {len(w) for w in windows}:
         for p in range(len(words) - width + 1):
             found = windows.get(tuple(words[p:p + width]))
-            if found:
+            if found is not None:
                 hit.update(range(p, p + width))
                 items |= found
     return len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), bool(hit)
@@ -140,9 +140,9 @@ def test_contamination_equals_brute_force(spark, vocabulary, part_words):
     docs += [(90, None), (91, ""), (92, items[0][1].upper())]
     windows = {}
     for i, text in items:
-        words = ALNUM.findall((text or "").translate(LOWER)) if i is not None else []
+        words = ALNUM.findall((text or "").translate(LOWER))
         for p in range(len(words) - min(10, len(words)) + 1 if words else 0):
-            windows.setdefault(tuple(words[p:p + min(10, len(words))]), set()).add(i)
+            windows.setdefault(tuple(words[p:p + min(10, len(words))]), set()).update({i} - {None})
     bench = spark.createDataFrame(items, "item_id long, text string")
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {r.doc_id: tuple(r)[1:6] for r in contamination(table, bench, part_words=part_words).collect()}

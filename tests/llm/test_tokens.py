@@ -18,9 +18,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def crc(ids):
@@ -31,11 +29,29 @@ def crc(ids):
 @given(st.lists(st.none() | st.lists(st.sampled_from([" ", "  ", "\n", "\t", "é", "don't", "12", "!", "<|endoftext|>", "　", "\r\n",
                                                       "word", "\x1c", " ", "中"])).map("".join), max_size=8))
 def test_pieces_encode_like_whole_texts(texts):
-    encoder = Encoder(PATH, limit=5)
-    for _ in range(2):                                    # known and unknown pieces, and a restart
-        ids, border = encoder.encode(pa.array(texts, pa.string()), 7)
-        for i, text in enumerate(texts):
-            assert ids[border[i]:border[i + 1]].tolist() == encoder.plain([text or ""])[0].ids + [7]
+    for special in (True, False):
+        encoder, library = Encoder(PATH, limit=5, special_strings=special), Tokenizer.from_file(PATH)
+        library.encode_special_tokens = not special
+        for _ in range(2):                                    # known and unknown pieces, and a restart
+            ids, border = encoder.encode(pa.array(texts, pa.string()), 7)
+            for i, text in enumerate(texts):
+                assert ids[border[i]:border[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids + [7]
+
+
+def test_strings_of_special_tokens(spark, tokenizer):
+    """They are encoded as a plain call of the library does, unless asked for otherwise."""
+    text = "hello <|endoftext|> world"
+    docs = spark.createDataFrame([(1, text), (2, "<|endoftext|>" * 3), (3, "<|endoftext"), (4, " a<|endoftext|>\n ")], "doc_id long, text string")
+    assert tokenizer.encode(text, add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    for special, size in ((True, 5), (False, 10)):
+        path = f"{shared_folder(spark)}/tokens"
+        token_store.write_tokens(docs, path, PATH, 2, special_strings=special)
+        stored = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read_documents(spark, path).collect()}
+        packed = packing.pack_documents(docs, PATH, 2048, 2, special_strings=special).collect()
+        assert stored == {r.doc_id: (r.length, r.ids_crc32) for r in packed} and stored[1][0] == size
+        if special:
+            want = {r.doc_id: tokenizer.encode(r.text, add_special_tokens=False).ids + [2] for r in docs.collect()}
+            assert stored == {i: (len(ids), crc(ids)) for i, ids in want.items()}
 
 
 @settings(max_examples=60, deadline=None)
