@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordloom.functions import vocabulary as V
-from recordloom.functions.attributes import AttributeLibrary
 from recordloom.functions.base import (any_contains, first_rule, let, lits, nonblank,
                                        quiet_double, quiet_int, squeeze, strip, strip_chars)
 
@@ -113,32 +110,13 @@ def slugify(c: Column, sep: str = "_", empty: str = "col", limit: int | None = N
     return F.coalesce(nonblank(s), F.lit(empty))
 
 
-def map_header(name: Column, unit: Column, lib: AttributeLibrary) -> Column:
-    """Clean header to struct<attr, mapped>. Leaf of ``group / leaf`` first; longest pattern wins."""
-    table = json.dumps([{"len": len(p), "ord": -i, "attr": a, "pattern": p}
-                        for i, (a, p) in enumerate(lib.patterns)])
-    # one literal that the optimizer folds into an array
-    patterns = F.from_json(F.lit(table),
-                           "array<struct<len:int,ord:int,attr:string,pattern:string>>")
-
-    def longest(text):
-        return F.array_max(F.filter(patterns, lambda p: F.contains(text, p["pattern"])))["attr"]
-
-    def by_unit(low):
-        u = F.lower(F.coalesce(unit, F.lit("")))
-        short = F.length(strip(low)) <= 3
-        return first_rule([
-            (short & (u.contains("°c") | u.contains("℃") | strip(u).isin("c", "k")),
-             "temperature_c"),
-            (short & any_contains(u, ["mpa", "bar", "atm", "kpa", "psi"]), "pressure")])
-
-    def resolve(low):
-        leaf = F.when(low.contains(" / "), strip(F.substring_index(low, " / ", -1)))
-        return F.coalesce(longest(leaf), longest(low), by_unit(low))
-
-    attr = let(F.lower(name), resolve)
-    return let(attr, lambda a: F.struct(F.coalesce(a, slugify(name)).alias("attr"),
-                                        a.isNotNull().alias("mapped")))
+def attribute_by_unit(name: Column, unit: Column) -> Column:
+    """What a short name ("T", "Pa") can only mean by its unit, else NULL."""
+    u = F.lower(F.coalesce(unit, F.lit("")))
+    short = F.length(strip(F.lower(name))) <= 3
+    return first_rule([
+        (short & (u.contains("°c") | u.contains("℃") | strip(u).isin("c", "k")), "temperature_c"),
+        (short & any_contains(u, ["mpa", "bar", "atm", "kpa", "psi"]), "pressure")])
 
 
 def normalize_unit(attr: Column, value: Column, unit: Column) -> Column:

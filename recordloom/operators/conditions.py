@@ -2,59 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.base import any_contains, let, quiet_double
-from recordloom.functions.temperature import (extract_temperatures,
-                                              section_temperature_and_pressure)
-from recordloom.operators.ordering import with_neighbours, with_position
+from recordloom.functions.temperature import (LOOK_BACK, governed, look_back, matches,
+                                              section_temperature_and_pressure, temperature_matches)
+from recordloom.operators.ordering import with_position
 from recordloom.session import cut
 
+# fixed values: the patterns of pressures, space velocities and loadings
 _NUM = r"(\d+\.?\d*)"
 _GROUPED = r"(\d[\d,]*\.?\d*)"
+_WHSV = [rf"(?iU)WHSV\s*(?:[=:]|of)?\s*{_NUM}\s*(?:h[-−]1|h\^[-−]?1|/h|·h[-−]1)", rf"(?iU)WHSV\s*(?:[=:]|of)\s*{_NUM}"]
+_GHSV = [rf"(?iU)GHSV\s*(?:[=:]|of)?\s*{_GROUPED}\s*(?:mL|ml|cm3|h[-−]1|/h)", rf"(?iU)GHSV\s*(?:[=:]|of)\s*{_GROUPED}"]
+_LOAD = rf"(?iU){_NUM}\s*g\s+(?:of\s+)?(?:catalyst|zeolite|sample|ZSM|HZSM|\w+-\d+)"
+_LOAD_NAMED = rf"(?iU)catalyst\s+loading\s+of\s+{_NUM}\s*g"
+#: (pattern, reading) of every field but the temperature, and the words one of which each of its matches holds.
+_PATTERNS = {
+    "pressure_mpa": [(rf"(?iU){_NUM}\s*MPa", lambda v: v), (rf"(?iU){_NUM}\s*bar\b", lambda v: F.round(v * 0.1, 4)),
+                     (rf"(?iU){_NUM}\s*atm\b", lambda v: F.round(v * 0.101325, 4)), (rf"(?iU){_NUM}\s*kPa\b", lambda v: F.round(v / 1000, 4))],
+    "whsv": [(p, lambda v: v) for p in _WHSV], "ghsv": [(p, lambda v: v) for p in _GHSV],
+    "catalyst_loading_g": [(_LOAD, lambda v: F.when(v.between(0.01, 20), v)), (_LOAD_NAMED, lambda v: v)]}
+_WORDS = {"pressure_mpa": ["MPA", "BAR", "ATM", "KPA"], "whsv": ["WHSV"], "ghsv": ["GHSV"], "catalyst_loading_g": None}
+
+
+def _number(c: Column) -> Column:
+    return quiet_double(F.replace(c, F.lit(","), F.lit("")))
 
 
 def _all(c: Column, pattern: str) -> Column:
     """Every captured number, thousands commas removed."""
-    return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)),
-                       lambda v: quiet_double(F.replace(v, F.lit(","), F.lit(""))))
+    return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), _number)
+
 
+def _named(c: Column, words: list[str] | None) -> Column:
+    """Does one of the upper-case words stand there? A substring test settles most text."""
+    if words is None:
+        return F.lit(True)
+    return let(F.upper(c), lambda up: any_contains(up, [*words, "\u212a"]))   # the sign that is no K but matches k
 
-def _if_named(c: Column, words: list[str], found: Column) -> Column:
-    """The matches, where one of the upper-case words stands; a substring test settles most text."""
-    named = let(F.upper(c), lambda up: any_contains(up, [*words, "\u212a"]))   # the sign that is no K but matches k
-    return F.when(named, found).otherwise(F.array().cast("array<double>"))
+
+def _extract(c: Column, field: str) -> Column:
+    found = [F.filter(F.transform(_all(c, p), read), lambda v: v.isNotNull()) for p, read in _PATTERNS[field]]
+    return F.when(_named(c, _WORDS[field]), F.concat(*found)).otherwise(F.array().cast("array<double>"))
 
 
 def extract_pressures(c: Column) -> Column:
     """array<double> in MPa."""
-    scaled = [
-        _all(c, rf"(?iU){_NUM}\s*MPa"),
-        F.transform(_all(c, rf"(?iU){_NUM}\s*bar\b"), lambda v: F.round(v * 0.1, 4)),
-        F.transform(_all(c, rf"(?iU){_NUM}\s*atm\b"), lambda v: F.round(v * 0.101325, 4)),
-        F.transform(_all(c, rf"(?iU){_NUM}\s*kPa\b"), lambda v: F.round(v / 1000, 4)),
-    ]
-    return _if_named(c, ["MPA", "BAR", "ATM", "KPA"], F.concat(*scaled))
+    return _extract(c, "pressure_mpa")
 
 
 def extract_whsv(c: Column) -> Column:
-    strict = rf"(?iU)WHSV\s*(?:[=:]|of)?\s*{_NUM}\s*(?:h[-−]1|h\^[-−]?1|/h|·h[-−]1)"
-    return _if_named(c, ["WHSV"], F.array_distinct(F.concat(
-        _all(c, strict), _all(c, rf"(?iU)WHSV\s*(?:[=:]|of)\s*{_NUM}"))))
+    return F.array_distinct(_extract(c, "whsv"))
 
 
 def extract_ghsv(c: Column) -> Column:
-    strict = rf"(?iU)GHSV\s*(?:[=:]|of)?\s*{_GROUPED}\s*(?:mL|ml|cm3|h[-−]1|/h)"
-    return _if_named(c, ["GHSV"], F.array_distinct(F.concat(
-        _all(c, strict), _all(c, rf"(?iU)GHSV\s*(?:[=:]|of)\s*{_GROUPED}"))))
+    return F.array_distinct(_extract(c, "ghsv"))
 
 
 def extract_loading(c: Column) -> Column:
     """array<double> in gram; 'n g of catalyst' within 0.01-20, 'catalyst loading of n g' as it is."""
-    near = _all(c, rf"(?iU){_NUM}\s*g\s+(?:of\s+)?(?:catalyst|zeolite|sample|ZSM|HZSM|\w+-\d+)")
-    named = _all(c, rf"(?iU)catalyst\s+loading\s+of\s+{_NUM}\s*g")
-    return F.array_distinct(F.concat(F.filter(near, lambda v: v.between(0.01, 20)), named))
+    return F.array_distinct(_extract(c, "catalyst_loading_g"))
 
 
 def resolve_value(local: Column, everywhere: Column, name: str, decimals: int) -> Column:
@@ -80,67 +89,123 @@ def resolve_value(local: Column, everywhere: Column, name: str, decimals: int) -
 CONDITION_FIELDS = {"temperature_c": ("T(°C)", 0), "pressure_mpa": ("P(MPa)", 2),
                     "whsv": ("WHSV", 2), "ghsv": ("GHSV", 0),
                     "catalyst_loading_g": ("catalyst_loading(g)", 3)}
-_NATIVE = {"pressure_mpa": extract_pressures, "whsv": extract_whsv, "ghsv": extract_ghsv,
-           "catalyst_loading_g": extract_loading}
+#: Stands between chunks: white space to every pattern, and told apart from that of the texts.
+_BORDER = "\u2029"
+#: Words of the following chunks that a match can run into; no pattern spans more.
+_RUN_ON = 6
+_REACH_BACK, _REACH_ON = 6, 3        # doublings: LOOK_BACK characters are at most 60 chunks, _RUN_ON words at most 6
+_HEAD = rf"(?U)^\s*(?:\S+\s+){{0,{_RUN_ON - 1}}}\S*"
 
 
-def document_conditions(placed: DataFrame, block_size: int = 256, run_on: int = 8) -> DataFrame:
-    """Distinct values found anywhere in a document: (doc, g_<field> arrays).
+def _edges(placed: DataFrame, reach: int, block_size: int) -> DataFrame:
+    """(doc, pos, before, after, next_pos, prev_pos) of the chunks that hold a word.
 
-    The document text is never put together. Blocks of chunks are read with a strip of the block
-    before (look-back of treatment steps) and the first `run_on` whole chunks of the block after
-    (matches that run on); a match counts in the block where it begins.
+    before: the last characters of the chunks before, after: the first words of those after, with a
+    border between chunks. Only such ends are carried, from one chunk to the next and then twice as
+    far in every step; blocks of a document overlap by as many chunks as they can reach.
+    """
+    solid = placed.filter(F.col("text").rlike(r"(?U)\S"))
+    text = F.translate("text", _BORDER, " ")
+    ends = with_position(solid.select("doc", "pos", F.right(text, F.lit(LOOK_BACK)).alias("tail"),
+                                      F.regexp_extract(text, _HEAD, 0).alias("head")),
+                         ["doc"], ["pos"], block_on="pos", name="q")
+    far, on = 2 ** _REACH_BACK, max(2 ** _REACH_ON, 2 * reach)
+    low, high = F.floor((F.col("q") - on) / block_size), F.floor((F.col("q") + far) / block_size)
+    spread = ends.withColumn("_blk", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+    w = Window.partitionBy("doc", "_blk").orderBy("q")
+    for k in range(_REACH_BACK):
+        before = F.lag("tail", 2 ** k).over(w)
+        spread = spread.withColumn("tail", F.when(before.isNull() | (F.length("tail") >= LOOK_BACK), F.col("tail")).otherwise(
+            F.right(F.concat(before, F.lit(_BORDER), F.col("tail")), F.lit(LOOK_BACK))))
+    for k in range(_REACH_ON):
+        after = F.lead("head", 2 ** k).over(w)
+        spread = spread.withColumn("head", F.when(after.isNull(), F.col("head")).otherwise(
+            F.regexp_extract(F.concat("head", F.lit(_BORDER), after), _HEAD, 0)))
+    there = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    return spread.select(
+        "doc", "pos", "_blk", "q", F.lag("tail", 1).over(w).alias("before"), F.lead("head", 1).over(w).alias("after"),
+        there([F.lead("pos", i).over(w) for i in range(1, _RUN_ON + 1)]).alias("next_pos"),
+        there([F.lag("pos", i).over(w) for i in range(1, 2 * reach + 1)]).alias("prev_pos")).filter(
+        F.col("_blk") == F.floor(F.col("q") / block_size)).drop("_blk", "q")
+
+
+def chunk_values(placed: DataFrame, reach: int = 2, block_size: int = 2048) -> DataFrame:
+    """One row per condition value, at the chunk where it begins: (doc, pos, prev_pos, field, value,
+    last_pos, governed).
+
+    `placed` has ``doc, pos, text`` with dense positions. A chunk is read once, with the ends of its
+    neighbours around it, as if all chunks that hold a word were joined by blanks: last_pos is the
+    chunk in which a match ends. governed[k] tells whether a treatment step holds for a temperature
+    if k chunks before its own are seen, and its last entry if all are.
     """
-    own = placed.withColumn("_blk", F.floor(F.col("pos") / block_size)).groupBy("doc", "_blk").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])
-        .alias("texts")).select("doc", "_blk", F.array_join("texts", " ").alias("body"),
-                                F.array_join(F.slice("texts", 1, run_on), " ").alias("head"))
-    strips = own.select("doc", F.inline(F.array(
-        F.struct(F.col("_blk"), F.col("body"), F.lit(None).cast("string").alias("before"),
-                 F.lit(None).cast("string").alias("after")),
-        F.struct((F.col("_blk") + 1).alias("_blk"), F.lit(None).cast("string").alias("body"),
-                 F.right("body", F.lit(120)).alias("before"),
-                 F.lit(None).cast("string").alias("after")),
-        F.struct((F.col("_blk") - 1).alias("_blk"), F.lit(None).cast("string").alias("body"),
-                 F.lit(None).cast("string").alias("before"),
-                 F.col("head").alias("after")))))
-    b = strips.groupBy("doc", "_blk").agg(F.max("body").alias("body"),
-                                          F.max("before").alias("before"),
-                                          F.max("after").alias("after")).filter("body is not null")
-    before = F.when(F.col("before").isNotNull(), F.concat("before", F.lit(" "))).otherwise("")
-    after = F.concat(F.lit(" "), F.coalesce("after", F.lit("")))
-    text = F.concat(before, "body", after)
-    hits = {"temperature_c": extract_temperatures(
-        text, F.length(before), F.length(before) + F.length("body") + 1)}
-    hits.update({f: let(F.concat("body", after), fn) for f, fn in _NATIVE.items()})
-    values = b.select("doc", *[v.alias(f) for f, v in hits.items()])
-
-    def tagged(field):
-        return F.transform(field, lambda v: F.struct(F.lit(field).alias("field"),
-                                                     v.alias("value")))
-
-    long = values.select("doc", F.inline(F.concat(*[tagged(f) for f in hits])))
-    distinct = long.distinct()
-    return distinct.groupBy("doc").agg(*[
-        F.collect_list(F.when(F.col("field") == f, F.col("value"))).alias(f"g_{f}")
-        for f in hits])
-
-
-def fill_conditions(units: DataFrame, chunks: DataFrame, reach: int = 2) -> DataFrame:
+    fields = list(CONDITION_FIELDS)
+    worth = F.col("text").rlike(r"(?U)\d") | any_contains(F.upper("text"), ["WHSV", "GHSV", "CATALYST"])
+    rows = (placed.select("doc", "pos", "text").filter(worth)
+            .join(_edges(placed, reach, block_size), ["doc", "pos"])
+            .withColumn("start", F.coalesce(F.length("before") + 1, F.lit(0)))
+            .withColumn("size", F.length("text"))
+            .withColumn("body", F.concat(F.coalesce(F.concat("before", F.lit(_BORDER)), F.lit("")), F.translate("text", _BORDER, " "),
+                                         F.coalesce(F.concat(F.lit(_BORDER), F.col("after")), F.lit("")))))
+    kind = "array<struct<field:int,value:double,start:int,size:int>>"
+
+    def of(body, i, field, pattern, read):
+        found = F.transform(matches(body, pattern), lambda m: F.struct(
+            F.lit(i).alias("field"), read(_number(m["g1"])).alias("value"), m["start"], m["size"]))
+        return F.when(_named(body, _WORDS[field]), found.cast(kind)).otherwise(F.array().cast(kind))
+
+    def hits(body):
+        out = [F.transform(temperature_matches(body), lambda m: F.struct(F.lit(0).alias("field"), m["value"].alias("value"), m["start"], m["size"]))]
+        for i, field in enumerate(fields):
+            for pattern, read in _PATTERNS.get(field, []):
+                out.append(of(body, i, field, pattern, read))
+        return F.filter(F.concat(*[o.cast(kind) for o in out]), lambda m: m["value"].isNotNull() & (m["start"] >= F.col("start"))
+                        & (m["start"] < F.col("start") + F.col("size")))
+
+    long = rows.withColumn("m", F.explode(let(F.col("body"), hits)))
+    borders = lambda c: F.length(c) - F.length(F.replace(c, F.lit(_BORDER), F.lit("")))
+    crossed = borders(F.col("body").substr(F.col("m.start") + 1, F.col("m.size")))
+    seen = F.when(F.col("m.field") == 0, look_back(F.col("body"), F.col("m.start")))
+    by_sight = let(seen, lambda s: F.transform(F.sequence(F.lit(0), borders(s)), lambda k: governed(
+        F.call_function("substring_index", s, F.lit(_BORDER), -(k + 1)))))
+    return long.select(
+        "doc", "pos", "prev_pos", F.get(F.array(*[F.lit(f) for f in fields]), F.col("m.field")).alias("field"), F.col("m.value").alias("value"),
+        F.when(crossed > 0, F.get(F.col("next_pos"), crossed - 1)).otherwise(F.col("pos")).alias("last_pos"),
+        F.when(F.col("m.field") == 0, by_sight).alias("governed"))
+
+
+def _arrays(values: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """The distinct values of each field as an array."""
+    return values.groupBy(*keys).agg(*[F.collect_set(F.when(F.col("field") == f, F.col("value"))).alias(f"{prefix}_{f}")
+                                       for f in CONDITION_FIELDS])
+
+
+def document_conditions(placed: DataFrame, block_size: int = 2048, values: DataFrame | None = None) -> DataFrame:
+    """Distinct values found anywhere in a document: (doc, g_<field> arrays)."""
+    values = chunk_values(placed, block_size=block_size) if values is None else values
+    free = F.coalesce(F.element_at("governed", -1), F.lit(False))
+    return _arrays(values.filter(~free).select("doc", "field", "value").distinct(), ["doc"], "g")
+
+
+def fill_conditions(units: DataFrame, chunks: DataFrame, reach: int = 2, block_size: int = 2048) -> DataFrame:
     """Fill NULL condition fields of units from their neighbourhood, else from the document.
 
     units: ``unit_id, doc, chunk_id`` and the condition fields; chunks: ``doc, chunk_id, page,
-    chunk_no, text``. Several candidates leave the field NULL and add a note.
+    chunk_no, text``. The neighbourhood is `reach` chunks to both sides: values that begin and end
+    there count, and treatment steps that stand there. Several candidates leave the field NULL and
+    add a note. Of chunks with one id the last counts.
     """
     placed = cut(with_position(chunks, ["doc"], ["page", "chunk_no"], block_on="page",
                                block_size=64))
-    everywhere = document_conditions(placed)
-    near = with_neighbours(placed, ["doc"], "pos", "text", reach, reach, "local_text")
-    near = near.join(units.select("doc", "chunk_id").distinct(), ["doc", "chunk_id"], "left_semi")
-    text = F.col("local_text")
-    local = near.select("doc", "chunk_id",
-                        extract_temperatures(text).alias("l_temperature_c"),
-                        *[fn(text).alias(f"l_{f}") for f, fn in _NATIVE.items()])
+    values = cut(chunk_values(placed, reach, block_size))
+    everywhere = document_conditions(placed, values=values)
+    places = (placed.join(units.select("doc", "chunk_id").distinct(), ["doc", "chunk_id"])
+              .groupBy("doc", "chunk_id").agg(F.max("pos").alias("home")))
+    around = places.withColumn("pos", F.explode(F.sequence(F.col("home") - reach, F.col("home") + reach)))
+    seen = F.size(F.filter("prev_pos", lambda p: p >= F.col("home") - reach))
+    held = F.get("governed", F.least(seen, F.size("governed") - 1))
+    near = (around.join(values, ["doc", "pos"])
+            .filter((F.col("last_pos") <= F.col("home") + reach) & ~F.coalesce(held, F.lit(False))))
+    local = _arrays(near, ["doc", "chunk_id"], "l")
     j = units.join(local, ["doc", "chunk_id"], "left").join(everywhere, "doc", "left")
     solved = {f: resolve_value(F.col(f"l_{f}"), F.col(f"g_{f}"), label, decimals)
               for f, (label, decimals) in CONDITION_FIELDS.items()}

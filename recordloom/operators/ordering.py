@@ -29,7 +29,7 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _block_totals(df: DataFrame, keys: list[str], block: str, value: Column,
+def block_totals(df: DataFrame, keys: list[str], block: str, value: Column,
                   fan: int) -> DataFrame:
     """Exclusive running sum of ``value`` over blocks, in two levels of ``fan`` blocks each."""
     per_block = df.groupBy(*keys, block).agg(value.alias("_v"))
@@ -54,7 +54,7 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], block_on: st
     """
     block_on = block_on or order[0]
     b = df.withColumn("_blk", F.floor(F.col(block_on) / block_size))
-    before = _block_totals(b, keys, "_blk", F.count(F.lit(1)), fan=1024)
+    before = block_totals(b, keys, "_blk", F.count(F.lit(1)), fan=1024)
     w = Window.partitionBy(*keys, "_blk").orderBy(*order)
     return (b.withColumn("_in_blk", F.row_number().over(w) - 1)
             .join(before, [*keys, "_blk"])
@@ -70,7 +70,7 @@ def ordered_position(df: DataFrame, keys: list[str], order: list[str],
     place in its own range plus the sizes of the key's earlier ranges.
     """
     laid = cut(df.repartitionByRange(*keys, *order).withColumn("_r", F.spark_partition_id()))
-    before = _block_totals(laid, keys, "_r", F.count(F.lit(1)), fan=1024)
+    before = block_totals(laid, keys, "_r", F.count(F.lit(1)), fan=1024)
     w = Window.partitionBy(*keys, "_r").orderBy(*order)
     return (laid.withColumn("_in_r", F.row_number().over(w) - 1).join(before, [*keys, "_r"])
             .withColumn(name, F.col("_before") + F.col("_in_r")).drop("_r", "_in_r", "_before"))

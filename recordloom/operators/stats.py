@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +10,6 @@ from recordloom.operators.ordering import first_by
 from recordloom.operators.quantiles import exact_median
 
 
-#: Feature pairs that one aggregate computes.
-PAIRS_PER_PASS = 60
-
-
 def _stack(one: DataFrame, names: list[str], key: str, value: str) -> DataFrame:
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias(key), F.col(n).alias(value)) for n in names])))
@@ -58,29 +52,26 @@ def guarded_corr(x: Column, y: Column) -> Column:
 
 def pairwise_corr(df: DataFrame, features: list[str], min_overlap: int = 15,
                   min_abs: float = 0.30, min_values: int = 10) -> DataFrame:
-    """Correlated feature pairs, strongest first.
+    """Correlated feature pairs a < b (in the given order), strongest first.
 
-    Every pair is a few native aggregates over the same scan, added up per task before the shuffle;
-    pairs are dealt into passes, so that one aggregate stays small.
+    Long form: a row gives one pair of values for every two features it has, so sparse records give
+    few; moments are added up per pair before the shuffle. One scan, whatever the number of
+    features. A feature with itself is a pair too and counts its values.
     """
     names = list(features)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    counts = df.agg(*[F.count(c).alias(c) for c in names]).first()      # one row
-    enough = {c for c in names if counts[c] >= min_values}
-    shown = [(a, b) for a, b in pairs if a in enough and b in enough]
-    parts = []
-    for at in range(0, len(shown), PAIRS_PER_PASS):
-        some = shown[at:at + PAIRS_PER_PASS]
-        one = df.agg(*[c for i, (a, b) in enumerate(some) for c in (
-            F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n{i}"),
-            guarded_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}"))])
-        parts.append(one.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(some)]))))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "a string, b string, n long, r double")
-    return (reduce(DataFrame.unionByName, parts)
-            .filter((F.col("n") >= min_overlap) & (F.abs("r") >= min_abs))
+    there = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)]),
+                     lambda x: x["v"].isNotNull())
+    both = df.select(there.alias("xs")).select(F.explode(F.flatten(F.transform(
+        "xs", lambda x, k: F.transform(F.slice("xs", k + 1, F.size("xs")), lambda y: F.struct(
+            x["i"].alias("a"), y["i"].alias("b"), x["v"].alias("x"), y["v"].alias("y")))))).alias("p")).select("p.*")
+    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    moments = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.try_divide(
+        F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("r"))
+    enough = moments.filter((F.col("a") == F.col("b")) & (F.col("n") >= min_values))
+    name = lambda i: F.get(F.array(*[F.lit(c) for c in names]), i)
+    return (moments.filter((F.col("a") != F.col("b")) & (F.col("n") >= min_overlap) & (F.abs("r") >= min_abs))
+            .join(enough.select("a"), "a", "left_semi").join(enough.select(F.col("a").alias("b")), "b", "left_semi")
+            .select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b"), "n", "r")
             .orderBy(F.desc(F.abs("r")), "a", "b"))
 
 

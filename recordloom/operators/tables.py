@@ -12,8 +12,8 @@ from recordloom.functions import vocabulary as V
 from recordloom.functions.attributes import AttributeLibrary
 from recordloom.functions.base import (any_contains, first_rule, let, nonblank,
                                        quiet_double, strip)
-from recordloom.functions.normalize import (clean_header, clean_label, is_na, is_usable_label,
-                                            loose_float, map_header, parse_value)
+from recordloom.functions.normalize import (attribute_by_unit, clean_header, clean_label, is_na,
+                                            is_usable_label, loose_float, parse_value, slugify)
 from recordloom.session import cut
 
 
@@ -69,12 +69,44 @@ def reference_column(headers: Column, lib: AttributeLibrary) -> Column:
                         | strip(h).startswith("ref"))
 
 
-def read_header(header: Column, lib: AttributeLibrary) -> Column:
-    """Raw header to struct<attr, unit, mapped>."""
-    def resolve(p):
-        return let(map_header(p["name"], p["unit"], lib), lambda m: F.struct(
-            m["attr"].alias("attr"), p["unit"].alias("unit"), m["mapped"].alias("mapped")))
-    return let(clean_header(header), resolve)
+def header_dictionary(texts: DataFrame, lib: AttributeLibrary, column: str = "text") -> DataFrame:
+    """What every distinct header means: (header, meaning struct<attr, unit, mapped>); a NULL is ''.
+
+    The library is not scanned per header: from each place of a header the characters there are
+    looked up in the patterns by how they begin, so the work grows with the text and not with the
+    library. The leaf of ``group / leaf`` counts first, then the longest pattern, then the first
+    listed one. The patterns are broadcast; they are a parameter, not data.
+    """
+    listed = [(p, len(p), -i, attr) for i, (attr, p) in enumerate(lib.patterns) if p]
+    begin = min([n for _, n, _, _ in listed], default=1)
+    widest = max([n for _, n, _, _ in listed], default=1)
+    patterns = texts.sparkSession.createDataFrame(listed, "pattern string, size int, ord int, attr string").withColumn(
+        "begins", F.substring("pattern", 1, begin))
+
+    def places(text, leaf):
+        at = F.sequence(F.lit(1), F.length(text))
+        return F.when(F.length(text) > 0, F.transform(at, lambda i: F.struct(
+            F.lit(leaf).alias("leaf"), F.substring(text, i, F.lit(begin)).alias("begins"),
+            F.substring(text, i, F.lit(widest)).alias("rest")))).otherwise(F.array())
+
+    once = texts.select(F.coalesce(F.col(column), F.lit("")).alias("header")).distinct().withColumn("h", clean_header(F.col("header")))
+    low = F.lower(F.col("h.name"))
+    leaf = F.when(low.contains(" / "), strip(F.substring_index(low, " / ", -1))).otherwise("")
+    looked = once.select("header", "h", low.alias("low"), leaf.alias("tail")).select(
+        "header", "h", F.explode_outer(F.concat(places(F.col("tail"), 1), places(F.col("low"), 0))).alias("x")).select("header", "h", "x.*")
+    best = looked.join(F.broadcast(patterns), (looked["begins"] == patterns["begins"]) & F.startswith("rest", "pattern"), "left")
+    found = best.groupBy("header").agg(F.first("h").alias("h"), F.max(F.when(
+        F.col("attr").isNotNull(), F.struct("leaf", "size", "ord", "attr")))["attr"].alias("found"))
+    known = F.coalesce("found", attribute_by_unit(F.col("h.name"), F.col("h.unit")))
+    return found.select("header", F.struct(
+        F.coalesce(known, slugify(F.col("h.name"))).alias("attr"), F.col("h.unit").alias("unit"),
+        known.isNotNull().alias("mapped")).alias("meaning"))
+
+
+def read_headers(df: DataFrame, column: str, lib: AttributeLibrary, into: str = "meaning") -> DataFrame:
+    """Rows with the meaning of the header in `column`; every distinct header is resolved once."""
+    found = header_dictionary(df, lib, column).withColumnRenamed("header", "_header").withColumnRenamed("meaning", into)
+    return df.join(found, F.coalesce(F.col(column), F.lit("")) == F.col("_header"), "left").drop("_header")
 
 
 def _names_attribute(m: Column) -> Column:
@@ -101,21 +133,41 @@ def find_key_columns(grouped: DataFrame, lib: AttributeLibrary) -> DataFrame:
         "key_col", F.coalesce("_named", "key_col")).drop("_named")
 
 
-def table_profile(keyed: DataFrame, lib: AttributeLibrary) -> DataFrame:
-    """One row per table: type, orientation, key and reference column, meaning of every header."""
-    label = F.get(F.col("cells"), F.col("key_col"))
-    hit = F.when(label.isNotNull(), _names_attribute(read_header(label, lib)).cast("int"))
+def table_headers(keyed: DataFrame, lib: AttributeLibrary) -> DataFrame:
+    """The dictionary of all headers and of all cells that stand in a key column."""
+    tables = keyed.groupBy("table_key").agg(F.min("headers").alias("headers"))
+    return header_dictionary(tables.select(F.explode("headers").alias("text"))
+                             .unionByName(keyed.select(_key_cell().alias("text")).filter("text is not null")), lib)
+
+
+def _key_cell() -> Column:
+    return F.get(F.col("cells"), F.col("key_col"))
+
+
+def table_profile(keyed: DataFrame, lib: AttributeLibrary, names: DataFrame | None = None) -> DataFrame:
+    """One row per table: type, orientation, key and reference column, meaning of every header.
+
+    `names` is the dictionary of `table_headers`, made here if there is none.
+    """
+    names = table_headers(keyed, lib) if names is None else names
     tables = keyed.groupBy("table_key").agg(
         F.min("doc").alias("doc"), F.min("caption").alias("caption"),
         F.min("headers").alias("headers"), F.min("key_col").alias("key_col"),
-        F.min("row_ord").alias("table_ord"), F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(hit), F.lit(0)).alias("value_hits"))
-    tables = (tables
+        F.min("row_ord").alias("table_ord"), F.count(F.lit(1)).alias("n_rows"))
+    hits = (keyed.select("table_key", _key_cell().alias("header"))
+            .join(names.filter(_names_attribute(F.col("meaning"))), "header", "left_semi")
+            .groupBy("table_key").agg(F.count(F.lit(1)).alias("value_hits")))
+    maps = (tables.select("table_key", F.posexplode("headers").alias("i", "h"))
+            .withColumn("header", F.coalesce("h", F.lit(""))).join(names, "header")
+            .groupBy("table_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "meaning"))),
+                                                  lambda x: x["meaning"]).alias("header_map")))
+    tables = (tables.join(hits, "table_key", "left").join(maps, "table_key", "left")
+              .withColumn("value_hits", F.coalesce("value_hits", F.lit(0)))
+              .withColumn("header_map", F.coalesce("header_map", F.array()))
               .withColumn("headerless", is_headerless(F.col("headers")))
               .withColumn("table_type", classify_table(F.col("caption"), F.col("headers"),
                                                        lib.table_types))
-              .withColumn("ref_col", reference_column(F.col("headers"), lib))
-              .withColumn("header_map", F.transform("headers", lambda h: read_header(h, lib))))
+              .withColumn("ref_col", reference_column(F.col("headers"), lib)))
     hits = F.size(F.filter(F.transform("header_map", lambda m, i: (i != F.col("key_col"))
                                        & _names_attribute(m)), lambda b: b))
     return (tables.withColumn("header_hits", hits)
@@ -131,9 +183,12 @@ def melt_tables(rows: DataFrame, lib: AttributeLibrary | None = None) -> DataFra
     lib = lib or AttributeLibrary()
     # written once: the profile and the cells both come from it
     keyed = cut(find_key_columns(group_tables(rows), lib))
-    profile = table_profile(keyed, lib).filter("not headerless and key_col is not null").select(
+    names = cut(table_headers(keyed, lib))
+    profile = table_profile(keyed, lib, names).filter("not headerless and key_col is not null").select(
         "table_key", "table_ord", "table_type", "ref_col", "header_map", "transposed")
-    j = keyed.join(profile, "table_key").filter(F.col("key_col") < F.size("cells"))
+    j = (keyed.join(profile, "table_key").filter(F.col("key_col") < F.size("cells"))
+         .withColumn("header", F.when(F.col("transposed"), F.coalesce(_key_cell(), F.lit(""))))
+         .join(names, "header", "left"))
     key, ref = F.col("key_col"), F.coalesce(F.col("ref_col"), F.lit(-1))
     empty = F.lit(None).cast("string")
 
@@ -150,11 +205,10 @@ def melt_tables(rows: DataFrame, lib: AttributeLibrary | None = None) -> DataFra
         F.transform("cells", lambda c, i: event(label, i, F.get(F.col("header_map"), i), c)),
         lambda e: (e["col"] != key) & (e["col"] != ref) & (e["col"] < F.size("headers"))))
     across = F.when(is_usable_label(own), F.concat(F.array(presence), across))
-    down = let(read_header(F.get(F.col("cells"), key), lib), lambda m: F.filter(
-        F.transform("headers", lambda h, i: event(clean_label(h), i, m,
-                                                  F.get(F.col("cells"), i))),
+    down = F.filter(
+        F.transform("headers", lambda h, i: event(clean_label(h), i, F.col("meaning"), F.get(F.col("cells"), i))),
         lambda e: (e["col"] != key) & (e["col"] != ref) & (e["col"] < F.size("cells"))
-        & is_usable_label(e["label"])))
+        & is_usable_label(e["label"]))
     cited = parse_value(F.get(F.col("cells"), ref))["raw"]
     out = j.select(
         "doc", "primary_doi", "table_key", "table_ord", "row_ord", "table_type", "transposed",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import normalize as N
 from recordloom.functions import text as TX
 from recordloom.functions.attributes import AttributeLibrary
+from recordloom.operators.tables import read_headers
 from recordloom.plans.registry import query
 from recordloom.plans.views import sql, view
 
@@ -196,8 +197,7 @@ LIB = AttributeLibrary()
 @query("k5_golden_headers", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'space_time_yield' WHEN 1 THEN 'bas_las_ratio' WHEN 2 THEN 'methane_pct' ELSE 'pressure' END AS attr FROM part""")
 def _k5g(spark, sf):
     d = sql(spark, sf, """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'space-time yield ' || p_name WHEN 1 THEN 'bas/las' WHEN 2 THEN 'product distribution (%) / CH4' ELSE 'P [MPa]' END AS raw FROM part""")
-    from recordloom.operators.tables import read_header
-    return d.select("p_partkey", read_header(F.col("raw"), LIB)["attr"].alias("attr"))
+    return read_headers(d, "raw", LIB, "m").select("p_partkey", "m.attr")
 
 
 _PRODUCTS = {"Ethylbenzene (%)": "ethylbenzene_pct", "Trimethylbenzene [%]": "trimethylbenzene_pct", "o-Xylene": "oxylene_pct",
@@ -208,6 +208,5 @@ _PICK = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{{{i}}}'" for i in ran
 
 @query("k5_golden_products", f"SELECT p_partkey, {_PICK.format(*_PRODUCTS.values())} AS attr FROM part")
 def _k5p(spark, sf):
-    from recordloom.operators.tables import read_header
     d = sql(spark, sf, f"SELECT p_partkey, {_PICK.format(*_PRODUCTS)} AS raw FROM part")
-    return d.select("p_partkey", read_header(F.col("raw"), LIB)["attr"].alias("attr"))
+    return read_headers(d, "raw", LIB, "m").select("p_partkey", "m.attr")

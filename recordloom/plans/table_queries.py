@@ -132,8 +132,7 @@ SELECT DISTINCT h.header, h.attr, h.unit, h.mapped FROM part JOIN (
 def _k5(spark, sf):
     g = K.group_tables(table_rows(spark, sf))
     h = g.select(F.explode("headers").alias("header")).distinct()
-    m = h.withColumn("m", K.read_header(F.col("header"), LIB))
-    return m.select("header", "m.attr", "m.unit", "m.mapped")
+    return K.read_headers(h, "header", LIB, "m").select("header", "m.attr", "m.unit", "m.mapped")
 
 
 @query("k6_transposed", """

@@ -16,6 +16,7 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # batches for Python hold whole texts; fewer rows keep a worker small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 _OWN_FOLDERS: set[str] = set()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import normalize as N
 from recordloom.functions.attributes import AttributeLibrary
+from recordloom.operators.tables import read_headers
 
 LIB = AttributeLibrary()
 
@@ -40,15 +41,20 @@ def test_numeric_label_and_slug(column):
     assert column(N.slugify, ["A b-C", "--", None]) == ["a_b_c", "col", "col"]
 
 
-def test_map_header(column):
-    none = F.lit(None).cast("string")
-    got = column(lambda c: N.map_header(c, none, LIB), [
-        "space-time yield", "bas/las", "product distribution (%) / CH4", "foo Bar"])
-    assert [tuple(r) for r in got] == [("space_time_yield", True), ("bas_las_ratio", True),
-                                       ("methane_pct", True), ("foo_bar", False)]
-    assert column(lambda c: N.map_header(F.lit("T"), c, LIB), ["K", "°C"])[0]["attr"] == \
-        "temperature_c"
-    assert column(lambda c: N.map_header(F.lit("P"), c, LIB), ["MPa"])[0]["attr"] == "pressure"
+def test_header_dictionary(spark):
+    def meaning(headers, lib=LIB):
+        df = spark.createDataFrame([(h,) for h in headers], "h string").repartition(3)
+        return {r.h: tuple(r.m) for r in read_headers(df, "h", lib, "m").collect()}
+
+    got = meaning(["space-time yield", "bas/las", "product distribution (%) / CH4", "foo Bar", "T / K", "T [°C]", "P [MPa]", None, "", "foo Bar"])
+    assert got == {"space-time yield": ("space_time_yield", None, True), "bas/las": ("bas_las_ratio", None, True),
+                   "product distribution (%) / CH4": ("methane_pct", "%", True), "foo Bar": ("foo_bar", None, False),
+                   "T / K": ("temperature_c", "K", True), "T [°C]": ("temperature_c", "°C", True), "P [MPa]": ("pressure", "MPa", True),
+                   None: ("col", None, False), "": ("col", None, False)}
+    # of equally long patterns the first listed one, whatever stands first in the header
+    tie = AttributeLibrary(patterns=[("late", "wxyz"), ("early", "abcd"), ("also", "wxyz"), ("one", "q"), ("wide", "q" * 40)])
+    assert {h: m[0] for h, m in meaning(["abcd wxyz", "abcd", "wxyzabcd", "a / q", "q" * 41, "abcd / no"], tie).items()} == {
+        "abcd wxyz": "late", "abcd": "early", "wxyzabcd": "late", "a / q": "one", "q" * 41: "wide", "abcd / no": "early"}
 
 
 def test_normalize_unit(column):

@@ -3,7 +3,9 @@ import statistics
 
 import pytest
 
-from recordloom.operators.quantiles import exact_median
+from pyspark.sql import functions as F
+
+from recordloom.operators.quantiles import exact_median, middle_values
 
 
 @pytest.mark.parametrize("ranked", [2, 40, 50_000])
@@ -20,3 +22,23 @@ def test_medians_of_wide_and_narrow_groups(spark, ranked):
     every = [v for _, v in rows if v is not None]
     assert exact_median(df, [], "v", ranked=ranked).first()["median"] == statistics.median(every)
     assert exact_median(df.where("false"), [], "v").first()["median"] is None
+
+
+def test_a_group_of_many_values_is_ranked_in_a_small_part(spark):
+    """5 million distinct values under one key: what one task ranks is bounded, and so is every range."""
+    n = 5_000_001
+    df = spark.range(n).select(F.lit("hot").alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("v"))
+    df = df.unionByName(spark.createDataFrame([("small", 1.0), ("small", 4.0)], "g string, v double"))
+    left = middle_values(df, ["g"], "v", ranked=100).groupBy("g", "_blk").count().groupBy("g").max("count").collect()
+    assert {r["g"]: r["max(count)"] <= 200 for r in left} == {"hot": True, "small": True}
+    assert {r["g"]: r["median"] for r in exact_median(df, ["g"], "v").collect()} == {"hot": (n - 1) / 2, "small": 2.5}
+    assert exact_median(df.where("g = 'hot'"), [], "v").first()["median"] == (n - 1) / 2
+
+
+def test_no_action_while_the_plan_is_made(spark):
+    tracker, df = spark.sparkContext.statusTracker(), spark.range(1000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 3).alias("g"))
+    spark.sparkContext.setJobGroup("planning", "planning")
+    exact_median(df, ["g"], "v")
+    exact_median(df, [], "v")
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("", "")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import temperature as TP
@@ -69,6 +70,40 @@ def test_document_conditions_cross_block_borders(spark, column):
         assert set(got[d]["g_pressure_mpa"]) == bars
 
 
+BITS = ["was calcined at", "550 °C", "and tested", "at 420 °C", "WHSV of", "2 h-1", "10", "bar", "400 -", "450", "°C", "  ", "", "\n", "catalyst", "loading",
+        "of", "0.5", "g", "GHSV = 9,000", "mL", "dried", "at", "470 °C for long", "x.", "673", "K", "then", "3 g of ZSM-5, reduced under H2", "12 kPa 4508C"]
+
+
+@pytest.mark.parametrize("reach,block_size", [(2, 2048), (2, 7), (1, 64), (3, 20)])
+def test_conditions_equal_those_of_joined_texts(spark, column, reach, block_size):
+    """No text is joined, but the values are those of the joined neighbourhood and document."""
+    rng = random.Random(reach + block_size)
+    docs = {f"d{d}": [" ".join(rng.choice(BITS) for _ in range(rng.choice([1, 1, 1, 2, 6]))) for _ in range(60)] for d in range(4)}
+    docs["long"] = [x for b in BITS for x in (b * 30, b)]
+    chunks = spark.createDataFrame([(d, f"c{p}", p // 3, p % 3, t) for d, ts in docs.items() for p, t in enumerate(ts)],
+                                   "doc string, chunk_id string, page int, chunk_no int, text string").repartition(3)
+    units = chunks.select(F.monotonically_increasing_id().alias("unit_id"), "doc", "chunk_id",
+                          *[F.lit(None).cast("double").alias(f) for f in C.CONDITION_FIELDS])
+    joined = lambda ts: " ".join(t for t in ts if t.strip())
+    places = [(d, f"c{p}", joined(ts[max(0, p - reach):p + reach + 1]), joined(ts)) for d, ts in docs.items() for p in range(len(ts))]
+    df = spark.createDataFrame(places, "doc string, chunk_id string, near string, whole string")
+    read = {"temperature_c": TP.extract_temperatures, "pressure_mpa": C.extract_pressures, "whsv": C.extract_whsv, "ghsv": C.extract_ghsv,
+            "catalyst_loading_g": C.extract_loading}
+    plain = df.select("doc", "chunk_id", *[C.resolve_value(fn(F.col("near")), fn(F.col("whole")), *C.CONDITION_FIELDS[f])["value"].alias(f)
+                                           for f, fn in read.items()])
+    got = C.fill_conditions(units, chunks, reach, block_size).select("doc", "chunk_id", *C.CONDITION_FIELDS)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_a_match_over_many_one_word_chunks(spark):
+    words = ["catalyst", *[" "] * 9, "loading", *[""] * 9, "of", "0.5", *["\t"] * 90, "g", "end"]
+    placed = spark.createDataFrame([("d", i, w) for i, w in enumerate(words)], "doc string, pos long, text string")
+    row = C.document_conditions(placed, block_size=16).first()
+    assert row["g_catalyst_loading_g"] == [0.5]
+    plan = C.chunk_values(placed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(" not in plan
+
+
 def test_citations(column):
     assert column(TX.expand_citations, ["[12,15-18]", "ref 7 and [3]", "none"]) == [
         [12, 15, 16, 17, 18], [3, 7], []]
