@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.base import any_contains, let, quiet_double
-from recordloom.functions.temperature import (LOOK_BACK, governed, look_back, matches,
+from recordloom.functions.temperature import (LOOK_BACK, governed, matches,
                                               section_temperature_and_pressure, temperature_matches)
 from recordloom.operators.ordering import with_position
 from recordloom.session import cut
@@ -130,22 +130,23 @@ def _edges(placed: DataFrame, reach: int, block_size: int) -> DataFrame:
 
 
 def chunk_values(placed: DataFrame, reach: int = 2, block_size: int = 2048) -> DataFrame:
-    """One row per condition value, at the chunk where it begins: (doc, pos, prev_pos, field, value,
-    last_pos, governed).
+    """The condition values that begin in each chunk: (doc, pos, prev_pos, found array<struct<field,
+    value, last_pos, governed>>).
 
     `placed` has ``doc, pos, text`` with dense positions. A chunk is read once, with the ends of its
-    neighbours around it, as if all chunks that hold a word were joined by blanks: last_pos is the
-    chunk in which a match ends. governed[k] tells whether a treatment step holds for a temperature
+    neighbours around it, as if all chunks that hold a word were joined by blanks; matches are looked
+    for from its beginning on: last_pos is the chunk in which one ends. governed[k] tells whether a treatment step holds for a temperature
     if k chunks before its own are seen, and its last entry if all are.
     """
     fields = list(CONDITION_FIELDS)
     worth = F.col("text").rlike(r"(?U)\d") | any_contains(F.upper("text"), ["WHSV", "GHSV", "CATALYST"])
-    rows = (placed.select("doc", "pos", "text").filter(worth)
+    # the partitioning that the join needs, kept if the other side turns out small enough to be broadcast
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (placed.select("doc", "pos", "text").filter(worth).repartition(parts, "doc", "pos")
             .join(_edges(placed, reach, block_size), ["doc", "pos"])
-            .withColumn("start", F.coalesce(F.length("before") + 1, F.lit(0)))
             .withColumn("size", F.length("text"))
-            .withColumn("body", F.concat(F.coalesce(F.concat("before", F.lit(_BORDER)), F.lit("")), F.translate("text", _BORDER, " "),
-                                         F.coalesce(F.concat(F.lit(_BORDER), F.col("after")), F.lit("")))))
+            .withColumn("before", F.coalesce(F.concat("before", F.lit(_BORDER)), F.lit("")))
+            .withColumn("body", F.concat(F.translate("text", _BORDER, " "), F.coalesce(F.concat(F.lit(_BORDER), F.col("after")), F.lit("")))))
     kind = "array<struct<field:int,value:double,start:int,size:int>>"
 
     def of(body, i, field, pattern, read):
@@ -158,19 +159,24 @@ def chunk_values(placed: DataFrame, reach: int = 2, block_size: int = 2048) -> D
         for i, field in enumerate(fields):
             for pattern, read in _PATTERNS.get(field, []):
                 out.append(of(body, i, field, pattern, read))
-        return F.filter(F.concat(*[o.cast(kind) for o in out]), lambda m: m["value"].isNotNull() & (m["start"] >= F.col("start"))
-                        & (m["start"] < F.col("start") + F.col("size")))
+        return F.filter(F.concat(*[o.cast(kind) for o in out]), lambda m: m["value"].isNotNull() & (m["start"] < F.col("size")))
 
-    long = rows.withColumn("m", F.explode(let(F.col("body"), hits)))
     borders = lambda c: F.length(c) - F.length(F.replace(c, F.lit(_BORDER), F.lit("")))
-    crossed = borders(F.col("body").substr(F.col("m.start") + 1, F.col("m.size")))
-    seen = F.when(F.col("m.field") == 0, look_back(F.col("body"), F.col("m.start")))
-    by_sight = let(seen, lambda s: F.transform(F.sequence(F.lit(0), borders(s)), lambda k: governed(
-        F.call_function("substring_index", s, F.lit(_BORDER), -(k + 1)))))
-    return long.select(
-        "doc", "pos", "prev_pos", F.get(F.array(*[F.lit(f) for f in fields]), F.col("m.field")).alias("field"), F.col("m.value").alias("value"),
-        F.when(crossed > 0, F.get(F.col("next_pos"), crossed - 1)).otherwise(F.col("pos")).alias("last_pos"),
-        F.when(F.col("m.field") == 0, by_sight).alias("governed"))
+
+    def by_sight(seen):
+        return F.transform(F.sequence(F.lit(0), borders(seen)), lambda k: governed(F.call_function("substring_index", seen, F.lit(_BORDER), -(k + 1))))
+
+    def placed_in(body):
+        def one(m):
+            crossed = borders(body.substr(m["start"] + 1, m["size"]))
+            return F.struct(
+                F.get(F.array(*[F.lit(f) for f in fields]), m["field"]).alias("field"), m["value"].alias("value"),
+                let(crossed, lambda n: F.when(n > 0, F.get(F.col("next_pos"), n - 1)).otherwise(F.col("pos"))).alias("last_pos"),
+                F.when(m["field"] == 0, let(F.right(F.concat("before", body.substr(F.lit(1), m["start"])), F.lit(LOOK_BACK)), by_sight))
+                .alias("governed"))
+        return F.transform(hits(body), one)
+
+    return rows.select("doc", "pos", "prev_pos", let(F.col("body"), placed_in).alias("found"))
 
 
 def _arrays(values: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -181,7 +187,8 @@ def _arrays(values: DataFrame, keys: list[str], prefix: str) -> DataFrame:
 
 def document_conditions(placed: DataFrame, block_size: int = 2048, values: DataFrame | None = None) -> DataFrame:
     """Distinct values found anywhere in a document: (doc, g_<field> arrays)."""
-    values = chunk_values(placed, block_size=block_size) if values is None else values
+    values = cut(chunk_values(placed, block_size=block_size)) if values is None else values
+    values = values.select("doc", F.inline("found"))
     free = F.coalesce(F.element_at("governed", -1), F.lit(False))
     return _arrays(values.filter(~free).select("doc", "field", "value").distinct(), ["doc"], "g")
 
@@ -203,7 +210,7 @@ def fill_conditions(units: DataFrame, chunks: DataFrame, reach: int = 2, block_s
     around = places.withColumn("pos", F.explode(F.sequence(F.col("home") - reach, F.col("home") + reach)))
     seen = F.size(F.filter("prev_pos", lambda p: p >= F.col("home") - reach))
     held = F.get("governed", F.least(seen, F.size("governed") - 1))
-    near = (around.join(values, ["doc", "pos"])
+    near = (around.join(values.filter(F.size("found") > 0).select("doc", "pos", "prev_pos", F.inline("found")), ["doc", "pos"])
             .filter((F.col("last_pos") <= F.col("home") + reach) & ~F.coalesce(held, F.lit(False))))
     local = _arrays(near, ["doc", "chunk_id"], "l")
     j = units.join(local, ["doc", "chunk_id"], "left").join(everywhere, "doc", "left")

@@ -50,26 +50,41 @@ def guarded_corr(x: Column, y: Column) -> Column:
         F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
+def _pairs_of(df: DataFrame, names: list[str], width: int = 16) -> DataFrame:
+    """Rows (a, b, x, y): the values of every two features a <= b that a row has, by place in `names`.
+
+    Features go in blocks, so that what is copied for a pair are two blocks and not the whole row.
+    """
+    width, blocks = min(width, max(len(names), 1)), -(-len(names) // width)
+    values = df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("vs"))
+    pairs = lambda n, keep: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(n) for j in range(i if keep else 0, n)])
+    if blocks > 1:
+        part = lambda c: F.slice("vs", F.col(c) * width + 1, F.lit(width))
+        values = values.select(F.explode(pairs(blocks, True)).alias("g"), "vs").select(
+            "g.i", "g.j", part("g.i").alias("xs"), part("g.j").alias("ys"))
+    else:
+        values = values.select(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("vs").alias("xs"), F.col("vs").alias("ys"))
+    out = values.select(F.explode(pairs(width, blocks == 1)).alias("p"), "*").select(
+        (F.col("i") * width + F.col("p.i")).alias("a"), (F.col("j") * width + F.col("p.j")).alias("b"),
+        F.get("xs", F.col("p.i")).alias("x"), F.get("ys", F.col("p.j")).alias("y"))
+    return out.filter("a <= b and x is not null and y is not null")
+
+
 def pairwise_corr(df: DataFrame, features: list[str], min_overlap: int = 15,
                   min_abs: float = 0.30, min_values: int = 10) -> DataFrame:
     """Correlated feature pairs a < b (in the given order), strongest first.
 
-    Long form: a row gives one pair of values for every two features it has, so sparse records give
-    few; moments are added up per pair before the shuffle. One scan, whatever the number of
-    features. A feature with itself is a pair too and counts its values.
+    Long form: a row gives one pair of values for every two features it has, and moments are added
+    up per pair before the shuffle. One scan, whatever the number of features. A feature with itself
+    is a pair too and counts its values. A constant side has no correlation.
     """
     names = list(features)
-    there = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)]),
-                     lambda x: x["v"].isNotNull())
-    both = df.select(there.alias("xs")).select(F.explode(F.flatten(F.transform(
-        "xs", lambda x, k: F.transform(F.slice("xs", k + 1, F.size("xs")), lambda y: F.struct(
-            x["i"].alias("a"), y["i"].alias("b"), x["v"].alias("x"), y["v"].alias("y")))))).alias("p")).select("p.*")
-    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    moments = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.try_divide(
-        F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("r"))
+    moments = _pairs_of(df, names).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
     enough = moments.filter((F.col("a") == F.col("b")) & (F.col("n") >= min_values))
     name = lambda i: F.get(F.array(*[F.lit(c) for c in names]), i)
-    return (moments.filter((F.col("a") != F.col("b")) & (F.col("n") >= min_overlap) & (F.abs("r") >= min_abs))
+    return (moments.filter((F.col("a") != F.col("b")) & (F.col("n") >= min_overlap) & (F.col("vx") > 0) & (F.col("vy") > 0))
+            .withColumn("r", F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).filter(F.abs("r") >= min_abs)
             .join(enough.select("a"), "a", "left_semi").join(enough.select(F.col("a").alias("b")), "b", "left_semi")
             .select(name(F.col("a")).alias("a"), name(F.col("b")).alias("b"), "n", "r")
             .orderBy(F.desc(F.abs("r")), "a", "b"))

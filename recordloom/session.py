@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # text work costs far more than its bytes: small shuffles are not merged into one task
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # a key with a third of the rows is split by AQE even where that costs one more shuffle
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
