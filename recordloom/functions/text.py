@@ -79,14 +79,15 @@ def score_patterns(c: Column, patterns=tuple(V.HIGH_VALUE_PATTERNS)) -> Column:
     return let(F.struct(c.alias("text"), F.lower(c).alias("low")), hits)
 
 
-def detect_section(c: Column) -> Column:
-    """Section name from a heading at the start, else inside the first 300 characters, else NULL."""
+def detect_section(c: Column, near_start: int | None = 300) -> Column:
+    """Section name from a heading at the start, else inside the first `near_start` characters (the
+    whole text without a limit), else NULL."""
     at_start = F.regexp_extract(c, rf"(?iU)^\s*(?:\d[\d.]*\.?\s+)?({V.SECTION_WORDS})", 1)
     inline = F.regexp_extract(
-        F.substring(c, 1, 300),
+        capped(c, near_start),
         rf"(?imU)(?:^|[.\n]\s{{0,4}})(?:\d[\d.]*\.?\s+)?({V.SECTION_WORDS})\b", 1)
     # most chunks hold no section word near their start; a substring test settles that
-    near = F.lower(F.substring(F.ltrim(c), 1, 300))
+    near = F.lower(capped(F.ltrim(c), None if near_start is None else max(near_start, 300)))
     return F.when(any_contains(near, V.SECTION_STEMS),
                   F.lower(strip(F.coalesce(nonblank(at_start), nonblank(inline)))))
 
@@ -118,10 +119,56 @@ def markdown_sections(md: Column) -> Column:
     return F.filter(F.transform(pieces, section), lambda s: F.length(s["text"]) > 0)
 
 
+#: Openers on both sides of a long number among which its neighbours in a running count are looked for.
+_COUNT_REACH = 4
+_OPENER = r"(?U)(?<!\d)(\d{1,9})(?:\)\s*|\.\s+)(?=[A-Z])"
+_LINE_OPENER = r"(?Um)^[^\S\n]*[-•]?[^\S\n]*[\(\[]?(\d{1,9})[\)\]]?[^\S\n]*[.)]?[^\S\n]+"
+
+
+def entry_numbers(c: Column, opener: str = _OPENER) -> Column:
+    """What an entry number can be in this text, as an alternative of a pattern.
+
+    Up to three digits always. A longer number opens an entry if the one before or after it in a
+    running count opens another nearby. In the range of years, which stand at the end of entries, it needs
+    two such neighbours, and one in that range right beside it.
+    """
+    def fits(o, i):
+        first = F.greatest(i - _COUNT_REACH, F.lit(0))
+        near = F.slice(o["all"], first + 1, 2 * _COUNT_REACH + 1)
+        n = F.get(o["all"], i)
+        has = {k: F.array_contains(near, n + k) for k in (-2, -1, 1, 2)}
+        year = n.between(1900, 2099)
+        beside = F.exists(F.slice(o["all"], F.greatest(i, F.lit(1)), 3), lambda m: m.between(1900, 2099) & (m != n))
+        return (n > 999) & F.when(year, beside & ((has[-1] & has[1]) | (has[-1] & has[-2]) | (has[1] & has[2]))).otherwise(has[-1] | has[1])
+
+    def long_ones(o):
+        index = F.sequence(F.lit(0), F.size(o["all"]) - 1)
+        return F.array_distinct(F.transform(F.filter(index, lambda i: fits(o, i)), lambda i: F.get(o["all"], i).cast("string")))
+
+    numbers = F.transform(F.regexp_extract_all(c, F.lit(opener), F.lit(1)), lambda x: x.cast("int"))
+    some = let(F.struct(numbers.alias("all")), lambda o: F.when(F.exists(o["all"], lambda n: n > 999), long_ones(o)))
+    return F.array_join(F.concat(F.array(F.lit(r"\d{1,3}")), F.coalesce(some, F.array().cast("array<string>"))), "|")
+
+
+def _with_numbers(c: Column, body, opener: str = _OPENER) -> Column:
+    """`body(text, of)`; of(pattern) puts the possible entry numbers where the pattern has #."""
+    def bound(p):
+        def of(pattern):
+            parts = pattern.split("#")
+            return F.concat(*[x for i, part in enumerate(parts) for x in ([p["n"]] * (i > 0) + [F.lit(part)])])
+        return body(p["c"], of)
+
+    return let(F.struct(c.alias("c"), entry_numbers(c, opener).alias("n")), bound)
+
+
 def is_reference_chunk(c: Column) -> Column:
     """A chunk that is a reference list: numbered entries with author and journal marks."""
-    dotted = F.regexp_count(c, F.lit(r"(?U)\b\d{1,3}\.\s+[A-Z][a-z]+"))
-    bracketed = F.regexp_count(c, F.lit(r"(?U)\(\d{1,3}\)\s*[A-Z][a-z]+"))
+    return _with_numbers(c, _is_reference_chunk)
+
+
+def _is_reference_chunk(c: Column, of) -> Column:
+    dotted = F.regexp_count(c, of(r"(?U)\b(?:#)\.\s+[A-Z][a-z]+"))
+    bracketed = F.regexp_count(c, of(r"(?U)\((?:#)\)\s*[A-Z][a-z]+"))
     et_al = F.regexp_count(c, F.lit(r"et al\."))
     journals = F.regexp_count(
         c, F.lit(r"(?U)(?:J\.|Chem\.|Phys\.|Nat\.|ACS |Angew\.|Catal\.)\s"))
@@ -131,9 +178,9 @@ def is_reference_chunk(c: Column) -> Column:
             | ((bracketed >= 5) & (semicolons >= 3)))
 
 
-def _numbered_pairs(c: Column, pattern: str) -> Column:
-    nums = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    texts = F.regexp_extract_all(c, F.lit(pattern), F.lit(2))
+def _numbered_pairs(c: Column, pattern: Column) -> Column:
+    nums = F.regexp_extract_all(c, pattern, F.lit(1))
+    texts = F.regexp_extract_all(c, pattern, F.lit(2))
     return F.zip_with(nums, texts, lambda n, t: F.struct(n.alias("num"), t.alias("text")))
 
 
@@ -148,17 +195,21 @@ def _last_per_number(pairs: Column) -> Column:
 
 def parse_reference_chunk(c: Column) -> Column:
     """array<struct<num, text>>: bracketed form; with fewer than 3, dotted form; then the fallback."""
+    return _with_numbers(c, _parse_reference_chunk)
+
+
+def _parse_reference_chunk(c: Column, of) -> Column:
     bracket = F.filter(
-        F.transform(_numbered_pairs(c, r"(?U)\((\d{1,3})\)\s*([A-Z][^\n]{10,})"),
+        F.transform(_numbered_pairs(c, of(r"(?U)\((#)\)\s*([A-Z][^\n]{10,})")),
                     lambda p: F.struct(p["num"].alias("num"), strip(p["text"]).alias("text"))),
         lambda p: p["text"].rlike(r"(?U);|et al\.|19\d{2}|20\d{2}"))
-    opener = r"(?<!\d)\b\d{1,3}\.\s+(?=[A-Z])"
+    opener = r"(?<!\d)\b(?:#)\.\s+(?=[A-Z])"
     dotted = F.transform(
-        _numbered_pairs(c, rf"(?Us)(?<!\d)\b(\d{{1,3}})\.\s+(?=[A-Z])(.*?)(?={opener}|\z)"),
+        _numbered_pairs(c, of(rf"(?Us)(?<!\d)\b(#)\.\s+(?=[A-Z])(.*?)(?={opener}|\z)")),
         lambda p: F.struct(p["num"].alias("num"),
                            strip(F.substring_index(p["text"], "\n", 1)).alias("text")))
     fallback = F.transform(
-        _numbered_pairs(c, r"(?U)\b(\d{1,3})\.\s+([A-Z][^.]{5,}\.)"),
+        _numbered_pairs(c, of(r"(?U)\b(#)\.\s+([A-Z][^.]{5,}\.)")),
         lambda p: F.struct(p["num"].alias("num"), strip(p["text"]).alias("text")))
 
     def extend(pairs, more):
@@ -168,29 +219,32 @@ def parse_reference_chunk(c: Column) -> Column:
     return extend(extend(let(bracket, _last_per_number), dotted), fallback)
 
 
-_REF_LINE = r"(?U)^[^\S\n]*[-•]?[^\S\n]*[\(\[]?(\d{1,3})[\)\]]?[^\S\n]*[.)]?[^\S\n]+([^\n]*)"
+_REF_LINE = r"[^\S\n]*[-•]?[^\S\n]*[\(\[]?(#)[\)\]]?[^\S\n]*[.)]?[^\S\n]+"
 
 
 def parse_reference_section(md: Column, longest: int | None = None) -> Column:
     """array<struct<num, text>> of the list below the References heading; cut only if a limit is given."""
     heading = (r"(?is)^(?:.*?\n)?(?:#[^\n]*(?:REFERENCES|Bibliography)[^\n]*"
                r"|[^\n]*■ REFERENCES[^\n]*)(?:\n|$)")
-    tail = F.regexp_replace(md, heading, "\n")
-    pieces = F.split(tail, r"\n(?=" + _REF_LINE.replace("(?U)^", "(?U)").replace("(\\d", "(?:\\d")
-                     .replace("([^\\n]*)", "") + ")")
-
-    def entry(p):
-        rest = F.filter(F.transform(F.slice(F.split(p, "\n"), 2, F.greatest(
-            F.size(F.split(p, "\n")), F.lit(1))), strip), lambda x: F.length(x) > 0)
-        first = F.regexp_extract(p, _REF_LINE, 2)
-        return F.struct(F.regexp_extract(p, _REF_LINE, 1).alias("num"),
-                        capped(strip(F.array_join(F.concat(F.array(first), rest), " ")),
-                               longest).alias("text"))
-
-    entries = F.transform(F.filter(pieces, lambda p: p.rlike(_REF_LINE)), entry)
-    kept = let(F.filter(entries, lambda e: F.length(e["text"]) > 0), _last_per_number)
-    return F.when(md.rlike(heading), kept).otherwise(
-        F.array().cast("array<struct<num:string,text:string>>"))
+    kind = "array<struct<num:string,text:string>>"
+
+    def entries(tail, of):
+        line = let(of(r"(?U)^" + _REF_LINE + r"([^\n]*)"), lambda x: x)
+        first = lambda p, group: F.get(F.regexp_extract_all(p, line, F.lit(group)), F.lit(0))
+
+        def entry(p):
+            rest = F.filter(F.transform(F.slice(F.split(p, "\n"), 2, F.greatest(
+                F.size(F.split(p, "\n")), F.lit(1))), strip), lambda x: F.length(x) > 0)
+            return F.struct(first(p, 1).alias("num"),
+                            capped(strip(F.array_join(F.concat(F.array(first(p, 2)), rest), " ")),
+                                   longest).alias("text"))
+
+        pieces = F.split(tail, of(r"(?U)\n(?=" + _REF_LINE.replace("(#)", "(?:#)") + ")"))
+        found = F.transform(F.filter(pieces, lambda p: F.call_function("rlike", p, line)), entry)
+        return let(F.filter(found, lambda e: F.length(e["text"]) > 0), _last_per_number)
+
+    kept = _with_numbers(F.regexp_replace(md, heading, "\n"), entries, _LINE_OPENER)
+    return F.when(md.rlike(heading), kept).otherwise(F.array().cast(kind))
 
 
 def _unit_kind(unit: Column) -> Column:

@@ -70,7 +70,7 @@ def match_links_to_refs(links: DataFrame, words: DataFrame, band: float = 64.0)
     first = hit.groupBy("doc", "page", "link_id").agg(
         F.min(F.struct("wt", "w"))["w"]["text"].alias("word"), F.sum("c").alias("n"))
     text = F.when(F.col("n") > 1, F.concat("word", F.lit(" "))).otherwise(F.col("word"))
-    num = nonblank(F.regexp_extract(text, r"(?U)^\s*[\[\(]?(\d{1,3})[\]\)\.\s]", 1))
+    num = nonblank(F.regexp_extract(text, r"(?U)^\s*[\[\(]?(\d{1,9})[\]\)\.\s]", 1))
     found = first.withColumn("ref_num", num).filter("ref_num is not null")
     return (found.groupBy("doc", "ref_num")
             .agg(F.min(F.struct("page", "link_id"))["link_id"].alias("doi")))

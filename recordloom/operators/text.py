@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as TX
 from recordloom.functions import vocabulary as V
-from recordloom.functions.base import quiet_int
+from recordloom.functions.base import capped, quiet_int
 from recordloom.operators.ordering import (carry_forward, first_by, with_neighbours,
                                            with_position)
 from recordloom.session import cut
@@ -91,10 +91,11 @@ def sections_of(docs: DataFrame, keys: list[str], md: str = "md") -> DataFrame:
 
 
 def detect_paper_type(sections: DataFrame, refs: DataFrame, keys: list[str],
-                      many_refs: int = 80) -> DataFrame:
-    """primary or review, from sections, number of references, and words in the first sections."""
+                      many_refs: int = 80, head_characters: int | None = 500) -> DataFrame:
+    """primary or review, from sections, number of references, and words in the first sections (in
+    their first `head_characters`, or anywhere without a limit)."""
     words = F.lit(False)
-    head = F.lower(F.substring("text", 1, 500))
+    head = F.lower(capped(F.col("text"), head_characters))
     for w in V.REVIEW_WORDS:
         words = words | head.contains(w)
     s = sections.groupBy(*keys).agg(

@@ -37,15 +37,17 @@ def read_latest(spark: SparkSession, glob_dir: str, schema) -> DataFrame:
     return stamped.join(newest, "snapshot", "left_semi").drop("snapshot")
 
 
+def is_marked(rest: Column) -> Column:
+    """Does one of the marks stand as a word of its own in what follows the slug? `_version` has none."""
+    return F.lower(rest).rlike(rf"(?:^|[^a-z])(?:{'|'.join(SUPPLEMENT_MARKS)})(?:[^a-z]|$)")
+
+
 def is_supplement(rest: Column, folder: Column) -> Column:
-    """A supplement by what follows the slug in its name: `_SI`, or any mark inside an `SI` folder.
+    """A supplement by what follows the slug in its name: `_SI` alone, or anything inside an `SI` folder.
 
-    Outside such a folder a marked file is a supplement too, never a main file.
+    Outside such a folder a file with another mark is neither a supplement nor a main file.
     """
-    low, hit = F.lower(rest), F.lit(False)
-    for m in SUPPLEMENT_MARKS:
-        hit = hit | low.contains(m)
-    return hit | (folder == "SI")
+    return (rest == "_SI") | (folder == "SI")
 
 
 def list_inputs(files: DataFrame, roots: list[str], path: str = "path",
@@ -54,7 +56,8 @@ def list_inputs(files: DataFrame, roots: list[str], path: str = "path",
 
     `slugs` has the known slugs of the documents (column ``slug``); a name belongs to the longest one
     it begins with. Without it the slug is the name up to its first supplement mark. The main file is
-    the one named by the slug alone, in the first root that has it, else another unmarked one.
+    the one named by the slug alone, in the first root that has it, else another unmarked one. Files
+    with another mark than `_SI` outside an `SI` folder are left out.
     """
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     stem = F.regexp_replace(name, r"\.[^.]+$", "")
@@ -71,9 +74,9 @@ def list_inputs(files: DataFrame, roots: list[str], path: str = "path",
         known = starts.join(slugs.select("slug").distinct(), "slug").groupBy("_stem").agg(F.max_by("slug", F.length("slug")).alias("slug"))
         named = named.join(known, "_stem")
     rest = F.col("_stem").substr(F.length("slug") + 1, F.length("_stem"))
-    tagged = named.withColumn("supplement", is_supplement(rest, folder)).withColumn("_other", F.length(rest) > 0).drop("_stem")
-    main = first_by(tagged.filter("not supplement"), ["slug"], [F.col("_other"), F.col("root_rank"), F.col(path)])
-    return main.unionByName(tagged.filter("supplement")).drop("_other")
+    tagged = named.withColumn("supplement", is_supplement(rest, folder)).withColumn("_other", F.length(rest) > 0).withColumn("_marked", is_marked(rest)).drop("_stem")
+    main = first_by(tagged.filter(~F.col("supplement") & ~F.col("_marked")), ["slug"], [F.col("_other"), F.col("root_rank"), F.col(path)])
+    return main.unionByName(tagged.filter("supplement")).drop("_other", "_marked")
 
 
 def stale_inputs(files: DataFrame, meta: DataFrame, parser_version: str, scale: float,

@@ -139,6 +139,22 @@ def test_reference_parsing(column):
     assert [r["num"] for r in column(TX.parse_reference_chunk, [dotted])[0]] == ["1", "2", "3", "4"]
 
 
+def test_references_from_1000_on(column):
+    """Numbers of a running count are kept, years at the end of entries are not taken for numbers."""
+    entry = lambda n: f"Adams, B.; Clark, D. J. Chem. {1910 + n * 37 % 90}. Lee, K. et al. Title {n}"
+    numbers = [*range(996, 1006), *range(1898, 1903), *range(2017, 2021)]
+    dotted = "\n".join(f"{n}. {entry(n)}" for n in numbers)
+    bracketed = "\n".join(f"({n}) {entry(n)}" for n in numbers)
+    section = "# Intro\ntext 2018. Text\n## REFERENCES\n" + "\n".join(f"[{n}] {entry(n)}" for n in numbers)
+    for text in (dotted, bracketed):
+        got = {r["num"]: r["text"] for r in column(TX.parse_reference_chunk, [text])[0]}
+        assert got == {str(n): entry(n) for n in numbers}
+        assert column(TX.is_reference_chunk, [text]) == [True]
+    assert {r["num"]: r["text"] for r in column(TX.parse_reference_section, [section])[0]} == {str(n): entry(n) for n in numbers}
+    few = "1. Adams, B. One two 2018. Baker, C. three 2. Cole, D. Four 2019. Dean, E. five 3. Ellis, F. Six 2020. Ford, G. seven"
+    assert [r["num"] for r in column(TX.parse_reference_chunk, [few])[0]] == ["1", "2", "3"]
+
+
 def test_labels_in_captions(spark):
     labels = spark.createDataFrame([("d", "a", ["C-HZSM-5"]), ("d", "b", ["ZSM-5(25)"]),
                                     ("d", "c", ["two words"]), ("d", "e", ["ab"]),
