@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.session import cut
+from recordloom.session import cut, drop_old_shuffles, release
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,10 +31,12 @@ def connected(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     now = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct())
     mark = None
     while True:
-        now = cut(_stars(_stars(now, True), False))
+        before, now = now, cut(_stars(_stars(now, True), False))
+        release(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (seen["n"], seen["s"]) == mark:
             break
         mark = (seen["n"], seen["s"])
+    drop_old_shuffles(now.sparkSession)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from recordloom.llm.base import NULL_ID, free_memory, id_key, in_slices, sliced
 from recordloom.llm.bytewords import U64, blank_words, mix, windows, words_of
 from recordloom.llm.components import connected
-from recordloom.session import cut
+from recordloom.session import cut, drop_old_shuffles, release
 
 #: Share of all documents from which a shingle counts as frequent; at most (mean set size / share) do.
 FREQUENT = 1e-4
 #: Nodes in an inverted list that are paired with one another; longer lists go the other way.
-LONG_LIST = 64
+LONG_LIST = 16
 #: Rounds in which the nodes of each long list are compared with one of them, before the rest is.
 HEADS = 2
 #: Ids that are broadcast at most to pick texts; beyond, the texts are joined by a shuffle.
@@ -186,7 +186,9 @@ class JaccardJoin:
 
     def lists(self, profiles: DataFrame) -> DataFrame:
         """Rows (shingle, node, n, place) of the short inverted lists that hold two nodes or more."""
-        rows = (profiles.where("n > 0").select("node", "n", F.posexplode("short").alias("place", "shingle")))
+        # one shuffle serves the count and the join; most shingles are met in one node only and go there
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = (profiles.where("n > 0").select("node", "n", F.posexplode("short").alias("place", "shingle")).repartition(parts, "shingle"))
         met = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("shingle")
         return cut(rows.join(met, "shingle", "left_semi").distinct())
 
@@ -216,9 +218,12 @@ class JaccardJoin:
         picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
         sets = self.base.select("k", "text").join(picked, "k").select("node", "text").mapInArrow(
             _whole_sets(self.size), "node long, `set` array<long>")
-        return (pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("set_x")), "x")
-                .join(sets.select(F.col("node").alias("y"), F.col("set").alias("set_y")), "y")
-                .mapInArrow(_probe(self.percent), "x long, y long").distinct())
+        found = cut(pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("set_x")), "x")
+                    .join(sets.select(F.col("node").alias("y"), F.col("set").alias("set_y")), "y")
+                    .mapInArrow(_probe(self.percent), "x long, y long").distinct())
+        release(pairs, wanted)
+        drop_old_shuffles(self.spark)
+        return found
 
     def _heads(self, members: DataFrame, salt: int) -> DataFrame:
         """One node per long list, another one in every list and for every salt."""
@@ -247,19 +252,28 @@ class JaccardJoin:
         lists = self.lists(profiles)
         long = cut(lists.groupBy("shingle").count().where(F.col("count") > LONG_LIST).select("shingle"))
         short = self._met(*2 * [lists.join(long, "shingle", "left_anti")], True)
-        found = cut(self.verified(self.sketched(short, nodes), nodes))
+        found = self.verified(self.sketched(short, nodes), nodes)
         if long.isEmpty():
+            release(lists, long)
             return found
         members = cut(lists.join(long, "shingle", "left_semi"))
         for salt in range(HEADS):
             named = self._named(members, found)
-            found = cut(found.union(self.verified(self._across(named, self._heads(named, salt), nodes), nodes)))
+            found = self._joined(found, self.verified(self._across(named, self._heads(named, salt), nodes), nodes))
+            release(named)
         # what is outside the largest component of its list is compared with all other components there
         named = self._named(members, found)
         sizes = named.groupBy("shingle", "part").count()
         main = sizes.groupBy("shingle").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"))
         mixed = cut(named.join(main.where("parts > 1").drop("parts"), "shingle"))
-        return cut(found.union(self.verified(self._across(mixed.where("part <> main"), mixed, nodes), nodes)))
+        found = self._joined(found, self.verified(self._across(mixed.where("part <> main"), mixed, nodes), nodes))
+        release(lists, members, long, named, mixed)
+        return found
+
+    def _joined(self, found: DataFrame, more: DataFrame) -> DataFrame:
+        both = cut(found.union(more))
+        release(found, more)
+        return both
 
     def _named(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """Members with their component so far."""
