@@ -33,11 +33,11 @@ from recordloom.session import cut, delete, drop_old_shuffles, shared_folder
 #: Bytes of text in a chunk; a longer text is a chunk alone.
 CHUNK_BYTES = 2 << 20
 #: Keys, with repeats over chunks, in a part of a round trip.
-PART_KEYS = 1_000_000
+PART_KEYS = 500_000
 #: Customers of a dish up to which its tables are drawn exactly (a power of two).
 EXACT = 256
 #: Numbers that a step of the sampler holds.
-_CELLS = 1 << 20
+_CELLS = 1 << 18
 #: What stands before the first word of a text, and after its last.
 START, END = 0x5374617274, 0x456E64456E64
 
@@ -159,9 +159,8 @@ class Root:
         others = np.full(len(code), float(max(self.before - 1, 0)))
         return seat(code, customers, others, np.full(len(code), 1.0 / (self.words + 1)), self.strength, self.discount, sweep, 0)
 
-    def share(self, code: np.ndarray, customers: np.ndarray, sweep: int) -> np.ndarray:
+    def share(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Predictive probability of words in the root; an unknown word has no customer."""
-        tables = self.seated(code, customers, sweep)
         fresh = (self.strength + self.discount * self.tables) / (self.words + 1)
         return (customers - self.discount * tables + fresh) / (self.strength + self.customers)
 
@@ -267,7 +266,10 @@ def _summed(root: Root | None, sweep: int):
         for v in range(len(table.column("sums")[0])):
             values = np.concatenate([_unpack(x[v].as_py()) for x in table.column("sums")])
             total.append(np.add.reduceat(values[order], np.flatnonzero(opens)))
-        seats = int(root.seated(key[order[opens]], total[-1], sweep).sum()) if root else 0
+        seats = 0
+        if root:                                           # seated here, once for all chunks
+            total.append(root.seated(key[order[opens]], total[-1], sweep).astype(np.int64))
+            seats = int(total[-1].sum())
         border = np.concatenate(([0], np.cumsum(size)))
         rows = [slice(a, b) for a, b in zip(border, border[1:])]
         once = np.zeros(len(rows), np.int64)
@@ -277,7 +279,7 @@ def _summed(root: Root | None, sweep: int):
                          "sums": pa.array([[_pack(t[group[r]]) for t in total] for r in rows], pa.list_(pa.binary())),
                          "kinds": pa.array(once * int((total[0] > 0).sum())), "total": pa.array(once * int(total[0].sum())),
                          "ones": pa.array(once * int((total[0] == 1).sum())), "twos": pa.array(once * int((total[0] == 2).sum())),
-                         "customers": pa.array(once * int(total[-1].sum())), "seats": pa.array(once * seats)})
+                         "customers": pa.array(once * int(total[2 if root else 0].sum())), "seats": pa.array(once * seats)})
     return run
 
 
@@ -311,7 +313,7 @@ class _Model:
         """Write rows by chunk, so that joins on it need no exchange of them."""
         name = f"chunks_{uuid.uuid4().hex}"
         path = f"{shared_folder(self.spark)}/{name}"
-        df.write.bucketBy(self.buckets, "chunk").option("path", path).format("parquet").saveAsTable(name)
+        df.write.bucketBy(self.buckets, "chunk").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
         self.tables.append((name, path))
         return self.spark.table(name)
 
@@ -390,8 +392,8 @@ class _Model:
                     key = mix(mix(codes[before]) * U64(0x9E3779B97F4A7C15) + codes[word])
                     tables = np.ones(len(key))
                     for s, root in enumerate(roots):
-                        (_, open_tables, customers), _ = _returned(batch, i, f"r{s}", codes, parts)
-                        tables = _reseated(key, before, word, count, tables, codes, open_tables, customers, root, strength, discount, s)
+                        (_, open_tables, *words), _ = _returned(batch, i, f"r{s}", codes, parts)
+                        tables = _reseated(key, before, word, count, tables, open_tables, root.share(*words), strength, discount, s)
                     n = len(codes)
                     one_before, one_word = (_unpack(batch.column(c)[i].as_py()) for c in ("one_before", "one_word"))
                     yield _parcels(batch.column("chunk")[i].as_py(), codes, [
@@ -404,9 +406,8 @@ class _Model:
         return self.trip(rows.mapInArrow(send, _SENT), next_root, len(roots))
 
 
-def _reseated(key, before, word, count, tables, codes, open_tables, customers, root: Root, strength, discount, s) -> np.ndarray:
+def _reseated(key, before, word, count, tables, open_tables, share, strength, discount, s) -> np.ndarray:
     """Tables of pairs after one more sweep, from the sums that the sweep before left."""
-    share = root.share(codes, customers, s)
     others = np.maximum(open_tables[before] - tables, 0)
     return seat(key, count, others, share[word], strength, discount, s, 1)
 
@@ -423,14 +424,13 @@ def _scores(parts: tuple[int, int], roots: list[Root], burn: int, known: int, to
                 (count,), _ = _returned(batch, i, "pairs", texts.key, pair_parts)
                 tables, mean = np.minimum(count, 1).astype(np.float64), np.zeros(len(count))
                 for s, root in enumerate(roots):
-                    (context, open_tables, customers), _ = _returned(batch, i, f"r{s}", texts.codes, word_parts)
+                    (context, open_tables, *words), _ = _returned(batch, i, f"r{s}", texts.codes, word_parts)
+                    share = root.share(*words)
                     if s >= burn:
-                        share = root.share(texts.codes, customers, s)[texts.word]
-                        mean += ((count - discount * tables + (strength + discount * open_tables[texts.before]) * share)
+                        mean += ((count - discount * tables + (strength + discount * open_tables[texts.before]) * share[texts.word])
                                  / (strength + context[texts.before]))
                     if s + 1 < len(roots):
-                        tables = _reseated(texts.key, texts.before, texts.word, count, tables, texts.codes, open_tables, customers,
-                                           root, strength, discount, s)
+                        tables = _reseated(texts.key, texts.before, texts.word, count, tables, open_tables, share, strength, discount, s)
                 log = np.log10(mean / (len(roots) - burn))[texts.pair]
                 base = np.log10((seen + 1) / (total + known + 1))[texts.tokens]
                 at = np.cumsum(texts.sizes) - texts.sizes
