@@ -66,6 +66,66 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     return rows.join(front.select(x, F.col("_y").alias(y)), [x, y], "left_semi")
 
 
+#: Cells of the grid of a skyline in all, and points whose front one task folds at a time.
+_CELLS, _BLOCK = 4096, 2000
+
+
+def _below(x: str):
+    return lambda c: c < F.col(x).cast("double")
+
+
+def _beats(q: Column, p: Column, n: int) -> Column:
+    """q is nowhere smaller than p, and larger somewhere."""
+    fields = [f"o{i}" for i in range(n)]
+    no_less, more = F.lit(True), F.lit(False)
+    for f in fields:
+        no_less, more = no_less & (q[f] >= p[f]), more | (q[f] > p[f])
+    return no_less & more
+
+
+def skyline(df: DataFrame, objectives: list[str]) -> DataFrame:
+    """Rows that no other row beats in all objectives (larger is better; equal rows stay; rows with
+    a NULL objective are left out).
+
+    A grid over the values, by cut points of a sketch, settles most: a cell goes if an occupied cell
+    lies above it in every objective. The points of a cell that stays are dealt into blocks, each block
+    is sorted and folded to its own front, and fronts are compared block with block where cells are
+    not below one another. The grid has at most some 4096 cells whatever the number of rows.
+    """
+    n = len(objectives)
+    names, cells = [f"o{i}" for i in range(n)], [f"c{i}" for i in range(n)]
+    wide = max(2, int(_CELLS ** (1 / n) + 1e-9))
+    rows = df.filter(" and ".join(f"`{o}` is not null" for o in objectives))
+    points = rows.select(*[F.col(o).alias(x) for o, x in zip(objectives, names)]).distinct()
+    cuts = points.agg(F.array(*[F.percentile_approx(F.col(x).cast("double"), [i / wide for i in range(1, wide)], 1000) for x in names]).alias("c")).scalar()
+    gridded = cut(points.withColumn("_cuts", cuts).select(*names, *[
+        F.size(F.filter(F.get("_cuts", F.lit(i)), _below(x))).alias(cell) for i, (x, cell) in enumerate(zip(names, cells))]))
+    occupied = gridded.groupBy(*cells).agg(F.count(F.lit(1)).alias("_size"))
+    every = occupied.agg(F.collect_list(F.struct(*cells)).alias("a")).scalar()
+
+    def above(d, strictly):
+        out = F.lit(True)
+        for c in cells:
+            out = out & (d[c] > F.col(c) if strictly else d[c] >= F.col(c))
+        return out
+
+    live = cut(occupied.withColumn("_all", every).filter(~F.exists("_all", lambda d: above(d, True))).drop("_all"))
+    dealt = gridded.join(live, cells).withColumn("_block", F.pmod(F.xxhash64(*names), F.ceil(F.col("_size") / _BLOCK)))
+    listed = F.sort_array(F.collect_list(F.struct(*names)), asc=False)      # what beats a point stands before it
+    kind = dealt.select(F.array(F.struct(*names)).alias("a")).schema[0].dataType.simpleString()
+    folded = F.aggregate("_points", F.array().cast(kind), lambda acc, p: F.when(
+        F.exists(acc, lambda q: _beats(q, p, n)), acc).otherwise(F.array_append(acc, p)))
+    fronts = cut(dealt.groupBy(*cells, "_block").agg(listed.alias("_points")).select(*cells, "_block", folded.alias("_front")))
+    higher = live.agg(F.collect_list(F.struct(*cells)).alias("a")).scalar()
+    pairs = live.select(*cells).withColumn("_all", higher).select(*cells, F.explode(F.filter("_all", lambda d: above(d, False))).alias("d"))
+    other = fronts.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(cells)], F.col("_front").alias("_other"))
+    met = (fronts.join(pairs.select(*cells, *[F.col(f"d.{c}").alias(f"d{i}") for i, c in enumerate(cells)]), cells)
+           .join(other, [f"d{i}" for i in range(n)]))
+    beaten = met.select(F.inline(F.filter("_front", lambda p: F.exists("_other", lambda q: _beats(q, p, n))))).distinct()
+    front = fronts.select(F.inline("_front")).join(beaten, names, "left_anti")
+    return rows.join(front.select(*[F.col(x).alias(o) for x, o in zip(names, objectives)]), objectives, "left_semi").select(*df.columns)
+
+
 def family_heatmap(df: DataFrame, row: str, col: str, metric: str) -> DataFrame:
     return pivot_mean_count(df, row, col, metric)
 

@@ -282,6 +282,15 @@ def _m2(spark, sf):
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
 
 
+_THREE = "SELECT o_orderkey, o_totalprice AS a, o_custkey % 97 AS b, o_orderkey % 89 AS c FROM orders"
+
+
+@query("m2_skyline", f"""WITH o AS ({_THREE}) SELECT o_orderkey, a, b, c FROM o WHERE NOT EXISTS (
+ SELECT 1 FROM o q WHERE q.a >= o.a AND q.b >= o.b AND q.c >= o.c AND (q.a > o.a OR q.b > o.b OR q.c > o.c))""")
+def _m2b(spark, sf):
+    return M.skyline(sql(spark, sf, _THREE), ["a", "b", "c"]).select("o_orderkey", "a", "b", "c")
+
+
 def _features(spark, sf):
     d = sql(spark, sf, """SELECT l_orderkey AS id, l_returnflag AS metal, l_linestatus AS support, l_quantity AS q, l_tax AS tax,
         l_extendedprice / 1000 AS y FROM lineitem""")

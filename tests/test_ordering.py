@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.operators import figures as G
+from recordloom.operators import modeling
 from recordloom.operators import ordering as O
-from recordloom.operators.modeling import gap_candidates, pareto_front
+from recordloom.operators.modeling import gap_candidates, pareto_front, skyline
 from recordloom.operators.quantiles import exact_median
 from recordloom.operators.stats import pairwise_corr
 
@@ -87,6 +89,25 @@ def test_pareto_and_gaps(spark):
         (x, y) for x in xs for y in ys if (x, y) not in seen}
 
 
+@pytest.mark.parametrize("n,cells,block", [(2, 4096, 2000), (3, 64, 7), (3, 4096, 2000), (4, 4096, 50)])
+def test_skyline(spark, monkeypatch, n, cells, block):
+    """Three and more objectives, with one point many times, ties and NULLs."""
+    monkeypatch.setattr(modeling, "_CELLS", cells)
+    monkeypatch.setattr(modeling, "_BLOCK", block)
+    rng = random.Random(n)
+    names = [f"v{i}" for i in range(n)]
+    rows = [(i, *[float(rng.randint(0, 25)) for _ in names]) for i in range(400)]
+    rows += [(1000 + i, *[24.0] * n) for i in range(300)] + [(2000, None, *[99.0] * (n - 1)), (2001, *[-1.0] * n)]
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{c} double" for c in names)).repartition(4)
+    whole = [r for r in rows if None not in r]
+    points = {r[1:] for r in whole}
+    best = {p for p in points if not any(q != p and all(x >= y for x, y in zip(q, p)) for q in points)}
+    got = skyline(df, names)
+    assert got.columns == df.columns
+    assert sorted(r["i"] for r in got.collect()) == sorted(r[0] for r in whole if r[1:] in best)
+    assert skyline(df.filter("i < 0"), names).collect() == []
+
+
 def test_constant_column_has_no_correlation(spark):
     df = spark.range(40).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"),
                                 (F.col("id") * 2.0).alias("c"))
