@@ -391,7 +391,3 @@ def first_json(c: Column) -> Column:
     """Outermost {...} of a reply as text; NULL where it is not valid JSON."""
     body = nonblank(F.regexp_extract(c, r"(?s)\{.*\}", 0))
     return F.when(F.try_parse_json(body).isNotNull(), body)
-
-
-def contains_any(c: Column, words) -> Column:
-    return any_contains(c, words)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -44,6 +46,30 @@ def gap_candidates(df: DataFrame, dims: list[str], at_most: int = 0,
             .withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") <= at_most))
 
 
+def open_gaps(df: DataFrame, dims: list[str], most: int = MOST_CATEGORIES) -> DataFrame:
+    """Combinations that never occur, as a complement: (dims, depth).
+
+    A row says that the first `depth` dimensions hold values that are seen, and the first `depth` - 1
+    of them are seen together, but never with the last one; the dimensions after it are open (NULL).
+    So an absent prefix is listed once and stands for everything below it: there are at most as many
+    rows as seen prefixes times values of one dimension, and the product is never built. A prefix
+    collects the values below it, at most `most` of a dimension; beyond, this raises.
+    `gap_candidates` spells gaps out.
+    """
+    parts = []
+    for k in range(1, len(dims)):
+        rows, last = df.dropna(subset=dims[:k]), dims[k]
+        every = df.agg(F.sort_array(F.collect_set(last)).alias("a")).select(F.when(F.size("a") <= most, F.col("a")).otherwise(
+            F.raise_error(F.lit(f"over {most} values of {last}")).cast(f"array<{df.schema[last].dataType.simpleString()}>")).alias("a")).scalar()
+        seen = rows.select(*dims[:k + 1]).distinct().groupBy(*dims[:k]).agg(F.collect_set(last).alias("_seen"))
+        absent = seen.withColumn("_all", every).select(*dims[:k], F.explode(F.array_except("_all", "_seen")).alias(last))
+        parts.append(absent.select(*dims[:k + 1], *[F.lit(None).cast(df.schema[d].dataType).alias(d) for d in dims[k + 1:]],
+                                   F.lit(k + 1).alias("depth")))
+    if not parts:
+        return df.select(*dims).withColumn("depth", F.lit(0)).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows no other row beats in both x and y (larger is better; equal rows stay).
 

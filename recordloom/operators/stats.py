@@ -258,11 +258,6 @@ def order_by_median(df: DataFrame, group: str, value: str) -> DataFrame:
             .orderBy(F.desc("median"), group))
 
 
-def classify_rules(rules: list[tuple[Column, str]], default: str = "other") -> Column:
-    """Ordered rules to a class; see ``families`` for ready rule lists."""
-    return first_rule(rules, default)
-
-
 def families(label: Column) -> list[tuple[Column, str]]:
     """Material families by words in the label."""
     s = F.lower(label)
@@ -372,7 +367,7 @@ def analysis_frame(attributes: DataFrame, papers: DataFrame, topic: str,
         value["temperature"] = F.when(t > 500, F.round(t - 273.15, 1)).otherwise(t)
     j = num.join(papers.select(F.col("doi").alias("doc"), "topic"), "doc", "left")
     out = j.select("doc", "rec_key", "label", "topic",
-                   classify_rules(families(F.col("label"))).alias("family"),
+                   first_rule(families(F.col("label")), "other").alias("family"),
                    F.coalesce(*[F.col(f"_{k}") for k in metric_keys]).alias("metric"),
                    *[v.alias(n) for n, v in value.items()])
     return out.filter(F.col("topic").eqNullSafe(topic) | F.col("metric").isNotNull())

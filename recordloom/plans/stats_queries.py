@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordloom.functions.base import first_rule
 from recordloom.operators import modeling as M
 from recordloom.operators import stats as A
 from recordloom.operators.ordering import carry_forward
@@ -183,7 +184,7 @@ _LABELS = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'Fe2O3/' WHEN 1 TH
  WHEN 3 THEN 'InOx/InZr' WHEN 4 THEN 'Ga-based' WHEN 5 THEN 'Cu-based' WHEN 6 THEN 'Zn-based' ELSE 'other' END AS family FROM l""")
 def _a16(spark, sf):
     d = sql(spark, sf, _LABELS)
-    return d.select("p_partkey", A.classify_rules(A.families(F.col("label"))).alias("family"))
+    return d.select("p_partkey", first_rule(A.families(F.col("label")), "other").alias("family"))
 
 
 @query("a16_metal_groups", f"""WITH l AS ({_LABELS}) SELECT p_partkey, CASE WHEN p_partkey % 9 = 4 THEN 'Ga/ZSM-5'
@@ -274,6 +275,17 @@ def _m1(spark, sf):
     return M.gap_candidates(view(spark, sf, "part"), ["p_name", "p_type", "p_brand"], 1)
 
 
+_OPEN = """SELECT DISTINCT p_type, p_brand, CAST(NULL AS INTEGER) AS p_size, 2 AS depth FROM (SELECT DISTINCT p_type FROM part) a JOIN (SELECT DISTINCT p_brand FROM part) b ON true
+ WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_type = a.p_type AND p.p_brand = b.p_brand)
+UNION ALL SELECT a.p_type, a.p_brand, CAST(c.p_size AS INTEGER), 3 FROM (SELECT DISTINCT p_type, p_brand FROM part) a JOIN (SELECT DISTINCT p_size FROM part) c ON true
+ WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_type = a.p_type AND p.p_brand = a.p_brand AND p.p_size = c.p_size)"""
+
+
+@query("m1_open_gaps", _OPEN)
+def _m1b(spark, sf):
+    return M.open_gaps(view(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("int")), ["p_type", "p_brand", "p_size"])
+
+
 @query("m2_pareto_front", """WITH b AS (SELECT l_extendedprice AS x, max(l_quantity) AS y FROM lineitem GROUP BY 1),
 f AS (SELECT x, y, max(y) OVER (ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM b)
 SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity FROM lineitem JOIN f ON l_extendedprice = f.x AND l_quantity = f.y WHERE above IS NULL OR f.y > above""")

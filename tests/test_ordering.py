@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordloom.operators import figures as G
 from recordloom.operators import modeling
 from recordloom.operators import ordering as O
-from recordloom.operators.modeling import gap_candidates, pareto_front, skyline
+from recordloom.operators.modeling import gap_candidates, open_gaps, pareto_front, skyline
 from recordloom.operators.quantiles import exact_median
 from recordloom.operators.stats import pairwise_corr
 
@@ -89,6 +89,19 @@ def test_pareto_and_gaps(spark):
         (x, y) for x in xs for y in ys if (x, y) not in seen}
 
 
+def test_open_gaps_stand_for_all_absent_combinations(spark):
+    rng = random.Random(9)
+    rows = [tuple(rng.randint(0, m) for m in (6, 5, 4)) for _ in range(60)] + [(None, 1, 1), (1, None, 2), (2, 3, None)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    values = [{r[i] for r in rows} - {None} for i in range(3)]
+    seen = [{r[:k] for r in rows if None not in r[:k]} for k in range(4)]
+    spelled = [x for g in open_gaps(df, ["a", "b", "c"]).collect() for x in (
+        [(g.a, g.b, c) for c in values[2]] if g.depth == 2 else [(g.a, g.b, g.c)])]
+    want = {(a, b, c) for a in values[0] for b in values[1] for c in values[2]} - seen[3]
+    assert len(spelled) == len(set(spelled)) and set(spelled) == want
+    assert open_gaps(df, ["a"]).collect() == [] and open_gaps(df.limit(0), ["a", "b"]).collect() == []
+
+
 @pytest.mark.parametrize("n,cells,block", [(2, 4096, 2000), (3, 64, 7), (3, 4096, 2000), (4, 4096, 50)])
 def test_skyline(spark, monkeypatch, n, cells, block):
     """Three and more objectives, with one point many times, ties and NULLs."""
