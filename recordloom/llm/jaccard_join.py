@@ -30,7 +30,7 @@ from recordloom.session import cut, drop_old_shuffles, release
 #: Share of all documents from which a shingle counts as frequent; at most (mean set size / share) do.
 FREQUENT = 1e-4
 #: Nodes in an inverted list that are paired with one another; longer lists go the other way.
-LONG_LIST = 16
+LONG_LIST = 64
 #: Rounds in which the nodes of each long list are compared with one of them, before the rest is.
 HEADS = 2
 #: Ids that are broadcast at most to pick texts; beyond, the texts are joined by a shuffle.
@@ -186,9 +186,7 @@ class JaccardJoin:
 
     def lists(self, profiles: DataFrame) -> DataFrame:
         """Rows (shingle, node, n, place) of the short inverted lists that hold two nodes or more."""
-        # one shuffle serves the count and the join; most shingles are met in one node only and go there
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = (profiles.where("n > 0").select("node", "n", F.posexplode("short").alias("place", "shingle")).repartition(parts, "shingle"))
+        rows = (profiles.where("n > 0").select("node", "n", F.posexplode("short").alias("place", "shingle")))
         met = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("shingle")
         return cut(rows.join(met, "shingle", "left_semi").distinct())
 
