@@ -31,7 +31,7 @@ from recordloom.llm.bytewords import U64, blank_words, mix, words_of
 from recordloom.session import cut, delete, drop_old_shuffles, shared_folder
 
 #: Bytes of text in a chunk; a longer text is a chunk alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Keys, with repeats over chunks, in a part of a round trip.
 PART_KEYS = 500_000
 #: Customers of a dish up to which its tables are drawn exactly (a power of two).
@@ -313,7 +313,7 @@ class _Model:
         """Write rows by chunk, so that joins on it need no exchange of them."""
         name = f"chunks_{uuid.uuid4().hex}"
         path = f"{shared_folder(self.spark)}/{name}"
-        df.write.bucketBy(self.buckets, "chunk").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        df.write.bucketBy(self.buckets, "chunk").option("path", path).format("parquet").saveAsTable(name)
         self.tables.append((name, path))
         return self.spark.table(name)
 
