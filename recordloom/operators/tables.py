@@ -234,22 +234,40 @@ def map_columns_regex(header: Column, fields: dict[str, str] | None = None) -> C
     return F.coalesce(let(leaf, ladder), let(strip(header), ladder))
 
 
+#: Parts that the rows under one list of headers are dealt into.
+_PARTS = 64
+
+
+def unit_headers(tables: DataFrame) -> DataFrame:
+    """Every distinct list of headers with what it means; the patterns run here only, not for each row.
+
+    A list that stands over very many rows is there once for each of its parts (``_part``).
+    ``_heads``: headers without white space around them, ``_fields``: unit fields, ``_marked``: is a
+    Celsius sign there, ``_ref`` and ``_cat``: places of the reference and of the sample.
+    """
+    leaf = lambda h: strip(F.substring_index(h, ".", -1))
+    once = tables.select("headers", "_part").filter(F.col("headers").isNotNull()).distinct().select(
+        "headers", "_part", F.transform("headers", strip).alias("_heads"),
+        F.transform("headers", lambda h: F.when(
+            ~leaf(h).rlike(r"(?i)^ref(?:erence)?s?$"), map_columns_regex(h))).alias("_fields"),
+        F.transform("headers", lambda h: h.rlike("[°℃]")).alias("_marked"),
+        _first_index(F.transform("headers", leaf), lambda h: h.rlike(r"^ref(?:erence)?s?$")).alias("_ref"))
+    return once.withColumn("_cat", (F.array_position("_fields", "catalyst_system") - 1).cast("int"))
+
+
 def table_to_units(tables: DataFrame) -> DataFrame:
     """Digital tables to evidence units, one row per field value.
 
     Input: ``doc, slug, table_idx, headers, row_idx, cells``. A row is kept if it has at least one
     number; repeated header rows are skipped.
     """
-    leaf = lambda h: strip(F.substring_index(h, ".", -1))
-    ref = _first_index(F.transform("headers", leaf), lambda h: h.rlike(r"^ref(?:erence)?s?$"))
-    fields = F.transform("headers", lambda h, i: F.when(
-        ~leaf(h).rlike(r"(?i)^ref(?:erence)?s?$"), map_columns_regex(h)))
-    t = (tables.withColumn("_ref", ref).withColumn("_fields", fields)
+    dealt = tables.withColumn("_part", F.pmod(F.xxhash64(
+        "slug", "table_idx", F.floor(F.col("row_idx") / 4096)), F.lit(_PARTS)))
+    # packed rows can look small enough to be broadcast; the side of the headers is the one to build on
+    t = (dealt.join(unit_headers(dealt).hint("shuffle_hash"), ["headers", "_part"])
          .withColumn("_cells", F.transform("cells", lambda c: strip(F.coalesce(c, F.lit("nan")))))
-         .filter(F.col("_cells") != F.transform("headers", strip)))
-    cat = F.get(F.filter(F.transform("_fields", lambda f, i: F.when(f == "catalyst_system", i)),
-                         lambda i: i.isNotNull()), F.lit(0))
-    label = F.coalesce(F.get(F.col("_cells"), cat),
+         .filter(F.col("_cells") != F.col("_heads")))
+    label = F.coalesce(F.when(F.col("_cat") >= 0, F.get(F.col("_cells"), F.col("_cat"))),
                        F.concat(F.lit("row_"), F.col("row_idx").cast("string")))
     cited = F.get(F.col("_cells"), F.col("_ref"))
     reference = F.when(~cited.isin(V.EMPTY_CELLS), F.concat(
@@ -257,26 +275,26 @@ def table_to_units(tables: DataFrame) -> DataFrame:
 
     def value(c, i):
         f = F.get(F.col("_fields"), i)
-        num = quiet_double(nonblank(F.regexp_extract(c, r"^([0-9]+\.?[0-9]*)", 1)))
-        marked = F.get(F.col("headers"), i).rlike("[°℃]")
-        kelvin = (f == "temperature_k") | ((f == "temperature_c") & (num > 500) & ~marked)
-        return F.struct(
+        number = quiet_double(nonblank(F.regexp_extract(c, r"^([0-9]+\.?[0-9]*)", 1)))
+        kelvin = lambda num: (f == "temperature_k") | (
+            (f == "temperature_c") & (num > 500) & ~F.get(F.col("_marked"), i))
+        return let(number, lambda num: F.struct(
             F.when((f == "temperature_k") & num.isNotNull(), "temperature_c")
              .otherwise(f).alias("field"),
-            F.when(kelvin, F.round(num - 273.15, 1)).otherwise(num).alias("num"),
-            F.when(num.isNull(), c).alias("txt"), i.alias("col"))
-
-    values = F.filter(
-        F.transform("_cells", value),
-        lambda v: v["field"].isNotNull() & (v["field"] != "catalyst_system")
-        & ~F.get(F.col("_cells"), v["col"]).isin(V.EMPTY_CELLS))
-    t = t.withColumn("_values", values).filter(
-        F.exists("_values", lambda v: v["num"].isNotNull()))
+            F.when(kelvin(num), F.round(num - 273.15, 1)).otherwise(num).alias("num"),
+            F.when(num.isNull(), c).alias("txt"), i.alias("col")))
+
+    # only cells of a field are read
+    read = F.transform("_cells", lambda c, i: F.when(
+        F.get(F.col("_fields"), i).isNotNull() & (F.get(F.col("_fields"), i) != "catalyst_system")
+        & ~c.isin(V.EMPTY_CELLS), value(c, i)))
+    # found once: a filter on the values would make them a second time
+    values = let(F.array_compact(read), lambda vs: F.when(F.exists(vs, lambda v: v["num"].isNotNull()), vs))
     return t.select(
         F.format_string("%s::docling::t%02d::r%02d", "slug", "table_idx", "row_idx")
         .alias("evidence_id"),
         F.col("doc").alias("source_doi"), label.alias("catalyst_system"),
-        reference.alias("source_reference"), F.inline("_values"))
+        reference.alias("source_reference"), F.inline(values))
 
 
 def points_from_ragged(rows: DataFrame, x_patterns: list[str], y_pattern: str,

@@ -14,7 +14,7 @@ from recordloom.operators import export as X
 from recordloom.operators import records as R
 from recordloom.operators import scoring as U
 from recordloom.operators.linkage import overlay_passes
-from recordloom.operators.tables import melt_tables
+from recordloom.operators.tables import melt_tables, table_to_units
 from recordloom.plans import linkage_queries, table_queries
 from recordloom.plans.views import TABLES, view
 from recordloom.sources import files as SF
@@ -164,3 +164,21 @@ def test_query_equals_its_sql(spark, name):
 def test_entry_and_keys(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_unit_headers_are_read_once(spark):
+    heads = ["Sample", "T (K)", "WHSV", None, "a.Ref"]
+    table = spark.createDataFrame([
+        ("p", "s", 0, i, heads, ["Cu", "600", f"{i} h", "x", "(7)"]) for i in range(1, 50)] + [
+        ("p", "s", 0, 0, heads, ["Sample", "T (K)", "WHSV", "nan", "a.Ref"]), ("p", "s", 1, 0, ["GHSV"], ["1.5"]),
+        ("p", "s", 1, 1, ["GHSV"], ["n/a"]), ("p", "s", 2, 0, None, ["1"]), ("p", "s", 3, 0, heads, ["Zn"])],
+        "doc string, slug string, table_idx int, row_idx int, headers array<string>, cells array<string>")
+    out = table_to_units(table)
+    got = {(r["evidence_id"], r["field"]): (r["catalyst_system"], r["source_reference"], r["num"]) for r in out.collect()}
+    assert len(got) == out.count() == 99
+    assert got["s::docling::t00::r07", "temperature_c"] == ("Cu", "[7]", 326.9)
+    assert got["s::docling::t00::r07", "whsv"] == ("Cu", "[7]", 7.0)
+    assert got["s::docling::t01::r00", "ghsv"] == ("row_0", None, 1.5)
+    # a pattern stands twice in the plan (leaf, whole header), above the distinct headers; rows do not run it
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("lifetime|catalyst") == 2
