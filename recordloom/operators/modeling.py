@@ -17,8 +17,8 @@ from recordloom.operators.stats import pivot_mean_count
 from recordloom.session import cut
 
 
-#: Most combinations that are built, category values that are encoded, and rows that are fitted on.
-MOST_COMBINATIONS, MOST_CATEGORIES, FIT_ROWS = 1_000_000_000, 100_000, 1_000_000
+#: Most combinations that are built and category values that are encoded; rows of one task of a fit.
+MOST_COMBINATIONS, MOST_CATEGORIES, TASK_ROWS = 1_000_000_000, 100_000, 200_000
 
 
 def gap_candidates(df: DataFrame, dims: list[str], at_most: int = 0,
@@ -178,14 +178,15 @@ def feature_matrix_ml(df: DataFrame, categorical: list[str], numeric: list[str],
 
 
 def fit_forest(features: DataFrame, label: str, kind: str = "forest", folds: int = 0,
-               trees: int = 20, depth: int = 5, seed: int = 7, fit_rows: int = FIT_ROWS):
-    """Fitted tree regressor; with ``folds`` also its cross-validated error.
+               trees: int = 20, depth: int = 5, seed: int = 7, task_rows: int = TASK_ROWS):
+    """Fitted tree regressor; with ``folds`` also its cross-validated error. All labelled rows are fitted on.
 
-    Of more than ``fit_rows`` labelled rows about so many, drawn at random, are fitted on.
+    A fit holds its rows in the tasks that read them, so they are dealt into pieces of ``task_rows``:
+    a packed file of few splits would put very many rows into one task.
     """
-    rows = features.count()
-    if rows > fit_rows:
-        features = features.sample(fit_rows / rows, seed)
+    features = features.select("features", label)
+    pieces = -(-features.count() // task_rows)
+    features = features.repartition(max(pieces, features.sparkSession.sparkContext.defaultParallelism))
     if kind == "forest":
         est = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
                                     maxDepth=depth, seed=seed)

@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from check import normal, rows
 from recordloom.functions.attributes import AttributeLibrary
 from recordloom.operators import export as X
+from recordloom.operators import modeling as M
 from recordloom.operators import records as R
 from recordloom.operators import scoring as U
 from recordloom.operators.linkage import overlay_passes
@@ -182,3 +183,19 @@ def test_unit_headers_are_read_once(spark):
     # a pattern stands twice in the plan (leaf, whole header), above the distinct headers; rows do not run it
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("lifetime|catalyst") == 2
+
+
+def test_forest_is_fitted_on_all_rows_in_pieces(spark, monkeypatch):
+    given = []
+
+    class Regressor:
+        def __init__(self, **kw):
+            pass
+
+        def fit(self, df):
+            given.append((df.count(), df.rdd.getNumPartitions(), df.columns))
+
+    monkeypatch.setattr(M, "RandomForestRegressor", Regressor)
+    # one partition of more rows than one task should hold
+    M.fit_forest(spark.range(0, 1_700_000, 1, 1).selectExpr("id", "id AS features", "id % 7 AS y"), "y")
+    assert given == [(1_700_000, 9, ["features", "y"])]
