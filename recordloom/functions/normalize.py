@@ -172,6 +172,21 @@ def strip_tags(c: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""))
 
 
+def inverted_index(words: Column) -> Column:
+    """Words of a text to map<word, positions>, in the row itself: pairs sorted by word are cut into runs."""
+    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+
+    def runs(sorted_pairs):
+        begins = F.filter(F.transform(sorted_pairs, lambda p, i: F.when(
+            (i == 0) | (p["word"] != F.get(sorted_pairs, i - 1)["word"]), i)), lambda i: i.isNotNull())
+        return let(begins, lambda starts: F.transform(starts, lambda b, k: F.struct(
+            F.get(sorted_pairs, b)["word"].alias("key"), F.transform(F.slice(
+                sorted_pairs, b + 1, F.coalesce(F.get(starts, k + 1), F.size(sorted_pairs)) - b),
+                lambda p: p["pos"]).alias("value"))))
+
+    return F.map_from_entries(let(pairs, runs))
+
+
 def _positions(index: Column) -> Column:
     pairs = F.flatten(F.transform(
         F.map_entries(index),

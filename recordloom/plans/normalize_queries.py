@@ -110,12 +110,10 @@ _WORDS = "SELECT doc_id, text FROM documents"
 def _n10(spark, sf):
     d = sql(spark, sf, _WORDS)
     words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")
-    # the index of a text: its distinct words, each with its positions
-    pos = d.select("doc_id", F.posexplode(words).alias("pos", "word"))
-    index = pos.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("ps")).groupBy(
-        "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "ps"))).alias("m"))
+    index = d.select("doc_id", N.inverted_index(words).alias("m"))
     return index.select("doc_id", F.md5(N.decode_inverted(F.col("m"))).alias("m"),
-                        F.length(N.decode_inverted_slots(F.col("m"))).cast("long").alias("n"))
+                        F.when(F.col("m").isNotNull(), F.length(N.decode_inverted_slots(F.col("m"))))
+                        .cast("long").alias("n"))
 
 
 @query("n11_casts", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN NULL ELSE p_size + 0.5 END AS f,

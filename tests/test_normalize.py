@@ -1,5 +1,7 @@
 """Golden vectors of the normalisers."""
 
+import hashlib
+
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import normalize as N
 from recordloom.functions.attributes import AttributeLibrary
 from recordloom.operators.tables import read_headers
+from recordloom.plans.queries import QUERIES
 
 LIB = AttributeLibrary()
 
@@ -88,3 +91,16 @@ def test_idempotent(column, texts):
     for fn in (N.fuzzy_key, N.sanitize_doi, N.clean_label):
         once = column(fn, texts)
         assert column(fn, once) == once
+
+
+def test_inverted_index_is_built_in_the_row(spark, tmp_path):
+    texts = [(1, "b a  b c\na"), (2, ""), (3, None), (4, "x")]
+    for name in ("documents",):
+        spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    df = QUERIES["n10_decode_inverted"](spark, str(tmp_path))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    assert sorted(tuple(r) for r in df.collect()) == [
+        (1, md5("b a b c a"), 9), (2, md5(""), 0), (3, None, None), (4, md5("x"), 1)]
+    index = spark.createDataFrame([(["b", "a", "b"],)], "w array<string>").select(N.inverted_index(F.col("w")).alias("m"))
+    assert index.first()["m"] == {"a": [1], "b": [0, 2]}
