@@ -10,7 +10,7 @@ from recordloom.functions.base import any_contains, first_rule, let
 from recordloom.operators.linkage import match_labels_in_captions
 from recordloom.operators.ordering import with_next, with_position
 from recordloom.operators.quantiles import exact_median
-from recordloom.session import cut
+from recordloom.session import cut, spread
 
 
 def type_caption(caption: Column) -> Column:
@@ -27,8 +27,8 @@ def type_caption(caption: Column) -> Column:
 
 
 def type_captions(figs: DataFrame) -> DataFrame:
-    return figs.withColumn("_t", type_caption(F.col("caption"))).withColumn(
-        "type", F.col("_t.type")).withColumn("shape", F.col("_t.shape")).drop("_t")
+    """Figures with `type` and `shape`; rows are dealt out first, and a filter on them types no caption twice."""
+    return spread(figs).select("*", F.inline(F.array(type_caption(F.col("caption")))))
 
 
 def figure_inventory(typed: DataFrame) -> DataFrame:
@@ -71,8 +71,9 @@ def triage_figures(typed: DataFrame, pool: DataFrame) -> DataFrame:
     """
     # the pool is read four times below; it is small beside the cells it comes from
     pool = cut(pool)
-    act = typed.filter(F.col("type").isin(V.ACTIVITY_TYPES))
-    hits = match_labels_in_captions(pool, act)
+    # captions are typed once, and so are the matches found that two counts below read
+    act = cut(typed.filter(F.col("type").isin(V.ACTIVITY_TYPES)))
+    hits = cut(match_labels_in_captions(pool, act))
     props = pool.select("doc", "rec_key", F.explode("props").alias("prop"))
     per_fig = hits.groupBy("doc", "figure").agg(F.count(F.lit(1)).alias("n_matched"))
     own = (hits.select("doc", "figure", "rec_key").join(props, ["doc", "rec_key"])

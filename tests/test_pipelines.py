@@ -14,6 +14,7 @@ from recordloom.operators import export as X
 from recordloom.operators import modeling as M
 from recordloom.operators import records as R
 from recordloom.operators import scoring as U
+from recordloom.operators.figures import type_captions
 from recordloom.operators.linkage import overlay_passes
 from recordloom.operators.tables import melt_tables, table_to_units
 from recordloom.plans import linkage_queries, table_queries
@@ -199,3 +200,29 @@ def test_forest_is_fitted_on_all_rows_in_pieces(spark, monkeypatch):
     # one partition of more rows than one task should hold
     M.fit_forest(spark.range(0, 1_700_000, 1, 1).selectExpr("id", "id AS features", "id % 7 AS y"), "y")
     assert given == [(1_700_000, 9, ["features", "y"])]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_captions_are_typed_once_on_all_tasks(spark):
+    typed = type_captions(view(spark, SMALL, "v_figs"))
+    act = typed.filter("type = 'activity' or shape = 'bar'")
+    assert optimized(act).count("no_caption") == 1      # the filter works out no second type
+    assert typed.rdd.getNumPartitions() == 4
+    rows = spark.createDataFrame([("d", "f", "XRD patterns"), ("d", "g", None)], "doc string, figure string, caption string")
+    assert sorted(type_captions(rows).select("figure", "type", "shape").collect()) == [
+        ("f", "characterization", None), ("g", "no_caption", None)]
+
+
+def test_build_stats_reads_the_tables_once(spark, monkeypatch):
+    calls, whole = [], table_queries.K.group_tables
+    monkeypatch.setattr(table_queries.K, "group_tables", lambda rows: calls.append(1) or whole(rows))
+    entry.queries()["r3_build_stats"](spark, SMALL)
+    assert len(calls) == 1
+
+
+def test_draft_records_find_quantities_once(spark):
+    df = entry.queries()["t23_draft_records"](spark, SMALL)
+    assert optimized(df).count("[A-Z][a-z]?)+") == 1 and "Exchange" in plan(df)
