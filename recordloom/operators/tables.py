@@ -14,7 +14,7 @@ from recordloom.functions.base import (any_contains, first_rule, let, nonblank,
                                        quiet_double, strip)
 from recordloom.functions.normalize import (attribute_by_unit, clean_header, clean_label, is_na,
                                             is_usable_label, loose_float, parse_value, slugify)
-from recordloom.session import cut
+from recordloom.session import cut, spread
 
 
 def group_tables(rows: DataFrame) -> DataFrame:
@@ -175,15 +175,22 @@ def table_profile(keyed: DataFrame, lib: AttributeLibrary, names: DataFrame | No
                         & (F.col("value_hits") >= F.col("header_hits") + 2)))
 
 
-def melt_tables(rows: DataFrame, lib: AttributeLibrary | None = None) -> DataFrame:
+def read_tables(rows: DataFrame, lib: AttributeLibrary) -> tuple[DataFrame, DataFrame]:
+    """(rows with their key column, header dictionary), each written once: profile and cells come from them."""
+    grouped = cut(group_tables(spread(rows)))
+    keyed = cut(find_key_columns(grouped, lib))
+    return keyed, cut(table_headers(keyed, lib))
+
+
+def melt_tables(rows: DataFrame, lib: AttributeLibrary | None = None,
+                read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Raw rows to one row per (sample label, attribute cell), both orientations.
 
-    A label with no usable cell still yields one row, with ``attr`` NULL.
+    A label with no usable cell still yields one row, with ``attr`` NULL. `read` is the result of
+    `read_tables`, where it is there already.
     """
     lib = lib or AttributeLibrary()
-    # written once: the profile and the cells both come from it
-    keyed = cut(find_key_columns(group_tables(rows), lib))
-    names = cut(table_headers(keyed, lib))
+    keyed, names = read or read_tables(rows, lib)
     profile = table_profile(keyed, lib, names).filter("not headerless and key_col is not null").select(
         "table_key", "table_ord", "table_type", "ref_col", "header_map", "transposed")
     j = (keyed.join(profile, "table_key").filter(F.col("key_col") < F.size("cells"))

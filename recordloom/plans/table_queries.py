@@ -238,9 +238,11 @@ UNION ALL SELECT 'records', (SELECT count(*) FROM recs)
 UNION ALL SELECT 'records_merged', (SELECT count(*) FROM (SELECT d, rec_key FROM keyed GROUP BY d, rec_key HAVING count(DISTINCT label) > 1) q)
 UNION ALL SELECT 'type:' || CASE t WHEN 0 THEN 'textural' WHEN 1 THEN 'performance' WHEN 2 THEN 'acidity' ELSE 'other' END, count(*) FROM tab WHERE t <> 3 GROUP BY t"""))
 def _r3(spark, sf):
-    c = cut(cells(spark, sf))
+    rows = table_rows(spark, sf)
+    read = K.read_tables(rows, LIB)      # the profile and the cells read the same written tables
+    c = cut(K.melt_tables(rows, LIB, read))
     a = cut(R.record_attributes(c))
-    return R.build_stats(_profile(spark, sf), c, a, R.assemble_records(a))
+    return R.build_stats(K.table_profile(read[0], LIB, read[1]), c, a, R.assemble_records(a))
 
 
 _PERF = "(attr LIKE '%conversion%' OR attr LIKE '%selectivity%')"
