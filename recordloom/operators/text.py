@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as TX
 from recordloom.functions import vocabulary as V
-from recordloom.functions.base import capped, quiet_int
+from recordloom.functions.base import capped, let, quiet_int
 from recordloom.operators.ordering import (carry_forward, first_by, with_neighbours,
                                            with_position)
-from recordloom.session import cut
+from recordloom.session import cut, spread
 
 
 def chunk_pages(pages: DataFrame, limit: int = 1800, threshold: int = 3,
@@ -138,36 +138,43 @@ def chunk_to_record(chunks: DataFrame) -> DataFrame:
 
     Input: ``chunk_id, slug, page, section, text``; tokens and quantities are taken from the text.
     """
-    c = (chunks.withColumn("cems", TX.formula_tokens(F.col("text")))
-         .withColumn("q", TX.extract_quantities(F.col("text"))))
-    slash = F.get(F.filter("cems", lambda t: t.contains("/")), F.lit(0))
-    c = (c.withColumn("catalyst_system", F.coalesce(slash, F.get("cems", F.lit(0))))
-         .withColumn("conversion", TX.pick_conversion(F.col("text")))
-         .withColumn("selectivity", TX.pick_selectivity(F.col("text"), F.col("q")))
-         .withColumn("temperature", TX.pick_quantity(F.col("q"), "temperature"))
-         .withColumn("pressure", TX.pick_quantity(F.col("q"), "pressure"))
-         .withColumn("parts", TX.decompose_label(F.col("catalyst_system"))))
-    filled = sum((F.col(x).isNotNull().cast("int") for x in (
-        "conversion", "selectivity", "temperature", "pressure")), F.lit(0))
-    n = F.size("cems")
-    return (c.filter((n > 0) | (filled > 0))
-            .select(F.concat_ws("::", "slug", F.lit("cde"), F.try_element_at(
-                        F.split("chunk_id", "::"), F.lit(-2)), F.try_element_at(
-                        F.split("chunk_id", "::"), F.lit(-1))).alias("evidence_id"),
-                    "chunk_id", "page", "catalyst_system",
-                    F.col("parts.actives").alias("actives"),
-                    F.col("parts.supports").alias("supports"),
-                    F.col("parts.promoters").alias("promoters"), "conversion",
-                    F.col("selectivity.value").alias("selectivity"),
-                    F.col("selectivity.product").alias("product"),
-                    F.concat_ws(" ", "temperature.value", "temperature.unit")
-                    .alias("temperature"),
-                    F.concat_ws(" ", "pressure.value", "pressure.unit").alias("pressure"),
-                    (F.col("conversion").isNull() & F.col("selectivity").isNull())
-                    .alias("needs_manual_check"),
-                    F.when((filled >= 2) & (n >= 1), "high")
-                    .when((filled >= 1) | (n >= 1), "medium").otherwise("low")
-                    .alias("confidence")))
+    text = F.col("text")
+    # tokens and quantities first, what is picked from them next, each in one struct that is used by
+    # name: a filter on them would be pushed down and work them out a second time
+    found = F.struct(TX.formula_tokens(text).alias("cems"), TX.extract_quantities(text).alias("q"))
+
+    def picked(x):
+        slash = F.get(F.filter(x["cems"], lambda t: t.contains("/")), F.lit(0))
+        return F.struct(
+            F.size(x["cems"]).alias("n"), F.coalesce(slash, F.get(x["cems"], F.lit(0))).alias("catalyst_system"),
+            TX.pick_conversion(text).alias("conversion"), TX.pick_selectivity(text, x["q"]).alias("selectivity"),
+            TX.pick_quantity(x["q"], "temperature").alias("temperature"),
+            TX.pick_quantity(x["q"], "pressure").alias("pressure"))
+
+    def there(p):
+        filled = sum((p[x].isNotNull().cast("int") for x in (
+            "conversion", "selectivity", "temperature", "pressure")), F.lit(0))
+        return F.when((p["n"] > 0) | (filled > 0), F.array(F.struct(p.alias("p"), filled.alias("filled"))))
+
+    c = spread(chunks).select("slug", "chunk_id", "page", F.inline(let(let(found, picked), there)))
+    c = c.select("slug", "chunk_id", "page", "filled", "p.*").withColumn(
+        "parts", TX.decompose_label(F.col("catalyst_system")))
+    place = F.split("chunk_id", "::")
+    return c.select(
+        F.concat_ws("::", "slug", F.lit("cde"), F.try_element_at(place, F.lit(-2)),
+                    F.try_element_at(place, F.lit(-1))).alias("evidence_id"),
+        "chunk_id", "page", "catalyst_system",
+        F.col("parts.actives").alias("actives"),
+        F.col("parts.supports").alias("supports"),
+        F.col("parts.promoters").alias("promoters"), "conversion",
+        F.col("selectivity.value").alias("selectivity"),
+        F.col("selectivity.product").alias("product"),
+        F.concat_ws(" ", "temperature.value", "temperature.unit").alias("temperature"),
+        F.concat_ws(" ", "pressure.value", "pressure.unit").alias("pressure"),
+        (F.col("conversion").isNull() & F.col("selectivity").isNull()).alias("needs_manual_check"),
+        F.when((F.col("filled") >= 2) & (F.col("n") >= 1), "high")
+        .when((F.col("filled") >= 1) | (F.col("n") >= 1), "medium").otherwise("low")
+        .alias("confidence"))
 
 
 def merge_lookups(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
