@@ -108,6 +108,10 @@ def _spans_of(cap: Column, n: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda s: F.length(s) > 0))
 
 
+#: Parts that the captions of one document are dealt into.
+_CAPTION_PARTS = 16
+
+
 def match_labels_in_captions(labels: DataFrame, figures: DataFrame) -> DataFrame:
     """Records whose label stands in a caption as a whole word group: one row per (figure, record).
 
@@ -120,9 +124,13 @@ def match_labels_in_captions(labels: DataFrame, figures: DataFrame) -> DataFrame
     long_enough = F.length(F.replace(F.replace("key", F.lit("-"), F.lit("")), F.lit(" "),
                                      F.lit(""))) >= 3
     v = v.filter(long_enough).withColumn("n_words", F.size(F.split("key", " ")))
-    sizes = v.select("doc", "n_words").distinct()
-    pieces = (figures.select("doc", "figure", _norm(F.col("caption")).alias("cap"))
-              .join(sizes, "doc")
+    # captions of one document are dealt into parts, and the sizes are the side to build on: packed
+    # captions can look small enough to be broadcast, and then one task would cut them all
+    sizes = v.select("doc", "n_words").distinct().withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.lit(_CAPTION_PARTS - 1))))
+    dealt = figures.withColumn("_part", F.pmod(F.xxhash64("figure"), F.lit(_CAPTION_PARTS)).cast("int"))
+    pieces = (dealt.select("doc", "_part", "figure", _norm(F.col("caption")).alias("cap"))
+              .join(sizes.hint("shuffle_hash"), ["doc", "_part"])
               .select("doc", "figure", F.explode(_spans_of(F.col("cap"), F.col("n_words")))
                       .alias("key")).distinct())
     return (pieces.join(v, ["doc", "key"]).groupBy("doc", "figure", "rec_key")

@@ -15,7 +15,7 @@ from recordloom.operators import modeling as M
 from recordloom.operators import records as R
 from recordloom.operators import scoring as U
 from recordloom.operators.figures import type_captions
-from recordloom.operators.linkage import overlay_passes
+from recordloom.operators.linkage import match_labels_in_captions, overlay_passes
 from recordloom.operators.tables import melt_tables, table_to_units
 from recordloom.plans import linkage_queries, table_queries
 from recordloom.plans.views import TABLES, view
@@ -226,3 +226,13 @@ def test_build_stats_reads_the_tables_once(spark, monkeypatch):
 def test_draft_records_find_quantities_once(spark):
     df = entry.queries()["t23_draft_records"](spark, SMALL)
     assert optimized(df).count("[A-Z][a-z]?)+") == 1 and "Exchange" in plan(df)
+
+
+def test_captions_are_not_cut_in_one_task(spark):
+    labels = spark.createDataFrame([("d", "k", ["red ring", "bolt"]), ("e", "m", ["bolt"])],
+                                   "doc string, rec_key string, label_variants array<string>")
+    figures = spark.range(0, 4000, 1, 1).selectExpr("'d' AS doc", "concat('f', id) AS figure", "'Scheme of red ring' AS caption")
+    out = match_labels_in_captions(labels, figures)
+    assert out.count() == 4000 and out.select("rec_key", "matched_on").distinct().collect() == [("k", "red ring")]
+    # the side of the sizes is built, never the captions
+    assert "ShuffledHashJoin" in plan(out) and "_part" in plan(out)
