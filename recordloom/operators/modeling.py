@@ -17,8 +17,8 @@ from recordloom.operators.stats import pivot_mean_count
 from recordloom.session import cut
 
 
-#: Most combinations that are built and category values that are encoded; rows of one task of a fit.
-MOST_COMBINATIONS, MOST_CATEGORIES, TASK_ROWS = 1_000_000_000, 100_000, 200_000
+#: Most combinations that are built and category values that are encoded; rows, and cells of binned features, of one task of a fit.
+MOST_COMBINATIONS, MOST_CATEGORIES, TASK_ROWS, TASK_CELLS = 1_000_000_000, 100_000, 200_000, 4_000_000
 
 
 def gap_candidates(df: DataFrame, dims: list[str], at_most: int = 0,
@@ -178,14 +178,17 @@ def feature_matrix_ml(df: DataFrame, categorical: list[str], numeric: list[str],
 
 
 def fit_forest(features: DataFrame, label: str, kind: str = "forest", folds: int = 0,
-               trees: int = 20, depth: int = 5, seed: int = 7, task_rows: int = TASK_ROWS):
+               trees: int = 20, depth: int = 5, seed: int = 7, task_rows: int = TASK_ROWS, task_cells: int = TASK_CELLS):
     """Fitted tree regressor; with ``folds`` also its cross-validated error. All labelled rows are fitted on.
 
-    A fit holds its rows in the tasks that read them, so they are dealt into pieces of ``task_rows``:
-    a packed file of few splits would put very many rows into one task.
+    A fit holds its rows in the tasks that read them, one number for each feature, so they are dealt into
+    pieces of ``task_rows``, and of fewer where vectors are wide: a packed file of few splits would put
+    very many rows into one task.
     """
     features = features.select("features", label)
-    pieces = -(-features.count() // task_rows)
+    first = features.first()
+    wide = getattr(first["features"], "size", 1) if first else 1
+    pieces = -(-features.count() // max(1, min(task_rows, task_cells // max(wide, 1))))
     features = features.repartition(max(pieces, features.sparkSession.sparkContext.defaultParallelism))
     if kind == "forest":
         est = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,

@@ -202,6 +202,20 @@ def test_forest_is_fitted_on_all_rows_in_pieces(spark, monkeypatch):
     assert given == [(1_700_000, 9, ["features", "y"])]
 
 
+def test_wide_vectors_are_fitted_in_more_pieces(spark, monkeypatch):
+    from pyspark.ml.feature import OneHotEncoder
+    given = []
+
+    class Regressor(M.RandomForestRegressor):
+        def fit(self, df, params=None):
+            given.append((df.count(), df.rdd.getNumPartitions()))
+
+    monkeypatch.setattr(M, "RandomForestRegressor", Regressor)
+    rows = spark.range(0, 20_000, 1, 1).selectExpr("id % 2000 AS c", "id % 7 AS y")
+    M.fit_forest(OneHotEncoder(inputCol="c", outputCol="features", dropLast=False).fit(rows).transform(rows), "y")
+    assert given == [(20_000, 10)]      # 40 million binned cells
+
+
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
