@@ -9,7 +9,7 @@ the predictive probabilities of the parent. Probabilities are averaged over the
 How it runs: texts become chunks, one row of token numbers each, with a dictionary of its own words. Chunks
 are written once, bucketed by chunk, so that joins with what comes back to a chunk move only that.
 A sum over all chunks by key (word or word pair) is a round trip: sorted keys and values of a chunk go, cut
-by hash into parts of bounded size, to one row group per part, are summed there, and the sums return to the chunks
+into ranges of keys of bounded size, to one row group per part, are summed there, and the sums return to the chunks
 that hold the key. One chunk owns a key and counts it for the restaurants; seats are a pure function of key, counts and
 sweep, so the others see the same seats without being told, and a lost task repeats them exactly.
 """
@@ -33,7 +33,7 @@ from recordloom.session import cut, delete, drop_old_shuffles, shared_folder
 #: Bytes of text in a chunk; a longer text is a chunk alone.
 CHUNK_BYTES = 1 << 20
 #: Keys, with repeats over chunks, in a part of a round trip.
-PART_KEYS = 500_000
+PART_KEYS = 300_000
 #: Customers of a dish up to which its tables are drawn exactly (a power of two).
 EXACT = 256
 #: Numbers that a step of the sampler holds.
@@ -54,6 +54,15 @@ def _unpack(data: bytes, kind: str = "<i8") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
 
 
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Ascending codes, as steps from one to the next: their upper bytes are zeros."""
+    return _pack(np.diff(codes, prepend=U64(0)), "<u8")
+
+
+def _unpack_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, "<u8"), dtype=U64)
+
+
 # ---- seating
 
 def _uniform(key: np.ndarray, *at: int) -> np.ndarray:
@@ -188,7 +197,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch({
             "chunk": pa.array([number]), "ids": pa.ListArray.from_arrays(ends, ids), "held": pa.ListArray.from_arrays(ends, held),
             "sizes": pa.array([_pack(count + 1, "<i4")], pa.binary()), "tokens": pa.array([_pack(place[:-1], "<i4")], pa.binary()),
-            "codes": pa.array([_pack(codes, "<u8")], pa.binary()), "counts": pa.array([_pack(seen)], pa.binary()), "n": pa.array([len(tokens)])})
+            "codes": pa.array([_pack_codes(codes)], pa.binary()), "counts": pa.array([_pack(seen)], pa.binary()), "n": pa.array([len(tokens)])})
 
     for batch in sliced(batches, "text"):
         words = words_of(batch.column("text"), blank_words(), lower=True)
@@ -201,6 +210,10 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _pair_key(codes: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix((mix(codes) * U64(0x9E3779B97F4A7C15))[before] + codes[word])
+
+
 @dataclass
 class _Texts:
     """Tokens of a chunk and its distinct word pairs."""
@@ -211,19 +224,23 @@ class _Texts:
     before: np.ndarray = field(init=False)      # word numbers of every pair
     word: np.ndarray = field(init=False)
     pair: np.ndarray = field(init=False)        # the pair of every token
-    key: np.ndarray = field(init=False)
+    key: np.ndarray = field(init=False)         # of every pair, ascending
 
     def __post_init__(self):
-        n = len(self.codes)
-        before = np.concatenate(([0], self.tokens[:-1])).astype(np.int64)
+        before = np.concatenate(([0], self.tokens[:-1])).astype(np.int32)
         before[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.codes, U64(START))
-        both, self.pair = np.unique(before * n + self.tokens, return_inverse=True)
-        self.before, self.word = both // n, both % n
-        self.key = mix(mix(self.codes[self.before]) * U64(0x9E3779B97F4A7C15) + self.codes[self.word])
+        key = _pair_key(self.codes, before, self.tokens)
+        order = np.argsort(key)
+        key = key[order]
+        opens = np.concatenate(([True], key[1:] != key[:-1]))
+        self.pair = np.empty(len(key), np.int32)
+        self.pair[order] = np.cumsum(opens) - 1
+        first = order[opens]
+        self.before, self.word, self.key = before[first], self.tokens[first], key[opens]
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, i: int) -> _Texts:
-        return cls(_unpack(batch.column("codes")[i].as_py(), "<u8"), _unpack(batch.column("sizes")[i].as_py(), "<i4").astype(np.int64),
+        return cls(_unpack_codes(batch.column("codes")[i].as_py()), _unpack(batch.column("sizes")[i].as_py(), "<i4").astype(np.int64),
                    _unpack(batch.column("tokens")[i].as_py(), "<i4"))
 
 
@@ -232,33 +249,39 @@ class _Texts:
 _SENT = "chunk long, part long, keys binary, sums array<binary>"
 
 
-def _order(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(part of each key, order by part and key): the order in which a chunk sends and gets back."""
-    part = ((mix(key) >> U64(20)) % U64(parts)).astype(np.int64)
-    return part, np.lexsort((key, part))
+def _parts_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key: ranges of its upper half, so that ascending keys stand by part and no sort is needed."""
+    return ((key >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+
+
+def _least(part: int, parts: int) -> int:
+    """The smallest key of a part."""
+    return -(-(part << 32) // parts) << 32
 
 
 def _parcels(chunk: int, key: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    part, order = _order(key, parts)
-    names, at = np.unique(part[order], return_index=True)
-    border = [*at.tolist(), len(order)]
-    pieces = [order[a:b] for a, b in zip(border, border[1:])]
+    """Ascending keys and their values, cut into parts; keys go as steps from one to the next, whose upper bytes are zeros."""
+    names, at = np.unique(_parts_of(key, parts), return_index=True)
+    border = [*at.tolist(), len(key)]
+    pieces = [slice(a, b) for a, b in zip(border, border[1:])]
     return pa.record_batch({"chunk": pa.array(np.full(len(names), chunk)), "part": pa.array(names),
-                            "keys": pa.array([_pack(key[p], "<u8") for p in pieces], pa.binary()),
+                            "keys": pa.array([_pack(np.diff(key[p], prepend=U64(_least(n, parts))), "<u8") for n, p in zip(names.tolist(), pieces)], pa.binary()),
                             "sums": pa.array([[_pack(v[p]) for v in values] for p in pieces], pa.list_(pa.binary()))})
 
 
-def _summed(root: Root | None, sweep: int):
+def _summed(parts: int, root: Root | None, sweep: int):
     """The sums of one part, back to each of its chunks; its totals stand in one row."""
     def run(table: pa.Table) -> pa.Table:
+        free_memory()
         table = table.sort_by("chunk").combine_chunks()
-        keys = [_unpack(x.as_py(), "<u8") for x in table.column("keys")]
+        least = U64(_least(table.column("part")[0].as_py(), parts))
+        keys = [np.cumsum(_unpack(x.as_py(), "<u8"), dtype=U64) for x in table.column("keys")]
         size = np.array([len(k) for k in keys])
-        key = np.concatenate(keys)
+        key = np.concatenate(keys) + least
         del keys
         order = np.argsort(key, kind="stable")
         opens = np.concatenate(([True], np.diff(key[order]) != 0))
-        group = np.empty(len(key), np.int64)
+        group = np.empty(len(key), np.int32)
         group[order] = np.cumsum(opens) - 1
         own = np.zeros(len(key), bool)
         own[order[opens]] = True
@@ -266,10 +289,12 @@ def _summed(root: Root | None, sweep: int):
         for v in range(len(table.column("sums")[0])):
             values = np.concatenate([_unpack(x[v].as_py()) for x in table.column("sums")])
             total.append(np.add.reduceat(values[order], np.flatnonzero(opens)))
-        seats = 0
+            del values
+        customers, seats = total[-1], 0
         if root:                                           # seated here, once for all chunks
-            total.append(root.seated(key[order[opens]], total[-1], sweep).astype(np.int64))
+            total.append(root.seated(key[order[opens]], customers, sweep).astype(np.int64))
             seats = int(total[-1].sum())
+        del key, order, opens
         border = np.concatenate(([0], np.cumsum(size)))
         rows = [slice(a, b) for a, b in zip(border, border[1:])]
         once = np.zeros(len(rows), np.int64)
@@ -279,23 +304,30 @@ def _summed(root: Root | None, sweep: int):
                          "sums": pa.array([[_pack(t[group[r]]) for t in total] for r in rows], pa.list_(pa.binary())),
                          "kinds": pa.array(once * int((total[0] > 0).sum())), "total": pa.array(once * int(total[0].sum())),
                          "ones": pa.array(once * int((total[0] == 1).sum())), "twos": pa.array(once * int((total[0] == 2).sum())),
-                         "customers": pa.array(once * int(total[2 if root else 0].sum())), "seats": pa.array(once * seats)})
+                         "customers": pa.array(once * int(customers.sum())), "seats": pa.array(once * seats)})
     return run
 
 
-def _returned(batch: pa.RecordBatch, i: int, name: str, key: np.ndarray, parts: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(sums of every key, whether the chunk owns it) from the parts that came back to a chunk."""
+def _returned(batch: pa.RecordBatch, i: int, name: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """(sums of every key, whether the chunk owns it), keys ascending, from the parts that came back to a chunk."""
     rows = sorted(batch.column(name)[i].as_py(), key=lambda r: r["part"])
-    _, order = _order(key, parts)
-    sums = [np.empty(len(key), np.int64) for _ in rows[0]["sums"]]
-    for v, out in enumerate(sums):
-        out[order] = np.concatenate([_unpack(r["sums"][v]) for r in rows])
-    own = np.empty(len(key), bool)
-    counts = [len(r["sums"][0]) // 8 for r in rows]
-    own[order] = np.concatenate([np.unpackbits(np.frombuffer(r["own"], np.uint8))[:n].astype(bool) for r, n in zip(rows, counts)])
+    sums = [np.concatenate([_unpack(r["sums"][v]) for r in rows]) for v in range(len(rows[0]["sums"]))]
+    own = np.concatenate([np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(r["sums"][0]) // 8) for r in rows]).astype(bool)
     return sums, own
 
 
+def _of_sweeps(batch: pa.RecordBatch, i: int, sweeps: int) -> Iterator[list[np.ndarray]]:
+    """(customers and open tables of every context, customers and tables in the root) after each sweep.
+
+    The customers of a context never change, so only the first sweep brings them.
+    """
+    context: list[np.ndarray] = []
+    for s in range(sweeps):
+        sums, _ = _returned(batch, i, f"r{s}")
+        context = context or sums[:1]
+        yield context + sums[-3:]
+
+
 class _Model:
     """The steps over one table of texts."""
 
@@ -317,15 +349,19 @@ class _Model:
         self.tables.append((name, path))
         return self.spark.table(name)
 
-    def drop(self) -> None:
+    def drop(self, *names: str) -> None:
+        """Drop the tables of these names, or all."""
         for name, path in self.tables:
-            self.spark.sql(f"DROP TABLE {name}")
-            delete(self.spark, path)
+            if not names or name in names:
+                self.spark.sql(f"DROP TABLE {name}")
+                delete(self.spark, path)
+        self.tables = [t for t in self.tables if names and t[0] not in names]
 
-    def trip(self, sent: DataFrame, root: Root | None = None, sweep: int = 0) -> tuple[DataFrame, dict[str, int]]:
+    def trip(self, sent: DataFrame, parts: int, root: Root | None = None, sweep: int = 0) -> tuple[DataFrame, dict[str, int]]:
         """(rows (chunk, back) with the parts of every chunk, totals over all keys)."""
+        drop_old_shuffles(self.spark)                       # those of the round trip before, which nobody holds by now
         names = ["kinds", "total", "ones", "twos", "customers", "seats"]
-        rows = sent.groupBy("part").applyInArrow(_summed(root, sweep), "chunk long, part long, own binary, sums array<binary>, "
+        rows = sent.groupBy("part").applyInArrow(_summed(parts, root, sweep), "chunk long, part long, own binary, sums array<binary>, "
                                                  + ", ".join(f"{c} long" for c in names))
         back = self.bucketed(rows.groupBy("chunk").agg(F.collect_list(F.struct("part", "own", "sums")).alias("back"),
                                                        *[F.sum(c).alias(c) for c in names]))
@@ -340,9 +376,9 @@ class _Model:
             free_memory()
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield _parcels(batch.column("chunk")[i].as_py(), _unpack(batch.column("codes")[i].as_py(), "<u8"),
+                    yield _parcels(batch.column("chunk")[i].as_py(), _unpack_codes(batch.column("codes")[i].as_py()),
                                    [_unpack(batch.column("counts")[i].as_py())], parts)
-        return self.trip(self.chunks.select("chunk", "codes", "counts").mapInArrow(send, _SENT))
+        return self.trip(self.chunks.select("chunk", "codes", "counts").mapInArrow(send, _SENT), parts)
 
     def pairs(self) -> tuple[DataFrame, dict[str, int]]:
         parts = self.pair_parts
@@ -355,55 +391,53 @@ class _Model:
                     train = np.repeat(~batch.column("held")[i].values.to_numpy(zero_copy_only=False), texts.sizes)
                     count = np.bincount(texts.pair[train], minlength=len(texts.key))
                     yield _parcels(batch.column("chunk")[i].as_py(), texts.key, [count], parts)
-        return self.trip(self.chunks.mapInArrow(send, _SENT))
+        return self.trip(self.chunks.mapInArrow(send, _SENT), parts)
 
     def owned(self, pairs: DataFrame) -> DataFrame:
         """Of every chunk the pairs it owns: those with two customers or more, and sums of the others."""
-        parts = self.pair_parts
-
         def run(batches):
             free_memory()
             for batch in batches:
                 for i in range(batch.num_rows):
                     texts = _Texts.of(batch, i)
-                    (count,), own = _returned(batch, i, "back", texts.key, parts)
+                    (count,), own = _returned(batch, i, "back")
                     n = len(texts.codes)
                     one, more = np.flatnonzero(own & (count == 1)), np.flatnonzero(own & (count > 1))
                     yield pa.record_batch({
-                        "chunk": batch.column("chunk").slice(i, 1), "codes": batch.column("codes").slice(i, 1),
+                        "chunk": batch.column("chunk").slice(i, 1),
                         "before": pa.array([_pack(texts.before[more], "<i4")], pa.binary()), "word": pa.array([_pack(texts.word[more], "<i4")], pa.binary()),
                         "count": pa.array([_pack(count[more])], pa.binary()),
                         "one_before": pa.array([_pack(np.bincount(texts.before[one], minlength=n))], pa.binary()),
                         "one_word": pa.array([_pack(np.bincount(texts.word[one], minlength=n))], pa.binary())})
         return self.bucketed(self.chunks.join(pairs, "chunk").mapInArrow(
-            run, "chunk long, codes binary, before binary, word binary, count binary, one_before binary, one_word binary"))
+            run, "chunk long, before binary, word binary, count binary, one_before binary, one_word binary"))
 
     def sweep(self, owned: DataFrame, rounds: list[DataFrame], roots: list[Root], next_root: Root, discount: float) -> tuple[DataFrame, dict[str, int]]:
-        """Seat all pairs anew and sum customers and tables of every context, and customers of the root."""
+        """Seat all pairs anew and sum tables of every context and customers of the root; at first also customers of contexts."""
         parts, strength = self.word_parts, self.strength
 
         def send(batches):
             free_memory()
             for batch in batches:
                 for i in range(batch.num_rows):
-                    codes = _unpack(batch.column("codes")[i].as_py(), "<u8")
+                    codes = _unpack_codes(batch.column("codes")[i].as_py())
                     before, word = (_unpack(batch.column(c)[i].as_py(), "<i4") for c in ("before", "word"))
                     count = _unpack(batch.column("count")[i].as_py())
-                    key = mix(mix(codes[before]) * U64(0x9E3779B97F4A7C15) + codes[word])
+                    key = _pair_key(codes, before, word)
                     tables = np.ones(len(key))
-                    for s, root in enumerate(roots):
-                        (_, open_tables, *words), _ = _returned(batch, i, f"r{s}", codes, parts)
+                    for s, (root, (_, open_tables, *words)) in enumerate(zip(roots, _of_sweeps(batch, i, len(roots)))):
                         tables = _reseated(key, before, word, count, tables, open_tables, root.share(*words), strength, discount, s)
                     n = len(codes)
                     one_before, one_word = (_unpack(batch.column(c)[i].as_py()) for c in ("one_before", "one_word"))
-                    yield _parcels(batch.column("chunk")[i].as_py(), codes, [
-                        one_before + np.bincount(before, count, n).astype(np.int64), one_before + np.bincount(before, tables, n).astype(np.int64),
-                        one_word + np.bincount(word, tables, n).astype(np.int64)], parts)
+                    sums = [one_before + np.bincount(before, tables, n).astype(np.int64), one_word + np.bincount(word, tables, n).astype(np.int64)]
+                    if not roots:
+                        sums.insert(0, one_before + np.bincount(before, count, n).astype(np.int64))
+                    yield _parcels(batch.column("chunk")[i].as_py(), codes, sums, parts)
 
-        rows = owned
+        rows = owned.join(self.chunks.select("chunk", "codes"), "chunk")
         for s, back in enumerate(rounds):
             rows = rows.join(back.withColumnRenamed("back", f"r{s}"), "chunk")
-        return self.trip(rows.mapInArrow(send, _SENT), next_root, len(roots))
+        return self.trip(rows.mapInArrow(send, _SENT), parts, next_root, len(roots))
 
 
 def _reseated(key, before, word, count, tables, open_tables, share, strength, discount, s) -> np.ndarray:
@@ -412,19 +446,16 @@ def _reseated(key, before, word, count, tables, open_tables, share, strength, di
     return seat(key, count, others, share[word], strength, discount, s, 1)
 
 
-def _scores(parts: tuple[int, int], roots: list[Root], burn: int, known: int, total: int, strength: float, discount: float):
-    word_parts, pair_parts = parts
-
+def _scores(roots: list[Root], burn: int, known: int, total: int, strength: float, discount: float):
     def run(batches):
         free_memory()
         for batch in batches:
             for i in range(batch.num_rows):
                 texts = _Texts.of(batch, i)
-                (seen,), _ = _returned(batch, i, "words", texts.codes, word_parts)
-                (count,), _ = _returned(batch, i, "pairs", texts.key, pair_parts)
+                (seen,), _ = _returned(batch, i, "words")
+                (count,), _ = _returned(batch, i, "pairs")
                 tables, mean = np.minimum(count, 1).astype(np.float64), np.zeros(len(count))
-                for s, root in enumerate(roots):
-                    (context, open_tables, *words), _ = _returned(batch, i, f"r{s}", texts.codes, word_parts)
+                for s, (root, (context, open_tables, *words)) in enumerate(zip(roots, _of_sweeps(batch, i, len(roots)))):
                     share = root.share(*words)
                     if s >= burn:
                         mean += ((count - discount * tables + (strength + discount * open_tables[texts.before]) * share[texts.word])
@@ -478,10 +509,11 @@ def score_texts(docs: DataFrame, held_out: Column, sweeps: int = 2, burn: int =
         back, totals = model.sweep(owned, rounds, roots, root, discount)
         rounds.append(back)
         roots.append(replace(root, customers=totals["customers"], tables=totals["seats"]))
+    model.drop(model.tables[3][0])      # the pairs owned: all sweeps are done
     rows = model.chunks.join(words.withColumnRenamed("back", "words"), "chunk").join(pairs.withColumnRenamed("back", "pairs"), "chunk")
     for s, back in enumerate(rounds):
         rows = rows.join(back.withColumnRenamed("back", f"r{s}"), "chunk")
-    run = _scores((model.word_parts, model.pair_parts), roots, burn, seen["kinds"], seen["total"], strength, discount)
+    run = _scores(roots, burn, seen["kinds"], seen["total"], strength, discount)
     scored = cut(rows.mapInArrow(run, out))
     model.drop()
     return scored.select(*names, F.lit(seen["total"]).cast("long").alias("train_tokens"), "base_score", "score")

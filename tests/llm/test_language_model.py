@@ -145,3 +145,19 @@ def test_seats_of_many_customers(monkeypatch, customers, others, share, discount
 def test_seats_of_a_billion_customers():
     drawn = seat(np.zeros(1, U64), np.array([10**9]), np.array([1e6]), np.array([0.05]), 1.0, 0.7, 2, 1)
     assert 30_000 < drawn[0] < 80_000
+
+
+def test_parcels_come_back_in_order_of_keys_and_are_packed():
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 2**64, 40_000, dtype=np.uint64))
+    sent = pitman_yor._parcels(7, key, [np.arange(len(key))], 5)
+    assert sent.column("part").to_pylist() == [0, 1, 2, 3, 4]
+    again = [np.cumsum(pitman_yor._unpack(k, "<u8"), dtype=np.uint64) + np.uint64(pitman_yor._least(p, 5))
+             for k, p in zip(sent.column("keys").to_pylist(), sent.column("part").to_pylist())]
+    assert (np.concatenate(again) == key).all()
+    # bytes that neighbours share take no room
+    assert sum(len(pa.compress(k, "lz4_raw", asbytes=True)) for k in sent.column("keys").to_pylist()) < 0.85 * 8 * len(key)
+    back = pa.Table.from_batches([sent])
+    rows = [pitman_yor._summed(5, None, 0)(back.slice(i, 1)).select(["part", "own", "sums"]).to_pylist()[0] for i in (3, 1, 4, 0, 2)]
+    (sums,), own = pitman_yor._returned(pa.record_batch({"back": [rows]}), 0, "back")
+    assert (sums == np.arange(len(key))).all() and own.all()
