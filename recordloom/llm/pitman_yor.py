@@ -37,7 +37,7 @@ PART_KEYS = 300_000
 #: Customers of a dish up to which its tables are drawn exactly (a power of two).
 EXACT = 256
 #: Numbers that a step of the sampler holds.
-_CELLS = 1 << 18
+_CELLS = 1 << 16
 #: What stands before the first word of a text, and after its last.
 START, END = 0x5374617274, 0x456E64456E64
 
@@ -448,9 +448,9 @@ def _reseated(key, before, word, count, tables, open_tables, share, strength, di
 
 def _scores(roots: list[Root], burn: int, known: int, total: int, strength: float, discount: float):
     def run(batches):
-        free_memory()
         for batch in batches:
             for i in range(batch.num_rows):
+                free_memory()
                 texts = _Texts.of(batch, i)
                 (seen,), _ = _returned(batch, i, "words")
                 (count,), _ = _returned(batch, i, "pairs")
