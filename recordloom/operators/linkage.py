@@ -9,7 +9,8 @@ from recordloom.functions import vocabulary as V
 from recordloom.functions.base import first_rule, let, nonblank, strip
 from recordloom.functions.normalize import clean_doi, norm_label
 from recordloom.functions.text import citation_list, doi_in_text, reference_number
-from recordloom.operators.ordering import with_position
+from recordloom.operators.ordering import with_position_and_size
+from recordloom.session import cut
 
 
 
@@ -152,6 +153,10 @@ def lookup_tier(name: Column, table=tuple(V.VENUE_TIERS), exact=None) -> Column:
     return first_rule(rules, entry("?", 0.0))
 
 
+#: Rows of the three passes that one task holds on average.
+_OVERLAY_ROWS = 300_000
+
+
 def overlay_passes(p1: DataFrame, p2: DataFrame, p3: DataFrame, fields2: list[str],
                    fields3: list[str]) -> DataFrame:
     """Three extraction passes of a chunk as one list of records.
@@ -159,46 +164,50 @@ def overlay_passes(p1: DataFrame, p2: DataFrame, p3: DataFrame, fields2: list[st
     Each pass: ``chunk_id, ord, name`` and its fields. Records align by lower-case name and
     position; where a name has no partner the unnamed ones of that pass are used. Unused records
     of the second and third pass follow on their own. A chunk without a first pass gets the base
-    ``unknown``.
+    ``unknown``. Tasks grow in number with the records, not in size.
     """
     def keyed(df):
         return df.withColumn("key", F.lower(F.trim(F.coalesce("name", F.lit("")))))
 
-    def numbered(df, fields, tag):
-        # position inside (chunk, name), exact also where one chunk holds very many records
-        d = with_position(keyed(df), ["chunk_id", "key"], ["ord"], name="idx")
-        return d.select("chunk_id", "key", "idx", F.col("name").alias(f"name_{tag}"),
-                        *[F.col(f).alias(f"{tag}_{f}") for f in fields])
-
-    n2, n3 = numbered(p2, fields2, "p2"), numbered(p3, fields3, "p3")
-    chunks = p1.select("chunk_id").union(p2.select("chunk_id")).union(
-        p3.select("chunk_id")).distinct()
-    base = keyed(p1).select("chunk_id", "ord", "name", "key", F.lit(True).alias("is_p1"))
-    bare = chunks.join(p1.select("chunk_id").distinct(), "chunk_id", "left_anti").select(
-        "chunk_id", F.lit(0).alias("ord"), F.lit("unknown").alias("name"),
+    def tagged(df, fields, tag):
+        return keyed(df).select("chunk_id", "key", F.lit(tag).alias("tag"), "ord", F.col("name").alias("_name"),
+                                *[F.col(f).alias(f"p{tag}_{f}") for f in fields])
+
+    first = cut(keyed(p1).select("chunk_id", "ord", "name", "key", F.lit(True).alias("is_p1")))
+    late = cut(tagged(p2, fields2, 2).unionByName(tagged(p3, fields3, 3), allowMissingColumns=True))
+    parts = max(int(p1.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                -(-(first.count() + late.count()) // _OVERLAY_ROWS))
+
+    def dealt(df, *keys):
+        return df.repartition(parts, *keys)
+
+    # position inside (chunk, name, pass), exact also where one chunk holds very many records
+    n = cut(with_position_and_size(late, ["chunk_id", "key", "tag"], "ord", parts))
+    n2, n3 = (n.filter(F.col("tag") == t).select(
+        "chunk_id", F.col("key").alias(f"k_p{t}"), "idx", *[f"p{t}_{f}" for f in fields]) for t, fields in ((2, fields2), (3, fields3)))
+    sizes = dealt(n.filter("idx = 0"), "chunk_id", "key").groupBy("chunk_id", "key").agg(
+        *[F.max(F.when(F.col("tag") == t, F.col("size"))).alias(f"_own_p{t}") for t in (2, 3)])
+    chunks = (first.select("chunk_id", F.lit(True).alias("_first"))
+              .union(n.filter("idx = 0").select("chunk_id", F.lit(False)))
+              .union(late.filter("chunk_id is null").select("chunk_id", F.lit(False))))
+    bare = dealt(chunks, "chunk_id").groupBy("chunk_id").agg(F.max("_first").alias("_first")).filter("not _first or chunk_id is null").select(
+        "chunk_id", F.lit(0).cast(first.schema["ord"].dataType).alias("ord"), F.lit("unknown").alias("name"),
         F.lit("unknown").alias("key"), F.lit(False).alias("is_p1"))
-    base = base.unionByName(bare.withColumn("ord", F.col("ord").cast(base.schema["ord"].dataType)))
-
-    def sizes(n, tag):
-        return n.groupBy("chunk_id", "key").agg(F.count(F.lit(1)).alias(f"n_{tag}"))
-
-    def bucket(b, n, tag):
-        s = sizes(n, tag)
-        own = s.withColumnRenamed(f"n_{tag}", "_own")
-        unnamed = s.filter("key = ''").select("chunk_id", F.col(f"n_{tag}").alias("_unnamed"))
-        return (b.join(own, ["chunk_id", "key"], "left").join(unnamed, "chunk_id", "left")
-                .withColumn(f"k_{tag}", F.when(F.col("_own").isNotNull(), F.col("key"))
-                            .when(F.col("_unnamed").isNotNull(), F.lit("")))
-                .withColumn(f"n_{tag}", F.coalesce("_own", "_unnamed", F.lit(0)))
-                .drop("_own", "_unnamed"))
-
-    b = bucket(bucket(base, n2, "p2"), n3, "p3")
-    b = b.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(
-        F.lit(1).cast("long"), "n_p2", "n_p3") - 1)))
-    j = (b.join(n2.withColumnRenamed("key", "k_p2").drop("name_p2"),
-                ["chunk_id", "k_p2", "idx"], "left")
-         .join(n3.withColumnRenamed("key", "k_p3").drop("name_p3"),
-               ["chunk_id", "k_p3", "idx"], "left"))
+    base = first.unionByName(bare)
+    unnamed = sizes.filter("key = ''").select("chunk_id", *[F.col(f"_own_p{t}").alias(f"_unnamed_p{t}") for t in (2, 3)])
+    b = (dealt(base, "chunk_id", "key").join(sizes, ["chunk_id", "key"], "left"))
+    b = dealt(b, "chunk_id").join(dealt(unnamed, "chunk_id"), "chunk_id", "left")
+    for t in (2, 3):
+        b = (b.withColumn(f"k_p{t}", F.when(F.col(f"_own_p{t}").isNotNull(), F.col("key"))
+                          .when(F.col(f"_unnamed_p{t}").isNotNull(), F.lit("")))
+             .withColumn(f"n_p{t}", F.coalesce(f"_own_p{t}", f"_unnamed_p{t}", F.lit(0).cast("long"))))
+    b = cut(b.select("chunk_id", "ord", "name", "key", "k_p2", "k_p3", "n_p2", "n_p3"))
+    pairs = b.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(
+        F.lit(1).cast("long"), "n_p2", "n_p3") - 1))).drop("key", "n_p2", "n_p3")
+    j = (dealt(pairs, "chunk_id", "k_p2", "idx")
+         .join(dealt(n2, "chunk_id", "k_p2", "idx"), ["chunk_id", "k_p2", "idx"], "left"))
+    j = (dealt(j, "chunk_id", "k_p3", "idx")
+         .join(dealt(n3, "chunk_id", "k_p3", "idx"), ["chunk_id", "k_p3", "idx"], "left"))
     every = list(dict.fromkeys(fields2 + fields3))
 
     def overlaid(f):
@@ -208,22 +217,18 @@ def overlay_passes(p1: DataFrame, p2: DataFrame, p3: DataFrame, fields2: list[st
 
     matched = j.select("chunk_id", F.lit("base").alias("kind"), "ord", "idx", "name",
                        *[overlaid(f) for f in every])
-    # a pass counts as used under the base name, also where its unnamed records served
-    used2 = b.filter("n_p2 > 0").select("chunk_id", "key").distinct()
-    used3 = b.filter("n_p3 > 0").select("chunk_id", "key").distinct()
-    named1 = keyed(p1).select("chunk_id", "key").distinct()
+    # a pass counts as used under the base name, also where its unnamed records served: a record whose
+    # name is a base name finds itself among that name's own, so the rest are those without a base name
+    lone = dealt(n, "chunk_id", "key").join(dealt(b.select("chunk_id", "key"), "chunk_id", "key"), ["chunk_id", "key"], "left_anti")
     types = {f: matched.schema[f].dataType for f in every}
 
-    def orphans(n, fields, tag, used):
-        o = n.join(used, ["chunk_id", "key"], "left_anti")
-        return o.select("chunk_id", F.lit(f"{tag}_only").alias("kind"), F.lit(-1).alias("ord"),
-                        "idx", F.col(f"name_{tag}").alias("name"),
-                        *[(F.col(f"{tag}_{f}") if f in fields else F.lit(None))
-                          .cast(types[f]).alias(f) for f in every])
+    def of_pass(f):
+        own = [F.when(F.col("tag") == t, F.col(f"p{t}_{f}")).cast(types[f]) for t, fields in ((2, fields2), (3, fields3)) if f in fields]
+        return F.coalesce(*own).alias(f)
 
-    return (matched.unionByName(orphans(n2, fields2, "p2", used2))
-            .unionByName(orphans(n3, fields3, "p3",
-                                 used2.union(used3).union(named1).distinct())))
+    return matched.unionByName(lone.select(
+        "chunk_id", F.when(F.col("tag") == 2, "p2_only").otherwise("p3_only").alias("kind"), F.lit(-1).alias("ord"),
+        "idx", F.col("_name").alias("name"), *[of_pass(f) for f in every]))
 
 
 def resolve_citation_list(units: DataFrame, resolved: DataFrame, lookup: DataFrame,

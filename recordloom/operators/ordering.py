@@ -62,6 +62,27 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], block_on: st
             .drop("_blk", "_in_blk", "_before"))
 
 
+def with_position_and_size(df: DataFrame, keys: list[str], order: str, parts: int, block_size: int = 4096,
+                           name: str = "idx") -> DataFrame:
+    """``with_position`` and the rows of the key as ``size``, for many small keys over ``parts`` tasks.
+
+    Only keys that reach beyond the first block of the integer column ``order`` need sums over blocks;
+    the others are numbered in one window. Rows with a null key or order have no position and are left out.
+    """
+    b = df.dropna(subset=[*keys, order]).withColumn("_blk", F.floor(F.col(order) / block_size))
+    low = b.agg(F.min("_blk")).first()[0]
+    far = cut(b.filter(F.col("_blk") > F.lit(low)).select(*keys).distinct())
+    near, long = b.drop("_blk"), None
+    if not far.isEmpty():
+        long = with_position(near.join(far, keys, "left_semi"), keys, [order], block_size=block_size, name=name)
+        long = long.join(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")), keys)
+        near = near.join(far, keys, "left_anti")
+    w = Window.partitionBy(*keys)
+    near = (near.repartition(parts, *keys).withColumn(name, F.row_number().over(w.orderBy(order)).cast("long") - 1)
+            .withColumn("size", F.count(F.lit(1)).over(w)))
+    return near if long is None else near.unionByName(long)
+
+
 def ordered_position(df: DataFrame, keys: list[str], order: list[str],
                      name: str = "pos") -> DataFrame:
     """As ``with_position`` for any order columns, text included.

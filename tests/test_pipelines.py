@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import pandas as pd
 import pytest
@@ -57,6 +58,23 @@ def test_overlay_alignment(spark):
                    ("p2_only", "", 13, None), ("p2_only", "Fe", 12, None), ("p3_only", "Mo", None, 2)]
 
 
+def test_overlay_deals_records_over_more_tasks(spark, monkeypatch):
+    """Tasks of the overlay grow in number with its records, also where orders pass a block."""
+    from recordloom.operators import linkage
+
+    monkeypatch.setattr(linkage, "_OVERLAY_ROWS", 100, raising=False)
+    p1 = spark.range(300).select(F.concat(F.lit("c"), F.col("id")).alias("chunk_id"), F.lit(1).alias("ord"), F.lit("Cu").alias("name"))
+    many = spark.range(9000).select(F.lit("c7").alias("chunk_id"), (F.col("id") + 1).cast("int").alias("ord"), F.lit("CU").alias("name"))
+    p2 = p1.filter("chunk_id <> 'c7'").union(many).withColumn("conv", F.col("ord"))
+    p3 = p1.withColumn("temp", F.lit(5))
+    df = overlay_passes(p1, p2, p3, ["conv"], ["temp"])
+    assert max(int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan(df))) == 99
+    got = df.collect()
+    assert len(got) == 299 + 9000 and {r["kind"] for r in got} == {"base"}
+    assert sorted(r["conv"] for r in got if r["chunk_id"] == "c7") == list(range(1, 9001))
+    assert [r["temp"] for r in got if r["chunk_id"] == "c7" and r["idx"] == 0] == [5]
+
+
 def test_units_from_files(spark, tmp_path):
     (tmp_path / "10.1_a.llm_evidence.jsonl").write_text(
         '{"evidence_id":"e1","source_review_doi":""}\n{"evidence_id":"e2","source_review_doi":"own"}\n')
