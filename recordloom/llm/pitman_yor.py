@@ -42,16 +42,23 @@ _CELLS = 1 << 16
 START, END = 0x5374617274, 0x456E64456E64
 
 
-# ---- columns of numbers as bytes, most significant places apart, which compress well
+# ---- columns of numbers as bytes: their width, then the places apart, of which upper ones without a bit set are left out
 
 def _pack(x: np.ndarray, kind: str = "<i8") -> bytes:
     x = np.ascontiguousarray(x, dtype=kind)
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    width = x.itemsize if len(x) and x.min() < 0 else max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(len(x), x.itemsize).T[:width].tobytes()
+
+
+def _count(data: bytes) -> int:
+    """How many numbers were packed."""
+    return (len(data) - 1) // data[0]
 
 
 def _unpack(data: bytes, kind: str = "<i8") -> np.ndarray:
-    wide = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+    out = np.zeros((_count(data), np.dtype(kind).itemsize), np.uint8)
+    out[:, :data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1).T if len(out) else 0
+    return out.view(kind).ravel()
 
 
 def _pack_codes(codes: np.ndarray) -> bytes:
@@ -176,7 +183,7 @@ class Root:
 
 # ---- chunks
 
-_CHUNK = "chunk long, ids array<{kind}>, held array<boolean>, sizes binary, tokens binary, codes binary, counts binary, n long"
+_CHUNK = "chunk long, ids array<{kind}>, held array<boolean>, sizes binary, tokens binary, codes binary, counts binary, distinct_words long, n long"
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +204,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch({
             "chunk": pa.array([number]), "ids": pa.ListArray.from_arrays(ends, ids), "held": pa.ListArray.from_arrays(ends, held),
             "sizes": pa.array([_pack(count + 1, "<i4")], pa.binary()), "tokens": pa.array([_pack(place[:-1], "<i4")], pa.binary()),
-            "codes": pa.array([_pack_codes(codes)], pa.binary()), "counts": pa.array([_pack(seen)], pa.binary()), "n": pa.array([len(tokens)])})
+            "codes": pa.array([_pack_codes(codes)], pa.binary()), "counts": pa.array([_pack(seen)], pa.binary()), "distinct_words": pa.array([len(codes)]), "n": pa.array([len(tokens)])})
 
     for batch in sliced(batches, "text"):
         words = words_of(batch.column("text"), blank_words(), lower=True)
@@ -312,7 +319,7 @@ def _returned(batch: pa.RecordBatch, i: int, name: str) -> tuple[list[np.ndarray
     """(sums of every key, whether the chunk owns it), keys ascending, from the parts that came back to a chunk."""
     rows = sorted(batch.column(name)[i].as_py(), key=lambda r: r["part"])
     sums = [np.concatenate([_unpack(r["sums"][v]) for r in rows]) for v in range(len(rows[0]["sums"]))]
-    own = np.concatenate([np.unpackbits(np.frombuffer(r["own"], np.uint8), count=len(r["sums"][0]) // 8) for r in rows]).astype(bool)
+    own = np.concatenate([np.unpackbits(np.frombuffer(r["own"], np.uint8), count=_count(r["sums"][0])) for r in rows]).astype(bool)
     return sums, own
 
 
@@ -336,7 +343,7 @@ class _Model:
         self.buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         self.chunks = self.bucketed(docs.mapInArrow(_chunked, _CHUNK.format(kind=kind)))
         sizes = self.chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("chunks"),
-                                F.coalesce(F.sum(F.length("codes") / 8), F.lit(0)).cast("long").alias("words")).first()
+                                F.coalesce(F.sum("distinct_words"), F.lit(0)).alias("words")).first()
         self.empty = not sizes["chunks"]
         self.word_parts = max(1, -(-sizes["words"] // PART_KEYS))
         self.pair_parts = max(1, -(-sizes["n"] // PART_KEYS))

@@ -147,6 +147,13 @@ def test_seats_of_a_billion_customers():
     assert 30_000 < drawn[0] < 80_000
 
 
+def test_small_numbers_take_few_bytes():
+    for kind, values in (("<i8", [0, 3, 255]), ("<i8", [256, 1, 2**40]), ("<i8", []), ("<i8", [-1, 5]), ("<u8", [2**64 - 1, 0]), ("<i4", [70_000, 2])):
+        data = pitman_yor._pack(np.array(values, kind), kind)
+        assert pitman_yor._unpack(data, kind).tolist() == values and pitman_yor._unpack(data, kind).dtype == np.dtype(kind)
+    assert len(pitman_yor._pack(np.full(1000, 200))) == 1001
+
+
 def test_parcels_come_back_in_order_of_keys_and_are_packed():
     rng = np.random.default_rng(5)
     key = np.sort(rng.integers(0, 2**64, 40_000, dtype=np.uint64))
