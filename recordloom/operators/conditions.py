@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.base import any_contains, let, quiet_double
-from recordloom.functions.temperature import (LOOK_BACK, governed, matches,
+from recordloom.functions.temperature import (DEGREE_SIGNS, LOOK_BACK, STEP_WORDS, governed, matches,
                                               section_temperature_and_pressure, temperature_matches)
 from recordloom.operators.ordering import with_position
 from recordloom.session import cut
@@ -24,6 +24,7 @@ _PATTERNS = {
                      (rf"(?iU){_NUM}\s*atm\b", lambda v: F.round(v * 0.101325, 4)), (rf"(?iU){_NUM}\s*kPa\b", lambda v: F.round(v / 1000, 4))],
     "whsv": [(p, lambda v: v) for p in _WHSV], "ghsv": [(p, lambda v: v) for p in _GHSV],
     "catalyst_loading_g": [(_LOAD, lambda v: F.when(v.between(0.01, 20), v)), (_LOAD_NAMED, lambda v: v)]}
+_CATALYST, _KELVIN_SIGN, _DOTTED_I = "CATALYST", "\u212a", "\u0130"      # of _LOAD_NAMED; signs that match k and i, but are no K and I
 _WORDS = {"pressure_mpa": ["MPA", "BAR", "ATM", "KPA"], "whsv": ["WHSV"], "ghsv": ["GHSV"], "catalyst_loading_g": None}
 
 
@@ -40,7 +41,7 @@ def _named(c: Column, words: list[str] | None) -> Column:
     """Does one of the upper-case words stand there? A substring test settles most text."""
     if words is None:
         return F.lit(True)
-    return let(F.upper(c), lambda up: any_contains(up, [*words, "\u212a"]))   # the sign that is no K but matches k
+    return let(F.upper(c), lambda up: any_contains(up, [*words, _KELVIN_SIGN]))
 
 
 def _extract(c: Column, field: str) -> Column:
@@ -94,6 +95,9 @@ _BORDER = "\u2029"
 #: Words of the following chunks that a match can run into; no pattern spans more.
 _RUN_ON = 6
 _REACH_BACK, _REACH_ON = 6, 3        # doublings: LOOK_BACK characters are at most 60 chunks, _RUN_ON words at most 6
+#: Stands in every text with a match: one of the marks, or this form (kelvin, garbled degrees, gram).
+_MARKS = [*[sign.upper() for sign in DEGREE_SIGNS], *[w for words in _WORDS.values() for w in words or ()], _CATALYST, _KELVIN_SIGN]
+_SHORT_UNIT = r"(?U)\d\s*[CcKGg]"
 _HEAD = rf"(?U)^\s*(?:\S+\s+){{0,{_RUN_ON - 1}}}\S*"
 
 
@@ -108,19 +112,20 @@ def _edges(placed: DataFrame, reach: int, block_size: int) -> DataFrame:
     text = F.translate("text", _BORDER, " ")
     ends = with_position(solid.select("doc", "pos", F.right(text, F.lit(LOOK_BACK)).alias("tail"),
                                       F.regexp_extract(text, _HEAD, 0).alias("head")),
-                         ["doc"], ["pos"], block_on="pos", name="q")
+                         ["doc"], ["pos"], name="q").withColumn("words", F.size(F.regexp_extract_all("head", F.lit(r"(?U)\S+"), F.lit(0))))
     far, on = 2 ** _REACH_BACK, max(2 ** _REACH_ON, 2 * reach)
     low, high = F.floor((F.col("q") - on) / block_size), F.floor((F.col("q") + far) / block_size)
     spread = ends.withColumn("_blk", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
     w = Window.partitionBy("doc", "_blk").orderBy("q")
     for k in range(_REACH_BACK):
-        before = F.lag("tail", 2 ** k).over(w)
-        spread = spread.withColumn("tail", F.when(before.isNull() | (F.length("tail") >= LOOK_BACK), F.col("tail")).otherwise(
-            F.right(F.concat(before, F.lit(_BORDER), F.col("tail")), F.lit(LOOK_BACK))))
-    for k in range(_REACH_ON):
-        after = F.lead("head", 2 ** k).over(w)
-        spread = spread.withColumn("head", F.when(after.isNull(), F.col("head")).otherwise(
-            F.regexp_extract(F.concat("head", F.lit(_BORDER), after), _HEAD, 0)))
+        before, after = F.lag("tail", 2 ** k).over(w), F.lead("head", 2 ** k).over(w)
+        grown = {"tail": F.when(before.isNull() | (F.length("tail") >= LOOK_BACK), F.col("tail")).otherwise(
+            F.right(F.concat(before, F.lit(_BORDER), F.col("tail")), F.lit(LOOK_BACK)))}
+        if k < _REACH_ON:
+            grown["head"] = F.when(after.isNull() | (F.col("words") >= _RUN_ON), F.col("head")).otherwise(
+                F.regexp_extract(F.concat("head", F.lit(_BORDER), after), _HEAD, 0))
+            grown["words"] = F.col("words") + F.coalesce(F.lead("words", 2 ** k).over(w), F.lit(0))
+        spread = spread.withColumns(grown)
     there = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
     return spread.select(
         "doc", "pos", "_blk", "q", F.lag("tail", 1).over(w).alias("before"), F.lead("head", 1).over(w).alias("after"),
@@ -140,31 +145,40 @@ def chunk_values(placed: DataFrame, reach: int = 2, block_size: int = 2048) -> D
     """
     fields = list(CONDITION_FIELDS)
     worth = F.col("text").rlike(r"(?U)\d") | any_contains(F.upper("text"), ["WHSV", "GHSV", "CATALYST"])
-    # the partitioning that the join needs, kept if the other side turns out small enough to be broadcast
+    # both sides are dealt over as many tasks as there are: patterns cost far more than their bytes
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (placed.select("doc", "pos", "text").filter(worth).repartition(parts, "doc", "pos")
-            .join(_edges(placed, reach, block_size), ["doc", "pos"])
+            .join(_edges(placed, reach, block_size).repartition(parts, "doc", "pos").hint("merge"), ["doc", "pos"])
             .withColumn("size", F.length("text"))
             .withColumn("before", F.coalesce(F.concat("before", F.lit(_BORDER)), F.lit("")))
-            .withColumn("body", F.concat(F.translate("text", _BORDER, " "), F.coalesce(F.concat(F.lit(_BORDER), F.col("after")), F.lit("")))))
+            .withColumn("body", F.concat(F.translate("text", _BORDER, " "), F.coalesce(F.concat(F.lit(_BORDER), F.col("after")), F.lit(""))))
+            # what can settle a chunk is looked for once and without patterns
+            .withColumn("upper", F.upper("body")))
+    rows = rows.withColumns({
+        "marked": any_contains(F.col("upper"), _MARKS) | F.col("body").rlike(_SHORT_UNIT),
+        "stepped": any_contains(F.col("upper"), [*STEP_WORDS, _DOTTED_I]) | any_contains(F.upper("before"), [*STEP_WORDS, _DOTTED_I])})
     kind = "array<struct<field:int,value:double,start:int,size:int>>"
 
-    def of(body, i, field, pattern, read):
-        found = F.transform(matches(body, pattern), lambda m: F.struct(
-            F.lit(i).alias("field"), read(_number(m["g1"])).alias("value"), m["start"], m["size"]))
-        return F.when(_named(body, _WORDS[field]), found.cast(kind)).otherwise(F.array().cast(kind))
+    def of(body, i, pattern, read):
+        return F.transform(matches(body, pattern), lambda m: F.struct(
+            F.lit(i).alias("field"), read(_number(m["g1"])).alias("value"), m["start"], m["size"])).cast(kind)
 
     def hits(body):
+        none = F.array().cast(kind)
         out = [F.transform(temperature_matches(body), lambda m: F.struct(F.lit(0).alias("field"), m["value"].alias("value"), m["start"], m["size"]))]
         for i, field in enumerate(fields):
-            for pattern, read in _PATTERNS.get(field, []):
-                out.append(of(body, i, field, pattern, read))
+            every = [(of(body, i, pattern, read), [_CATALYST] if pattern == _LOAD_NAMED else _WORDS[field])
+                     for pattern, read in _PATTERNS.get(field, [])]
+            for words in dict.fromkeys(tuple(w or ()) for _, w in every):
+                found = F.concat(*[o for o, w in every if tuple(w or ()) == words])
+                out.append(F.when(any_contains(F.col("upper"), [*words, _KELVIN_SIGN]), found).otherwise(none) if words else found)
         return F.filter(F.concat(*[o.cast(kind) for o in out]), lambda m: m["value"].isNotNull() & (m["start"] < F.col("size")))
 
     borders = lambda c: F.length(c) - F.length(F.replace(c, F.lit(_BORDER), F.lit("")))
 
     def by_sight(seen):
-        return F.transform(F.sequence(F.lit(0), borders(seen)), lambda k: governed(F.call_function("substring_index", seen, F.lit(_BORDER), -(k + 1))))
+        each = F.transform(F.sequence(F.lit(0), borders(seen)), lambda k: governed(F.call_function("substring_index", seen, F.lit(_BORDER), -(k + 1))))
+        return F.when(F.col("stepped"), each).when(~F.col("stepped"), F.array(F.lit(False)))   # named twice, so that it is a column
 
     def placed_in(body):
         def one(m):
@@ -176,7 +190,9 @@ def chunk_values(placed: DataFrame, reach: int = 2, block_size: int = 2048) -> D
                 .alias("governed"))
         return F.transform(hits(body), one)
 
-    return rows.select("doc", "pos", "prev_pos", let(F.col("body"), placed_in).alias("found"))
+    found = let(F.col("body"), placed_in)
+    none = F.array().cast("array<struct<field:string,value:double,last_pos:bigint,governed:array<boolean>>>")
+    return rows.select("doc", "pos", "prev_pos", F.when(F.col("marked"), found).otherwise(none).alias("found"))
 
 
 def _arrays(values: DataFrame, keys: list[str], prefix: str) -> DataFrame:
@@ -201,27 +217,27 @@ def fill_conditions(units: DataFrame, chunks: DataFrame, reach: int = 2, block_s
     there count, and treatment steps that stand there. Several candidates leave the field NULL and
     add a note. Of chunks with one id the last counts.
     """
-    placed = cut(with_position(chunks, ["doc"], ["page", "chunk_no"], block_on="page",
-                               block_size=64))
+    placed = cut(with_position(chunks, ["doc"], ["page", "chunk_no"]))
     values = cut(chunk_values(placed, reach, block_size))
     everywhere = document_conditions(placed, values=values)
-    places = (placed.join(units.select("doc", "chunk_id").distinct(), ["doc", "chunk_id"])
-              .groupBy("doc", "chunk_id").agg(F.max("pos").alias("home")))
-    around = places.withColumn("pos", F.explode(F.sequence(F.col("home") - reach, F.col("home") + reach)))
+    nothing = F.array().cast("array<double>")
+    # what the document says, once a document: the value that fills, or the note
+    everywhere = everywhere.select("doc", *[resolve_value(nothing, F.col(f"g_{f}"), label, decimals).alias(f"_g_{f}")
+                                            for f, (label, decimals) in CONDITION_FIELDS.items()])
+    # a value counts for the chunks that see it whole; one value is left where the smallest is the largest
     seen = F.size(F.filter("prev_pos", lambda p: p >= F.col("home") - reach))
     held = F.get("governed", F.least(seen, F.size("governed") - 1))
-    near = (around.join(values.filter(F.size("found") > 0).select("doc", "pos", "prev_pos", F.inline("found")), ["doc", "pos"])
-            .filter((F.col("last_pos") <= F.col("home") + reach) & ~F.coalesce(held, F.lit(False))))
-    local = _arrays(near, ["doc", "chunk_id"], "l")
-    j = units.join(local, ["doc", "chunk_id"], "left").join(everywhere, "doc", "left")
-    solved = {f: resolve_value(F.col(f"l_{f}"), F.col(f"g_{f}"), label, decimals)
-              for f, (label, decimals) in CONDITION_FIELDS.items()}
-    j = j.withColumns({f"_r_{f}": r for f, r in solved.items()})
-    has_doc = F.col("g_whsv").isNotNull()
-    notes = F.concat_ws("; ", *[F.when(F.col(f).isNull() & has_doc, F.col(f"_r_{f}")["note"])
-                                for f in CONDITION_FIELDS])
+    rounded = {f: F.when(F.col("field") == f, F.round("value", decimals)) for f, (_, decimals) in CONDITION_FIELDS.items()}
+    local = (values.select("doc", "pos", "prev_pos", F.inline("found")).filter(F.col("last_pos") <= F.col("pos") + 2 * reach)
+             .withColumn("home", F.explode(F.sequence(F.col("last_pos") - reach, F.col("pos") + reach)))
+             .filter(~F.coalesce(held, F.lit(False)))
+             .groupBy("doc", "home").agg(*[a(v).alias(f"{a.__name__}_{f}") for f, v in rounded.items() for a in (F.min, F.max)]))
+    homes = placed.groupBy("doc", "chunk_id").agg(F.max("pos").alias("home"))
+    j = units.join(homes, ["doc", "chunk_id"], "left").join(local, ["doc", "home"], "left").join(everywhere, "doc", "left")
+    alone = {f: F.when(F.col(f"min_{f}") == F.col(f"max_{f}"), F.col(f"min_{f}")) for f in CONDITION_FIELDS}
+    notes = F.concat_ws("; ", *[F.when(F.col(f).isNull() & alone[f].isNull(), F.col(f"_g_{f}")["note"]) for f in CONDITION_FIELDS])
     keep = [c for c in units.columns if c not in CONDITION_FIELDS]
-    return j.select(*keep, *[F.coalesce(F.col(f), F.col(f"_r_{f}")["value"]).alias(f)
+    return j.select(*keep, *[F.coalesce(F.col(f), alone[f], F.col(f"_g_{f}")["value"]).alias(f)
                              for f in CONDITION_FIELDS],
                     F.when(F.length(notes) > 0, notes).alias("temperature_note"))
 
