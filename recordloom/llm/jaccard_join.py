@@ -2,8 +2,10 @@
 
 Two sets of sizes a and b that reach the similarity share at least T of their shingles. DivideSkip
 leaves the longest inverted lists of a set out of the merge and probes them afterwards: a partner
-must then be met in the short lists. Every set here merges the fewest, shortest lists that suffice,
-those of its n - T + 1 rarest shingles; what they meet is probed by binary search in the rest.
+must then be met in the short lists. Every set here merges the fewest, shortest lists in which any
+partner is met m times, those of its n - T + m rarest shingles; what they meet so often is probed by
+binary search in the rest. Different sets of 85 % share six shingles at least, so m = 3 loses none,
+and sets that meet by chance, in a shingle or two, are not pairs.
 
 * Sets that are equal are one node, whatever the number of their documents.
 * Frequent shingles are counted per task and summed; those over a share of all documents are few, by
@@ -31,6 +33,8 @@ from recordloom.session import cut, drop_old_shuffles, release
 FREQUENT = 1e-4
 #: Nodes in an inverted list that are paired with one another; longer lists go the other way.
 LONG_LIST = 64
+#: Short lists in which two sets must meet, if the similarity allows no fewer.
+MEETS = 3
 #: Rounds in which the nodes of each long list are compared with one of them, before the rest is.
 HEADS = 2
 #: Ids that are broadcast at most to pick texts; beyond, the texts are joined by a shuffle.
@@ -75,6 +79,11 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def _meets(percent: int) -> int:
+    """Lists in which a set merges any partner: what different sets share at least, up to `MEETS`."""
+    return min(MEETS, -(-percent // max(1, 100 - percent)))
+
+
 def _frequent(size: int):
     def run(batches):
         free_memory()
@@ -106,7 +115,7 @@ def _profiles(size: int, percent: int, hot, extra: int = 0):
             load = np.where(common[at] == value, weight[at], 0)
         order = np.lexsort((value, load, row))
         place = np.arange(len(value)) - border[row]
-        keep = place < np.minimum(n, n - _needed(n, percent) + 1)[row]
+        keep = place < np.minimum(n, n - _needed(n, percent) + _meets(percent))[row]
         first = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(n)))))
         # parity of the shingles in each place of the sketch
         wide = _SKETCH << np.ceil(np.log2(np.maximum(n, 256) / 256)).astype(np.int64)
@@ -190,15 +199,15 @@ class JaccardJoin:
         met = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("shingle")
         return cut(rows.join(met, "shingle", "left_semi").distinct())
 
-    def _met(self, left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-        """Pairs of nodes that meet in a list and can still share enough after it."""
-        a = left.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
-        b = right.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    def _met(self, lists: DataFrame) -> DataFrame:
+        """Pairs of nodes that meet in enough lists and can still share enough after each of them."""
+        a = lists.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
+        b = lists.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"))
         bound = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-        return (a.join(b, (a["shingle"] == b["shingle"]) & ((F.col("x") < F.col("y")) if ordered else (F.col("x") != F.col("y")))
+        return (a.join(b, (a["shingle"] == b["shingle"]) & (F.col("x") < F.col("y"))
                        & (F.col("nx") * 100 >= F.col("ny") * self.percent) & (F.col("ny") * 100 >= F.col("nx") * self.percent)
                        & (bound >= _overlap(F.col("nx"), F.col("ny"), self.percent)))
-                .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+                .groupBy("x", "y").count().where(F.col("count") >= _meets(self.percent)).select("x", "y"))
 
     def sketched(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs whose sketches do not rule them out."""
@@ -249,7 +258,8 @@ class JaccardJoin:
         """Links between nodes; in long lists as many as join the same components."""
         lists = self.lists(profiles)
         long = cut(lists.groupBy("shingle").count().where(F.col("count") > LONG_LIST).select("shingle"))
-        short = self._met(*2 * [lists.join(long, "shingle", "left_anti")], True)
+        # a pair that meets in a long list too is found there
+        short = self._met(lists.join(long, "shingle", "left_anti"))
         found = self.verified(self.sketched(short, nodes), nodes)
         if long.isEmpty():
             release(lists, long)

@@ -106,3 +106,21 @@ def test_components_of_paths_and_stars(spark):
     got = dict(tuple(r) for r in connected(spark.createDataFrame(edges, "u long, v long")).collect())
     want = {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)} | {200: 200, 300: 200}
     assert got == want
+
+
+def test_chance_meetings_are_no_pairs(spark, monkeypatch):
+    """Sets that meet in a list or two are not compared; links of few shingles stay."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10 ** 9)}"
+    rows, shared = [], [[word() for _ in range(5)] for _ in range(40)]
+    for i in range(80):                                  # two windows of four words in common with one other text
+        rows.append((i, " ".join(shared[i // 2] + [word() for _ in range(60)])))
+    few = [word() for _ in range(10)]                    # six of seven shingles
+    rows += [(100, " ".join(few[:9])), (101, " ".join(few))]
+    met = []
+    sketched = jaccard_join.JaccardJoin.sketched
+    monkeypatch.setattr(jaccard_join.JaccardJoin, "sketched", lambda self, pairs, nodes: met.append(pairs.count()) or sketched(self, pairs, nodes))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == brute_components(rows, 85, 4)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()}[101] == 100
+    assert met == [1]
